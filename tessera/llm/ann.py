@@ -91,7 +91,7 @@ def scan_block(columns: np.ndarray, query: np.ndarray, k: int, bound: float, ste
     return alive
 
 
-def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, probes: float = 0.55, sample: int = 16_384, max_lists: int = 4096, block: int = 4096, step: int = 8, eps: float = 2.1, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, probes: float = 0.7, sample: int = 16_384, max_lists: int = 4096, block: int = 4096, step: int = 8, eps: float = 2.1, seed: int = 7) -> DataFrame:
     """query_id, rank, <id_col>, score: the k nearest found of each row that is_query (on the column id) holds for.
 
     probes is the share of the lists a query visits; the number of lists follows the square root of the rows.
