@@ -24,6 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,72 +35,139 @@ from tessera.llm.common import written
 
 MAGIC = b"RPG1"
 SHARD_SCHEMA = "part int, shard int, part_start long, n_tokens long, doc_ids array<long>, payload binary"
-#: str.split() takes these for white space and the tokenizers' patterns don't: such texts are encoded as a whole.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎​]")
+#: Texts with other characters are encoded as a whole; among these, lower-casing and the kinds of characters are the same here and in the tokenizer.
+OTHER = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]|<\\|")
+SPACE, LETTER, DIGIT, MARK = range(4)
+#: Kinds of bytes of such texts in UTF-8.
+KIND = np.full(256, MARK, np.uint8)
+KIND[[9, 10, 13, 32]] = SPACE
+KIND[97:123] = KIND[128:] = LETTER
+KIND[48:58] = DIGIT
+
+
+def cut(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokenizer's pieces of a lower-cased text begin and end: runs of letters or marks, single digits, and the contractions 's 't 'm 'd 're 've 'll."""
+    kind = KIND[raw]
+    before = np.concatenate([[SPACE], kind[:-1]])
+    first = (kind != SPACE) & ((kind != before) | (kind == DIGIT))
+    at = np.flatnonzero(first & (raw == 39))
+    if len(at):
+        padded = np.concatenate([raw, [32, 32, 32]])
+        one, two = padded[at + 1], padded[at + 2]
+        # the quote has to be a piece's first, and its only mark
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108))
+        for hit, n in ((at[short], 2), (at[long], 3)):
+            first[hit + 1] = False
+            rest = hit + n
+            rest = rest[rest < len(raw)]
+            first[rest] |= kind[rest] == LETTER
+    begins = np.flatnonzero(first)
+    gone = np.flatnonzero(kind == SPACE)
+    # a piece ends where the next begins, or at the white space before it
+    nexts = np.append(begins[1:], len(raw))
+    stop = np.append(gone, len(raw))[np.searchsorted(gone, begins)]
+    return begins, np.minimum(nexts, stop)
+
+
+class Ragged:
+    """Rows of token ids, end to end."""
+
+    def __init__(self):
+        self.flat, self.begin, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        used = int(self.begin[self.n])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(sizes) + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.flat[used : used + len(ids)] = ids
+        self.begin[self.n + 1 : self.n + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self.n += len(sizes)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these rows, end to end, and how many each has."""
+        begin = self.begin[rows]
+        sizes = self.begin[rows + 1] - begin
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(begin - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], sizes
 
 
 class WordEncoder:
-    """Encodes words once each and puts texts together from them.
+    """Encodes each different piece once and puts texts together from pieces, by numpy.
 
-    It is exact for tokenizers that drop white space and never look across it; others are given whole texts.
+    It is exact for the tokenizers that drop white space, lower the case, cut as above, and close each piece's last token
+    with "</w>". Other tokenizers, and texts with characters outside those above, are given whole texts. Pieces are known
+    by a 64-bit polynomial hash of a random base.
     """
 
-    def __init__(self, path: str, kept: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, kept: int = 800_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
-        probe = ["ab cd", " ab\n", "a, b. c!", "x  y"]
-        whole = [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)]
-        self.by_word = whole == [[i for w in t.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids] for t in probe]
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.closes[i] = token.endswith("</w>")
+        self.base = int(np.random.default_rng().integers(1 << 40, 1 << 62)) | 1
+        self.inverse = pow(self.base, -1, 1 << 64)
+        self.powers = self.inverses = np.ones(1, np.uint64)
         self.clear()
+        probe = ["Ab cd\xe9", " it's\n", "a, b--c! 12", "x  y_z '", "don't'll ''s 're've", "", "'", "a'"]
+        self.by_piece = False
+        try:
+            self.by_piece = all(a.tolist() == b.ids for a, b in zip(self.by_pieces(probe), self.tokenizer.encode_batch(probe, add_special_tokens=False), strict=True))
+        except (ValueError, AttributeError, TypeError):
+            pass
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.begin = np.zeros(self.kept + 1, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        joined = " ".join(words)
-        encoding = self.tokenizer.encode(joined, add_special_tokens=False)
-        ids = np.array(encoding.ids, np.uint32)
-        at = np.fromiter((o[0] for o in encoding.offsets), np.int64, len(ids))
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        owner = np.searchsorted(ends, at, side="right")
-        counts = np.bincount(owner, minlength=len(words))
-        if len(counts) != len(words) or (np.diff(owner) < 0).any():  # offsets that don't follow the words
-            each = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-            ids, counts = np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each])
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        first = len(self.number)
-        grow = first + len(words) + 1
-        if grow > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros(grow, np.int64)])
-        self.begin[first + 1 : first + 1 + len(words)] = self.used + np.cumsum(counts)
-        self.used += len(ids)
-        self.number.update(zip(words, range(first, first + len(words)), strict=True))
+        self.rows: dict[int, int] = {}
+        self.ids = Ragged()
+
+    def hashes(self, raw: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        while len(self.powers) < len(raw) + 1:
+            n = len(self.powers)
+            self.powers = np.concatenate([self.powers, self.powers * np.uint64(pow(self.base, n, 1 << 64))])
+            self.inverses = np.concatenate([self.inverses, self.inverses * np.uint64(pow(self.inverse, n, 1 << 64))])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.powers[: len(raw)], dtype=np.uint64)])
+        return (sums[stops] - sums[begins]) * self.inverses[begins]
+
+    def learn(self, hashes: list[int], pieces: list[str]) -> None:
+        texts = [" ".join(pieces[i : i + 1000]) for i in range(0, len(pieces), 1000)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+        sizes = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+        if len(sizes) != len(pieces):
+            raise ValueError("tokens don't close pieces")
+        self.rows.update(zip(hashes, range(len(self.rows), len(self.rows) + len(pieces)), strict=True))
+        self.ids.add(ids, sizes)
+
+    def by_pieces(self, texts: list[str]) -> list[np.ndarray]:
+        joined = "\n".join(texts).lower().encode() + b"\n"
+        raw = np.frombuffer(joined, np.uint8)
+        begins, stops = cut(raw)
+        unique, first, back = np.unique(self.hashes(raw, begins, stops), return_index=True, return_inverse=True)
+        if len(self.rows) > self.kept:
+            self.clear()
+        keys = unique.tolist()
+        rows = np.fromiter(map(self.rows.get, keys, repeat(-1)), np.int64, len(keys))
+        fresh = np.flatnonzero(rows < 0)
+        if len(fresh):
+            a, b = begins[first[fresh]].tolist(), stops[first[fresh]].tolist()
+            rows[fresh] = len(self.rows) + np.arange(len(fresh))
+            self.learn([keys[i] for i in fresh.tolist()], [joined[x:y].decode() for x, y in zip(a, b, strict=True)])
+        ids, sizes = self.ids.take(rows[back])
+        text_ends = np.cumsum(np.fromiter((len(t.lower().encode()) + 1 for t in texts), np.int64, len(texts)))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(begins, np.concatenate([[0], text_ends]))]
+        return [ids[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [not self.by_word or ODD_SPACE.search(t) is not None for t in texts]
-        out: list[np.ndarray] = []
-        for i in range(0, len(texts), 256):
-            part = texts[i : i + 256]
-            split = [[] if odd[i + j] else t.split() for j, t in enumerate(part)]
-            if len(self.number) > self.kept:
-                self.clear()
-            fresh = set().union(*split).difference(self.number)
-            if fresh:
-                self.learn(list(fresh))
-            for j, words in enumerate(split):
-                if odd[i + j]:
-                    out.append(np.array(self.tokenizer.encode(part[j], add_special_tokens=False).ids, np.uint32))
-                    continue
-                n = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-                begin, sizes = self.begin[n], self.begin[n + 1] - self.begin[n]
-                total = int(sizes.sum())
-                out.append(self.flat[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(total)])
-        return out
+        plain = [self.by_piece and OTHER.search(t) is None for t in texts]
+        own = iter(self.by_pieces(known) if (known := [t for t, p in zip(texts, plain, strict=True) if p]) else ())
+        return [next(own) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t, p in zip(texts, plain, strict=True)]
 
 
 @lru_cache(2)
@@ -117,34 +185,37 @@ def _starts_of_pairs(hit: np.ndarray) -> np.ndarray:
     return at[(np.arange(len(at)) - start) % 2 == 0]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int = 6, most: int = 16_000, per_round: int = 4_000) -> bytes:
-    """A shard of documents that end (exclusive) at ends. A pair is frequent if it occurs least times."""
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = 16, rounds: int = 4, most: int = 16_000, per_round: int = 4_000) -> bytes:
+    """A shard of documents that end (exclusive) at ends. A pair is frequent if it occurs least times.
+
+    A round counts pairs in the slots of a hash first; only pairs in slots that are full enough are counted one by one.
+    """
+    slots = 1 << 18
     base = int(ids.max()) + 1 if len(ids) else 1
     seq = ids.astype(np.int64)
     doc_end = np.zeros(len(seq), bool)
     doc_end[ends - 1] = True
-    left, right, lengths = [], [], []
+    left, right = [], []
     symbols = base
     length_of = np.ones(base, np.int64)
     for _ in range(rounds):
         if len(seq) < 2 or symbols - base >= most:
             break
         key = (seq[:-1] << 32) | seq[1:]
-        key[doc_end[:-1]] = -1
-        # a cheap count by hash leaves out most rare pairs before the exact one
-        mixed = ((key * np.int64(-7046029254386353131)) >> 44) & 0xFFFFF
-        likely = (np.bincount(mixed, minlength=1 << 20)[mixed] >= least) & (key >= 0)
+        slot = ((seq[:-1] * 40503 + seq[1:]) * 2654435761 >> 20) & (slots - 1)
+        inside = ~doc_end[:-1]
+        likely = inside & (np.bincount(slot, minlength=slots) >= least)[slot]
         pairs, counts = np.unique(key[likely], return_counts=True)
         best = np.flatnonzero(counts >= least)
         if not len(best):
             break
         best = best[np.lexsort((pairs[best], -counts[best]))][: min(per_round, most - (symbols - base))]
         chosen = np.sort(pairs[best])
-        where = np.searchsorted(chosen, key)
-        where[where == len(chosen)] = 0
-        at = _starts_of_pairs(chosen[where] == key)
-        new = where[at]
-        used, new = np.unique(new, return_inverse=True)
+        table = np.zeros(slots, np.int64)
+        table[((chosen >> 32) * 40503 + (chosen & 0xFFFFFFFF)) * 2654435761 >> 20 & (slots - 1)] = np.arange(len(chosen))
+        where = table[slot]  # of pairs that share a slot one is found, the others wait for the next round
+        at = _starts_of_pairs((chosen[where] == key) & inside)
+        used, new = np.unique(where[at], return_inverse=True)
         a, b = chosen[used] >> 32, chosen[used] & 0xFFFFFFFF
         left.append(a)
         right.append(b)
