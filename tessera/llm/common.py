@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are what lies between these characters, wherever a contract says so.
-SPACES = "\\x20\\x09-\\x0D"
-
+from tessera.sources.store import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here if the session has none (tests)."""
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not path:
-        context.setCheckpointDir("/tmp/checkpoints")
-        path = context.getCheckpointDir()
-    return path.rstrip("/")
+__all__ = ["SPACES", "column_or_null", "id_hash", "shared_dir", "shuffle_width", "small_or_joined", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: its lineage ends there, and a lost executor costs no rerun of what lies before.
-
-    The folder is the cluster's scratch space; its owner decides how long such tables stay.
-    """
-    path = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Words are what lies between these characters, wherever a contract says so.
+SPACES = "\\x20\\x09-\\x0D"
 
 
 def id_hash(column: str, buckets: int) -> Column:
