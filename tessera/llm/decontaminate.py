@@ -6,7 +6,8 @@ longer than unit_words are cut into units. Every training passage (windows twice
 overlapping half of the next) is a query. Units are sorted by the score they must reach and cut into blocks; a term has
 its largest contribution in each block. A block is scored for a passage only if the sum of these bounds over the passage
 reaches the block's least threshold; all units whose BM25 score reaches their threshold (a share of the score of the unit
-itself) are retrieved. A retrieved unit is a leak if enough of the word shingles of both its question and its answer
+itself) are retrieved. The bounds are first taken from half passages, summed once each, then from whole ones; only what
+is left has its postings added up. All of a batch's passages take these steps at once. A retrieved unit is a leak if enough of the word shingles of both its question and its answer
 stand in the passage. The question ends with the last question mark, else after two thirds of the words.
 
 Defined cases: a null or empty text has no passage; test items with fewer than least_words words, or null, can't be told
@@ -20,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,18 +55,19 @@ class Index:
         self.units = [units[i] for i in order]
         gain = [gain[i] for i in order]
         self.need = np.array([share * sum(g.values()) for g in gain])
-        self.block = block
-        blocks = (len(units) + block - 1) // block
-        self.block_need = np.array([self.need[i * block : (i + 1) * block].min() for i in range(blocks)])
-        # dense block maxima for the first test; postings by (term, unit) for the second
-        self.most = np.zeros((len(vocabulary) + 1, blocks), np.float32)
-        postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-        for j, g in enumerate(gain):
-            for w, x in g.items():
-                t = self.term[w]
-                self.most[t, j // block] = max(self.most[t, j // block], x)
-                postings[t].append((j, x))
-        self.postings = [(np.array([p[0] for p in ps], np.int64), np.array([p[1] for p in ps])) for ps in postings]
+        self.block = max(block, -(-len(units) // 64))
+        blocks = -(-len(units) // self.block)
+        self.block_need = np.array([self.need[i * self.block : (i + 1) * self.block].min() for i in range(blocks)])
+        # block maxima by term, and postings by (block, term); the last row is for words of no unit
+        self.most = np.zeros((len(vocabulary) + 1, max(1, blocks)), np.float32)
+        postings = sorted((j // self.block * len(self.most) + self.term[w], j, x) for j, g in enumerate(gain) for w, x in g.items())
+        for key, _, x in postings:
+            t, k = key % len(self.most), key // len(self.most)
+            self.most[t, k] = max(self.most[t, k], x)
+        self.keys, self.begin = np.unique(np.array([p[0] for p in postings], np.int64), return_index=True)
+        self.begin = np.append(self.begin, len(postings))
+        self.unit = np.array([p[1] for p in postings], np.int64)
+        self.gain = np.array([p[2] for p in postings])
 
     def _units(self, item: int, text: str | None, unit_words: int, least: int) -> list[Unit]:
         text = (text or "").lower()
@@ -84,47 +87,87 @@ class Index:
         n = min(self.shingle, len(words))
         return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
-    def leaks(self, text: str | None, overlap: float) -> list[tuple[int, float, float, float]]:
-        """(item, score, question overlap, answer overlap) of the items that leak into a text, the best passage of each."""
-        words = WORD.findall((text or "").lower())
-        if not words or not self.units:
+    def retrieve(self, texts: list[list[str]]) -> list[tuple[int, int, int, int, float]]:
+        """(text, passage's first word, end, unit, score) of all units that reach their threshold."""
+        sizes = np.array([len(w) for w in texts], np.int64)
+        if not self.units or not sizes.sum():
             return []
-        none = len(self.term)
-        ids = np.fromiter(map(self.term.get, words, [none] * len(words)), np.int64, len(words))
-        width, stride = 2 * self.longest, self.longest
-        starts = np.arange(0, max(1, len(words) - stride), stride)
-        stops = np.minimum(starts + width, len(words))
-        sums = np.vstack([np.zeros((1, self.most.shape[1])), np.cumsum(self.most[ids], axis=0, dtype=np.float64)])
-        # repeated words count more than once here, so this is a bound still
-        window, block = np.nonzero(sums[stops] - sums[starts] >= self.block_need - 1e-6)
-        found: dict[int, tuple[float, float, float]] = {}
-        for w in np.unique(window):
-            terms = np.unique(ids[starts[w] : stops[w]])
-            terms = terms[terms < none]
-            bounds = self.most[terms].sum(axis=0, dtype=np.float64)
-            for k in block[window == w]:
-                if bounds[k] < self.block_need[k] - 1e-6:
-                    continue
-                lo, hi = k * self.block, min(len(self.units), (k + 1) * self.block)
-                scores = np.zeros(hi - lo)
-                for t in terms[self.most[terms, k] > 0]:
-                    at, x = self.postings[t]
-                    a, b = np.searchsorted(at, (lo, hi))
-                    scores[at[a:b] - lo] += x[a:b]
-                for j in np.flatnonzero(scores >= self.need[lo:hi] - 1e-9):
-                    unit = self.units[lo + j]
-                    passage = words[starts[w] : stops[w]]
-                    parts = []
-                    for wanted in (unit.question, unit.answer):
-                        n = len(next(iter(wanted), ()))
-                        seen = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)} if n else set()
-                        parts.append(len(wanted & seen) / len(wanted) if wanted else 1.0)
-                    if min(parts) >= overlap:
-                        found[unit.item] = max(found.get(unit.item, (0.0, 0.0, 0.0)), (float(scores[j]), *parts))
-        return [(item, *found[item]) for item in sorted(found)]
-
-
-def indexes(benchmark: DataFrame, max_items: int, share: float = 0.6, shingle: int = 5, unit_words: int = 96, least_words: int = 8) -> list[Index]:
+        none, half = len(self.term), self.longest
+        ids = np.fromiter(map(self.term.get, chain.from_iterable(texts), repeat(none)), np.int64, int(sizes.sum()))
+        halves = -(-sizes // half)
+        first_half, first_word = np.cumsum(halves) - halves, np.cumsum(sizes) - sizes
+        text = np.repeat(np.arange(len(texts)), sizes)
+        of = first_half[text] + (np.arange(len(ids)) - first_word[text]) // half
+        known = ids < none
+        pairs = np.unique(of[known] * (none + 1) + ids[known])
+        at, term = pairs // (none + 1), pairs % (none + 1)
+        begin = np.searchsorted(at, np.arange(int(halves.sum()) + 1))
+        bounds = np.zeros((int(halves.sum()) + 1, self.most.shape[1]), np.float32)
+        full = np.flatnonzero(np.diff(begin))
+        if len(full):
+            bounds[full] = np.add.reduceat(self.most[term], begin[full], axis=0)
+        last = np.zeros(len(bounds), bool)
+        last[first_half + halves - 1] = True
+        alone = np.zeros(len(bounds), bool)
+        alone[first_half[halves == 1]] = True
+        # passages are a half with the next; a text's last half has none, unless it is the only one
+        both = bounds.copy()
+        both[:-1][~last[:-1]] += bounds[1:][~last[:-1]]
+        both[last & ~alone] = 0
+        start = np.flatnonzero((both >= self.block_need - 1e-3).any(axis=1))
+        if not len(start):
+            return []
+        # the terms of what is left, each once
+        stop = begin[np.minimum(np.where(last[start], start + 1, start + 2), len(begin) - 1)]
+        n = stop - begin[start]
+        own = np.repeat(np.arange(len(start)), n)
+        span = np.repeat(begin[start] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        pairs = np.unique(own * (none + 1) + term[span])
+        own, term = pairs // (none + 1), pairs % (none + 1)
+        begin = np.searchsorted(own, np.arange(len(start) + 1))
+        bounds = np.add.reduceat(self.most[term], begin[:-1], axis=0)
+        passage, block = np.nonzero(bounds >= self.block_need - 1e-3)
+        if not len(passage):
+            return []
+        n = begin[passage + 1] - begin[passage]
+        job = np.repeat(np.arange(len(passage)), n)
+        span = np.repeat(begin[passage] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        key = block[job] * len(self.most) + term[span]
+        where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[where] == key
+        job, where = job[hit], where[hit]
+        n = self.begin[where + 1] - self.begin[where]
+        span = np.repeat(self.begin[where] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        slot = np.repeat(job, n) * self.block + self.unit[span] % self.block
+        scores = np.bincount(slot, weights=self.gain[span], minlength=len(passage) * self.block).reshape(-1, self.block)
+        padded = np.full(self.most.shape[1] * self.block, np.inf)
+        padded[: len(self.need)] = self.need
+        j, k = np.nonzero(scores >= padded.reshape(-1, self.block)[block] - 1e-9)
+        found = start[passage[j]]
+        of_text = np.searchsorted(first_half + halves, found, side="right")
+        word = (found - first_half[of_text]) * half
+        return list(zip(of_text.tolist(), word.tolist(), (word + 2 * half).tolist(), (block[j] * self.block + k).tolist(), scores[j, k].tolist(), strict=True))
+
+    def leaks(self, texts: list[str | None], overlap: float) -> list[list[tuple[int, float, float, float]]]:
+        """For each text (item, score, question overlap, answer overlap) of the items that leak into it, from the best passage of each."""
+        words = [WORD.findall((t or "").lower()) for t in texts]
+        found: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
+        for text, a, b, j, score in self.retrieve(words):
+            unit, passage, parts = self.units[j], words[text][a:b], []
+            for wanted in (unit.question, unit.answer):
+                n = len(next(iter(wanted), ()))
+                seen = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)} if n else set()
+                parts.append(len(wanted & seen) / len(wanted) if wanted else 1.0)
+            if min(parts) >= overlap:
+                found[text][unit.item] = max(found[text].get(unit.item, (0.0, 0.0, 0.0)), (score, *parts))
+        return [[(item, *f[item]) for item in sorted(f)] for f in found]
+
+    def leaks_in(self, column: pa.Array, overlap: float, at_once: int = 256) -> Iterator[list]:
+        for i in range(0, len(column), at_once):
+            yield from self.leaks(column.slice(i, at_once).to_pylist(), overlap)
+
+
+def indexes(benchmark: DataFrame, max_items: int, share: float = 0.7, shingle: int = 5, unit_words: int = 96, least_words: int = 8) -> list[Index]:
     """An index for each shard of at most max_items items."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     shards = max(1, math.ceil(items.count() / max_items))
@@ -142,7 +185,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, max_
     def search(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(key, *leak) for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for leak in index.value.leaks(text, overlap)]
+                rows = [(key, *leak) for key, leaks in zip(batch.column("doc_id").to_pylist(), index.value.leaks_in(batch.column("text"), overlap), strict=True) for leak in leaks]
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -164,7 +207,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, max_
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not sent.value.leaks(t, overlap) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not leaks for leaks in sent.value.leaks_in(batch.column(at), overlap)], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out
