@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import half_up, number, present, split_top, trimmed
+from tessera.functions.text import half_up, let, number, split_top, trimmed
 
 COLOR = "struct<r:double,g:double,b:double,a:double>"
 UNIT_VALUE = "struct<unit:string,value:double>"
@@ -40,11 +40,15 @@ def without_important(value: Column) -> Column:
 
 
 def pixels(value: Column, root_font_size: Column | float = 16.0, viewport_width: Column | float | None = None, viewport_height: Column | float | None = None) -> Column:
-    t = trimmed(value)
     pattern = r"(?i)^(-?\d+(?:\.\d+)?)(px|rem|vw|vh)?$"
-    n, unit = F.regexp_extract(t, pattern, 1).try_cast("double"), F.lower(F.regexp_extract(t, pattern, 2))
     column = lambda x: F.lit(None).cast("double") if x is None else x if isinstance(x, Column) else F.lit(float(x))
-    return F.when(~t.rlike(pattern), None).when(unit == "rem", n * column(root_font_size)).when(unit == "vw", n * column(viewport_width) / 100).when(unit == "vh", n * column(viewport_height) / 100).otherwise(n)
+
+    def read(t: Column) -> Column:
+        n, unit = F.regexp_extract(t, pattern, 1).try_cast("double"), F.lower(F.regexp_extract(t, pattern, 2))
+        scale = F.when(unit == "rem", column(root_font_size)).when(unit == "vw", column(viewport_width) / 100).when(unit == "vh", column(viewport_height) / 100).otherwise(1.0)
+        return F.when(t.rlike(pattern), n * scale)
+
+    return let(trimmed(value), read)
 
 
 def _clamped(c: Column) -> Column:
@@ -57,26 +61,26 @@ def _hex(c: Column, nan_ok: bool = True) -> Column:
 
 
 def color(value: Column) -> Column:
-    v = lowered(value)
-    digits = F.substring(v, 2, 1 << 20)
-    short = [F.repeat(F.substring(digits, i, 1), 2) for i in (1, 2, 3, 4)]
-    long = [F.substring(digits, i, 2) for i in (1, 3, 5, 7)]
-    make = lambda r, g, b, a: F.struct(r.alias("r"), g.alias("g"), b.alias("b"), a.alias("a"))
-    n = F.length(digits)
-    of_hex = F.when(n.isin(3, 4), make(*(_hex(x) / 255 for x in short[:3]), F.when(n == 4, _hex(short[3]) / 255).otherwise(1.0)))
-    bad = F.isnan(_hex(long[0])) | F.isnan(_hex(long[1])) | F.isnan(_hex(long[2]))
-    of_hex = of_hex.when(n.isin(6, 8) & ~bad, make(*(_hex(x) / 255 for x in long[:3]), F.when(n == 8, _hex(long[3]) / 255).otherwise(1.0)))
-    parts = F.filter(F.split(F.regexp_extract(v, r"^rgba?\(\s*([^)]+)\s*\)$", 1), r"[\s,/]+"), lambda p: p != "")
-    percent = lambda p: number(F.regexp_replace(p, "%$", "")) / 100
-    channel = lambda i: _clamped(F.when(F.get(parts, i).endswith("%"), percent(F.get(parts, i))).otherwise(number(F.get(parts, i)) / 255))
-    # least and greatest pass over nulls: what can't be read has to stay null
-    known = lambda i: F.when(F.when(F.get(parts, i).endswith("%"), percent(F.get(parts, i))).otherwise(number(F.get(parts, i))).isNotNull(), channel(i))
-    a = F.when(F.size(parts) < 4, F.lit(1.0)).when(F.get(parts, 3).endswith("%"), F.when(percent(F.get(parts, 3)).isNotNull(), _clamped(percent(F.get(parts, 3))))).otherwise(F.when(number(F.get(parts, 3)).isNotNull(), _clamped(number(F.get(parts, 3)))))
-    of_rgb = F.when((F.size(parts) >= 3) & known(0).isNotNull() & known(1).isNotNull() & known(2).isNotNull() & a.isNotNull(), make(known(0), known(1), known(2), a))
-    out = F.when(v == "transparent", make(*[F.lit(0.0)] * 4)).when(v.startswith("#"), of_hex).when(v.rlike(r"^rgba?\("), of_rgb)
-    for name, rgb in NAMED_COLORS.items():
-        out = out.when(v == name, make(*(F.lit(x / 255) for x in rgb), F.lit(1.0)))
-    return out.cast(COLOR)
+    make = lambda r, g, b, a: F.struct(r.alias("r"), g.alias("g"), b.alias("b"), a.alias("a")).cast(COLOR)
+
+    def of_hex(digits: Column) -> Column:
+        n = F.length(digits)
+        pairs = F.when(n.isin(3, 4), F.transform(F.filter(F.split(digits, "(?!^)"), lambda d: d != ""), lambda d: F.repeat(d, 2))).when(n.isin(6, 8), F.regexp_extract_all(digits, F.lit("(?s).."), F.lit(0)))
+        # the short form keeps what can't be read as not-a-number, the long form is refused
+        build = lambda x: F.when(n.isin(3, 4) | ~F.exists(F.slice(x, 1, 3), F.isnan), make(F.get(x, 0), F.get(x, 1), F.get(x, 2), F.coalesce(F.get(x, 3), F.lit(1.0))))
+        return let(F.transform(pairs, lambda p: _hex(p) / 255), build)
+
+    def of_rgb(v: Column) -> Column:
+        parts = F.filter(F.split(F.regexp_extract(v, r"^rgba?\(\s*([^)]+)\s*\)$", 1), r"[\s,/]+"), lambda p: p != "")
+        share = lambda p, i: F.when(p.endswith("%"), number(F.regexp_replace(p, "%$", "")) / 100).otherwise(number(p) / F.when(i < 3, 255).otherwise(1))
+        read = F.transform(F.transform(parts, share), lambda x: F.when(x.isNotNull(), _clamped(x)))
+        return let(read, lambda x: F.when((F.size(x) >= 3) & ~F.exists(F.slice(x, 1, 4), lambda c: c.isNull()), make(F.get(x, 0), F.get(x, 1), F.get(x, 2), F.coalesce(F.get(x, 3), F.lit(1.0)))))
+
+    def read(v: Column) -> Column:
+        named = F.create_map(*[x for name, rgb in NAMED_COLORS.items() for x in (F.lit(name), make(*(F.lit(c / 255) for c in rgb), F.lit(1.0)))])
+        return F.when(v == "transparent", make(*[F.lit(0.0)] * 4)).when(v.startswith("#"), of_hex(F.substring(v, 2, 1 << 20))).when(v.rlike(r"^rgba?\("), of_rgb(v)).otherwise(named[v])
+
+    return let(lowered(value), read)
 
 
 def color_key(c: Column) -> Column:
@@ -94,13 +98,13 @@ def alpha_hex(c: Column) -> Column:
 
 
 def font_style(weight: Column, italic: Column) -> Column:
-    w = lowered(F.coalesce(weight, F.lit("")))
-    n = number(w)
-    base = F.when(w == "", "Regular").when(w == "bold", "Bold").when(w == "normal", "Regular").when(n.isNull(), "Regular")
-    for most, name in WEIGHTS:
-        base = base.when(n <= most, name)
-    base = base.otherwise("Black")
-    return F.when(~italic, base).when(base == "Regular", "Italic").otherwise(F.concat(base, F.lit(" Italic")))
+    def of(w: Column) -> Column:
+        out = F.when(w.isin("", "normal"), "Regular").when(w == "bold", "Bold").when(number(w).isNull(), "Regular")
+        for most, name in WEIGHTS:
+            out = out.when(number(w) <= most, name)
+        return out.otherwise("Black")
+
+    return let(let(lowered(F.coalesce(weight, F.lit(""))), of), lambda base: F.when(~italic, base).when(base == "Regular", "Italic").otherwise(F.concat(base, F.lit(" Italic"))))
 
 
 def font_family(value: Column) -> Column:
@@ -112,28 +116,24 @@ def _unit(unit: str, value: Column) -> Column:
     return F.struct(F.lit(unit).alias("unit"), value.alias("value"))
 
 
+def _without(v: Column, n: int) -> Column:
+    return number(F.substring(v, F.lit(1), F.length(v) - n))
+
+
+def _positive(unit: str, n: Column) -> Column:
+    return let(n, lambda x: F.when(x > 0, _unit(unit, x)))
+
+
 def line_height(value: Column) -> Column:
-    v = F.when(trimmed(value) != "", lowered(value))
-    cut = lambda n: number(F.substring(v, F.lit(1), F.length(v) - n))
-    return (
-        F.when(v == "normal", _unit("AUTO", F.lit(None).cast("double")))
-        .when(v.endswith("%"), F.when(cut(1) > 0, _unit("PERCENT", cut(1))))
-        .when(v.endswith("px"), F.when(cut(2) > 0, _unit("PIXELS", cut(2))))
-        .when(number(v) > 0, _unit("PERCENT", number(v) * 100))
-        .cast(UNIT_VALUE)
-    )
+    auto = _unit("AUTO", F.lit(None).cast("double"))
+    read = lambda v: F.when(v == "", None).when(v == "normal", auto).when(v.endswith("%"), _positive("PERCENT", _without(v, 1))).when(v.endswith("px"), _positive("PIXELS", _without(v, 2))).otherwise(_positive("PERCENT", number(v) * 100))
+    return let(lowered(value), read).cast(UNIT_VALUE)
 
 
 def letter_spacing(value: Column) -> Column:
-    v = F.when(trimmed(value) != "", lowered(value))
-    cut = lambda n: number(F.substring(v, F.lit(1), F.length(v) - n))
-    return (
-        F.when(v == "normal", _unit("PIXELS", F.lit(0.0)))
-        .when(v.endswith("%"), F.when(cut(1).isNotNull(), _unit("PERCENT", cut(1))))
-        .when(v.endswith("em"), F.when(cut(2).isNotNull(), _unit("PERCENT", cut(2) * 100)))
-        .when(pixels(v).isNotNull(), _unit("PIXELS", pixels(v)))
-        .cast(UNIT_VALUE)
-    )
+    given = lambda unit, n: let(n, lambda x: F.when(x.isNotNull(), _unit(unit, x)))
+    read = lambda v: F.when(v == "", None).when(v == "normal", _unit("PIXELS", F.lit(0.0))).when(v.endswith("%"), given("PERCENT", _without(v, 1))).when(v.endswith("em"), given("PERCENT", _without(v, 2) * 100)).otherwise(given("PIXELS", pixels(v)))
+    return let(lowered(value), read).cast(UNIT_VALUE)
 
 
 def _degrees(n: Column, unit: Column) -> Column:
@@ -146,11 +146,12 @@ def rotation(transform: Column) -> Column:
 
 
 def aspect_ratio(value: Column) -> Column:
-    v = F.when(~lowered(value).isin("", "auto"), lowered(value))
-    over = F.instr(v, "/")
-    a, b = number(F.substring(v, F.lit(1), over - 1)), number(F.substring(v, over + 1, F.length(v)))
-    ratio = F.when(over == 0, number(v)).when(b != 0, a / b)
-    return F.when(ratio > 0, ratio)
+    def read(v: Column) -> Column:
+        over = F.instr(v, "/")
+        ratio = F.when(over == 0, number(v)).otherwise(let(number(F.substring(v, over + 1, F.length(v))), lambda b: F.when(b != 0, number(F.substring(v, F.lit(1), over - 1)) / b)))
+        return F.when(~v.isin("", "auto"), let(ratio, lambda r: F.when(r > 0, r)))
+
+    return let(lowered(value), read)
 
 
 def _keyword(value: Column, names: dict[str, str]) -> Column:
@@ -220,31 +221,42 @@ STOP = "struct<color:struct<r:double,g:double,b:double,a:double>,position:double
 
 def gradient_angle(token: Column) -> Column:
     """Degrees of a gradient's first argument, null if it is none."""
-    t = F.when(trimmed(token) != "", lowered(token))
     pattern = r"^(-?\d+(?:\.\d+)?)(deg|turn|rad|grad)?$"
-    sides = F.split(F.substring(t, 4, 1 << 20), r"\s+")
-    has = lambda s: F.array_contains(sides, s)
-    named = F.when(has("top") & has("right"), 45.0).when(has("bottom") & has("right"), 135.0).when(has("bottom") & has("left"), 225.0).when(has("top") & has("left"), 315.0).when(has("top"), 0.0).when(has("right"), 90.0).when(has("bottom"), 180.0).when(has("left"), 270.0)
-    return F.when(t.rlike(pattern), _degrees(F.regexp_extract(t, pattern, 1).try_cast("double"), F.regexp_extract(t, pattern, 2))).when(t.startswith("to "), named)
+
+    def named(sides: Column) -> Column:
+        has = lambda *s: F.size(F.array_intersect(sides, F.array(*map(F.lit, s)))) == len(s)
+        out = F.when(F.lit(False), F.lit(None).cast("double"))
+        for angle, at in ((45, ("top", "right")), (135, ("bottom", "right")), (225, ("bottom", "left")), (315, ("top", "left")), (0, ("top",)), (90, ("right",)), (180, ("bottom",)), (270, ("left",))):
+            out = out.when(has(*at), float(angle))
+        return out
+
+    return let(lowered(token), lambda t: F.when(t.rlike(pattern), _degrees(F.regexp_extract(t, pattern, 1).try_cast("double"), F.regexp_extract(t, pattern, 2))).when(t.startswith("to "), let(F.split(F.substring(t, 4, 1 << 20), r"\s+"), named)))
 
 
 def gradient_stop(part: Column) -> Column:
-    t = trimmed(part)
-    tokens = split_top(t, " ")
-    last = F.lower(F.element_at(tokens, -1))
-    n = number(F.regexp_replace(last, "(%|px)$", ""))
-    position = F.when(F.size(tokens) > 1, F.when(last.endswith("%") & n.isNotNull(), _clamped(n / 100)).when(last.endswith("px") & n.isNotNull(), F.greatest(F.lit(0.0), n)))
-    head = color(F.array_join(F.slice(tokens, 1, F.greatest(F.lit(0), F.size(tokens) - 1)), " "))
-    make = lambda c, p: F.struct(c.alias("color"), p.alias("position"))
-    return F.when(position.isNotNull() & head.isNotNull(), make(head, position)).when(color(t).isNotNull(), make(color(t), F.lit(None).cast("double"))).cast(STOP)
+    make = lambda c, p: F.struct(c.alias("color"), p.alias("position")).cast(STOP)
+
+    def read(tokens: Column) -> Column:
+        last = F.lower(F.element_at(tokens, -1))
+        n = number(F.regexp_replace(last, "(%|px)$", ""))
+        position = F.when(F.size(tokens) > 1, F.when(last.endswith("%"), let(n, lambda x: F.when(x.isNotNull(), _clamped(x / 100)))).when(last.endswith("px"), let(n, lambda x: F.when(x.isNotNull(), F.greatest(F.lit(0.0), x)))))
+        # a colour with a position behind it, else all of it a colour
+        with_position = let(position, lambda p: F.when(p.isNotNull(), let(color(F.array_join(F.slice(tokens, 1, F.greatest(F.lit(0), F.size(tokens) - 1)), " ")), lambda c: F.when(c.isNotNull(), make(c, p)))))
+        whole = let(color(F.array_join(tokens, " ")), lambda c: F.when(c.isNotNull(), make(c, F.lit(None).cast("double"))))
+        return F.when(F.size(tokens) > 0, F.coalesce(with_position, whole))
+
+    return let(split_top(trimmed(part), " "), read)
 
 
 def gradient_stops(parts: Column) -> Column:
     """Stops that can be read, with positions filled in by rank; null if fewer than two."""
-    read = F.filter(F.transform(parts, gradient_stop), lambda s: s.isNotNull())
-    n = F.size(read)
-    filled = F.transform(read, lambda s, i: F.struct(s["color"].alias("color"), _clamped(F.coalesce(s["position"], F.when(i == 0, 0.0).when(i == n - 1, 1.0).otherwise(i / (n - 1)))).alias("position")))
-    return F.when(n >= 2, filled)
+
+    def fill(read: Column) -> Column:
+        n = F.size(read)
+        spread = lambda i: F.when(i == 0, 0.0).when(i == n - 1, 1.0).otherwise(i / (n - 1))
+        return F.when(n >= 2, F.transform(read, lambda s, i: F.struct(s["color"].alias("color"), _clamped(F.coalesce(s["position"], spread(i))).alias("position"))))
+
+    return let(F.filter(F.transform(parts, gradient_stop), lambda s: s.isNotNull()), fill)
 
 
 def linear_matrix(angle: Column) -> Column:
@@ -254,16 +266,23 @@ def linear_matrix(angle: Column) -> Column:
 
 def gradient(value: Column) -> Column:
     """type, angle (linear), matrix, stops of a value that is one gradient; null else."""
-    v = trimmed(value)
-    linear = split_top(F.regexp_extract(v, LINEAR, 1), ",")
-    angle = gradient_angle(F.get(linear, 0))
-    stops = gradient_stops(F.when(angle.isNotNull(), F.slice(linear, 2, F.greatest(F.lit(1), F.size(linear)))).otherwise(linear))
-    radial = split_top(F.regexp_extract(v, RADIAL, 1), ",")
-    radial_stops = gradient_stops(F.when(gradient_stop(F.get(radial, 0)).isNotNull(), radial).otherwise(F.slice(radial, 2, F.greatest(F.lit(1), F.size(radial)))))
-    turned = F.coalesce(angle, F.lit(180.0))
     make = lambda kind, a, m, s: F.struct(F.lit(kind).alias("type"), a.alias("angle"), m.alias("matrix"), s.alias("stops"))
     fixed = F.array(F.array(*map(F.lit, (0.5, 0.0, 0.5))), F.array(*map(F.lit, (0.0, 0.5, 0.5))))
-    return F.when(v.rlike(LINEAR) & (F.size(linear) >= 2) & stops.isNotNull(), make("GRADIENT_LINEAR", turned, linear_matrix(turned), stops)).when(v.rlike(RADIAL) & (F.size(radial) >= 2) & radial_stops.isNotNull(), make("GRADIENT_RADIAL", F.lit(None).cast("double"), fixed, radial_stops))
+    rest = lambda parts: F.slice(parts, 2, F.greatest(F.lit(1), F.size(parts)))
+
+    def linear(parts: Column) -> Column:
+        def of(angle: Column) -> Column:
+            turned = F.coalesce(angle, F.lit(180.0))
+            return let(gradient_stops(F.when(angle.isNotNull(), rest(parts)).otherwise(parts)), lambda s: F.when(s.isNotNull(), make("GRADIENT_LINEAR", turned, linear_matrix(turned), s)))
+
+        return F.when(F.size(parts) >= 2, let(gradient_angle(F.get(parts, 0)), of))
+
+    def radial(parts: Column) -> Column:
+        stops = gradient_stops(F.when(gradient_stop(F.get(parts, 0)).isNotNull(), parts).otherwise(rest(parts)))
+        return F.when(F.size(parts) >= 2, let(stops, lambda s: F.when(s.isNotNull(), make("GRADIENT_RADIAL", F.lit(None).cast("double"), fixed, s))))
+
+    inner = lambda v, p: split_top(F.regexp_extract(v, p, 1), ",")
+    return let(trimmed(value), lambda v: F.when(v.rlike(LINEAR), let(inner(v, LINEAR), linear)).when(v.rlike(RADIAL), let(inner(v, RADIAL), radial)))
 
 
 WIDTH = r"(?i)^(thin|medium|thick|0|-?\d+(?:\.\d+)?(px|em|rem|%)?)$"
@@ -271,11 +290,17 @@ WIDTH = r"(?i)^(thin|medium|thick|0|-?\d+(?:\.\d+)?(px|em|rem|%)?)$"
 
 def border(value: Column) -> Column:
     """width, style, color of a border shorthand in any order; only what is there."""
-    tokens = split_top(trimmed(value), " ")
-    at_width = F.array_position(F.transform(tokens, lambda t: t.rlike(WIDTH)), True)
-    at_style = F.array_position(F.transform(tokens, lambda t: F.lower(t).isin(BORDER_STYLES)), True)
-    rest = F.filter(F.transform(tokens, lambda t, i: F.when((i + 1 != at_width) & (i + 1 != at_style), t)), lambda t: t.isNotNull())
-    return F.struct(F.when(at_width > 0, F.get(tokens, (at_width - 1).cast("int"))).alias("width"), F.when(at_style > 0, F.lower(F.get(tokens, (at_style - 1).cast("int")))).alias("style"), F.when(F.size(rest) > 0, F.array_join(rest, " ")).alias("color"))
+
+    def of(tokens: Column) -> Column:
+        at = F.struct(F.array_position(F.transform(tokens, lambda t: t.rlike(WIDTH)), True).cast("int").alias("w"), F.array_position(F.transform(tokens, lambda t: F.lower(t).isin(BORDER_STYLES)), True).cast("int").alias("s"))
+
+        def deal(p: Column) -> Column:
+            rest = F.filter(tokens, lambda t, i: (i + 1 != p["w"]) & (i + 1 != p["s"]))
+            return F.struct(F.when(p["w"] > 0, F.get(tokens, p["w"] - 1)).alias("width"), F.when(p["s"] > 0, F.lower(F.get(tokens, p["s"] - 1))).alias("style"), let(F.array_join(rest, " "), lambda c: F.when(c != "", c)).alias("color"))
+
+        return let(at, deal)
+
+    return let(split_top(trimmed(value), " "), of)
 
 
 SHADOW = "struct<inset:boolean,x:double,y:double,blur:double,spread:double,color:string>"
@@ -290,16 +315,20 @@ def box_shadows(value: Column) -> Column:
     """The shadows of a list that have two lengths at least, in order."""
 
     def one(part: Column) -> Column:
-        tokens = split_top(trimmed(part), " ")
-        inset = F.exists(tokens, lambda t: F.lower(t) == "inset")
-        rest = F.filter(tokens, lambda t: F.lower(t) != "inset")
-        lengths = F.aggregate(rest, F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, t: F.struct((s["on"] & length(t).isNotNull()).alias("on"), (s["n"] + (s["on"] & length(t).isNotNull()).cast("int")).alias("n")))["n"]
-        nth = lambda i: F.coalesce(F.when(lengths > i, length(F.get(rest, i))), F.lit(0.0))
-        tail = trimmed(F.array_join(F.slice(rest, lengths + 1, F.greatest(F.lit(0), F.size(rest) - lengths)), " "))
-        return F.when(lengths >= 2, F.struct(inset.alias("inset"), nth(0).alias("x"), nth(1).alias("y"), nth(2).alias("blur"), nth(3).alias("spread"), F.when(tail == "", "rgba(0,0,0,1)").otherwise(tail).alias("color")))
+        return let(split_top(trimmed(part), " "), lambda tokens: let(F.filter(tokens, lambda t: F.lower(t) != "inset"), lambda rest: measured(rest, F.size(rest) < F.size(tokens))))
+
+    def measured(rest: Column, inset: Column) -> Column:
+        lengths = F.transform(rest, length)
+        # lengths are read up to the first token that is none; the rest is the colour
+        lead = F.coalesce(F.array_position(F.transform(lengths, lambda x: x.isNull()), True).cast("int"), F.lit(0))
+        return let(F.struct(lengths.alias("x"), F.when(lead == 0, F.size(rest)).otherwise(lead - 1).alias("n")), lambda m: made(rest, inset, m))
 
-    read = F.filter(F.transform(split_top(trimmed(value), ","), one), lambda s: s.isNotNull())
-    return F.when(F.size(read) > 0, read)
+    def made(rest: Column, inset: Column, m: Column) -> Column:
+        nth = lambda i: F.coalesce(F.when(m["n"] > i, F.get(m["x"], i)), F.lit(0.0))
+        tail = trimmed(F.array_join(F.slice(rest, m["n"] + 1, F.greatest(F.lit(0), F.size(rest) - m["n"])), " "))
+        return F.when(m["n"] >= 2, F.struct(inset.alias("inset"), nth(0).alias("x"), nth(1).alias("y"), nth(2).alias("blur"), nth(3).alias("spread"), let(tail, lambda t: F.when(t == "", "rgba(0,0,0,1)").otherwise(t)).alias("color")))
+
+    return let(F.filter(F.transform(split_top(trimmed(value), ","), one), lambda s: s.isNotNull()), lambda found: F.when(F.size(found) > 0, found))
 
 
 def blur(value: Column) -> Column:
@@ -309,8 +338,7 @@ def blur(value: Column) -> Column:
 
 def place(value: Column) -> Column:
     """align, justify of a place-* shorthand."""
-    parts = split_top(trimmed(value), " ")
-    return F.when(F.size(parts) > 0, F.struct(F.get(parts, 0).alias("align"), F.coalesce(F.get(parts, 1), F.get(parts, 0)).alias("justify")))
+    return let(split_top(trimmed(value), " "), lambda p: F.when(F.size(p) > 0, F.struct(F.get(p, 0).alias("align"), F.coalesce(F.get(p, 1), F.get(p, 0)).alias("justify"))))
 
 
 def specificity(selector: Column) -> Column:
@@ -343,9 +371,9 @@ def single_line(height: Column, font_size: Column) -> Column:
 
 def edges(value: Column, context: dict | None = None) -> Column:
     """top, right, bottom, left of one to four lengths; what can't be read is left out before they are dealt."""
-    n = F.filter(F.transform(split_top(trimmed(value), " "), lambda t: pixels(t, **(context or {}))), lambda x: x.isNotNull())
-    pick = lambda *at: F.when(F.size(n) == 1, F.get(n, at[0])).when(F.size(n) == 2, F.get(n, at[1])).when(F.size(n) == 3, F.get(n, at[2])).when(F.size(n) >= 4, F.get(n, at[3]))
-    return F.struct(pick(0, 0, 0, 0).alias("top"), pick(0, 1, 1, 1).alias("right"), pick(0, 0, 2, 2).alias("bottom"), pick(0, 1, 1, 3).alias("left"))
+    read = F.filter(F.transform(split_top(trimmed(value), " "), lambda t: pixels(t, **(context or {}))), lambda x: x.isNotNull())
+    pick = lambda n, *at: F.coalesce(*(F.get(n, i) for i in at))
+    return let(read, lambda n: F.when(F.size(n) > 0, F.struct(pick(n, 0).alias("top"), pick(n, 1, 0).alias("right"), pick(n, 2, 0).alias("bottom"), pick(n, 3, 1, 0).alias("left"))))
 
 
 def has_key(style: Column, *names: str) -> Column:
@@ -369,11 +397,9 @@ def box_styling(style: Column) -> Column:
 
 def stroke(style: Column, **context) -> Column:
     """color, weight of the first side that is drawn."""
-    out = []
-    for s in SIDES:
-        w, kind, c = pixels(style[f"border-{s}-width"], **context), lowered(style[f"border-{s}-style"]), color(style[f"border-{s}-color"])
-        out.append(F.when((w > 0) & ~F.coalesce(kind.isin("none", "hidden"), F.lit(False)) & c.isNotNull(), F.struct(c.alias("color"), w.alias("weight"))))
-    return F.coalesce(*out)
+    sides = F.array(*(F.struct(pixels(style[f"border-{s}-width"], **context).alias("w"), lowered(style[f"border-{s}-style"]).alias("k"), color(style[f"border-{s}-color"]).alias("c")) for s in SIDES))
+    drawn = F.filter(sides, lambda s: (s["w"] > 0) & ~F.coalesce(s["k"].isin("none", "hidden"), F.lit(False)) & s["c"].isNotNull())
+    return let(F.get(drawn, 0), lambda s: F.when(s.isNotNull(), F.struct(s["c"].alias("color"), s["w"].alias("weight"))))
 
 
 EFFECT = "struct<type:string,color:struct<r:double,g:double,b:double,a:double>,x:double,y:double,radius:double,spread:double>"
@@ -384,10 +410,7 @@ def effects(style: Column) -> Column:
     none = F.lit(None)
     shadows = F.from_json(style["__parsed-box-shadow"], f"array<{SHADOW}>")
     shadows = F.coalesce(shadows, box_shadows(style["box-shadow"]), F.array().cast(f"array<{SHADOW}>"))
-    drawn = F.transform(
-        F.filter(shadows, lambda s: color(s["color"]).isNotNull()),
-        lambda s: F.struct(F.when(s["inset"], "INNER_SHADOW").otherwise("DROP_SHADOW").alias("type"), color(s["color"]).alias("color"), s["x"].alias("x"), s["y"].alias("y"), s["blur"].alias("radius"), s["spread"].alias("spread")),
-    )
+    drawn = F.filter(F.transform(shadows, lambda s: F.struct(F.when(s["inset"], "INNER_SHADOW").otherwise("DROP_SHADOW").alias("type"), color(s["color"]).alias("color"), s["x"].alias("x"), s["y"].alias("y"), s["blur"].alias("radius"), s["spread"].alias("spread"))), lambda e: e["color"].isNotNull())
     out = drawn.cast(f"array<{EFFECT}>")
     for kind, stashed, raw in (("LAYER_BLUR", "__parsed-filter-blur", "filter"), ("BACKGROUND_BLUR", "__parsed-backdrop-filter-blur", "backdrop-filter")):
         r = F.coalesce(number(style[stashed]), blur(style[raw]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,20 +12,23 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 ARGUMENTS = r"\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\)|\([\s\S]*+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with the value computed once, however often it is named there: expressions stay small."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def present(c: Column) -> Column:
     """The trimmed text, null if nothing is left of it."""
-    t = trimmed(c)
-    return F.when(t != "", t)
+    return let(trimmed(c), lambda t: F.when(t != "", t))
 
 
 def number(c: Column) -> Column:
     """A decimal number as scripts read it: blanks around it don't matter, nothing is 0, anything else is null."""
-    t = trimmed(c)
-    return F.when(t == "", 0.0).when(t.rlike(NUMBER), t.try_cast("double"))
+    return let(trimmed(c), lambda t: F.when(t == "", 0.0).when(t.rlike(NUMBER), t.try_cast("double")))
 
 
 def split_top(c: Column, separator: str) -> Column:
@@ -41,7 +46,7 @@ def half_up(c: Column, digits: int = 0) -> Column:
 
 def number_text(c: Column) -> Column:
     """The shortest text of a number, without a fraction if it is whole."""
-    return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+    return let(c, lambda n: F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string")))
 
 
 def title_case(c: Column) -> Column:

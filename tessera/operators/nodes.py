@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import css
-from tessera.functions.text import number, trimmed
+from tessera.functions.text import let, number, trimmed
 from tessera.operators import classify
 
 PAINT = "struct<type:string,color:struct<r:double,g:double,b:double,a:double>,gradient:string>"
@@ -20,11 +20,10 @@ def solid(c: Column) -> Column:
 
 def background_fills(style: Column) -> Column:
     """A gradient of the background, else its colour, else nothing."""
-    g = css.gradient(style["background"])
-    painted = F.struct(g["type"].alias("type"), F.lit(None).cast(css.COLOR).alias("color"), F.to_json(g).alias("gradient")).cast(PAINT)
-    flat = css.color(css.first_value(style, "background-color", "background"))
     none = F.array().cast(f"array<{PAINT}>")
-    return F.when(g.isNotNull(), F.array(painted)).when(flat.isNotNull(), F.array(solid(flat))).otherwise(none)
+    flat = let(css.color(css.first_value(style, "background-color", "background")), lambda c: F.when(c.isNotNull(), F.array(solid(c))).otherwise(none))
+    painted = lambda g: F.array(F.struct(g["type"].alias("type"), F.lit(None).cast(css.COLOR).alias("color"), F.to_json(g).alias("gradient")).cast(PAINT))
+    return F.when(F.coalesce(style["background"].contains("gradient"), F.lit(False)), let(css.gradient(style["background"]), lambda g: F.when(g.isNotNull(), painted(g)).otherwise(flat))).otherwise(flat)
 
 
 def display_of(style: Column) -> Column:
@@ -152,8 +151,8 @@ def ir_nodes(nodes: DataFrame, styles: DataFrame, kinds: DataFrame, boxes: DataF
     frame, text = F.col("ir_type") == "FRAME", F.col("ir_type") == "TEXT"
     characters = F.when(bare, trimmed(F.col("text"))).otherwise(F.col("characters"))
     fills = F.when(frame, background_fills(style)).when(text, F.array(solid(css.text_fill(own)))).otherwise(F.array().cast(f"array<{PAINT}>"))
-    side = css.stroke(style, **context)
-    strokes = F.when(frame & side.isNotNull(), F.array(F.struct(side["color"].alias("color"), side["weight"].alias("weight"), F.lit("INSIDE").alias("align")).cast(STROKE))).otherwise(F.array().cast(f"array<{STROKE}>"))
+    bordered = lambda s: F.when(s.isNotNull(), F.array(F.struct(s["color"].alias("color"), s["weight"].alias("weight"), F.lit("INSIDE").alias("align")).cast(STROKE))).otherwise(F.array().cast(f"array<{STROKE}>"))
+    strokes = F.when(frame, let(css.stroke(style, **context), bordered)).otherwise(F.array().cast(f"array<{STROKE}>"))
     no_effects = F.array().cast(f"array<{css.EFFECT}>")
     radius = css.corner_radius(style["border-radius"], F.coalesce(F.col("geometry.width"), F.lit(0.0)), F.coalesce(F.col("geometry.height"), F.lit(0.0)), **context)
     fallback = F.when(text, F.substring("characters", 1, 32)).when(F.col("tag") == "img", F.col("attrs")["alt"])

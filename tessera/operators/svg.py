@@ -173,10 +173,11 @@ def shapes(nodes: DataFrame, styles: DataFrame) -> DataFrame:
         return F.when(shown != "none", css.color(shown))
 
     weight = F.coalesce(*(F.when(a["stroke-width"].isNotNull(), number(a["stroke-width"])) for a in (F.col("attrs"), F.col("svg_attrs"))), F.lit(1.0))
+    drawn = drawn.withColumn("fill_color", paint("fill")).withColumn("stroke_color", paint("stroke"))
     rows = drawn.select(
         "page_id", "svg_id", "node_id", "raw_path",
-        F.when(paint("fill").isNotNull(), F.array(solid(paint("fill")))).otherwise(F.array().cast(f"array<{PAINT}>")).alias("fills"),
-        F.when(paint("stroke").isNotNull(), F.array(F.struct(paint("stroke").alias("color"), weight.alias("weight"), F.lit("CENTER").alias("align")).cast(STROKE))).otherwise(F.array().cast(f"array<{STROKE}>")).alias("strokes"),
+        F.when(F.col("fill_color").isNotNull(), F.array(solid(F.col("fill_color")))).otherwise(F.array().cast(f"array<{PAINT}>")).alias("fills"),
+        F.when(F.col("stroke_color").isNotNull(), F.array(F.struct(F.col("stroke_color").alias("color"), weight.alias("weight"), F.lit("CENTER").alias("align")).cast(STROKE))).otherwise(F.array().cast(f"array<{STROKE}>")).alias("strokes"),
     )
     from pyspark.sql import Window
 
