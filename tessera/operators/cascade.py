@@ -167,8 +167,10 @@ def computed(nodes: DataFrame, won: DataFrame) -> DataFrame:
     elements = nodes.where("kind = 'element'")
     own = won.groupBy("page_id", "node_id").agg(F.map_from_entries(F.collect_list(F.struct("prop", "value"))).alias("own"), F.max(F.col("value").contains("var(")).alias("refers"))
     up = elements.select("page_id", "node_id", F.explode("path").alias("up"))
-    rows = up.join(own.select("page_id", F.col("node_id").alias("up"), "own", "refers"), ["page_id", "up"])
-    chains = rows.groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("up", F.map_entries("own").alias("own")))).alias("c"), F.max("refers").alias("refers"))
+    # ancestors without declarations add nothing; the element itself ends its chain in any case
+    rows = up.join(own.select("page_id", F.col("node_id").alias("up"), "own", "refers"), ["page_id", "up"], "left").where("own is not null or up = node_id")
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    chains = rows.groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("up", F.coalesce(F.map_entries("own"), none).alias("own")))).alias("c"), F.coalesce(F.max("refers"), F.lit(False)).alias("refers"))
     plain = chains.where("not refers").select("page_id", "node_id", _fold(F.transform("c", lambda x: F.map_from_entries(x["own"]))).alias("style"))
     special = chains.where("refers").select("page_id", "node_id", F.transform("c", lambda x: F.map_from_entries(x["own"])).alias("own")).mapInArrow(_with_variables, "page_id long, node_id int, style map<string,string>")
     styles = plain.unionByName(special).select("page_id", "node_id", expanded(F.col("style")).alias("style"))

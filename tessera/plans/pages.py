@@ -104,7 +104,7 @@ def comments(spark, sf_dir):
     return corpus(spark, sf_dir).dom.where("kind = 'comment'").groupBy("page_id").agg(F.count("*").alias("n_comments"))
 
 
-@_add("SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages WHERE html LIKE '%<title>%' AND regexp_extract(html, '<title>(.*?)</title>', 1) NOT LIKE '%&%'")
+@_add("SELECT page_id, trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title FROM pages WHERE html LIKE '%<title>%' AND regexp_extract(html, '<title>(.*?)</title>', 1) NOT LIKE '%&%'")
 def inner_text(spark, sf_dir):
     d, whole = corpus(spark, sf_dir).dom, table(spark, sf_dir, "pages").where(F.col("html").contains("<title>") & ~F.regexp_extract("html", "<title>(.*?)</title>", 1).contains("&")).select("page_id")
     return classify.inner_text(d).join(d.where("tag = 'title'").select("page_id", "node_id"), ["page_id", "node_id"]).join(whole, "page_id", "left_semi").select("page_id", F.col("text").alias("title"))
