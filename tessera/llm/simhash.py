@@ -14,7 +14,7 @@ and none is cut short. Buckets emit the edges of a spanning forest, not all pair
 Similarity (similar_groups). For a Jaccard similarity of word shingles as low as 0.8, 64-bit fingerprints differ in up
 to a quarter of their bits, too many for the pigeonhole: there, nodes meet in MinHash bands of the same shingles (the
 bands find a pair of similarity 0.8 with a chance of 0.998), are paired with their bucket's smallest node and with
-their nearest by bit-sliced comparison, and every pair is verified by exact Jaccard similarity before it links.
+their two nearest by bit-sliced comparison, and every pair is verified by exact Jaccard similarity before it links.
 
 Defined cases: no words (null or blank text) gives fingerprint zero and is linked like any other; fewer words than a
 shingle make one shingle; repeated rows get the same class; a null doc_id takes part in linking but never names a
@@ -239,8 +239,8 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-def _similar_pairs(nodes: DataFrame, radius: int, tile: int) -> DataFrame:
-    """Candidate pairs a, b of nodes: each with its bucket's smallest, and with its nearest in its part of the bucket."""
+def _similar_pairs(nodes: DataFrame, radius: int, tile: int, nearest: int = 2) -> DataFrame:
+    """Candidate pairs a, b of nodes: each with its bucket's smallest, and with its nearest few in its part of the bucket."""
     filed = nodes.select("node", "fp", F.explode("bands").alias("key"))
     counts = filed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     filed = written(filed.join(counts, "key"), "similar-buckets")
@@ -261,10 +261,9 @@ def _similar_pairs(nodes: DataFrame, radius: int, tile: int) -> DataFrame:
                 for i in range(len(near)):
                     bits = np.flatnonzero(np.unpackbits(near[i].view(np.uint8), bitorder="little"))
                     bits = bits[bits != t + i]
-                    if len(bits):
-                        far = np.bitwise_count(x[bits] ^ x[t + i])
+                    for j in bits[np.argsort(np.bitwise_count(x[bits] ^ x[t + i]), kind="stable")[:nearest]].tolist():
                         a.append(ids[t + i])
-                        b.append(ids[int(bits[far.argmin()])])
+                        b.append(ids[j])
             return a, b
 
         for batch in batches:
@@ -283,7 +282,7 @@ def _similar_pairs(nodes: DataFrame, radius: int, tile: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     parts = filed.where("n > 2").select("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)).alias("part"), "node", "fp")
-    near = parts.repartition(shuffle_width(nodes.sparkSession), "key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long")
+    near = parts.repartition(shuffle_width(nodes.sparkSession), "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(run, "a long, b long")
     return stars.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
