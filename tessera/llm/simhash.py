@@ -286,7 +286,7 @@ def _similar_pairs(nodes: DataFrame, radius: int, tile: int, nearest: int = 2) -
     return stars.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 20, tile: int = 2048) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 20, tile: int = 512) -> DataFrame:
     """doc_id, component_id: classes of documents linked by a Jaccard similarity of their sets of word shingles of at least this."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
