@@ -301,6 +301,115 @@ def layout_boxes(spark, sf_dir):
     return boxes.withColumn("nth", nth).where("nth >= 4").select("page_id", F.when(F.col("nth") == 4, "row").otherwise("last").alias("what"), "x", "width")
 
 
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part: bare text, a text in two weights, images, a drawing, and a shadow."""
+    size = F.col("p_size").cast("string")
+    html = F.concat(
+        F.lit("<body>  bare  "), F.col("p_name"), F.lit(' <p>one <b style="font-weight:bold">two</b>\n three</p><img src="i'), size, F.lit('.png" alt="Pic"><img><svg fill="red" stroke="currentColor" style="color:#0000ff"><circle r="'), size,
+        F.lit('"/><rect width="2" height="2" fill="none"/></svg><svg></svg><div class="box" style="box-shadow:0 1px '), (F.col("p_size") % 3 * 10 + 2).cast("string"), F.lit('px red"><div><i>x</i></div></div></body>'),
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("part/"), "p_partkey").alias("url"), html.alias("html"))
+
+
+def rich(spark: SparkSession, sf_dir: str) -> Document:
+    key = ("rich", sf_dir, spark.sparkContext.applicationId)
+    if key not in _documents:
+        _documents[key] = convert(written(rich_pages(spark, sf_dir), "rich"), Options(layout=False, font_fallback="Arial"))
+    return _documents[key]
+
+
+@_add("SELECT p_partkey AS page_id, unnest(['i' || p_size || '.png', '']) AS image_ref, unnest(['Pic', 'img']) AS name FROM part")
+def images(spark, sf_dir):
+    return rich(spark, sf_dir).ir.where("ir_type = 'IMAGE'").select("page_id", "image_ref", "name")
+
+
+@_add("SELECT p_partkey AS page_id, unnest(['Path 1', 'Path 2', 'svg']) AS name, unnest(['ff0000', NULL, NULL]) AS fill, unnest(['0000ff', '0000ff', NULL]) AS stroke FROM part")
+def svg_shapes(spark, sf_dir):
+    v = rich(spark, sf_dir).ir.where("ir_type = 'VECTOR'")
+    return v.select("page_id", "name", cascade.css.color_hex(F.get("fills", 0)["color"]).alias("fill"), cascade.css.color_hex(F.get("strokes", 0)["color"]).alias("stroke"))
+
+
+@_add("SELECT p_partkey AS page_id, 'one two three' AS characters, unnest([0, 4, 7])::INT AS start, unnest([4, 7, 13])::INT AS stop, unnest(['Regular', 'Bold', 'Regular']) AS style FROM part")
+def text_runs(spark, sf_dir):
+    rows = rich(spark, sf_dir).ir.where("runs is not null").select("page_id", "characters", F.explode("runs").alias("r"))
+    return rows.select("page_id", "characters", F.col("r.start").alias("start"), F.col("r.end").alias("stop"), F.col("r.text_style.font_style").alias("style"))
+
+
+@_add("SELECT p_partkey AS page_id, trim('bare  ' || p_name) AS characters, left(trim('bare  ' || p_name), 32) AS name FROM part")
+def bare_text(spark, sf_dir):
+    return rich(spark, sf_dir).ir.where("tag is null and ir_type = 'TEXT'").select("page_id", "characters", "name")
+
+
+@_add("SELECT p_partkey AS page_id, 'shadow/' || ['sm', 'md', 'lg'][p_size % 3 + 1] AS style_id, 1::BIGINT AS n FROM part")
+def effect_names(spark, sf_dir):
+    return rich(spark, sf_dir).tokens["effects"].select("page_id", "style_id", "n")
+
+
+@_add("SELECT p_partkey AS page_id, 2::BIGINT AS warnings, 'image without a source' AS first_warning FROM part")
+def report(spark, sf_dir):
+    return rich(spark, sf_dir).report().select("page_id", "warnings", F.get("messages", 0).alias("first_warning"))
+
+
+@_add("SELECT DISTINCT p_partkey AS page_id, unnest(['Arial', 'Arial', 'Inter']) AS family, unnest(['Regular', 'Bold', 'Regular']) AS style FROM part")
+def font_fallback(spark, sf_dir):
+    return rich(spark, sf_dir).fonts.select("page_id", "family", "style")
+
+
+@_add("SELECT p_partkey AS page_id, 'box' AS what, 0::BIGINT AS nested FROM part")
+def outer_only(spark, sf_dir):
+    """Of frames that repeat on a page, those within others that repeat are no components of their own: three boxes hold three each."""
+    part = table(spark, sf_dir, "part")
+    html = F.concat(F.lit("<body>"), F.repeat(F.lit('<div class="box"><div class="in"><hr></div></div>'), 3), F.lit("</body>"))
+    doc = convert(written(part.select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html")), "nested"), Options(layout=False))
+    return doc.detected["components"].groupBy("page_id").agg(F.min("component_id").alias("what"), F.count_if(F.col("component_id") != "box").alias("nested"))
+
+
+@_add("SELECT p_partkey AS page_id, CASE WHEN p_size % 2 = 0 THEN '#000002' ELSE '#000001' END AS color FROM part")
+def css_order(spark, sf_dir):
+    """Sheets in document order: of equal selectors the later one wins, even if it stands in a sheet that is linked."""
+    part = table(spark, sf_dir, "part")
+    html = F.concat(F.lit("<head><style>p{color:#000001}</style>"), F.when(F.col("p_size") % 2 == 0, '<link rel="stylesheet" href="late.css">').otherwise('<link rel="stylesheet" href="../late.css">'), F.lit("</head><p>x</p>"))
+    sheets = spark.createDataFrame([("late.css", "p{color:#000002}"), ("../late.css", "p{color:#000003}")], "path string, css string")
+    doc = convert(written(part.select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html")), "sheets"), Options(layout=False, stylesheets=sheets))
+    return doc.dom.where("tag = 'p'").select("page_id", "node_id").join(doc.styles, ["page_id", "node_id"]).select("page_id", F.col("style")["color"].alias("color"))
+
+
+@_add("SELECT p_partkey AS page_id, (p_size + 1)::DOUBLE AS width, 7.0::DOUBLE AS height FROM part")
+def measured_text(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    html = F.lit('<body><div style="display:flex;align-items:flex-start"><p data-c2f-mid="m1">some text</p></div></body>')
+    dom = html_source.dom_nodes(part.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+    own = dom.where("kind = 'element'").select("page_id", "node_id", cascade.css.declarations(F.coalesce(F.col("attrs")["style"], F.lit(""))).alias("style"))
+    seen = part.select(F.col("p_partkey").alias("page_id"), F.lit("m1").alias("mid"), (F.col("p_size") + 0.5).alias("width"), F.lit(6.2).alias("height"))
+    boxes = geometry.layout(dom, own, measurements=seen)
+    return boxes.join(dom.where("tag = 'p'").select("page_id", "node_id"), ["page_id", "node_id"], "left_semi").select("page_id", "width", "height")
+
+
+@_add("SELECT p_partkey AS page_id, floor((p_size + 100 - 8) / 4.0)::DOUBLE AS width, 1::INT AS nth FROM part UNION ALL SELECT p_partkey, floor((p_size + 100 - 8) / 4.0 * 3)::DOUBLE, 2::INT FROM part")
+def grid_widths(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    html = F.concat(F.lit('<body><div style="display:grid;grid-template-columns:1fr 3fr;gap:8px;width:'), (F.col("p_size") + 100).cast("string"), F.lit('px"><i style="display:flex;height:1px"></i><i style="display:flex;height:1px"></i></div></body>'))
+    dom = html_source.dom_nodes(part.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+    own = dom.where("kind = 'element'").select("page_id", "node_id", cascade.css.declarations(F.coalesce(F.col("attrs")["style"], F.lit(""))).alias("style"))
+    cells = geometry.layout(dom, own).join(dom.where("tag = 'i'").select("page_id", "node_id", F.col("el_idx").alias("nth")), ["page_id", "node_id"])
+    return cells.select("page_id", "width", "nth")
+
+
+@_add("SELECT p_partkey AS page_id, 'pic' || p_size AS image_ref, (3 + p_size)::DOUBLE AS width FROM part")
+def snapshots(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    html = F.lit('<body><div data-c2f="snapshot" data-c2f-sid="s1"><p>x</p></div></body>')
+    shots = part.select(F.col("p_partkey").alias("page_id"), F.lit("s1").alias("sid"), F.concat(F.lit("pic"), "p_size").alias("data_uri"), (F.col("p_size") + 3).alias("width"), F.lit(4).alias("height"), F.lit(0.0).alias("offset_x"), F.lit(0.0).alias("offset_y"))
+    doc = convert(written(part.select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html")), "shot-pages"), Options(layout=False, snapshots=written(shots, "shots")))
+    return doc.ir.where("ir_type = 'IMAGE'").select("page_id", "image_ref", F.col("geometry.width").alias("width"))
+
+
+@_add()
+def scan_dir(spark, sf_dir):
+    """Folders of HTML files, searched in depth: none here, so no pages."""
+    return html_source.read_html(spark, f"{sf_dir}/html").select("url")
+
+
 @_add()
 def corpus_components(spark, sf_dir):
     return components.corpus_components(cards(spark, sf_dir).ir)
