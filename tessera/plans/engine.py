@@ -17,7 +17,7 @@ from tessera.operators import cascade, classify, components, nodes, svg, tokens
 from tessera.operators import layout as geometry
 from tessera.sources import css as css_source
 from tessera.sources import html as html_source
-from tessera.sources.store import written
+from tessera.sources.store import ship, written
 
 
 def configured(spark: SparkSession) -> SparkSession:
@@ -139,5 +139,5 @@ class Document:
 
 def convert(pages: DataFrame, options: Options | None = None) -> Document:
     """pages (page_id, url, html) to their design documents."""
-    configured(pages.sparkSession)
+    configured(ship(pages.sparkSession))
     return Document(pages, options or Options())

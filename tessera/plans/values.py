@@ -11,6 +11,7 @@ from tessera.functions import css
 from tessera.functions.text import number_text, slug, split_top, title_case
 from tessera.operators import nodes, scene, svg, tokens
 from tessera.sources.css import href_status
+from tessera.sources.store import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +19,7 @@ KEYS = ["l_orderkey", "l_linenumber"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _query(name: str, text: str, columns: Callable[[Column], dict[str, Column]], sql: str, source: str = "lineitem", keys: list[str] = KEYS, read: Callable[[Column], Column] | list | None = None) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.html import dom_nodes
-from tessera.sources.store import shared_dir
+from tessera.sources.store import shared_dir, ship
 
 
 def parsed(stream: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def parsed(stream: DataFrame) -> DataFrame:
 def stream_nodes(spark: SparkSession, path: str) -> DataFrame:
     """Runs what is there now through a stream into a table in the shared folder; page_id and number of nodes for each page."""
     folder, glob = path.rsplit("/", 1)
-    schema = spark.read.parquet(path).schema
+    schema = ship(spark).read.parquet(path).schema
     target = f"{shared_dir(spark)}/tessera/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", glob if not _is_folder(spark, path) else "*.parquet").parquet(folder if not _is_folder(spark, path) else path)
     query = parsed(source).writeStream.format("parquet").option("checkpointLocation", f"{target}-state").trigger(availableNow=True).start(target)
