@@ -31,7 +31,7 @@ def declarations(style: Column) -> Column:
         lambda d: F.struct(lowered(F.substring_index(d, ":", 1)).alias("key"), trimmed(F.substring(d, F.instr(d, ":") + 1, F.length(d))).alias("value")),
     )
     good = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
-    last = F.filter(good, lambda p, i: F.size(F.filter(F.slice(good, i + 2, F.size(good)), lambda q: q["key"] == p["key"])) == 0)
+    last = let(good, lambda g: F.filter(g, lambda p, i: F.size(F.filter(F.slice(g, i + 2, F.size(g)), lambda q: q["key"] == p["key"])) == 0))
     return F.map_from_entries(F.coalesce(last, F.array().cast("array<struct<key:string,value:string>>")))
 
 
