@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
 from tessera.llm.common import SPACES, small_or_joined, written
 
 #: Blocks of a source's permutation, as bits of the hash: a fixed number, so that a block's share of a source is known.
@@ -32,10 +33,8 @@ def tokens_in(text: Column) -> Column:
 
 def _weights(tokens: Column, alpha: Column) -> Column:
     """Of sources with these token counts, their counts to the power alpha, normalised."""
-    top = F.array_max(tokens)
-    raised = F.transform(tokens, lambda t: F.when(t > 0, F.pow(t / top, alpha)).otherwise(0.0))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raised, lambda r: r / total)
+    share = lambda raised: let(F.aggregate(raised, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(raised, lambda r: r / total))
+    return let(F.array_max(tokens), lambda top: let(F.transform(tokens, lambda t: F.when(t > 0, F.pow(t / top, alpha)).otherwise(0.0)), share))
 
 
 def _entropy(weights: Column) -> Column:
@@ -59,22 +58,25 @@ def mixing_plan(counts: DataFrame, max_repeats: float | None, entropy_share: flo
     live = F.size(F.filter("t", lambda x: x > 0))
 
     def meets(alpha: Column) -> Column:
-        w = _weights(F.col("t"), alpha)
-        ok = F.lit(True)
-        if max_repeats is not None:
-            ok = ok & (_repeats(F.col("t"), w) <= max_repeats)
-        if entropy_share is not None:
-            ok = ok & (_entropy(w) >= entropy_share * F.ln(live.cast("double")) - 1e-12)
-        return ok
+        def holds(w: Column) -> Column:
+            ok = F.lit(True)
+            if max_repeats is not None:
+                ok = ok & (_repeats(F.col("t"), w) <= max_repeats)
+            if entropy_share is not None:
+                ok = ok & (_entropy(w) >= entropy_share * F.ln(live.cast("double")) - 1e-12)
+            return ok
+
+        return let(_weights(F.col("t"), alpha), holds)
 
     # a limit on repeats asks for exponents near 1, an entropy for smaller ones: one bisection serves either
     rising = max_repeats is not None
 
     def halve(state: Column, _: Column) -> Column:
-        mid = (state["lo"] + state["hi"]) / 2
-        good = meets(mid)
-        lo, hi = (F.when(good, state["lo"]).otherwise(mid), F.when(good, mid).otherwise(state["hi"])) if rising else (F.when(good, mid).otherwise(state["lo"]), F.when(good, state["hi"]).otherwise(mid))
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
+        def narrowed(mid: Column, good: Column) -> Column:
+            lo, hi = (F.when(good, state["lo"]).otherwise(mid), F.when(good, mid).otherwise(state["hi"])) if rising else (F.when(good, mid).otherwise(state["lo"]), F.when(good, state["hi"]).otherwise(mid))
+            return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+        return let((state["lo"] + state["hi"]) / 2, lambda mid: let(meets(mid), lambda good: narrowed(mid, good)))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), halve)
     plan = one.withColumn("found", found).withColumn("alpha", F.col("found.hi") if rising else F.col("found.lo"))
