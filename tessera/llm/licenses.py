@@ -22,6 +22,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
+
 SHINGLE = 5
 BANDS = 48
 WORDS = "[\\p{L}\\p{N}]+"
@@ -50,15 +52,18 @@ def tokens(text: Column) -> Column:
 
 def shingles(words: Column) -> Column:
     """Hashes of runs of five words; of fewer words, one of them all; of none, none."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - SHINGLE + 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(SHINGLE))))
-    return F.when(n > 0, runs).otherwise(F.array().cast("array<long>"))
+
+    def runs(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - SHINGLE + 1))
+        return F.when(F.size(w) > 0, F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, F.lit(SHINGLE))))).otherwise(F.array().cast("array<long>"))
+
+    return let(words, runs)
 
 
 def minhashes(hashes: Column) -> Column:
     """The smallest of each band's rehashes."""
     seeds = F.array(*[F.lit(i) for i in range(BANDS)])
-    return F.transform(seeds, lambda s: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, s))))
+    return let(hashes, lambda held: F.transform(seeds, lambda s: F.array_min(F.transform(held, lambda h: F.xxhash64(h, s)))))
 
 
 def needles(templates: list[tuple[str, str]], least: float) -> list[str]:
