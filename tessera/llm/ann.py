@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_width, written
+from tessera.llm.common import shuffle_width, thinned, written
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -102,7 +102,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     out_schema = f"query_id long, rank int, {id_col} long, score double"
     if not total:
         return spark.createDataFrame([], out_schema)
-    drawn = rows.orderBy(F.xxhash64("id", F.lit(seed))).limit(sample).select("v").toArrow()["v"].to_pylist()
+    drawn = thinned(rows, F.xxhash64("id", F.lit(seed)), sample, total).orderBy(F.xxhash64("id", F.lit(seed))).limit(sample).select("v").toArrow()["v"].to_pylist()
     distinct = np.unique(np.array(drawn, np.float32).astype(np.float64), axis=0)
     dims, turn = distinct.shape[1], rotation(distinct.shape[1], seed)
     turned = distinct @ turn

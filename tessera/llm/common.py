@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.store import shared_dir, written
 
-__all__ = ["SPACES", "column_or_null", "id_hash", "shared_dir", "shuffle_width", "small_or_joined", "written"]
+__all__ = ["SPACES", "column_or_null", "id_hash", "shared_dir", "shuffle_width", "small_or_joined", "thinned", "written"]
 
 #: Words are what lies between these characters, wherever a contract says so.
 SPACES = "\\x20\\x09-\\x0D"
@@ -29,3 +29,9 @@ def shuffle_width(spark: SparkSession) -> int:
 def small_or_joined(side: DataFrame, rows: int, bound: int) -> DataFrame:
     """side with a broadcast hint if its counted rows are within the bound; else as it is, so that the join shuffles."""
     return F.broadcast(side) if rows <= bound else side
+
+
+def thinned(df: DataFrame, hashed: Column, n: int, total: int) -> DataFrame:
+    """Somewhat more than n of df's rows, about total in all, by a hash: of these an ordered limit then takes n, and little else travels."""
+    share = 1.25 * n / max(1, total)
+    return df if share >= 1 else df.where(F.pmod(hashed, F.lit(1 << 30)) < int(share * (1 << 30)))

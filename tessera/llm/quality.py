@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column_or_null
+from tessera.llm.common import column_or_null, thinned
 
 SHAPES, SOURCES, LANGS, LENGTHS = 256, 64, 16, 24
 TEXT_DIMS = SHAPES + 6
@@ -209,12 +209,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000,
     """Fits on at most max_labelled labelled and max_pool other documents; None if the labels don't hold both kinds."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z"))
     agreed = known.where("y = z and y in (0, 1)").select("doc_id", F.col("y").cast("int").alias("y"))
-    by_hash = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    text, meta, y = _sampled(docs, by_hash(agreed, max_labelled))
+    by_hash = lambda df, n, total: thinned(df, F.xxhash64("doc_id"), n, total).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    n_labels, n_docs = labels.count(), docs.count()
+    text, meta, y = _sampled(docs, by_hash(agreed, max_labelled, n_labels))
     if len(set(y.tolist())) < 2:
         return None
     others = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("y"))
-    pool_text, pool_meta, _ = _sampled(docs, by_hash(others.distinct(), max_pool))
+    pool_text, pool_meta, _ = _sampled(docs, by_hash(others.distinct(), max_pool, n_docs - n_labels))
     return co_train((text, meta), y, (pool_text, pool_meta), rounds, per_round, sure, ridge)
 
 

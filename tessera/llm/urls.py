@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_width
+from tessera.llm.common import shuffle_width, thinned
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,7 +78,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", samp
     right = rules.where("host is not null and host <> ''").select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.lower("action").alias("action")).distinct()
     right = right.select(host_key(F.col("host")).alias("key"), "host", "path", "action")
     width = shuffle_width(pages.sparkSession)
-    drawn = sorted((r.key, r.h) for r in left.select("key", "h", F.xxhash64("h").alias("o")).orderBy("o").limit(sample).collect())
+    keys = left.select("key", "h", F.xxhash64("h").alias("o"))
+    drawn = sorted((r.key, r.h) for r in thinned(keys, F.col("o"), sample, pages.count()).orderBy("o").limit(sample).collect())
     bounds = [drawn[len(drawn) * i // width] for i in range(1, width)] if len(drawn) >= width else drawn
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
