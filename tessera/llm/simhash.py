@@ -13,8 +13,11 @@ and none is cut short. Buckets emit the edges of a spanning forest, not all pair
 
 Similarity (similar_groups). For a Jaccard similarity of word shingles as low as 0.8, 64-bit fingerprints differ in up
 to a quarter of their bits, too many for the pigeonhole: there, nodes meet in MinHash bands of the same shingles (the
-bands find a pair of similarity 0.8 with a chance of 0.998), are paired with their bucket's smallest node and with
-their two nearest by bit-sliced comparison, and every pair is verified by exact Jaccard similarity before it links.
+bands find a pair of similarity 0.8 with a chance of 0.998). A first round pairs each with its bucket's smallest node
+and with its two nearest by bit-sliced comparison, and verifies by exact Jaccard similarity: this links most of what
+belongs together. Buckets whose nodes are then still in several classes are decided whole: every pair of different
+classes is verified, after a bound on the similarity (sizes, and bits in which maps of the sets' parities differ) that
+never refuses a pair that reaches it. So whatever shares a band and is similar enough is linked.
 
 Defined cases: no words (null or blank text) gives fingerprint zero and is linked like any other; fewer words than a
 shingle make one shingle; repeated rows get the same class; a null doc_id takes part in linking but never names a
@@ -239,11 +242,15 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-def _similar_pairs(nodes: DataFrame, radius: int, tile: int, nearest: int = 2) -> DataFrame:
-    """Candidate pairs a, b of nodes: each with its bucket's smallest, and with its nearest few in its part of the bucket."""
+def _similar_buckets(nodes: DataFrame) -> DataFrame:
+    """key, node, fp, n, first: the nodes of each band's buckets of two or more."""
     filed = nodes.select("node", "fp", F.explode("bands").alias("key"))
     counts = filed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    filed = written(filed.join(counts, "key"), "similar-buckets")
+    return written(filed.join(counts, "key"), "similar-buckets")
+
+
+def _similar_pairs(filed: DataFrame, radius: int, tile: int, nearest: int = 2) -> DataFrame:
+    """The first round's pairs a, b of nodes: each with its bucket's smallest, and with its nearest few in its part of the bucket."""
     stars = filed.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,10 +289,80 @@ def _similar_pairs(nodes: DataFrame, radius: int, tile: int, nearest: int = 2) -
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     parts = filed.where("n > 2").select("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)).alias("part"), "node", "fp")
-    near = parts.repartition(shuffle_width(nodes.sparkSession), "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(run, "a long, b long")
+    near = parts.repartition(shuffle_width(filed.sparkSession), "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(run, "a long, b long")
     return stars.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def parities(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """A map of 64 * words bits for each set: the parity of the members in each slot. Two maps differ in no more bits than the sets in members."""
+    bits = np.stack([np.bincount(s % np.uint32(64 * words), minlength=64 * words) & 1 for s in sets]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+
+
+def similar_forest(sets: list[np.ndarray], labels: np.ndarray, parts: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Edges (indices) between different labels that join all sets of at least this Jaccard similarity. Sets are sorted.
+
+    Every pair is decided, unless edges or labels connect it already; given parts, every pair of different parts.
+    """
+    labels, edges = labels.copy(), []
+    sizes = np.array([len(s) for s in sets])
+    maps = parities(sets, max(1, int(sizes.max()) // 8))
+    share = (1 - similarity) / (1 + similarity)  # of both sizes: what may differ
+    for i in range(len(sets) - 1):
+        open_ = labels[i + 1 :] != labels[i]
+        if parts is not None:
+            open_ &= parts[i + 1 :] != parts[i]
+        most = share * (sizes[i + 1 :] + sizes[i]) + 1e-6
+        js = np.flatnonzero(open_ & (np.abs(sizes[i + 1 :] - sizes[i]) <= most))
+        differ = np.bitwise_count(maps[js + i + 1] ^ maps[i]).sum(axis=1, dtype=np.int64)
+        for j in (js[differ <= most[js]] + i + 1).tolist():
+            if labels[j] != labels[i]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (sizes[i] + sizes[j] - both):
+                    edges.append((i, j))
+                    labels[labels == labels[j]] = labels[i]
+    return edges
+
+
+def _rest_of_buckets(filed: DataFrame, sets: DataFrame, found: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Links a, b that the first round's classes (found: node, component) lack, from the buckets that hold several classes.
+
+    Buckets of the same nodes are decided once.
+    """
+    members = filed.where("n > 2").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    several = members.groupBy("key", "n").agg(F.expr("min(component) <> max(component)").alias("several"), F.expr("bit_xor(xxhash64(node))").alias("same")).where("several")
+    several = several.groupBy("n", "same").agg(F.min("key").alias("key")).select("key")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile))
+    rows = members.join(several, "key").select("key", "node", "component", part.alias("part")).join(sets, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, labels, held = None, [], [], []
+
+        def close():
+            if len(ids) < 2:
+                return [], []
+            edges = similar_forest([np.frombuffer(s, "<u4") for s in held], np.array(labels, np.int64), None, similarity)
+            return [ids[i] for i, _ in edges], [ids[j] for _, j in edges]
+
+        for batch in batches:
+            a: list[int] = []
+            b: list[int] = []
+            for key, part, node, component, s in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "node", "component", "s")), strict=True):
+                if (key, part) != at:
+                    x, y = close()
+                    a += x
+                    b += y
+                    at, ids, labels, held = (key, part), [], [], []
+                ids.append(node)
+                labels.append(component)
+                held.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        x, y = close()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    return rows.repartition(shuffle_width(filed.sparkSession), "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(run, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 20, tile: int = 512) -> DataFrame:
     """doc_id, component_id: classes of documents linked by a Jaccard similarity of their sets of word shingles of at least this."""
 
@@ -321,11 +398,14 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(base.mapInArrow(sign, "doc_id long, node long, fp long, bands array<long>"), "similar-docs")
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-nodes")
-    pairs = written(_similar_pairs(nodes, radius, tile), "similar-pairs")
+    filed = _similar_buckets(nodes)
+    pairs = written(_similar_pairs(filed, radius, tile), "similar-pairs")
     active = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least"), "node").select("node", F.col("least").alias("doc_id"))
     sets = written(base.join(active, "doc_id").select("node", "text").mapInArrow(shingle, "node long, s binary").dropDuplicates(["node"]), "similar-sets")
     both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
-    links = connected_components(both.mapInArrow(verify, "a long, b long"), "a", "b")
+    links = written(both.mapInArrow(verify, "a long, b long"), "similar-links")
+    rest = written(_rest_of_buckets(filed, sets, connected_components(links, "a", "b"), similarity, tile), "similar-rest")
+    links = connected_components(links.unionByName(rest), "a", "b")
     linked = nodes.select("node", "least").join(links, "node")
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
     named = linked.join(names, "component").select("node", "name")

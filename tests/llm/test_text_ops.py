@@ -256,6 +256,54 @@ def test_similar_texts(spark, empty):
     assert simhash.similar_groups(empty).count() == 0
 
 
+def template_corpus(pages, seed):
+    """Pages of one template: look-alikes at 0.7 to 0.79, and planted pairs just above 0.8 among them."""
+    rng = random.Random(seed)
+    shared = [f"t{i}" for i in range(176)]
+    say = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    out = []
+    for i in range(pages):
+        own = say(28)
+        out.append(shared + own)
+        if i % 4 == 0:
+            out.append(shared + own[:9] + say(19))
+    rng.shuffle(out)
+    return [" ".join(w) for w in out]
+
+
+def links_of_bands(rows):
+    """Links by brute force: a similarity of 0.8 or more, and a band in common."""
+    sets = [{tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)} for t in rows]
+    bands = [set(simhash.band_keys(simhash.shingle_hashes(simhash.words_of(t), 5)).tolist()) for t in rows]
+    near = [(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), i, j) for i in range(len(rows)) for j in range(i) if bands[i] & bands[j]]
+    assert sum(0.7 <= s < 0.8 for s, _, _ in near) > 20 * sum(s >= 0.8 for s, _, _ in near) > 0
+    return [(i, j) for s, i, j in near if s >= 0.8]
+
+
+def test_template_with_look_alikes(spark):
+    rows = template_corpus(120, 10)
+    frame = corpus(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame).collect()}
+    assert [got[i] for i in range(len(rows))] == classes(len(rows), links_of_bands(rows))
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_forest_of_sets(cut):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 32, 150, dtype=np.uint32)
+    sets = [np.unique(np.concatenate([base[: rng.integers(100, 150)], rng.integers(0, 1 << 32, rng.integers(0, 40), dtype=np.uint32)])) for _ in range(70)]
+    sets.append(np.zeros(0, np.uint32))
+    parts = np.arange(71) % 2 if cut else None
+    labels = np.arange(71)
+    labels[10:14] = 10
+    edges = simhash.similar_forest(sets, labels, parts, 0.8)
+    like = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    links = [(i, j) for i in range(71) for j in range(i) if like(i, j) and (not cut or (i - j) % 2)]
+    known = [(10, i) for i in range(11, 14)]
+    assert all(like(i, j) for i, j in edges) and len(edges) < 71
+    assert classes(71, known + edges) == classes(71, known + links)
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 
 
