@@ -327,40 +327,47 @@ def similar_forest(sets: list[np.ndarray], labels: np.ndarray, parts: np.ndarray
 def _rest_of_buckets(filed: DataFrame, sets: DataFrame, found: DataFrame, similarity: float, tile: int) -> DataFrame:
     """Links a, b that the first round's classes (found: node, component) lack, from the buckets that hold several classes.
 
-    Buckets of the same nodes are decided once.
+    Buckets of the same nodes are decided once. A bucket of more than tile nodes is cut into parts, and each node filed
+    under every pair of parts that has its own: tasks take bounded groups, and all parts are compared with each other.
     """
     members = filed.where("n > 2").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     several = members.groupBy("key", "n").agg(F.expr("min(component) <> max(component)").alias("several"), F.expr("bit_xor(xxhash64(node))").alias("same")).where("several")
     several = several.groupBy("n", "same").agg(F.min("key").alias("key")).select("key")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile))
-    rows = members.join(several, "key").select("key", "node", "component", part.alias("part")).join(sets, "node")
+    cut = members.join(several, "key").select("key", "node", "component", F.ceil(F.col("n") / tile).alias("cuts"), part.alias("part"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("other")
+    rows = cut.join(sets, "node").select("key", "node", "component", "s", "part", other)
+    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "component", "s")
+    group = ["key", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, labels, held = None, [], [], []
+        at, ids, labels, parts, held = None, [], [], [], []
 
         def close():
             if len(ids) < 2:
                 return [], []
-            edges = similar_forest([np.frombuffer(s, "<u4") for s in held], np.array(labels, np.int64), None, similarity)
+            across = np.array(parts) if at[1] != at[2] else None
+            edges = similar_forest([np.frombuffer(s, "<u4") for s in held], np.array(labels, np.int64), across, similarity)
             return [ids[i] for i, _ in edges], [ids[j] for _, j in edges]
 
         for batch in batches:
             a: list[int] = []
             b: list[int] = []
-            for key, part, node, component, s in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "node", "component", "s")), strict=True):
-                if (key, part) != at:
+            for key, low, high, part, node, component, s in zip(*(batch.column(c).to_pylist() for c in (*group, "part", "node", "component", "s")), strict=True):
+                if (key, low, high) != at:
                     x, y = close()
                     a += x
                     b += y
-                    at, ids, labels, held = (key, part), [], [], []
+                    at, ids, labels, parts, held = (key, low, high), [], [], [], []
                 ids.append(node)
                 labels.append(component)
+                parts.append(part)
                 held.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         x, y = close()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    return rows.repartition(shuffle_width(filed.sparkSession), "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(run, "a long, b long")
+    return rows.repartition(shuffle_width(filed.sparkSession), *group).sortWithinPartitions(*group, "node").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 20, tile: int = 512) -> DataFrame:

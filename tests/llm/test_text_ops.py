@@ -280,10 +280,11 @@ def links_of_bands(rows):
     return [(i, j) for s, i, j in near if s >= 0.8]
 
 
-def test_template_with_look_alikes(spark):
+@pytest.mark.parametrize("tile", [512, 16])
+def test_template_with_look_alikes(spark, tile):
     rows = template_corpus(120, 10)
     frame = corpus(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame, tile=tile).collect()}
     assert [got[i] for i in range(len(rows))] == classes(len(rows), links_of_bands(rows))
 
 
