@@ -7,8 +7,10 @@ overlapping half of the next) is a query. Units are sorted by the score they mus
 its largest contribution in each block. A block is scored for a passage only if the sum of these bounds over the passage
 reaches the block's least threshold; all units whose BM25 score reaches their threshold (a share of the score of the unit
 itself) are retrieved. The bounds are first taken from half passages, summed once each, then from whole ones; only what
-is left has its postings added up. All of a batch's passages take these steps at once. A retrieved unit is a leak if enough of the word shingles of both its question and its answer
-stand in the passage. The question ends with the last question mark, else after two thirds of the words.
+is left has its postings added up. All of a batch's passages take these steps at once. A retrieved unit is a leak if enough of its
+word shingles stand in the passage: of the whole unit, or of both its question and its answer. So one edit in a short
+answer doesn't hide a copy. The question ends with the last question mark, else after two thirds of the words. A unit's
+threshold is lowered where the words that a leak may lack could weigh more than the share leaves out.
 
 Defined cases: a null or empty text has no passage; test items with fewer than least_words words, or null, can't be told
 from chance and take no part; repeated rows are judged each; an empty benchmark finds nothing; extra columns pass through.
@@ -37,11 +39,13 @@ class Unit:
     words: list[str]
     question: set
     answer: set
+    whole: set
+    lost: int  # occurrences of words, at most, that a leak may lack
 
 
 class Index:
-    def __init__(self, items: list[tuple[int, str]], share: float, shingle: int, unit_words: int, least_words: int, block: int = 16, k1: float = 1.2, b: float = 0.75):
-        self.shingle = shingle
+    def __init__(self, items: list[tuple[int, str]], share: float, shingle: int, unit_words: int, least_words: int, block: int = 16, k1: float = 1.2, b: float = 0.75, overlap: float = 0.8):
+        self.shingle, self.overlap = shingle, overlap
         units = [u for item, text in items for u in self._units(item, text, unit_words, least_words)]
         self.longest = max((len(u.words) for u in units), default=1)
         counts = [Counter(u.words) for u in units]
@@ -51,10 +55,11 @@ class Index:
         idf = {w: math.log(1 + (len(units) - df[w] + 0.5) / (df[w] + 0.5)) for w in vocabulary}
         mean = sum(len(u.words) for u in units) / max(1, len(units))
         gain = [{w: idf[w] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(u.words) / mean)) for w, n in c.items()} for u, c in zip(units, counts, strict=True)]
-        order = sorted(range(len(units)), key=lambda i: (share * sum(gain[i].values()), i))
+        need = [min(share * (total := sum(g.values())), total - sum(sorted(g.values())[len(g) - min(u.lost, len(g)) :])) for u, g in zip(units, gain, strict=True)]
+        order = sorted(range(len(units)), key=lambda i: (need[i], i))
         self.units = [units[i] for i in order]
         gain = [gain[i] for i in order]
-        self.need = np.array([share * sum(g.values()) for g in gain])
+        self.need = np.array([need[i] for i in order])
         self.block = max(block, -(-len(units) // 64))
         blocks = -(-len(units) // self.block)
         self.block_need = np.array([self.need[i * self.block : (i + 1) * self.block].min() for i in range(blocks)])
@@ -80,9 +85,17 @@ class Index:
         for i in range(pieces):
             a, b = len(words) * i // pieces, len(words) * (i + 1) // pieces
             cut = asked if pieces == 1 and 0 < asked < len(words) else a + max(1, (b - a) * 2 // 3)
-            out.append(Unit(item, words[a:b], self.shingles(words[a:cut]), self.shingles(words[cut:b])))
+            question, answer, whole = words[a:cut], words[cut:b], words[a:b]
+            lost = max(self.lost(whole), self.lost(question) + self.lost(answer))
+            out.append(Unit(item, whole, self.shingles(question), self.shingles(answer), self.shingles(whole), lost))
         return out
 
+    def lost(self, words: list[str]) -> int:
+        """Words that can stand in no shingle that is left, if the share of different shingles that may lack does: no more than the places of these."""
+        n = min(self.shingle, len(words))
+        places = sorted(Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)).values(), reverse=True) if n else []
+        return sum(places[: int((1 - self.overlap) * len(places) + 1e-9)])
+
     def shingles(self, words: list[str]) -> set:
         n = min(self.shingle, len(words))
         return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
@@ -154,12 +167,12 @@ class Index:
         found: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
         for text, a, b, j, score in self.retrieve(words):
             unit, passage, parts = self.units[j], words[text][a:b], []
-            for wanted in (unit.question, unit.answer):
+            for wanted in (unit.question, unit.answer, unit.whole):
                 n = len(next(iter(wanted), ()))
                 seen = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)} if n else set()
                 parts.append(len(wanted & seen) / len(wanted) if wanted else 1.0)
-            if min(parts) >= overlap:
-                found[text][unit.item] = max(found[text].get(unit.item, (0.0, 0.0, 0.0)), (score, *parts))
+            if min(parts[:2]) >= overlap or parts[2] >= overlap:
+                found[text][unit.item] = max(found[text].get(unit.item, (0.0, 0.0, 0.0)), (score, *parts[:2]))
         return [[(item, *f[item]) for item in sorted(f)] for f in found]
 
     def leaks_in(self, column: pa.Array, overlap: float, at_once: int = 256) -> Iterator[list]:
@@ -167,7 +180,7 @@ class Index:
             yield from self.leaks(column.slice(i, at_once).to_pylist(), overlap)
 
 
-def indexes(benchmark: DataFrame, max_items: int, share: float = 0.7, shingle: int = 5, unit_words: int = 96, least_words: int = 8) -> list[Index]:
+def indexes(benchmark: DataFrame, max_items: int, share: float = 0.7, shingle: int = 5, unit_words: int = 96, least_words: int = 8, overlap: float = 0.8) -> list[Index]:
     """An index for each shard of at most max_items items."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     shards = max(1, math.ceil(items.count() / max_items))
@@ -175,7 +188,7 @@ def indexes(benchmark: DataFrame, max_items: int, share: float = 0.7, shingle: i
     for i in range(shards):
         own = items if shards == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == i)
         rows = sorted((-1 if r.item_id is None else r.item_id, r.text) for r in own.collect())
-        out.append(Index(rows, share, shingle, unit_words, least_words))
+        out.append(Index(rows, share, shingle, unit_words, least_words, overlap=overlap))
     return out
 
 
@@ -191,7 +204,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, max_
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
-    sent = [docs.sparkSession.sparkContext.broadcast(i) for i in indexes(benchmark, max_items, **options)]
+    sent = [docs.sparkSession.sparkContext.broadcast(i) for i in indexes(benchmark, max_items, overlap=overlap, **options)]
     out = search(sent[0])
     for index in sent[1:]:
         out = out.unionByName(search(index))
@@ -202,7 +215,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, max_
     """The rows of docs, all their columns as they are, into which no test item leaks."""
     at = docs.columns.index("text")
     out = docs
-    for index in indexes(benchmark, max_items, **options):
+    for index in indexes(benchmark, max_items, overlap=overlap, **options):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -174,6 +174,29 @@ def test_search_retrieves_all_above_threshold():
     assert got == want and want
 
 
+def test_edited_copies_are_leaks():
+    rng = random.Random(12)
+    say = lambda n: [f"v{int(rng.paretovariate(0.6)) % 3000}" for _ in range(n)]
+    items = [(i, " ".join(say(rng.randrange(8, 60)))) for i in range(60)]
+    index = decontaminate.Index(items, 0.7, 5, 96, 8)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    copies, want = [], []
+    for i, text in items * 10:
+        w = text.split()
+        if rng.random() < 0.3:  # the words of one end are left out
+            cut = rng.randrange(1, 1 + len(w) // 4)
+            w = w[cut:] if rng.random() < 0.5 else w[:-cut]
+        else:
+            for _ in range(rng.randrange(1, 3)):
+                w[rng.randrange(len(w))] = "changed"
+        wanted, page = grams(text.split()), ["x"] * rng.randrange(90) + w + ["x"] * rng.randrange(90)
+        copies.append(" ".join(page))
+        want.append(len(wanted & grams(page)) >= 0.8 * len(wanted))
+    got = [i in [leak[0] for leak in leaks] for (i, _), leaks in zip(items * 10, index.leaks(copies, 0.8), strict=True)]
+    assert all(g for g, x in zip(got, want, strict=True) if x) and 100 < sum(want) < 500
+    assert sum(g for g, x in zip(got, want, strict=True) if not x) < 20  # those whose question and answer are there, the words across the cut not
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 
