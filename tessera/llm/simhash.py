@@ -388,8 +388,9 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
             node, sets = [], []
             for want, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = words_of(text)
-                if int(np.int64(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 1)).astype(np.int64))) == want:
-                    node.append(want)
+                own = int(np.int64(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 1)).astype(np.int64)))
+                if want is None or own == want:
+                    node.append(own)
                     sets.append(np.unique((shingle_hashes(words, shingle_words) >> np.uint64(32)).astype("<u4")).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "s"])
 
@@ -408,7 +409,11 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     filed = _similar_buckets(nodes)
     pairs = written(_similar_pairs(filed, radius, tile), "similar-pairs")
     active = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least"), "node").select("node", F.col("least").alias("doc_id"))
-    sets = written(base.join(active, "doc_id").select("node", "text").mapInArrow(shingle, "node long, s binary").dropDuplicates(["node"]), "similar-sets")
+    named = base.join(active, "doc_id").select("node", "text").mapInArrow(shingle, "node long, s binary")
+    # texts that have no doc_id at all are found by their node
+    nameless = base.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(shingle, "node long, s binary")
+    nameless = nameless.join(active.where("doc_id is null").select("node"), "node", "left_semi")
+    sets = written(named.unionByName(nameless).dropDuplicates(["node"]), "similar-sets")
     both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     links = written(both.mapInArrow(verify, "a long, b long"), "similar-links")
     rest = written(_rest_of_buckets(filed, sets, connected_components(links, "a", "b"), similarity, tile), "similar-rest")

@@ -311,6 +311,14 @@ def test_template_with_look_alikes(spark, tile):
     assert [got[i] for i in range(len(rows))] == classes(len(rows), links_of_bands(rows))
 
 
+def test_class_that_hangs_by_a_text_without_doc_id(spark):
+    middle = [f"m{i}" for i in range(200)]
+    first, last = [f"a{i}" for i in range(12)] + middle[12:], middle[:-12] + [f"b{i}" for i in range(12)]
+    frame = corpus(spark, [(1, " ".join(first), "en", "s"), (None, " ".join(middle), "en", "s"), (2, " ".join(last), "en", "s"), (3, "alone", "en", "s"), (None, "too", "en", "s")])
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.similar_groups(frame).collect()), key=str)
+    assert got == [(1, 1), (2, 1), (3, 3), (None, 1), (None, None)]
+
+
 @pytest.mark.parametrize("cut", [False, True])
 def test_forest_of_sets(cut):
     rng = np.random.default_rng(11)
