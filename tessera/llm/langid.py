@@ -3,26 +3,27 @@
 N-grams of one to three characters of the lower-cased text are hashed to a fixed number of dimensions. Document
 frequencies are counted over all training rows. The model is trained by follow-the-regularised-leader (FTRL-proximal) with
 an elastic net: the L1 part leaves weights at zero, the L2 part shrinks the rest. It is fitted on a sample of at most
-max_rows training rows, dealt evenly over languages; a slice of the sample that it isn't fitted on sets the temperature
-that calibrates its probabilities. Prediction reads whole texts, and nothing but the text.
-
-Defined cases: a null text or one without a letter is "und" with score 0; rows with a null language aren't learned from;
-with no training rows every text is "und"; with one language that one is predicted with score 1; repeated rows are
-predicted each; extra columns are ignored.
+max_rows training rows (one at least of each language), dealt evenly over languages in the order of a hash of doc_id and
+text; a slice of the sample that it isn't fitted on sets the temperature that calibrates its probabilities. Prediction
+reads whole texts, however long, and nothing but the text.
+
+Defined cases: a null text or one without a letter (numbers such as a half or a Roman numeral sign aren't letters) is
+"und" with score 0; rows with a null text or language aren't learned from; rows with a null doc_id are drawn like others,
+and repeated rows count each, within the bound; with no training rows every text is "und"; with one language that one is
+predicted with score 1; languages that tie go by name; repeated rows are predicted each; extra columns, whatever their
+names, are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -112,16 +113,19 @@ def fit_langid(docs: DataFrame, trains: Column, max_rows: int = 6_000, bits: int
         for batch in batches:
             found = [grams(t, bits) for t in batch.column("text").to_pylist()]
             at = [np.flatnonzero(x) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([a.astype("<u2" if bits <= 16 else "<u4").tobytes() for a in at], pa.binary()), pa.array([np.minimum(x[a], 65535).astype("<u2").tobytes() for x, a in zip(found, at, strict=True)], pa.binary())], ["doc_id", "lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array([a.astype("<u2" if bits <= 16 else "<u4").tobytes() for a in at], pa.binary()), pa.array([np.minimum(x[a], 65535).astype("<u2").tobytes() for x, a in zip(found, at, strict=True)], pa.binary())], ["h", "lang", "at", "n"])
 
     counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return None
     langs = sorted(counts)
     each = max(1, max_rows // len(langs))
-    share = F.coalesce(F.create_map(*[F.lit(y) for lang in langs for y in (lang, min(1.0, 1.05 * each / counts[lang]))])[F.col("lang")], F.lit(0.0))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)
-    sample = train.where(drawn).mapInArrow(extract, "doc_id long, lang string, at binary, n binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("at", "ascending"), ("n", "ascending")])
+    # a few more than each are drawn by the hash, and of these the first are taken
+    share = F.coalesce(F.create_map(*[F.lit(y) for lang in langs for y in (lang, min(1.0, (each + 6 * each**0.5 + 20) / counts[lang]))])[F.col("lang")], F.lit(0.0))
+    keyed = train.withColumn("h", F.xxhash64("doc_id", "text", F.lit(seed))).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    drawn = keyed.select("h", "text", "lang").mapInArrow(extract, "h long, lang string, at binary, n binary")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "at", "n"))
+    sample = drawn.withColumn("nth", nth).where(F.col("nth") <= each).drop("nth").toArrow().sort_by([("h", "ascending"), ("lang", "ascending"), ("at", "ascending"), ("n", "ascending")])
     totals = train.select("text").mapInArrow(frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # dims rows at most
     df, rows = np.zeros(dims), 1
     for at, n in totals:
@@ -136,7 +140,9 @@ def fit_langid(docs: DataFrame, trains: Column, max_rows: int = 6_000, bits: int
         v = (1 + np.log(k)) * idf[at]
         x.append((at, (v / max(1e-12, np.sqrt((v * v).sum()))).astype(np.float32)))
     y = np.array([langs.index(v) for v in sample["lang"].to_pylist()], int)
-    if len(langs) == 1 or not len(y):
+    if not len(y):
+        return None
+    if len(langs) == 1:
         return Model(langs[:1], np.zeros((dims, 1), np.float32), np.zeros(1), idf, 1.0, bits)
     held = np.random.default_rng(seed).random(len(y)) < 0.2
     w, b = ftrl([v for v, h in zip(x, held, strict=True) if not h], y[~held], dims, len(langs), alpha, beta, l1, l2, epochs, seed)
@@ -153,7 +159,7 @@ def predict_langid(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             lang, score = [], []
             for text in batch.column("text").to_pylist():
-                if model is None or text is None or LETTER.search(text) is None:
+                if model is None or text is None or not any(map(str.isalpha, text)):
                     lang.append(UNKNOWN)
                     score.append(0.0)
                     continue

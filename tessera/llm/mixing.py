@@ -1,24 +1,27 @@
 """Mixing sources to target weights, with DataFrame functions alone.
 
-Weights are token shares raised to an exponent and normalised; a smaller exponent flattens them. The exponent is the
-largest in [0, 1] that meets the target: an entropy (as a share of that of equal weights) or a limit on how often a
-source is repeated; it is found by bisection, folded over an array in one row. The token budget deals out
+Weights are token shares raised to an exponent and normalised; a smaller exponent flattens them. The exponent, in [0, 1],
+is found by bisection: the largest that meets an entropy (as a share of that of equal weights), or the smallest that keeps
+to a limit on how often a source is repeated. What a step asks of the sources is an aggregation over them, so that their
+number doesn't matter. The token budget deals out
 target = weight x budget. A source's documents lie in blocks of a random permutation (a hash of the document); it is taken
 whole as often as its target allows and then once more in part, block by block in the permuted order up to the document
 at which the target is reached. Only block totals are summed in order; the one block in which a source's cut falls is
 summed by document. So no task holds a source, however hot.
 
 Defined cases: a null source is a source; a null or empty text has no tokens and is taken as often as its source is taken
-whole (at least once if budget is None); repeated rows are copies of one document, each taken; sources without tokens get
-no weight; an empty table gives an empty one; extra columns pass through.
+whole (at least once if budget is None); a very long text counts whole, and is left out of a part that it would exceed;
+repeated rows, and rows whose hashes tie, are taken together; sources without tokens get no weight; an empty table gives
+an empty one; extra columns pass through, and if one has the name of an added column, the added one gets "_" behind it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import let
 from tessera.llm.common import SPACES, small_or_joined, written
 
 #: Blocks of a source's permutation, as bits of the hash: a fixed number, so that a block's share of a source is known.
@@ -26,66 +29,71 @@ BLOCK_BITS = 10
 ROUNDS = 60
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def tokens_in(text: Column) -> Column:
     """Words between ASCII white space."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACES}]+")), F.lit(0)).cast("long")
 
 
-def _weights(tokens: Column, alpha: Column) -> Column:
-    """Of sources with these token counts, their counts to the power alpha, normalised."""
-    share = lambda raised: let(F.aggregate(raised, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(raised, lambda r: r / total))
-    return let(F.array_max(tokens), lambda top: let(F.transform(tokens, lambda t: F.when(t > 0, F.pow(t / top, alpha)).otherwise(0.0)), share))
+def _entropies(live: DataFrame, top: float, alphas: list[float]) -> list[float]:
+    """Of the weights at each exponent, by one aggregation over the sources."""
+    x = F.col("tokens") / top
+    sums = [f for a in alphas for f in (F.sum(F.pow(x, F.lit(a))), F.sum(F.pow(x, F.lit(a)) * F.ln(x)))]
+    row = tuple(live.agg(*(f.alias(f"s{i}") for i, f in enumerate(sums))).first())
+    return [math.log(z) - a * y / z for a, z, y in zip(alphas, row[::2], row[1::2], strict=True)]
 
 
-def _entropy(weights: Column) -> Column:
-    return -F.aggregate(weights, F.lit(0.0), lambda a, w: a + F.when(w > 0, w * F.ln(w)).otherwise(0.0))
+def exponent(live: DataFrame, max_repeats: float | None, entropy_share: float | None) -> float:
+    """The largest exponent in [0, 1] that meets the entropy; for a limit on repeats the smallest, as a greater one repeats less.
 
-
-def _repeats(tokens: Column, weights: Column) -> Column:
-    """The most that a source is repeated while the source with the most tokens for its weight is seen once."""
-    ratio = F.filter(F.transform(F.arrays_zip(tokens.alias("t"), weights.alias("w")), lambda x: F.when(x["t"] > 0, x["w"] / x["t"])), lambda r: r.isNotNull())
-    return F.array_max(ratio) / F.array_min(ratio)
+    live: source, tokens, tokens > 0. How often a source is repeated beside the one with the most tokens is
+    (tokens / most) to the power exponent - 1, greatest for the one with the fewest: two numbers decide it. Entropies of
+    several exponents are taken in one pass over the sources: six halvings each.
+    """
+    least, top, n = live.agg(F.min("tokens"), F.max("tokens"), F.count("*")).first()
+    meets = lambda alpha: (least / top) ** (alpha - 1) <= max_repeats
+    low, high = 0.0, 1.0
+    if max_repeats is not None:
+        for _ in range(ROUNDS):
+            mid = (low + high) / 2
+            low, high = (low, mid) if meets(mid) else (mid, high)
+        at_least = high
+    if entropy_share is None:
+        return at_least if max_repeats is not None else 1.0
+    wanted, low, high = entropy_share * math.log(n) - 1e-12, 0.0, 1.0
+    for _ in range(ROUNDS // 6):
+        grid = [low + (high - low) * i / 64 for i in range(1, 64)]
+        at, step = 0, 32
+        known = _entropies(live, float(top), grid)
+        while step:  # the entropy falls as the exponent rises
+            if known[at + step - 1] >= wanted:
+                at += step
+            step //= 2
+        low, high = (grid[at - 1] if at else low), (grid[at] if at < 63 else high)
+    return low if max_repeats is None else max(low, at_least)
 
 
 def mixing_plan(counts: DataFrame, max_repeats: float | None, entropy_share: float | None, budget: int | None) -> DataFrame:
     """source, tokens, alpha, weight, target: a row for each source. counts: source, tokens.
 
-    budget None: as many tokens as show the source that is repeated least just once, so that no document is lost.
+    budget None: as many tokens as show the source that is repeated least just once, so that no document is lost. With a
+    limit on repeats and an entropy, the limit decides where they contradict each other.
     """
-    one = counts.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"), "tokens"))).alias("s"))
-    t = F.transform("s", lambda x: x["tokens"].cast("double"))
-    one = one.where(F.size("s") > 0).withColumn("t", t).where(F.array_max("t") > 0)
-    live = F.size(F.filter("t", lambda x: x > 0))
-
-    def meets(alpha: Column) -> Column:
-        def holds(w: Column) -> Column:
-            ok = F.lit(True)
-            if max_repeats is not None:
-                ok = ok & (_repeats(F.col("t"), w) <= max_repeats)
-            if entropy_share is not None:
-                ok = ok & (_entropy(w) >= entropy_share * F.ln(live.cast("double")) - 1e-12)
-            return ok
-
-        return let(_weights(F.col("t"), alpha), holds)
-
-    # a limit on repeats asks for exponents near 1, an entropy for smaller ones: one bisection serves either
-    rising = max_repeats is not None
-
-    def halve(state: Column, _: Column) -> Column:
-        def narrowed(mid: Column, good: Column) -> Column:
-            lo, hi = (F.when(good, state["lo"]).otherwise(mid), F.when(good, mid).otherwise(state["hi"])) if rising else (F.when(good, mid).otherwise(state["lo"]), F.when(good, state["hi"]).otherwise(mid))
-            return F.struct(lo.alias("lo"), hi.alias("hi"))
-
-        return let((state["lo"] + state["hi"]) / 2, lambda mid: let(meets(mid), lambda good: narrowed(mid, good)))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), halve)
-    plan = one.withColumn("found", found).withColumn("alpha", F.col("found.hi") if rising else F.col("found.lo"))
-    plan = plan.withColumn("w", _weights(F.col("t"), F.col("alpha")))
-    least = F.array_min(F.filter(F.transform(F.arrays_zip(F.col("w").alias("w"), F.col("t").alias("t")), lambda x: F.when(x["t"] > 0, x["w"] / x["t"])), lambda r: r.isNotNull()))
-    plan = plan.withColumn("budget", 1.0 / least if budget is None else F.lit(float(budget)))
-    return plan.select("alpha", "budget", F.explode(F.arrays_zip("s", "w")).alias("x")).select(
-        F.when(~F.col("x.s.none"), F.col("x.s.name")).alias("source"), F.col("x.s.tokens").alias("tokens"), "alpha", F.col("x.w").alias("weight"), (F.col("x.w") * F.col("budget")).alias("target")
-    )
+    out = "source string, tokens long, alpha double, weight double, target double"
+    live = counts.where("tokens > 0")
+    if live.isEmpty():
+        return counts.sparkSession.createDataFrame([], out)
+    alpha = exponent(live, max_repeats, entropy_share)
+    top = float(live.agg(F.max("tokens")).first()[0])
+    raised = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / top, F.lit(alpha))).otherwise(0.0)
+    total = live.agg(F.sum(raised)).first()[0]
+    weight = raised / total
+    return counts.select("source", "tokens", F.lit(alpha).alias("alpha"), weight.alias("weight"), (weight * (total * top if budget is None else float(budget))).alias("target"))
 
 
 def mix(docs: DataFrame, max_repeats: float | None = 2.0, entropy_share: float | None = None, budget: int | None = None, seed: int = 3, most_sources: int = 50_000) -> DataFrame:
@@ -117,14 +125,13 @@ def mix(docs: DataFrame, max_repeats: float | None = 2.0, entropy_share: float |
     limits = written(limits, "mix-limits")
     full = written(plan.select(F.col("source").alias("s"), "passes", "rest").join(cut_blocks.withColumnRenamed("s", "cs"), F.col("s").eqNullSafe(F.col("cs")), "left").drop("cs").join(limits.select(F.col("s").alias("ls"), "last"), F.col("s").eqNullSafe(F.col("ls")), "left").drop("ls", "left"), "mix-final")
     final = small_or_joined(full, sources, most_sources)
-    names = docs.columns
-    o, b = "__mix_o", "__mix_b"
-    rows = docs.withColumn(o, order).withColumn(b, F.shiftrightunsigned(o, 64 - BLOCK_BITS).cast("int"))
-    rows = rows.join(final.select(F.struct("s", "passes", "rest", "cut_block", "last").alias("__mix")), F.col("source").eqNullSafe(F.col("__mix.s")), "left")
-    once_more = F.coalesce((F.col("__mix.rest") > 0) & ((F.col(b) < F.col("__mix.cut_block")) | ((F.col(b) == F.col("__mix.cut_block")) & (F.col(o) <= F.col("__mix.last")))), F.lit(False))
-    passes = F.coalesce(F.col("__mix.passes"), F.lit(0)) + once_more.cast("long")
+    # the documents' own columns travel as one, so that no name can clash
+    rows = docs.select(F.struct(*docs.columns).alias("d"), "source", order).withColumn("b", F.shiftrightunsigned("o", 64 - BLOCK_BITS).cast("int"))
+    rows = rows.join(final.select(F.struct("s", "passes", "rest", "cut_block", "last").alias("m")), F.col("source").eqNullSafe(F.col("m.s")), "left")
+    once_more = F.coalesce((F.col("m.rest") > 0) & ((F.col("b") < F.col("m.cut_block")) | ((F.col("b") == F.col("m.cut_block")) & (F.col("o") <= F.col("m.last")))), F.lit(False))
+    passes = F.coalesce(F.col("m.passes"), F.lit(0)) + once_more.cast("long")
     if budget is None:
         passes = F.greatest(passes, F.lit(1))
-    rows = rows.withColumn("__mix_n", passes).where("__mix_n > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mix_n") - 1)))
-    permuted = F.struct(F.xxhash64("source", "mix_epoch", b, F.lit(seed)).alias("block"), F.xxhash64(o, "mix_epoch").alias("document")).alias("mix_order")
-    return rows.select(*names, "mix_epoch", F.col(b).alias("mix_block"), permuted)
+    rows = rows.withColumn("n", passes).where("n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    permuted = F.struct(F.xxhash64("source", "epoch", "b", F.lit(seed)).alias("block"), F.xxhash64("o", "epoch").alias("document"))
+    return rows.select("d.*", F.col("epoch").alias(free_name(docs, "mix_epoch")), F.col("b").alias(free_name(docs, "mix_block")), permuted.alias(free_name(docs, "mix_order")))

@@ -154,14 +154,20 @@ def test_language(spark, empty):
     rng = random.Random(4)
     say = {"en": "the and ing thou tion ere".split(), "de": "der die und schen ß ung".split(), "fr": "le la é ment eux qu".split()}
     rows = [(i, "".join(rng.choice(say[k]) + rng.choice(["", " "]) for _ in range(60)), k, "s") for i in range(300) for k in [["en", "de", "fr"][i % 3]]]
-    rows += [(900, None, "en", "s"), (901, "123 !!", "en", "s"), (902, "der die und schen", None, "s")]
+    rows += [(900, None, "en", "s"), (901, "123 !!", "en", "s"), (902, "der die und schen", None, "s"), (903, "\u00bd \u00b2 \u2460 \u2167 _", "en", "s"), (904, "", "de", "s"), (905, "der schen und " * 40_000, None, "s")]
     frame = corpus(spark, rows)
     model = langid.fit_langid(frame, F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict_langid(frame, model).collect()}
     held = [r for r in rows[:300] if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert sum(got[r[0]][0] == r[2] for r in held) >= 0.97 * len(held)
-    assert got[900] == ("und", 0.0) and got[901] == ("und", 0.0) and got[902][0] == "de" and all(0 <= s <= 1 for _, s in got.values())
+    assert got[900] == ("und", 0.0) and got[901] == got[903] == got[904] == ("und", 0.0) and got[902][0] == got[905][0] == "de" and all(0 <= s <= 1 for _, s in got.values())
     assert (model.weights == 0).mean() > 0.3
+    # rows without ids, or of one id, are drawn within the bound
+    for key in (None, 7):
+        few = langid.fit_langid(corpus(spark, [(key, t, k, "s") for _, t, k, _ in rows[:300]]), F.lit(True), max_rows=90)
+        assert few.langs == ["de", "en", "fr"]
+    one = langid.fit_langid(corpus(spark, rows[:300:3]), F.lit(True))
+    assert {tuple(r) for r in langid.predict_langid(frame.where("doc_id < 9"), one).select("lang_pred", "score").collect()} == {("en", 1.0)}
     assert langid.fit_langid(empty, F.lit(True)) is None and langid.predict_langid(frame, None).where("lang_pred <> 'und'").count() == 0
 
 
@@ -461,6 +467,32 @@ def test_mixing(spark, docs, empty):
     for r in some:
         weights[r["source"]] += tokens_of[r["doc_id"]] / 3000
     assert -sum(w * math.log(w) for w in weights.values()) >= 0.93 * math.log(len(total))
+    # the exponent and the documents by brute force
+    live = {s: t for s, t in total.items() if t}
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        ratios = [t ** (mid - 1) for t in live.values()]
+        lo, hi = (lo, mid) if max(ratios) / min(ratios) <= 2 else (mid, hi)
+    assert next(iter(plan.values()))["alpha"] == pytest.approx(hi, abs=1e-9)
+    order = {r["doc_id"]: r["o"] for r in frame.select("doc_id", F.xxhash64(F.lit(3), F.col("doc_id").cast("string"), F.col("text")).alias("o")).collect()}
+    for s, p in plan.items():
+        passes = math.floor(p["target"] / p["tokens"] + 1e-9)
+        own = sorted((order[i] & (1 << 64) - 1) >> 54 << 64 | order[i] + (1 << 63) for i, _, _, x in rows if x == s)
+        back = {(order[i] & (1 << 64) - 1) >> 54 << 64 | order[i] + (1 << 63): i for i, _, _, x in rows if x == s}
+        rest, more = p["target"] - passes * p["tokens"], set()
+        for key in own:
+            rest -= tokens_of[back[key]]
+            if rest < -1e-6:
+                break
+            more.add(back[key])
+        for i in back.values():
+            assert sum(times.get((i, e), 0) for e in range(9)) == max(1, passes + (i in more)), (s, i)
+    entropy = mixing.exponent(frame.groupBy("source").agg(F.sum(mixing.tokens_in(F.col("text"))).alias("tokens")), None, 0.95)
+    measure = lambda a: -sum(w * math.log(w) for w in (t**a / sum(x**a for x in live.values()) for t in live.values()))
+    assert measure(entropy) == pytest.approx(0.95 * math.log(len(live)), abs=1e-6)
+    clash = mixing.mix(frame.withColumn("mix_epoch", F.lit("mine")).withColumn("o", F.lit(1)).withColumn("d", F.lit(2)))
+    assert clash.columns[-5:] == ["o", "d", "mix_epoch_", "mix_block", "mix_order"] and clash.where("mix_epoch <> 'mine'").count() == 0 and clash.count() == len(got)
     assert mixing.mix(empty).count() == 0
     assert mixing.mix(docs).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
@@ -481,15 +513,34 @@ def test_licenses_against_all_windows(spark, docs, empty):
         rows.append((i, " ".join([*say(rng.randrange(0, 90)), *w, *say(rng.randrange(0, 90))]), "en", "s"))
     rows += [(900, None, None, None), (901, "Licensed", None, None), (None, licenses.TEMPLATES[1][1], None, None), (0, rows[0][1], None, None)]
     cut = lambda t: re.findall(r"[^\W_]+", t.lower())
-    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-    want = {}
+    grams = lambda w, n=5: {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+    templates, want = [*licenses.TEMPLATES, ("short", "BSD, 2-Clause!")], {}
+    rows += [(950 + i, " ".join([*say(i), "bsd", "2", "clause", *say(9 - i)]), "en", "s") for i in range(10)]
     for i, text, _, _ in rows:
-        for name, template in licenses.TEMPLATES:
-            w, t = cut(text or ""), grams(cut(template))
-            level = max(8, 1 << (len(cut(template)) - 1).bit_length())
-            best = max((len(grams(w[s : s + 2 * level]) & t) / len(t) for s in range(0, max(1, len(w) - level), level)), default=0) if w else 0
+        for name, template in templates:
+            n = min(5, len(cut(template)))
+            w, t = cut(text or ""), grams(cut(template), n)
+            level = len(cut(template))
+            best = max((len(grams(w[s : s + 2 * level], n) & t) / len(t) for s in range(0, max(1, len(w) - level), level)), default=0) if w else 0
             if best >= 0.8:
                 want[i, name] = max(best, want.get((i, name), 0))
-    got = {(r["doc_id"], r["template"]): r["containment"] for r in licenses.scan_licenses(corpus(spark, rows)).collect()}
-    assert got == pytest.approx(want) and len(want) > 20
+    got = {(r["doc_id"], r["template"]): r["containment"] for r in licenses.scan_licenses(corpus(spark, rows).withColumn("template", F.lit("clash")).withColumn("containment", F.lit(2)), templates).collect()}
+    assert got == pytest.approx(want) and len(want) > 30
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(docs, []).count() == 0
+
+
+def test_every_short_notice_is_found(spark):
+    rng = random.Random(11)
+    say = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    short = [t for t in licenses.TEMPLATES if len(t[1].split()) < 10]
+    rows = [(i, " ".join([*say(rng.randrange(0, 40)), short[i % len(short)][1], *say(rng.randrange(0, 40))]), "en", "s") for i in range(2000 * len(short))]
+    got = {(r["doc_id"], r["template"]) for r in licenses.scan_licenses(corpus(spark, rows)).collect()}
+    assert not {(i, short[i % len(short)][0]) for i, *_ in rows} - got
+
+
+def test_bands_keep_the_bound():
+    for n in range(1, 60):
+        size, bands = licenses.shape(n, 0.8)
+        shingle_count = n - size + 1
+        k = math.ceil(0.8 * shingle_count - 1e-9)
+        assert (1 - k / (2 * n - size + 1 + shingle_count - k)) ** bands <= 1.0001e-9
