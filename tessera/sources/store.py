@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder set here if the session has none (tests)."""
+    """spark.checkpoint.dir; on one machine (master local, as in tests) a folder of its own if the session names none."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir("/tmp/checkpoints")
         path = context.getCheckpointDir()
     return path.rstrip("/")
@@ -30,6 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table that written() made. Nothing that is still to be computed may read it."""
+    spark = table.sparkSession
+    base = f"{shared_dir(spark)}/tessera/"
+    files = table.inputFiles()
+    if files and (at := files[0].find("/tessera/")) >= 0:
+        folder = base + files[0][at + len("/tessera/") :].split("/")[0]
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _shipped: set[str] = set()
 
 
