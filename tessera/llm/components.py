@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
+from tessera.sources.store import discard
 
 
 def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -35,8 +36,11 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
     for _ in range(most_rounds):
         if not before[0]:
             break
-        e = written(step(written(step(e, True), "edges"), False), "edges")
+        half = written(step(e, True), "edges")
+        last, e = e, written(step(half, False), "edges")
         now = sign(e)
+        discard(last)  # what it led to is written
+        discard(half)
         if now == before:
             break
         before = now

@@ -12,15 +12,16 @@ choices of its remaining bits, down to keys that leave at most 2^16 different fi
 and none is cut short. Buckets emit the edges of a spanning forest, not all pairs.
 
 Similarity (similar_groups). For a Jaccard similarity of word shingles as low as 0.8, 64-bit fingerprints differ in up
-to a quarter of their bits, too many for the pigeonhole: there, nodes meet in MinHash bands of the same shingles (the
-bands find a pair of similarity 0.8 with a chance of 0.998). A first round pairs each with its bucket's smallest node
-and with its two nearest by bit-sliced comparison, and verifies by exact Jaccard similarity: this links most of what
-belongs together. Buckets whose nodes are then still in several classes are decided whole: every pair of different
+to a quarter of their bits, too many for the pigeonhole: there, nodes meet in MinHash bands of the same shingles (28
+of five rows: they find a pair of similarity 0.8 with a chance of 0.99998). A first round, over some of the bands, pairs
+each with its bucket's smallest node and with its two nearest by bit-sliced comparison, and verifies by exact Jaccard
+similarity: this links most of what belongs together. Of all bands, buckets whose nodes are then still in several classes are decided whole: every pair of different
 classes is verified, after a bound on the similarity (sizes, and bits in which maps of the sets' parities differ) that
 never refuses a pair that reaches it. So whatever shares a band and is similar enough is linked.
 
 Defined cases: no words (null or blank text) gives fingerprint zero and is linked like any other; fewer words than a
-shingle make one shingle; repeated rows get the same class; a null doc_id takes part in linking but never names a
+shingle make one shingle; a very long text is read whole; repeated rows get the same class; nearest fingerprints that tie
+go by node; a null doc_id takes part in linking but never names a
 class; extra columns are ignored (or passed through by keep_representatives); an empty table gives an empty one.
 """
 
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_width, written
+from tessera.llm.common import give_back, shuffle_width, written
 from tessera.llm.components import connected_components
 
 SEED = 42
@@ -118,12 +119,6 @@ def forest(fps: np.ndarray, radius: int, tile: int = 512) -> list[tuple[int, int
                 edges.append((i, int(near[first])))
                 labels[labels == root] = labels[i]
 
-    if n <= 8:
-        for i in range(n):
-            near = [j for j in range(i + 1, n) if int(fps[i] ^ fps[j]).bit_count() <= radius]
-            if near:
-                join(i, np.array(near))
-        return edges
     planes = planes_of(fps)
     last = np.uint64((1 << (n - 1) % 64 + 1) - 1) if n % 64 else FULL
     for at in range(0, n, tile):
@@ -147,8 +142,11 @@ def _keys(fp: Column, radius: int, blocks: int, bits: int = 64) -> list[Column]:
     return out
 
 
-def _bucket_edges(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """rows: keys..., fp. Sorted buckets stream through a task; each is compared within itself."""
+def _bucket_edges(rows: DataFrame, keys: list[str], radius: int, together: int = 1024) -> DataFrame:
+    """rows: keys..., fp. Sorted buckets stream through a task; small ones share a set of planes.
+
+    What is within the radius is linked, of one bucket or not: links are decided by distance alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -166,10 +164,12 @@ def _bucket_edges(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
             cols = [batch.column(k).to_pylist() for k in keys]
             for key, fp in zip(zip(*cols, strict=True), batch.column("fp").to_pylist(), strict=True):
                 if key != at:
-                    x, y = close()
-                    a += x
-                    b += y
-                    at, held = key, []
+                    if len(held) >= together:
+                        x, y = close()
+                        a += x
+                        b += y
+                        held = []
+                    at = key
                 held.append(fp)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         x, y = close()
@@ -218,7 +218,7 @@ def fingerprint_groups(docs: DataFrame, shingle_words: int = 3, radius: int = 2,
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-BANDS, ROWS = 16, 5
+BANDS, ROWS, FIRST = 28, 5, 6  # the first few bands' buckets are paired before all are decided
 
 
 def _minhash_factors() -> tuple[np.ndarray, np.ndarray]:
@@ -243,14 +243,15 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _similar_buckets(nodes: DataFrame) -> DataFrame:
-    """key, node, fp, n, first: the nodes of each band's buckets of two or more."""
-    filed = nodes.select("node", "fp", F.explode("bands").alias("key"))
+    """band, key, node, fp, n, first: the nodes of each band's buckets of two or more."""
+    filed = nodes.select("node", "fp", F.posexplode("bands").alias("band", "key"))
     counts = filed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     return written(filed.join(counts, "key"), "similar-buckets")
 
 
 def _similar_pairs(filed: DataFrame, radius: int, tile: int, nearest: int = 2) -> DataFrame:
     """The first round's pairs a, b of nodes: each with its bucket's smallest, and with its nearest few in its part of the bucket."""
+    filed = filed.where(F.col("band") < FIRST)
     stars = filed.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +296,7 @@ def _similar_pairs(filed: DataFrame, radius: int, tile: int, nearest: int = 2) -
 
 def parities(sets: list[np.ndarray], words: int) -> np.ndarray:
     """A map of 64 * words bits for each set: the parity of the members in each slot. Two maps differ in no more bits than the sets in members."""
-    bits = np.stack([np.bincount(s % np.uint32(64 * words), minlength=64 * words) & 1 for s in sets]).astype(np.uint8)
+    bits = np.stack([np.bincount((s % s.dtype.type(64 * words)).astype(np.int64), minlength=64 * words) & 1 for s in sets]).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
@@ -330,7 +331,7 @@ def _rest_of_buckets(filed: DataFrame, sets: DataFrame, found: DataFrame, simila
     Buckets of the same nodes are decided once. A bucket of more than tile nodes is cut into parts, and each node filed
     under every pair of parts that has its own: tasks take bounded groups, and all parts are compared with each other.
     """
-    members = filed.where("n > 2").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    members = filed.where((F.col("n") > 2) | (F.col("band") >= FIRST)).join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     several = members.groupBy("key", "n").agg(F.expr("min(component) <> max(component)").alias("several"), F.expr("bit_xor(xxhash64(node))").alias("same")).where("several")
     several = several.groupBy("n", "same").agg(F.min("key").alias("key")).select("key")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile))
@@ -347,7 +348,7 @@ def _rest_of_buckets(filed: DataFrame, sets: DataFrame, found: DataFrame, simila
             if len(ids) < 2:
                 return [], []
             across = np.array(parts) if at[1] != at[2] else None
-            edges = similar_forest([np.frombuffer(s, "<u4") for s in held], np.array(labels, np.int64), across, similarity)
+            edges = similar_forest([np.frombuffer(s, "<u8") for s in held], np.array(labels, np.int64), across, similarity)
             return [ids[i] for i, _ in edges], [ids[j] for _, j in edges]
 
         for batch in batches:
@@ -382,6 +383,7 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
                 out.append((xxhash.xxh64_intdigest(b" ".join(words), 1), fingerprint(hashes), band_keys(hashes).view(np.int64)))
             node, fp, bands = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)), pa.array(list(bands), pa.list_(pa.int64()))], ["doc_id", "node", "fp", "bands"])
+        give_back()
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,14 +393,14 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
                 own = int(np.int64(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 1)).astype(np.int64)))
                 if want is None or own == want:
                     node.append(own)
-                    sets.append(np.unique((shingle_hashes(words, shingle_words) >> np.uint64(32)).astype("<u4")).tobytes())
+                    sets.append(np.unique(shingle_hashes(words, shingle_words)).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "s"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
