@@ -11,9 +11,9 @@ A task for each range adds up what the chunks hold and answers each with the tot
 is everywhere is one entry of each chunk, a chunk's answers come back to it alone, and what is shuffled grows with the
 different n-grams of the input. Every training token is counted; no table is capped.
 
-Defined cases: a null text is empty: one end token; with no training text the counts are zero and so is every base
-score; repeated rows are counted and scored each; a null doc_id counts as empty text for folds; extra columns are
-ignored; an empty table gives an empty one. Contexts before the first word are a token of their own that is not counted.
+Defined cases: a null text is empty: one end token; a very long text is read whole, in a chunk of its own; with no training text the counts are zero and so is every base
+score; repeated rows are counted and scored each; a null doc_id counts as empty text for folds; extra columns,
+whatever their names, are ignored; an empty table gives an empty one; scores that tie need no order. Contexts before the first word are a token of their own that is not counted.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from tessera.llm.common import shuffle_width, written
 #: Kinds of what a chunk asks for.
 WORDS, BIGRAMS = 0, 1
 END, BEGIN = np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729DA3ED6D3)
-LAST_BUCKET = 20
+LAST_BUCKET = 48
 CHUNK = "chunk long, tune boolean, n_words long, n_pairs long, doc_ids array<long>, trains binary, sizes binary, words binary, ids binary"
 
 
@@ -235,7 +235,7 @@ def learn(cells: list[tuple[int, int, int, int]], types: int, step: int, rounds:
     return Mixture(weights)
 
 
-def score_texts(docs: DataFrame, held_out: Column, chunk_tokens: int = 1_000_000, tune_share: float = 0.1, range_entries: int = 1_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, chunk_tokens: int = 1_000_000, tune_share: float = 0.1, range_entries: int = 1_000_000, most_tasks: int = 20_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each document; learns from those not held_out."""
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     spark = docs.sparkSession
@@ -244,9 +244,9 @@ def score_texts(docs: DataFrame, held_out: Column, chunk_tokens: int = 1_000_000
     sums = chunks.agg(F.sum("n_words"), F.sum("n_pairs")).first()
     if sums[0] is None:
         return spark.createDataFrame([], schema)
-    # as many ranges as keep a task's entries near range_entries
+    # as many ranges as keep a group's entries near range_entries; beyond most_tasks a task takes several, one after the other
     ranges = {kind: max(1, math.ceil(n / range_entries)) for kind, n in zip((WORDS, BIGRAMS), sums, strict=True)}
-    answers = _answered(_asked(chunks, ranges).repartition(max(shuffle_width(spark), sum(ranges.values())), "kind", "range"))
+    answers = _answered(_asked(chunks, ranges).repartition(min(most_tasks, max(shuffle_width(spark), sum(ranges.values()))), "kind", "range"))
     totals = answers.where("chunk is null").agg(*(F.sum(c) for c in ("n", "v", "n_kept", "v_kept"))).first()
     total, types, total_kept, types_kept = (int(x or 0) for x in totals)
     step = 8

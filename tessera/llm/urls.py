@@ -4,17 +4,19 @@ A host is written backwards, label by label and with a closing dot ("net.example
 its subdomains are one interval of the sorted keys. Pages and rules are cut into ranges of keys at the quantiles of a
 bounded sample; a rule goes to each range that its interval meets. Every range is sorted and swept once with a stack of
 the rules whose intervals are still open; these are nested, so the stack holds what fits the host at hand, and a rule on
-it wins if it is the longest whose path is a prefix of the page's. Pages of one host are dealt over ranges by a hash, so
+it wins if it is the longest whose path is a prefix of the page's: an entry of the stack knows its rules by path and the
+lengths of these, so a page costs as many look-ups as there are different lengths, not rules. Pages of one host are dealt over ranges by a hash, so
 a hot host, even a hot url, is spread over tasks.
 
 Defined cases: a url that is null or has no "://" has empty host and path and fits no rule; repeated rows are judged
 each; rules that tie in length are ordered by the longer host, then block before allow; an empty rule list gives every
-page the default verdict; extra columns are ignored.
+page the default verdict; a very long url is judged whole; extra columns, whatever their names, are ignored; an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -46,24 +48,45 @@ def rules_frame(spark, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in rules], "host string, path string, action string")
 
 
+class Open:
+    """The rules of an open interval's host: by path, and how long their paths are, longest first."""
+
+    def __init__(self, key: str):
+        self.key, self.paths, self.lengths = key, {}, []
+
+    def add(self, host: str, path: str, action: str) -> None:
+        if path not in self.paths or action == "block":  # of rules that tie, block
+            self.paths[path] = (host, action)
+        if (n := -len(path)) not in self.lengths:
+            insort(self.lengths, n)
+
+    def longest(self, path: str) -> str | None:
+        return next((path[:-n] if n else "" for n in self.lengths if -n <= len(path) and (path[:-n] if n else "") in self.paths), None)
+
+
 def _sweep(default: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, stack = None, []  # of (key, rules), each key a prefix of the next
+        at, stack = None, []  # each entry's key is a prefix of the next one's
         for batch in batches:
             out = []
             cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for pid, key, kind, page_id, host, path, action in zip(*cols, strict=True):
                 if pid != at:
                     at, stack = pid, []
-                while stack and not key.startswith(stack[-1][0]):
+                while stack and not key.startswith(stack[-1].key):
                     stack.pop()
                 if kind == 0:
-                    if not stack or stack[-1][0] != key:
-                        stack.append((key, []))
-                    stack[-1][1].append((len(host) + len(path), len(host), action == "block", host + path, path, action))
+                    if not stack or stack[-1].key != key:
+                        stack.append(Open(key))
+                    stack[-1].add(host, path, action)
                     continue
-                best = max((r for _, rules in stack for r in rules if path.startswith(r[4])), default=None) if host else None
-                out.append((page_id, host, path, best and best[3], best[5] if best else default))
+                rule, verdict, most = None, default, (-1, -1)
+                for entry in stack if host else ():
+                    if (p := entry.longest(path)) is not None:
+                        own, action = entry.paths[p]
+                        if (size := (len(own) + len(p), len(own))) > most:
+                            rule, verdict, most = own + p, action, size
+                out.append((page_id, host, path, rule, verdict))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["page_id", "host", "path", "rule", "verdict"])
 

@@ -429,7 +429,31 @@ def test_language_model(spark, docs, empty, chunk):
     want = sorted(((i, h, len(s), sum(counts[w] > 0 for w in s), n, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in s)) for (i, _), h, s in zip(rows, held, said, strict=True)), key=lambda r: (str(r[0]), r[2]))
     assert [tuple(r)[:5] for r in got] == [w[:5] for w in want]
     assert [r["base_score"] for r in got] == pytest.approx([w[5] for w in want])
-    assert all(r["score"] < 0 for r in got)
+    # the mixture by brute force: counts without the tuning texts, the same cells, and every token's three estimates
+    marks = docs.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1000)) < 100).alias("tune")).collect()
+    tunes = [r["tune"] and not h for r, h in zip(marks, held, strict=True)]
+
+    def table(chosen):
+        one, two = collections.Counter(), collections.Counter()
+        for s, c in zip(said, chosen, strict=True):
+            if c:
+                one.update(["<begin>", *s])
+                two.update(zip(["<begin>", *s], s, strict=False))
+        return one, two, sum(k for w, k in one.items() if w != "<begin>"), len(one) - ("<begin>" in one)
+
+    def estimate(s, one, two, n):
+        for a, b in zip(["<begin>", *s], s, strict=False):
+            yield (0 if not one[a] else math.ceil(math.log2(one[a] + 1))), (two[a, b] / one[a] if one[a] else 0.0), one[b] / max(1, n)
+
+    one, two, n_kept, v_kept = table([not h and not t for h, t in zip(held, tunes, strict=True)])
+    cells = collections.Counter()
+    for s, t in zip(said, tunes, strict=True):
+        if t:
+            cells.update((b, *(round(-math.log2(p) * 8) if p else -1 for p in (x, y))) for b, x, y in estimate(s, one, two, n_kept))
+    weights = lm.learn([(*k, c) for k, c in cells.items()], v_kept, 8).weights
+    one, two, n_all, v_all = table([not h for h in held])
+    full = {(str(i), len(s)): sum(math.log10(weights[b] @ [x, y, 1 / (v_all + 1)]) for b, x, y in estimate(s, one, two, n_all)) for (i, _), s in zip(rows, said, strict=True)}
+    assert any(tunes) and [r["score"] for r in got] == pytest.approx([full[str(r["doc_id"]), r["n_tokens"]] for r in got])
     assert lm.score_texts(empty, F.lit(False)).count() == 0
     assert {r["train_tokens"] for r in lm.score_texts(docs, F.lit(True)).collect()} == {0}
 
