@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,22 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 ARGUMENTS = r"\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\)|\([\s\S]*+$"
 
 
+def kept(build: Callable) -> Callable:
+    """Columns that are costly to put together are built once for each application and arguments."""
+    found: dict[tuple, object] = {}
+
+    @wraps(build)
+    def get(*args):
+        from pyspark import SparkContext
+
+        key = (SparkContext._active_spark_context.applicationId, *args)
+        if key not in found:
+            found[key] = build(*args)
+        return found[key]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body with the value computed once, however often it is named there: expressions stay small."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -91,20 +91,42 @@ def winners(found: DataFrame) -> DataFrame:
     return found.groupBy("page_id", "node_id", "prop").agg(F.max_by("value", rank).alias("value"))
 
 
-VAR = re.compile(r"var\(\s*(--[a-zA-Z0-9_-]+)\s*(?:,\s*([^)]*))?\)")
-
-
-def resolve(value: str, env: dict[str, str], depth: int = 0) -> str:
-    """var() references replaced from env, or by their fallback; a cycle is left as it stands after sixteen turns."""
-    if depth > 16 or "var(" not in value:
-        return value
-
-    def one(m: re.Match) -> str:
-        if m[1] in env:
-            return resolve(env[m[1]], env, depth + 1)
-        return "" if m[2] is None else resolve(m[2].strip(), env, depth + 1)
-
-    return VAR.sub(one, value)
+NAME = re.compile(r"\s*(--[a-zA-Z0-9_-]+)\s*")
+MOST_TURNS = 16
+
+
+def reference(text: str, at: int) -> tuple[str, str | None, int] | None:
+    """Of the reference whose "var(" ends at this place: its name, its fallback if it has one, and where it ends."""
+    name = NAME.match(text, at)
+    close = text.find(")", name.end()) if name else -1
+    if close < 0 or text[name.end()] not in ",)":
+        return None
+    return name[1], text[name.end() + 1 : close].strip() if text[name.end()] == "," else None, close + 1
+
+
+def resolve(value: str, env: dict[str, str]) -> str:
+    """References replaced from env, or by their fallbacks, else by nothing.
+
+    A stack of texts that are still to be read, each with the number of replacements it came by; one that came by more
+    than MOST_TURNS, as in a cycle, is left as it stands.
+    """
+    out, unread = [], [(value, 0)]
+    while unread:
+        text, turns = unread.pop()
+        at = text.find("var(") if turns <= MOST_TURNS else -1
+        if at < 0:
+            out.append(text)
+            continue
+        out.append(text[:at])
+        found = reference(text, at + 4)
+        if found is None:
+            out.append("var(")
+            unread.append((text[at + 4 :], turns))
+            continue
+        name, fallback, end = found
+        unread.append((text[end:], turns))
+        unread.append((env.get(name, fallback or ""), turns + 1))
+    return "".join(out)
 
 
 def _with_variables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +136,11 @@ def _with_variables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         out = []
         for chain in batch.column("own").to_pylist():
             style: dict[str, str] = {}
-            for own in chain:
+            for step in chain:
                 now = {k: v for k, v in style.items() if k in inherited or k.startswith("--")}
-                for k, v in own:
+                if step["gap"]:  # between them an ancestor that declares nothing
+                    style = now
+                for k, v in step["own"]:
                     if v.strip().lower() in ("inherit", "unset"):
                         if k in style:
                             now[k] = style[k]
@@ -131,8 +155,10 @@ def _fold(chain: Column) -> Column:
     """The same without variables, in Catalyst. Shorthands are expanded at the end: none of them is inherited."""
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
 
-    def step(style: Column, own: Column) -> Column:
-        passed = F.map_filter(style, lambda k, _: k.isin(INHERITED) | k.startswith("--"))
+    def step(above: Column, one: Column) -> Column:
+        own = one["own"]
+        passed = F.map_filter(above, lambda k, _: k.isin(INHERITED) | k.startswith("--"))
+        style = F.when(one["gap"], passed).otherwise(above)  # between them an ancestor that declares nothing
         taken = F.map_filter(F.transform_values(own, lambda k, v: F.when(F.lower(F.trim(v)).isin("inherit", "unset"), style[k]).otherwise(v)), lambda _, v: v.isNotNull())
         return F.map_concat(F.map_filter(passed, lambda k, _: ~F.map_contains_key(taken, k)), taken)
 
@@ -166,13 +192,14 @@ def computed(nodes: DataFrame, won: DataFrame) -> DataFrame:
     """page_id, node_id, style: every element's resolved properties as a map."""
     elements = nodes.where("kind = 'element'")
     own = won.groupBy("page_id", "node_id").agg(F.map_from_entries(F.collect_list(F.struct("prop", "value"))).alias("own"), F.max(F.col("value").contains("var(")).alias("refers"))
-    up = elements.select("page_id", "node_id", F.explode("path").alias("up"))
-    # ancestors without declarations add nothing; the element itself ends its chain in any case
+    up = elements.select("page_id", "node_id", F.posexplode("path").alias("level", "up"))
+    # ancestors without declarations only keep others from being a parent; the element itself ends its chain in any case
     rows = up.join(own.select("page_id", F.col("node_id").alias("up"), "own", "refers"), ["page_id", "up"], "left").where("own is not null or up = node_id")
     none = F.array().cast("array<struct<key:string,value:string>>")
-    chains = rows.groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("up", F.coalesce(F.map_entries("own"), none).alias("own")))).alias("c"), F.coalesce(F.max("refers"), F.lit(False)).alias("refers"))
-    plain = chains.where("not refers").select("page_id", "node_id", _fold(F.transform("c", lambda x: F.map_from_entries(x["own"]))).alias("style"))
-    special = chains.where("refers").select("page_id", "node_id", F.transform("c", lambda x: F.map_from_entries(x["own"])).alias("own")).mapInArrow(_with_variables, "page_id long, node_id int, style map<string,string>")
+    chains = rows.groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("level", F.coalesce(F.map_entries("own"), none).alias("own")))).alias("c"), F.coalesce(F.max("refers"), F.lit(False)).alias("refers"))
+    steps = F.transform("c", lambda x, i: F.struct(F.map_from_entries(x["own"]).alias("own"), F.coalesce(x["level"] - F.get(F.col("c"), i - 1)["level"] > 1, F.lit(False)).alias("gap")))
+    plain = chains.where("not refers").select("page_id", "node_id", _fold(steps).alias("style"))
+    special = chains.where("refers").select("page_id", "node_id", steps.alias("own")).mapInArrow(_with_variables, "page_id long, node_id int, style map<string,string>")
     styles = plain.unionByName(special).select("page_id", "node_id", expanded(F.col("style")).alias("style"))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     return elements.select("page_id", "node_id").join(styles, ["page_id", "node_id"], "left").select("page_id", "node_id", F.coalesce("style", empty).alias("style"))

@@ -21,7 +21,14 @@ def text_tag(tag: str | None) -> bool:
 
 def only_text(row: dict, kids: dict[int, list[dict]]) -> bool:
     """Whether all that a node holds is text, line breaks, and text tags of which the same is true."""
-    return all(c["kind"] == "text" or c["kind"] == "element" and (c["tag"] == "br" or text_tag(c["tag"]) and only_text(c, kids)) for c in kids.get(row["node_id"], []))
+    work = [row]
+    while work:
+        for c in kids.get(work.pop()["node_id"], []):
+            if c["kind"] == "element" and text_tag(c["tag"]):
+                work.append(c)
+            elif c["kind"] != "text" and c["tag"] != "br":
+                return False
+    return True
 
 
 def drawn(nodes: DataFrame) -> DataFrame:
@@ -59,25 +66,3 @@ def layer_name(fallback: Column | None = None) -> Column:
     given = F.lit(None).cast("string") if fallback is None else F.when(fallback != "", fallback)
     ident = F.when(F.col("attrs")["id"] != "", F.col("attrs")["id"])
     return F.coalesce(title_case(first), title_case(ident), given, F.when(F.col("tag").isin(SEMANTIC), title_case(F.col("tag"))), F.col("tag"))
-
-
-def node_types(nodes: DataFrame, styles: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
-    """page_id, node_id, ir_type of what is drawn; bare text that stands in a frame is TEXT, as are text tags that hold text alone."""
-    shown = drawn(nodes)
-    facts = shown.where("kind = 'element'").join(styles, ["page_id", "node_id"]).join(text_only(shown), ["page_id", "node_id"]).join(inner_text(shown), ["page_id", "node_id"]).drop(shown["text"])
-    style = F.col("style")
-    shot = F.lit(False)
-    if snapshots is not None:
-        facts = facts.join(snapshots.select("page_id", F.col("sid").alias("__sid"), F.lit(True).alias("__shot")), (facts["page_id"] == snapshots["page_id"]) & (F.col("attrs")["data-c2f-sid"] == F.col("__sid")), "left").drop(snapshots["page_id"])
-        shot = F.coalesce(F.col("__shot") & (F.col("attrs")["data-c2f"] == "snapshot"), F.lit(False))
-    container = F.coalesce(F.lower(style["display"]).isin(CONTAINERS), F.lit(False))
-    texty = F.col("tag").isin(TEXT_TAGS) & F.col("text_only") & ~container & ~css.box_styling(style) & (F.col("text") != "")
-    kind = F.when(shot | (F.col("tag") == "img"), "IMAGE").when(F.col("tag") == "svg", "VECTOR").when(F.col("tag") == "br", F.lit(None).cast("string")).when(texty, "TEXT").otherwise("FRAME")
-    kinds = facts.select("page_id", "node_id", "path", kind.alias("ir_type"))
-    # what stands in a node that isn't a frame belongs to it
-    closed = kinds.where("ir_type is null or ir_type <> 'FRAME'").select("page_id", F.col("node_id").alias("a"))
-    inner = shown.select("page_id", "node_id", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("a")).join(closed, ["page_id", "a"], "left_semi").select("page_id", "node_id").distinct()
-    bodies = shown.where("tag = 'body'").groupBy("page_id").agg(F.min("node_id").alias("body"), F.max("last_id").alias("body_end"))
-    bare = shown.where("kind = 'text'").where(trimmed(F.col("text")) != "").select("page_id", "node_id", "path", F.lit("TEXT").alias("ir_type"))
-    out = kinds.where("ir_type is not null").unionByName(bare).join(inner, ["page_id", "node_id"], "left_anti")
-    return out.join(bodies, "page_id").where("node_id >= body and node_id <= body_end").select("page_id", "node_id", "ir_type")

@@ -1,11 +1,17 @@
 """Repeated subtrees as components: hashing, grouping, planning, instances and overrides.
 
-A subtree's hash comes from one aggregation: every node hands its own print, with its depth below, to each ancestor; in
-document order these fix the tree. No recursion, and no join but equi-joins within a page.
+A subtree's hash is built from below: of a node's own print and its children's hashes, one pass over a page's nodes in
+reverse document order. Only a subtree that repeats has its shape spelled out, once a page, to order what is equally
+frequent. The rest is equi-joins within a page, of what repeats alone.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +31,46 @@ def own_print() -> Column:
 
 
 def subtree_hashes(placed: DataFrame) -> DataFrame:
-    """page_id, node_id, hash of every frame's subtree. placed: design nodes with ir_path."""
-    rows = placed.select("page_id", "node_id", F.size("ir_path").alias("depth"), own_print().alias("p"), F.posexplode("ir_path").alias("level", "a"))
-    prints = rows.groupBy("page_id", F.col("a").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("node_id", (F.col("depth") - F.col("level")).alias("below"), "p"))).alias("s"))
-    hashed = prints.select("page_id", "node_id", F.to_json(F.transform("s", lambda x: F.struct(x["below"].alias("d"), x["p"].alias("p")))).alias("shape"))
-    hashed = hashed.withColumn("hash", F.sha2("shape", 256))
-    return hashed.join(placed.where("ir_type = 'FRAME'").select("page_id", "node_id"), ["page_id", "node_id"])
+    """page_id, node_id, hash of every frame's subtree, shape (where a hash that repeats on its page occurs first). placed: design nodes with parent_ir."""
+
+    def fold(page: pa.Table) -> pa.Table:
+        page = page.sort_by("node_id")
+        ids, parents, types, prints = (page[c].to_pylist() for c in ("node_id", "parent_ir", "ir_type", "p"))
+        at = {n: i for i, n in enumerate(ids)}
+        below: list[list[int]] = [[] for _ in ids]
+        hashes = [b""] * len(ids)
+        for i in range(len(ids) - 1, -1, -1):
+            h = hashlib.sha256(prints[i].encode())
+            for c in reversed(below[i]):
+                h.update(hashes[c])
+            hashes[i] = h.digest()
+            if (up := at.get(parents[i])) is not None:
+                below[up].append(i)
+        frames = [i for i, t in enumerate(types) if t == "FRAME"]
+        counts = Counter(hashes[i] for i in frames)
+        told, shapes = set(), []
+        for i in frames:
+            shape = None
+            if counts[hashes[i]] > 1 and hashes[i] not in told:
+                told.add(hashes[i])
+                rows, work = [], [(i, 0)]
+                while work:
+                    n, depth = work.pop()
+                    rows.append({"d": depth, "p": prints[n]})
+                    work += [(c, depth + 1) for c in below[n]]
+                shape = json.dumps(rows, separators=(",", ":"), ensure_ascii=False)
+            shapes.append(shape)
+        n = len(frames)
+        return pa.Table.from_arrays([pa.array([page["page_id"][0].as_py()] * n, pa.int64()), pa.array([ids[i] for i in frames], pa.int32()), pa.array([hashes[i].hex() for i in frames], pa.string()), pa.array(shapes, pa.string())], ["page_id", "node_id", "hash", "shape"])
+
+    rows = placed.select("page_id", "node_id", "parent_ir", "ir_type", own_print().alias("p"))
+    return rows.groupBy("page_id").applyInArrow(fold, "page_id long, node_id int, hash string, shape string")
 
 
 def plan(placed: DataFrame, threshold: int = 3) -> tuple[DataFrame, DataFrame]:
     """components (page_id, hash, rank, component_id, name, master, occurrences) and instances (page_id, node_id, hash, instance_id, ...)."""
     hashes = subtree_hashes(placed)
-    counts = hashes.groupBy("page_id", "hash").agg(F.count("*").alias("all_occurrences"), F.first("shape").alias("shape")).where(F.col("all_occurrences") >= threshold if threshold > 0 else F.lit(False))
+    counts = hashes.groupBy("page_id", "hash").agg(F.count("*").alias("all_occurrences"), F.max("shape").alias("shape")).where(F.col("all_occurrences") >= threshold if threshold > 0 else F.lit(False))
     candidates = hashes.select("page_id", "node_id", "hash").join(counts, ["page_id", "hash"]).join(placed.select("page_id", "node_id", "ir_path", "name"), ["page_id", "node_id"])
     # within another candidate: not an occurrence of its own
     above = candidates.select("page_id", F.col("node_id").alias("a"))
@@ -71,14 +105,9 @@ def unique_ids(groups: DataFrame) -> DataFrame:
 
 
 def relative_paths(placed: DataFrame, roots: DataFrame) -> DataFrame:
-    """page_id, top, node_id, rel, types: each node below a root (page_id, top) by its place: ordinals from the root down, and the kinds on the way."""
-    rows = placed.select("page_id", "node_id", "ir_path", F.explode("ir_path").alias("top")).join(roots, ["page_id", "top"])
-    steps = rows.select("page_id", "node_id", "top", F.posexplode("ir_path").alias("level", "step")).where("step > top")
-    places = placed.select("page_id", F.col("node_id").alias("step"), "ord", "ir_type")
-    below = steps.join(places, ["page_id", "step"]).groupBy("page_id", "top", "node_id").agg(F.array_sort(F.collect_list(F.struct("level", "ord", "ir_type"))).alias("w"))
-    kinds = {"TEXT": "text", "IMAGE": "image", "VECTOR": "vector", "INSTANCE": "instance"}
-    word = lambda t: F.coalesce(*(F.when(t == k, v) for k, v in kinds.items()), F.lit("frame"))
-    return below.select("page_id", "top", "node_id", F.array_join(F.transform("w", lambda x: F.concat_ws("-", word(x["ir_type"]), x["ord"])), ".").alias("rel"))
+    """page_id, top, node_id, rel: each node below a root (page_id, top) by its place: ordinals from the root down, and the kinds on the way."""
+    rows = placed.select("page_id", "node_id", "ir_steps", F.posexplode("ir_path").alias("level", "top")).where("node_id <> top").join(roots, ["page_id", "top"])
+    return rows.select("page_id", "top", "node_id", F.array_join(F.slice("ir_steps", F.col("level") + 2, F.size("ir_steps")), ".").alias("rel"))
 
 
 def masters(placed: DataFrame, components: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import css
-from tessera.functions.text import let, number, trimmed
+from tessera.functions.text import kept, let, number, trimmed
 from tessera.operators import classify
 
 PAINT = "struct<type:string,color:struct<r:double,g:double,b:double,a:double>,gradient:string>"
@@ -94,17 +94,11 @@ def clips(style: Column) -> Column:
     return css.lowered(F.coalesce(style["overflow"], F.lit(""))).isin("hidden", "clip", "scroll", "auto")
 
 
-def text_runs(nodes: DataFrame, styles: DataFrame, kinds: DataFrame, **context) -> DataFrame:
-    """page_id, node_id, characters, runs: a TEXT's words with blanks collapsed across its inline elements, and their spans.
+def text_runs(segments: Column, **context) -> Column:
+    """characters and runs of a TEXT: its words with blanks collapsed across its inline elements, and their spans.
 
-    runs is null where there is one, or where all look the same.
+    segments: struct<t, style> in document order. runs is null where there is one, or where all look the same.
     """
-    texts = kinds.where("ir_type = 'TEXT'").select("page_id", F.col("node_id").alias("a"))
-    pieces = nodes.where("kind = 'text' or tag = 'br'").select("page_id", "node_id", F.when(F.col("tag") == "br", "\n").otherwise(F.col("text")).alias("t"), F.col("parent_id").alias("p"), F.explode("path").alias("a"))
-    pieces = pieces.where("a <> node_id").join(texts, ["page_id", "a"])
-    look = styles.select("page_id", F.col("node_id").alias("p"), css.text_style(F.col("style"), **context).alias("text_style"), css.text_fill(F.col("style")).alias("fill"))
-    rows = pieces.join(look, ["page_id", "p"])
-    ordered = rows.groupBy("page_id", F.col("a").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("node_id", "t", "text_style", "fill"))).alias("s"))
     run = f"struct<start:int,end:int,text_style:{css.TEXT_STYLE},fill:{css.COLOR}>"
 
     def step(state: Column, seg: Column) -> Column:
@@ -112,52 +106,61 @@ def text_runs(nodes: DataFrame, styles: DataFrame, kinds: DataFrame, **context)
         had = state["chars"]
         text = F.when((had == "") | had.endswith(" "), F.regexp_replace(text, "^ ", "")).otherwise(text)
         n = F.length(had)
-        added = F.array(F.struct(n.alias("start"), (n + F.length(text)).alias("end"), seg["text_style"].alias("text_style"), seg["fill"].alias("fill")).cast(run))
-        return F.struct(F.concat(had, text).alias("chars"), F.when(text == "", state["runs"]).otherwise(F.concat(state["runs"], added)).alias("runs"))
-
-    folded = F.aggregate("s", F.struct(F.lit("").alias("chars"), F.array().cast(f"array<{run}>").alias("runs")), step)
-    done = ordered.select("page_id", "node_id", folded.alias("f")).select("page_id", "node_id", F.rtrim("f.chars").alias("characters"), F.col("f.runs").alias("runs"))
-    cut = F.filter(F.transform("runs", lambda r: F.struct(r["start"].alias("start"), F.least(r["end"], F.length("characters")).alias("end"), r["text_style"].alias("text_style"), r["fill"].alias("fill"))), lambda r: r["start"] < r["end"])
-    looks = F.size(F.array_distinct(F.transform(cut, lambda r: F.struct(r["text_style"], r["fill"]))))
-    return done.select("page_id", "node_id", "characters", F.when(looks > 1, cut).alias("runs"))
-
-
-def units(nodes: DataFrame, styles: DataFrame, viewport_width: float, viewport_height: float) -> tuple[DataFrame, dict]:
-    """Per page the root's font size, and what lengths are read against."""
-    root = nodes.where("parent_id is null").select("page_id", "node_id").join(styles, ["page_id", "node_id"])
-    return root.select("page_id", F.coalesce(css.pixels(F.col("style")["font-size"]), F.lit(16.0)).alias("root_font")), {"root_font_size": F.col("root_font"), "viewport_width": viewport_width, "viewport_height": viewport_height}
-
-
-def ir_nodes(nodes: DataFrame, styles: DataFrame, kinds: DataFrame, boxes: DataFrame | None = None, viewport_width: float = 1440.0, viewport_height: float = 900.0) -> DataFrame:
-    """A row for each design node: where it stands, what it is, and how it is drawn."""
-    roots, context = units(nodes, styles, viewport_width, viewport_height)
-    style = F.col("style")
-    parent_style = styles.select("page_id", F.col("node_id").alias("parent_id"), F.col("style").alias("parent_style"))
-    base = kinds.join(nodes.select("page_id", "node_id", "parent_id", "path", "kind", "tag", "attrs", "text", "last_id"), ["page_id", "node_id"]).join(roots, "page_id")
-    base = base.join(styles, ["page_id", "node_id"], "left").join(parent_style, ["page_id", "parent_id"], "left")
-    runs = text_runs(nodes, styles.join(roots, "page_id"), kinds, **context)
-    base = base.join(runs, ["page_id", "node_id"], "left")
-    if boxes is not None:
-        base = base.join(boxes, ["page_id", "node_id"], "left")
+        added = let(text, lambda t: F.struct(F.concat(had, t).alias("chars"), F.when(t == "", state["runs"]).otherwise(F.concat(state["runs"], F.array(F.struct(n.alias("start"), (n + F.length(t)).alias("end"), seg["text_style"].alias("text_style"), seg["fill"].alias("fill")).cast(run)))).alias("runs")))
+        return added
+
+    def finish(f: Column) -> Column:
+        chars = F.rtrim(f["chars"])
+        cut = F.filter(F.transform(f["runs"], lambda r: F.struct(r["start"].alias("start"), F.least(r["end"], F.length(chars)).alias("end"), r["text_style"].alias("text_style"), r["fill"].alias("fill"))), lambda r: r["start"] < r["end"])
+        return let(cut, lambda c: F.struct(chars.alias("characters"), F.when(F.size(F.array_distinct(F.transform(c, lambda r: F.struct(r["text_style"], r["fill"])))) > 1, c).alias("runs")))
+
+    looks = F.transform(segments, lambda s: F.struct(s["t"].alias("t"), css.text_style(s["style"], **context).alias("text_style"), css.text_fill(s["style"]).alias("fill")))
+    folded = F.aggregate(looks, F.struct(F.lit("").alias("chars"), F.array().cast(f"array<{run}>").alias("runs")), step)
+    return F.when(F.size(segments) > 0, let(folded, finish))
+
+
+def ir_nodes(rows: DataFrame, viewport_width: float = 1440.0, viewport_height: float = 900.0, geometry: bool = True) -> DataFrame:
+    """A row for each design node: where it stands, what it is, and how it is drawn. rows: page_nodes."""
+    shown = rows.where("ir_type is not null").withColumn("root_px", _root_px())
+    for name, column in _prepared(viewport_width, viewport_height, geometry):
+        shown = shown.withColumn(name, column)
+    return shown.select(*_drawn(viewport_width, viewport_height))
+
+
+@kept
+def _root_px() -> Column:
+    return F.coalesce(css.pixels(F.col("root_font")), F.lit(16.0))
+
+
+def _context(viewport_width: float, viewport_height: float) -> dict:
+    return {"root_font_size": F.col("root_px"), "viewport_width": viewport_width, "viewport_height": viewport_height}
+
+
+@kept
+def _prepared(viewport_width: float, viewport_height: float, geometry: bool) -> list[tuple[str, Column]]:
+    """Where a node stands, what it says, and the style of its text."""
+    place = F.lit(None).cast(GEOMETRY)
+    if geometry:
         zero = lambda c: F.coalesce(c, F.lit(0.0))
-        body = F.col("tag") == "body"
-        box = F.struct(F.when(body, 0.0).otherwise(zero(F.col("x"))).alias("x"), F.when(body, 0.0).otherwise(zero(F.col("y"))).alias("y"), zero(F.col("width")).alias("width"), zero(F.col("height")).alias("height"))
-        geometry = F.when(F.col("kind") == "element", box).cast(GEOMETRY)
-    else:
-        geometry = F.lit(None).cast(GEOMETRY)
-    base = base.withColumn("geometry", geometry)
-    bare = F.col("kind") == "text"
-    own = F.when(bare, F.col("parent_style")).otherwise(style)
-    frame, text = F.col("ir_type") == "FRAME", F.col("ir_type") == "TEXT"
-    characters = F.when(bare, trimmed(F.col("text"))).otherwise(F.col("characters"))
+        body, box = F.col("tag") == "body", F.col("box")
+        corner = lambda c: F.when(body, 0.0).otherwise(zero(c))
+        place = F.when(F.col("kind") == "element", F.struct(corner(box["x"]).alias("x"), corner(box["y"]).alias("y"), zero(box["width"]).alias("width"), zero(box["height"]).alias("height"))).cast(GEOMETRY)
+    return [("geometry", place), ("said", text_runs(F.col("segments"), **_context(viewport_width, viewport_height))), ("look", F.coalesce("own_style", "style"))]
+
+
+@kept
+def _drawn(viewport_width: float, viewport_height: float) -> list:
+    context, style, bare = _context(viewport_width, viewport_height), F.col("style"), F.col("kind") == "text"
+    own, frame, text = F.col("look"), F.col("ir_type") == "FRAME", F.col("ir_type") == "TEXT"
+    characters = F.when(bare, trimmed(F.col("text"))).otherwise(F.col("said.characters"))
     fills = F.when(frame, background_fills(style)).when(text, F.array(solid(css.text_fill(own)))).otherwise(F.array().cast(f"array<{PAINT}>"))
     bordered = lambda s: F.when(s.isNotNull(), F.array(F.struct(s["color"].alias("color"), s["weight"].alias("weight"), F.lit("INSIDE").alias("align")).cast(STROKE))).otherwise(F.array().cast(f"array<{STROKE}>"))
     strokes = F.when(frame, let(css.stroke(style, **context), bordered)).otherwise(F.array().cast(f"array<{STROKE}>"))
     no_effects = F.array().cast(f"array<{css.EFFECT}>")
     radius = css.corner_radius(style["border-radius"], F.coalesce(F.col("geometry.width"), F.lit(0.0)), F.coalesce(F.col("geometry.height"), F.lit(0.0)), **context)
-    fallback = F.when(text, F.substring("characters", 1, 32)).when(F.col("tag") == "img", F.col("attrs")["alt"])
-    name = F.when(bare, F.substring(trimmed(F.col("text")), 1, 32)).otherwise(classify.layer_name(fallback))
-    return base.select(
+    fallback = F.when(text, short_name(F.col("said.characters"))).when(F.col("tag") == "img", F.col("attrs")["alt"])
+    name = F.when(bare, short_name(trimmed(F.col("text")))).otherwise(classify.layer_name(fallback))
+    return [
         "page_id", "node_id", "last_id", "ir_type", "path", "tag", name.alias("name"), "geometry",
         F.when(bare, 1.0).otherwise(css.opacity(F.coalesce(style["opacity"], F.lit("1")))).alias("opacity"),
         F.when(frame, css.rotation(style["transform"])).alias("rotation"),
@@ -165,20 +168,36 @@ def ir_nodes(nodes: DataFrame, styles: DataFrame, kinds: DataFrame, boxes: DataF
         F.when(~bare, child_layout(F.col("parent_style"), style)).alias("child_layout"),
         fills.alias("fills"), strokes.alias("strokes"), F.when(frame, css.effects(style)).otherwise(no_effects).alias("effects"),
         F.when(frame, radius).alias("corner_radius"), F.when(frame, clips(style)).alias("clips_content"),
-        F.when(text, characters).alias("characters"), F.when(text, css.text_style(own, **context)).alias("text_style"), F.when(text & ~bare, F.col("runs")).alias("runs"),
+        F.when(text, characters).alias("characters"), F.when(text, css.text_style(own, **context)).alias("text_style"), F.when(text & ~bare, F.col("said.runs")).alias("runs"),
         F.when(F.col("ir_type") == "IMAGE", F.coalesce(F.col("attrs")["src"], F.lit(""))).alias("image_ref"),
         F.lit(None).cast("string").alias("vector_path"), F.lit(None).cast("string").alias("svg_source"),
-    )
+        "parent_ir", "ir_path", "ord", "ir_steps",
+    ]
+
+
+def short_name(c: Column) -> Column:
+    """The first 32 UTF-16 units, as scripts count: a character beyond the first plane has two, and isn't cut."""
+    units = lambda s: F.length(s) + F.length(F.regexp_replace(s, "[^\\x{10000}-\\x{10FFFF}]", ""))
+    return F.when(units(c) == F.length(c), F.substring(c, 1, 32)).otherwise(let(F.substring(c, 1, 32), lambda s: F.get(F.filter(F.transform(F.sequence(F.length(s), F.lit(0), F.lit(-1)), lambda n: F.substring(s, F.lit(1), n)), lambda t: units(t) <= 32), 0)))
 
 
 def ir_parents(ir: DataFrame) -> DataFrame:
-    """ir with parent_ir (the nearest design node above, null for the root) and its place among its siblings."""
+    """ir with parent_ir (the nearest design node above, null for the root), ir_path, its place among its siblings (ord) and the steps to it.
+
+    Rows that come from page_nodes have these already.
+    """
+    if "ir_steps" in ir.columns:
+        return ir
     own = ir.select("page_id", F.col("node_id").alias("up"))
     up = ir.select("page_id", "node_id", F.explode("path").alias("up")).where("up <> node_id").join(own, ["page_id", "up"])
     nearest = up.groupBy("page_id", "node_id").agg(F.max("up").alias("parent_ir"), F.array_sort(F.collect_list("up")).alias("ir_path"))
     out = ir.join(nearest, ["page_id", "node_id"], "left")
     out = out.withColumn("ir_path", F.concat(F.coalesce("ir_path", F.array().cast("array<int>")), F.array("node_id")))
-    return out.withColumn("ord", (F.row_number().over(Window.partitionBy("page_id", "parent_ir").orderBy("node_id")) - 1).cast("int"))
+    out = out.withColumn("ord", (F.row_number().over(Window.partitionBy("page_id", "parent_ir").orderBy("node_id")) - 1).cast("int"))
+    step = F.concat_ws("-", F.when(F.col("ir_type").isin("TEXT", "IMAGE", "VECTOR", "INSTANCE"), F.lower("ir_type")).otherwise("frame"), "ord").alias("step")
+    steps = out.select("page_id", F.col("node_id").alias("up"), step)
+    below = out.select("page_id", "node_id", F.posexplode("ir_path").alias("level", "up")).join(steps, ["page_id", "up"]).groupBy("page_id", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "step"))), lambda x: x["step"]).alias("ir_steps"))
+    return out.join(below, ["page_id", "node_id"])
 
 
 def ir_ids(ir: DataFrame) -> DataFrame:

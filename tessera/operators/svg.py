@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import css
-from tessera.functions.text import number, number_text
+from tessera.functions.text import kept, number, number_text
 from tessera.operators.nodes import PAINT, STROKE, solid
 
 #: Fixed value: the length of a control arm that makes a cubic follow a quarter of a circle.
@@ -158,6 +158,18 @@ def normalized(paths: DataFrame, column: str, out: str) -> DataFrame:
     return paths.mapInArrow(run, StructType([*paths.schema.fields, StructField(out, StringType())]))
 
 
+@kept
+def _raw_path() -> Column:
+    return shape_path(F.col("tag"), F.col("attrs"))
+
+
+@kept
+def _paint(name: str) -> Column:
+    own = F.coalesce(F.col("attrs")[name], F.col("svg_attrs")[name])
+    shown = F.when(F.lower(own) == "currentcolor", F.col("current")).otherwise(own)
+    return F.when(shown != "none", css.color(shown))
+
+
 def shapes(nodes: DataFrame, styles: DataFrame) -> DataFrame:
     """page_id, svg_id, node_id, idx, path, fills, strokes: the shapes of each drawing in document order.
 
@@ -165,15 +177,9 @@ def shapes(nodes: DataFrame, styles: DataFrame) -> DataFrame:
     """
     svg = nodes.where("tag = 'svg'").select("page_id", F.col("node_id").alias("svg_id"), F.col("attrs").alias("svg_attrs")).join(styles.select("page_id", F.col("node_id").alias("svg_id"), F.col("style")["color"].alias("current")), ["page_id", "svg_id"], "left")
     inner = nodes.where(F.col("tag").isin(SHAPES)).select("page_id", "node_id", "tag", "attrs", F.explode("path").alias("svg_id")).join(svg, ["page_id", "svg_id"])
-    drawn = inner.withColumn("raw_path", shape_path(F.col("tag"), F.col("attrs"))).where(F.col("raw_path").isNotNull())
-
-    def paint(name: str) -> Column:
-        own = F.coalesce(F.col("attrs")[name], F.col("svg_attrs")[name])
-        shown = F.when(F.lower(own) == "currentcolor", F.col("current")).otherwise(own)
-        return F.when(shown != "none", css.color(shown))
-
+    drawn = inner.withColumn("raw_path", _raw_path()).where(F.col("raw_path").isNotNull())
     weight = F.coalesce(*(F.when(a["stroke-width"].isNotNull(), number(a["stroke-width"])) for a in (F.col("attrs"), F.col("svg_attrs"))), F.lit(1.0))
-    drawn = drawn.withColumn("fill_color", paint("fill")).withColumn("stroke_color", paint("stroke"))
+    drawn = drawn.withColumn("fill_color", _paint("fill")).withColumn("stroke_color", _paint("stroke"))
     rows = drawn.select(
         "page_id", "svg_id", "node_id", "raw_path",
         F.when(F.col("fill_color").isNotNull(), F.array(solid(F.col("fill_color")))).otherwise(F.array().cast(f"array<{PAINT}>")).alias("fills"),
@@ -218,8 +224,9 @@ def sources(nodes: DataFrame, styles: DataFrame) -> DataFrame:
 
 def vectors(ir: DataFrame, drawn: DataFrame, markup: DataFrame) -> DataFrame:
     """ir with its drawings: none or one shape stays a VECTOR; more become a FRAME that holds one VECTOR each."""
+    others = ir.where("ir_type <> 'VECTOR'")
     counts = drawn.groupBy("page_id", F.col("svg_id").alias("node_id")).agg(F.count("*").alias("n"), F.min_by(F.struct("path", "fills", "strokes"), "idx").alias("one"))
-    flagged = ir.join(counts, ["page_id", "node_id"], "left").join(markup.withColumnRenamed("svg_source", "markup"), ["page_id", "node_id"], "left")
+    flagged = ir.where("ir_type = 'VECTOR'").join(counts, ["page_id", "node_id"], "left").join(markup.withColumnRenamed("svg_source", "markup"), ["page_id", "node_id"], "left")
     vector = F.col("ir_type") == "VECTOR"
     single, many = vector & (F.col("n") == 1), vector & (F.col("n") > 1)
     set_to = {
@@ -228,14 +235,16 @@ def vectors(ir: DataFrame, drawn: DataFrame, markup: DataFrame) -> DataFrame:
         "fills": F.when(single, F.col("one.fills")).otherwise(F.col("fills")),
         "strokes": F.when(single, F.col("one.strokes")).otherwise(F.col("strokes")),
         "svg_source": F.when(vector & F.col("n").isNotNull(), F.col("markup")).otherwise(F.col("svg_source")),
+        "ir_steps": F.when(many, F.concat(F.slice("ir_steps", F.lit(1), F.size("ir_steps") - 1), F.array(F.concat_ws("-", F.lit("frame"), "ord")))).otherwise(F.col("ir_steps")),
     }
     base = flagged.select(*(set_to.get(c, F.col(c)).alias(c) for c in ir.columns))
-    owners = flagged.where(many).select("page_id", F.col("node_id").alias("svg_id"), F.col("path").alias("up"), "geometry", "opacity")
+    owners = flagged.where(many).select("page_id", F.col("node_id").alias("svg_id"), F.col("path").alias("up"), "geometry", "opacity", F.col("ir_path").alias("ir_up"), set_to["ir_steps"].alias("steps"))
     inner = drawn.join(owners, ["page_id", "svg_id"])
     types = dict(ir.dtypes)
     values = {
         "page_id": F.col("page_id"), "node_id": F.col("node_id"), "last_id": F.col("node_id"), "ir_type": F.lit("VECTOR"), "path": F.concat("up", F.array("node_id")), "name": F.concat(F.lit("Path "), F.col("idx") + 1), "opacity": F.col("opacity"),
         "geometry": F.when(F.col("geometry").isNotNull(), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("geometry.width").alias("width"), F.col("geometry.height").alias("height"))),
         "fills": F.col("fills"), "strokes": F.col("strokes"), "effects": F.array(), "vector_path": F.col("path"),
+        "parent_ir": F.col("svg_id"), "ir_path": F.concat("ir_up", F.array("node_id")), "ord": F.col("idx"), "ir_steps": F.concat("steps", F.array(F.concat_ws("-", F.lit("vector"), "idx"))),
     }
-    return base.unionByName(inner.select(*(values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in ir.columns)))
+    return others.unionByName(base).unionByName(inner.select(*(values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in ir.columns)))

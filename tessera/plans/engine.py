@@ -1,8 +1,9 @@
 """Pages to design documents, stage by stage.
 
-Everything after the parse is keyed by page_id; within a stage, joins, aggregations and windows keep the partitioning by
-it. What several stages use (nodes, styles, design nodes, the tree after detection) is written to the shared folder once,
-in columns, so that a later stage reads just those it needs and nothing is computed twice.
+What a page decides alone (parse, cascade, kinds, geometry, design nodes) is one stage without a shuffle; only detection
+and what follows it are keyed by page_id. What several stages use (a page's nodes, design nodes, the tree after detection)
+is written to the shared folder once, in columns, so that a later stage reads just those it needs and nothing is computed
+twice.
 """
 
 from __future__ import annotations
@@ -10,22 +11,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import cascade, classify, components, nodes, svg, tokens
-from tessera.operators import layout as geometry
+from tessera.operators import components, nodes, page, svg, tokens
 from tessera.sources import css as css_source
 from tessera.sources import html as html_source
 from tessera.sources.store import ship, written
 
 
-def configured(spark: SparkSession) -> SparkSession:
-    """Lets rows that are dealt by page_id alone join on page_id and more without a second shuffle."""
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    return spark
-
-
 @dataclass
 class Options:
     name: str = "Page"
@@ -49,37 +43,52 @@ class Document:
     pages: DataFrame
     options: Options = field(default_factory=Options)
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """All that a page decides alone, in one stage: see operators.page."""
+        o = self.options
+        pages, linked = self.pages, None
+        if o.stylesheets is not None:  # what each page's links name, by href
+            links = css_source.link_nodes(written(html_source.dom_nodes(pages), "dom")).where("status = 'ok'").join(o.stylesheets.select(F.col("path").alias("href"), "css"), "href")
+            named = links.groupBy("page_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("href", "css")))).alias("__linked"))
+            pages, linked = pages.join(named, "page_id", "left"), "__linked"
+        return written(page.page_nodes(pages, o.viewport_width, o.viewport_height, o.layout, linked, o.snapshots, o.measurements), "page-nodes")
+
     @cached_property
     def dom(self) -> DataFrame:
+        if "nodes" in self.__dict__:
+            return self.nodes.select("page_id", *(n for n, _ in html_source.NODE_FIELDS))
         return written(html_source.dom_nodes(self.pages), "dom")
 
     @cached_property
     def rules(self) -> DataFrame:
         return written(css_source.css_rules(css_source.stylesheets(self.dom, self.options.stylesheets)), "rules")
 
-    @cached_property
+    @property
+    def matches(self) -> DataFrame:
+        return self.nodes.select("page_id", "node_id", F.inline("matched"))
+
+    @property
     def winners(self) -> DataFrame:
-        return written(cascade.winners(cascade.candidates(self.dom, self.rules)), "winners")
+        return self.nodes.select("page_id", "node_id", F.explode("won").alias("prop", "value"))
 
-    @cached_property
+    @property
     def styles(self) -> DataFrame:
-        return written(cascade.computed(self.dom, self.winners), "styles")
+        return self.nodes.where("kind = 'element'").select("page_id", "node_id", "style")
 
-    @cached_property
+    @property
     def kinds(self) -> DataFrame:
-        return written(classify.node_types(self.dom, self.styles, self.options.snapshots), "kinds")
+        return self.nodes.where("ir_type is not null").select("page_id", "node_id", "ir_type")
 
-    @cached_property
+    @property
     def boxes(self) -> DataFrame | None:
-        o = self.options
-        return written(geometry.layout(self.dom, self.styles, o.viewport_width, o.viewport_height, o.measurements), "boxes") if o.layout else None
+        return self.nodes.where("box is not null").select("page_id", "node_id", "box.*") if self.options.layout else None
 
     @cached_property
     def ir(self) -> DataFrame:
         o = self.options
-        plain = nodes.ir_nodes(self.dom, self.styles, self.kinds, self.boxes, o.viewport_width, o.viewport_height)
-        plain = written(plain, "plain-nodes")
-        drawn = svg.vectors(plain, svg.shapes(self.dom, self.styles), svg.sources(self.dom, self.styles))
+        plain = nodes.ir_nodes(self.nodes, o.viewport_width, o.viewport_height, o.layout)
+        drawn = svg.vectors(plain, svg.shapes(self.nodes, self.styles), svg.sources(self.nodes, self.styles))
         shown = drawn if o.snapshots is None else self._pictured(drawn)
         return written(shown if o.font_fallback is None else nodes.substitute_font(shown, o.font_fallback), "nodes")
 
@@ -139,5 +148,5 @@ class Document:
 
 def convert(pages: DataFrame, options: Options | None = None) -> Document:
     """pages (page_id, url, html) to their design documents."""
-    configured(ship(pages.sparkSession))
+    ship(pages.sparkSession)
     return Document(pages, options or Options())

@@ -1,6 +1,6 @@
 """Queries over pages: the corpus as it is, and documents built from table rows so that SQL can say what must come out.
 
-The stages of one corpus are computed once for all the queries of a session over the same folder.
+The stages of one corpus are computed once for all the queries of a session over the same files; `forget` drops them.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import cascade, classify, components, nodes, scene, tokens
-from tessera.operators import layout as geometry
+from tessera.operators import cascade, classify, components, nodes, page, scene, tokens
 from tessera.plans.engine import Document, Options, convert
 from tessera.plans.values import table
 from tessera.sources import css as css_source
 from tessera.sources import html as html_source
+from tessera.sources.store import ship as _ship
 from tessera.sources.store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,14 +33,31 @@ def _add(sql: str | None = None):
     return take
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> Document:
-    """The pages table."""
-    key = ("pages", sf_dir, spark.sparkContext.applicationId)
+def ship(df: DataFrame) -> DataFrame:
+    _ship(df.sparkSession)
+    return df
+
+
+def forget() -> None:
+    _documents.clear()
+
+
+def _document(spark: SparkSession, sf_dir: str, name: str, source: str, make: Callable[[], Document]) -> Document:
+    """The document of this name over a table, made anew when the table's files change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{source}.parquet")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(path))
+    key = (name, str(state), spark.sparkContext.applicationId)
     if key not in _documents:
-        _documents[key] = convert(table(spark, sf_dir, "pages"), Options(layout=False))
+        _documents[key] = make()
     return _documents[key]
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> Document:
+    """The pages table."""
+    return _document(spark, sf_dir, "pages", "pages", lambda: convert(table(spark, sf_dir, "pages"), Options(layout=False)))
+
+
 CARDS_CSS = (
     ":root{--ink:#333333} .grid{display:flex;gap:10px} .card0{background:#ff0000} .card1{background:#00ff00;padding:4px} .card2{background:#808080;border:1px solid #112233} "
     ".grid p{color:var(--ink)} .grid > .card1 p{color:#0000ff !important;font-size:14px} p{margin:0} .card2 p{font-weight:bold;font-size:24px}"
@@ -57,10 +74,7 @@ def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cards(spark: SparkSession, sf_dir: str) -> Document:
-    key = ("cards", sf_dir, spark.sparkContext.applicationId)
-    if key not in _documents:
-        _documents[key] = convert(written(card_pages(spark, sf_dir), "cards"), Options(layout=False))
-    return _documents[key]
+    return _document(spark, sf_dir, "cards", "part", lambda: convert(written(card_pages(spark, sf_dir), "cards"), Options(layout=False)))
 
 
 BRAND = "regexp_replace(p_brand, '\\D', '', 'g')::BIGINT"
@@ -131,17 +145,21 @@ def text_leaves(spark, sf_dir):
     return scene.text_leaves(corpus(spark, sf_dir).dom).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@_add(f"SELECT page_id, look::INT AS look, n AS matched FROM {LOOKS}")
+@_add(
+    f"""WITH pages AS (SELECT page_id, sum(n)::BIGINT AS n, list(look) AS looks, map(list(look), list(n)) AS by_look FROM {LOOKS} GROUP BY page_id)
+    SELECT * FROM (SELECT page_id, unnest([':root', '.grid', '.card0', '.card1', '.card2', '.grid p', '.grid > .card1 p', 'p', '.card2 p']) AS selector, unnest([1, 1, 1, 1, 1, 1, 2, 0, 1])::INT AS classes, unnest([0, 0, 0, 0, 0, 1, 1, 1, 1])::INT AS types,
+    unnest([1, 1, by_look[0], by_look[1], by_look[2], n, by_look[1], n, by_look[2]])::BIGINT AS matched FROM pages) WHERE matched IS NOT NULL"""
+)
 def css_match(spark, sf_dir):
     d = cards(spark, sf_dir)
-    hit = cascade.matches(d.dom, d.rules.where(F.col("selector").rlike("^[.]card[0-2]$"))).join(d.rules.select("page_id", "rule_order", F.substring("selector", 6, 1).try_cast("int").alias("look")), ["page_id", "rule_order"])
-    return hit.groupBy("page_id", "look").agg(F.count("*").alias("matched"))
+    hit = d.matches.join(d.rules.select("page_id", "rule_order", "selector"), ["page_id", "rule_order"])
+    return hit.groupBy("page_id", "selector", F.col("specificity.cls").alias("classes"), F.col("specificity.type").alias("types")).agg(F.count("*").alias("matched"))
 
 
 @_add(f"SELECT page_id, sum(n)::BIGINT AS below, coalesce(sum(n) FILTER (look = 1), 0)::BIGINT AS child FROM {LOOKS} GROUP BY page_id")
 def css_descendant(spark, sf_dir):
     d = cards(spark, sf_dir)
-    hit = cascade.matches(d.dom, d.rules.where("size(parts) > 1")).join(d.rules.select("page_id", "rule_order", "selector"), ["page_id", "rule_order"])
+    hit = cascade.matches(d.dom, d.rules.where("size(parts) > 1")).join(d.rules.select("page_id", "rule_order", "selector"), ["page_id", "rule_order"])  # the relational form
     return hit.groupBy("page_id").agg(F.count_if(F.col("selector") == ".grid p").alias("below"), F.count_if(F.col("selector").contains(">")).alias("child"))
 
 
@@ -291,14 +309,10 @@ def font_preload(spark, sf_dir):
 @_add("SELECT p_partkey AS page_id, 'row' AS what, 10.0::DOUBLE AS x, p_size::DOUBLE AS width FROM part UNION ALL SELECT p_partkey, 'last', (10 + p_size + 5)::DOUBLE, 30.0 FROM part")
 def layout_boxes(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    page = F.concat(F.lit('<body><div style="display:flex;gap:5px;padding-left:10px"><div style="height:4px;width:'), "p_size", F.lit('px"></div><div style="width:30px;height:2px"></div></div></body>'))
-    pages = written(part.select(F.col("p_partkey").alias("page_id"), page.alias("html")), "layout-pages")
-    dom = html_source.dom_nodes(pages)
-    own = dom.where("kind = 'element'").select("page_id", "node_id", F.when(F.col("attrs")["style"].isNotNull(), cascade.css.declarations(F.col("attrs")["style"])).alias("style"))
-    boxes = geometry.layout(dom, own)
-    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id"))
-    # html, body, row, and its two boxes
-    return boxes.withColumn("nth", nth).where("nth >= 4").select("page_id", F.when(F.col("nth") == 4, "row").otherwise("last").alias("what"), "x", "width")
+    html = F.concat(F.lit('<body><div style="display:flex;gap:5px;padding-left:10px"><div style="height:4px;width:'), "p_size", F.lit('px"></div><div style="width:30px;height:2px"></div></div></body>'))
+    nodes_ = page.page_nodes(ship(part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))))
+    # html, head, body, the row, and its two boxes
+    return nodes_.where("depth = 3 and box is not null").select("page_id", F.when(F.col("child_idx") == 0, "row").otherwise("last").alias("what"), "box.x", "box.width")
 
 
 def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,10 +326,7 @@ def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rich(spark: SparkSession, sf_dir: str) -> Document:
-    key = ("rich", sf_dir, spark.sparkContext.applicationId)
-    if key not in _documents:
-        _documents[key] = convert(written(rich_pages(spark, sf_dir), "rich"), Options(layout=False, font_fallback="Arial"))
-    return _documents[key]
+    return _document(spark, sf_dir, "rich", "part", lambda: convert(written(rich_pages(spark, sf_dir), "rich"), Options(layout=False, font_fallback="Arial")))
 
 
 @_add("SELECT p_partkey AS page_id, unnest(['i' || p_size || '.png', '']) AS image_ref, unnest(['Pic', 'img']) AS name FROM part")
@@ -378,21 +389,17 @@ def css_order(spark, sf_dir):
 def measured_text(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     html = F.lit('<body><div style="display:flex;align-items:flex-start"><p data-c2f-mid="m1">some text</p></div></body>')
-    dom = html_source.dom_nodes(part.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
-    own = dom.where("kind = 'element'").select("page_id", "node_id", cascade.css.declarations(F.coalesce(F.col("attrs")["style"], F.lit(""))).alias("style"))
     seen = part.select(F.col("p_partkey").alias("page_id"), F.lit("m1").alias("mid"), (F.col("p_size") + 0.5).alias("width"), F.lit(6.2).alias("height"))
-    boxes = geometry.layout(dom, own, measurements=seen)
-    return boxes.join(dom.where("tag = 'p'").select("page_id", "node_id"), ["page_id", "node_id"], "left_semi").select("page_id", "width", "height")
+    nodes_ = page.page_nodes(ship(part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))), measured=seen)
+    return nodes_.where("tag = 'p'").select("page_id", "box.width", "box.height")
 
 
 @_add("SELECT p_partkey AS page_id, floor((p_size + 100 - 8) / 4.0)::DOUBLE AS width, 1::INT AS nth FROM part UNION ALL SELECT p_partkey, floor((p_size + 100 - 8) / 4.0 * 3)::DOUBLE, 2::INT FROM part")
 def grid_widths(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     html = F.concat(F.lit('<body><div style="display:grid;grid-template-columns:1fr 3fr;gap:8px;width:'), (F.col("p_size") + 100).cast("string"), F.lit('px"><i style="display:flex;height:1px"></i><i style="display:flex;height:1px"></i></div></body>'))
-    dom = html_source.dom_nodes(part.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
-    own = dom.where("kind = 'element'").select("page_id", "node_id", cascade.css.declarations(F.coalesce(F.col("attrs")["style"], F.lit(""))).alias("style"))
-    cells = geometry.layout(dom, own).join(dom.where("tag = 'i'").select("page_id", "node_id", F.col("el_idx").alias("nth")), ["page_id", "node_id"])
-    return cells.select("page_id", "width", "nth")
+    nodes_ = page.page_nodes(ship(part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))))
+    return nodes_.where("tag = 'i'").select("page_id", "box.width", F.col("el_idx").alias("nth"))
 
 
 @_add("SELECT p_partkey AS page_id, 'pic' || p_size AS image_ref, (3 + p_size)::DOUBLE AS width FROM part")

@@ -4,18 +4,19 @@ A page is read by one pass of a tokenizer and a tree builder that follows the HT
 implied html, head and body; void and raw-text elements; end tags that may be left out (p, li, dt, dd, option, table
 parts); formatting elements that stay open across blocks and are opened again in the next; character references.
 
-Every page is parsed where it is read: no shuffle. A page that can't be read gives a row in the outcome table instead of
-failing the task.
+Every page is parsed where it is read: no shuffle. No page is left out: as in browsers, an element that would be nested
+deeper than MOST_DEPTH becomes a sibling of what is there, and parse_outcomes says so.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Element names by their role in parsing.
@@ -27,6 +28,8 @@ CLOSES_P = set("address article aside blockquote center details dialog dir div d
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 SPECIAL = CLOSES_P | set("applet area base body br button caption col colgroup dd dt embed frame frameset head html iframe img input li link marquee meta object option param script select source style tbody td template textarea tfoot th thead title tr track wbr".split())
 SCOPE = {"html", "table", "td", "th", "caption", "button", "applet", "marquee", "object", "template", "svg", "foreignobject"}
+#: How deep elements are nested: a fixed value of browsers.
+MOST_DEPTH = 512
 IMPLIED_END = {"dd", "dt", "li", "option", "optgroup", "p", "rb", "rp", "rt", "rtc"}
 
 TOKEN = re.compile(r"<!--(.*?)(?:--!?>|\Z)|<!(?:[^>]*)>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -35,12 +38,13 @@ SPACE = " \t\n\r\f"
 
 
 class Node:
-    __slots__ = ("attrs", "children", "implied", "kind", "parent", "tag", "text")
+    __slots__ = ("attrs", "children", "flattened", "implied", "kind", "parent", "tag", "text")
 
     def __init__(self, kind: str, tag: str | None = None, attrs: dict | None = None, text: str | None = None, implied: bool = False):
         self.kind, self.tag, self.attrs, self.text, self.implied = kind, tag, attrs or {}, text, implied
         self.children: list[Node] = []
         self.parent: Node | None = None
+        self.flattened = False  # of a root: whether elements were nested too deep to keep their places
 
     def append(self, child: Node) -> Node:
         child.parent = self
@@ -56,6 +60,15 @@ class TreeBuilder:
         self.open = [self.root, self.head]
         self.formatting: list[Node | None] = []
         self.in_head = True
+        self.flattened = False
+
+    def push(self, node: Node) -> None:
+        """Opens an element that was just put into the current one; at the greatest depth the current one closes before it."""
+        if len(self.open) >= MOST_DEPTH:
+            self.flattened = True
+            self.open.pop().children.pop()
+            self.current.append(node)
+        self.open.append(node)
 
     @property
     def current(self) -> Node:
@@ -90,7 +103,7 @@ class TreeBuilder:
         for i in range(at, len(self.formatting)):
             old = self.formatting[i]
             self.formatting[i] = self.current.append(Node("element", old.tag, dict(old.attrs), implied=True))
-            self.open.append(self.formatting[i])
+            self.push(self.formatting[i])
 
     def text(self, value: str) -> None:
         if self.in_head:
@@ -130,13 +143,13 @@ class TreeBuilder:
         if self.in_head and tag in HEAD_ONLY:
             node = self.current.append(Node("element", tag, attrs))
             if tag not in VOID:
-                self.open.append(node)
+                self.push(node)
             return
         self.to_body()
         if any(n.tag == "svg" for n in self.open[2:]) and tag not in ("div", "p", "span", "table", "ul"):
             node = self.current.append(Node("element", tag, attrs))
             if not closed:
-                self.open.append(node)
+                self.push(node)
             return
         if tag in CLOSES_P:
             self.close_p()
@@ -163,7 +176,7 @@ class TreeBuilder:
         node = self.current.append(Node("element", tag, attrs))
         if tag in VOID or (closed and tag == "svg"):
             return
-        self.open.append(node)
+        self.push(node)
         if tag in FORMATTING:
             self.formatting.append(node)
         elif tag in ("td", "th", "caption", "button", "object"):
@@ -263,6 +276,7 @@ def parse(page: str) -> Node:
             b.end(m[2].lower())
         elif m[1] is not None:
             b.comment(m[1])
+    b.root.flattened = b.flattened
     return b.root
 
 
@@ -276,50 +290,46 @@ NODE_SCHEMA = "page_id long, node_id int, parent_id int, path array<int>, depth
 def rows_of(root: Node) -> list[list]:
     """A row for each node in document order; ordinals count from one among element siblings, zero for the root."""
     rows: list[list] = []
-
-    def walk(node: Node, parent: int | None, path: list[int], child: int, ordinals: tuple[int, int, int, int]) -> None:
+    work: list[tuple] = [(root, None, [], 0, (0, 0, 0, 0))]  # what is still to come, the next on top
+    while work:
+        node, parent, path, child, ordinals = work.pop()
         me = len(rows)
         own = [*path, me]
         elements = [c for c in node.children if c.kind == "element"]
         empty = node.kind == "element" and not elements and not any(c.kind == "text" and c.text.strip() for c in node.children)
-        row = [me, parent, own, len(path), child, node.kind, node.tag, list(node.attrs.items()), node.text, *ordinals, empty, me, node.implied]
-        rows.append(row)
-        by_tag: dict[str, int] = {}
-        totals: dict[str, int] = {}
-        for c in elements:
-            totals[c.tag] = totals.get(c.tag, 0) + 1
-        nth = 0
+        rows.append([me, parent, own, len(path), child, node.kind, node.tag, list(node.attrs.items()), node.text, *ordinals, empty, me, node.implied])
+        totals = Counter(c.tag for c in elements)
+        seen: Counter = Counter()
+        nth, below = 0, []
         for i, c in enumerate(node.children):
             if c.kind == "element":
                 nth += 1
-                by_tag[c.tag] = by_tag.get(c.tag, 0) + 1
-                walk(c, me, own, i, (nth, len(elements), by_tag[c.tag], totals[c.tag]))
+                seen[c.tag] += 1
+                below.append((c, me, own, i, (nth, len(elements), seen[c.tag], totals[c.tag])))
             else:
-                walk(c, me, own, i, (0, 0, 0, 0))
-        row[-2] = len(rows) - 1
-
-    walk(root, None, [], 0, (0, 0, 0, 0))
+                below.append((c, me, own, i, (0, 0, 0, 0)))
+        work += reversed(below)
+    for row in reversed(rows):  # a node's last descendant is that of its last child
+        if row[1] is not None:
+            rows[row[1]][-2] = max(rows[row[1]][-2], row[-2])
     return rows
 
 
-def node_table(pages: list[int], rows: list[list[list]]) -> pa.RecordBatch:
-    flat = [r for page in rows for r in page]
-    ids = pa.array([p for p, page in zip(pages, rows, strict=True) for _ in page], pa.int64())
-    cols = list(zip(*flat, strict=True)) if flat else [()] * len(NODE_FIELDS)
-    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, (_, t) in zip(cols, NODE_FIELDS, strict=True))], ["page_id", *(n for n, _ in NODE_FIELDS)])
+def node_columns(ids: list[int], rows: list[list]) -> list[pa.Array]:
+    """Arrow columns page_id and NODE_FIELDS."""
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(NODE_FIELDS)
+    return [pa.array(ids, pa.int64()), *(pa.array(c, t) for c, (_, t) in zip(cols, NODE_FIELDS, strict=True))]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, pages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at in range(0, len(ids), 64):
-            good = []
-            for key, page in zip(ids[at : at + 64], pages[at : at + 64], strict=True):
-                try:
-                    good.append((key, rows_of(parse(page or ""))))
-                except RecursionError:
-                    continue
-            yield node_table([g[0] for g in good], [g[1] for g in good])
+        for at in range(0, batch.num_rows, 64):
+            ids, rows = [], []
+            for key, page in zip(batch.column(0).slice(at, 64).to_pylist(), batch.column(1).slice(at, 64).to_pylist(), strict=True):
+                own = rows_of(parse(page or ""))
+                ids += [key] * len(own)
+                rows += own
+            yield pa.RecordBatch.from_arrays(node_columns(ids, rows), ["page_id", *(n for n, _ in NODE_FIELDS)])
 
 
 def dom_nodes(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
@@ -328,29 +338,35 @@ def dom_nodes(pages: DataFrame, key: str = "page_id", column: str = "html") -> D
 
 
 def parse_outcomes(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
-    """page_id, ok, n_nodes, error: how the parse of each page ended; no page fails the job."""
+    """page_id, ok, n_nodes, error: how the parse of each page ended; no page fails the job.
+
+    A missing page isn't ok; one whose elements were nested too deep is, with a remark.
+    """
+
+    def outcome(page: str | None) -> tuple[bool, int, str | None]:
+        if page is None:
+            return False, 0, "no html"
+        root = parse(page)
+        return True, len(rows_of(root)), f"nested deeper than {MOST_DEPTH}" if root.flattened else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page in batch.column(1).to_pylist():
-                try:
-                    out.append((True, len(rows_of(parse(page or ""))), None))
-                except RecursionError as e:
-                    out.append((False, 0, f"nested too deep: {e}"))
-            ok, n, error = zip(*out, strict=True) if out else ((), (), ())
+            ok, n, error = zip(*map(outcome, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ok, pa.bool_()), pa.array(n, pa.int32()), pa.array(error, pa.string())], ["page_id", "ok", "n_nodes", "error"])
 
     return pages.select(F.col(key).cast("long").alias("page_id"), F.col(column).alias("html")).mapInArrow(run, "page_id long, ok boolean, n_nodes int, error string")
 
 
 def read_html(spark, path: str) -> DataFrame:
-    """page_id, url, html of an HTML file or a folder of them, searched in depth; an empty or missing folder has no pages."""
-    from pyspark.errors import AnalysisException
-
-    schema = "url string, html string"
-    try:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[hH][tT][mM][lL]").load(path)
-        return raw.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"))
-    except AnalysisException:
-        return spark.createDataFrame([], f"page_id long, {schema}")
+    """page_id, url, html of an HTML file or a folder of them, searched in depth; an empty or missing folder has no pages.
+
+    page_id counts from 0 in the order of the paths. Only that the folder is missing counts as empty; other faults are raised.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "page_id long, url string, html string")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[hH][tT][mM][lL]").load(path)
+    # numbers by the order of the paths alone, without the pages: a folder's files are listed by one machine in any case
+    numbers = raw.select("path").withColumn("page_id", F.row_number().over(Window.orderBy("path")).cast("long") - 1)
+    pages = raw.join(numbers, "path").select("page_id", F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"))
+    return pages.orderBy("page_id")

@@ -10,7 +10,8 @@ from tessera.plans import pages, values
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-CHOSEN = ["parse_px", "parse_color", "grid_tracks", "box_shadow", "specificity", "href_policy", "shape_path", "dom_tag_counts", "css_rules", "css_winner", "css_inherit", "validate_ir", "dangling_refs", "apply_overrides", "layout_boxes"]
+CHOSEN = sorted(values.ORACLES | pages.ORACLES)
+
 
 
 @pytest.fixture(scope="module")
