@@ -130,7 +130,10 @@ def text_features(text: str | None) -> bytes:
     n = len(words)
     if not n:
         return b""
-    both = np.fromiter(map(_word, words), np.int64, n)
+    found = list(map(_known.get, words))
+    if None in found:
+        found = list(map(_word, words))
+    both = np.array(found, np.int64)
     hashed = (both & 0xFFFFFFFF).astype(np.uint64)
     pairs = (hashed[:-1] * np.uint64(0x9E3779B1) ^ hashed[1:]) * np.uint64(0x85EBCA6B) >> np.uint64(16)
     at = np.concatenate([hashed % np.uint64(WORDS), pairs % np.uint64(WORDS), (both >> 32).astype(np.uint64) + np.uint64(WORDS)]).astype(np.int64)
@@ -235,7 +238,7 @@ def _surest(features: DataFrame, known: DataFrame, views: list[View], sure: floa
     return out
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 6_000, rounds: int = 2, per_round: int = 500, sure: float = 0.95, ridge: float = 1.0) -> Model | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, rounds: int = 2, per_round: int = 500, sure: float = 0.95, ridge: float = 1.0) -> Model | None:
     """Fits on at most max_labelled labelled documents and the surest of all others; None if the labels don't hold both kinds."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

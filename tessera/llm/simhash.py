@@ -371,7 +371,7 @@ def _rest_of_buckets(filed: DataFrame, sets: DataFrame, found: DataFrame, simila
     return rows.repartition(shuffle_width(filed.sparkSession), *group).sortWithinPartitions(*group, "node").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 20, tile: int = 512) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 20, tile: int = 256) -> DataFrame:
     """doc_id, component_id: classes of documents linked by a Jaccard similarity of their sets of word shingles of at least this."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
