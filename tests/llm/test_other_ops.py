@@ -41,6 +41,41 @@ def test_neighbours(spark):
     assert [g[2] for g in found[300]] == [7, *range(301, 310)]
 
 
+def test_shelves_hold_what_they_should():
+    rng = random.Random(4)
+    sizes = {c: rng.choice([1, 3, 20, 64, 65, 300]) for c in range(200)}
+    shelves, held = ann.shelved(sizes, 64), {}
+    for c, (first, end) in shelves.items():
+        assert end - first == (1 if sizes[c] <= 64 else -(-sizes[c] // 64))
+        for shelf in range(first, end):
+            held.setdefault(shelf, []).append(sizes[c] / (end - first))
+    assert max(map(sum, held.values())) <= 64 and sorted(held) == list(range(len(held)))
+    assert all(len(own) == 1 for own in held.values() if max(own) > 32 and sum(own) > 64)
+
+
+def test_distances_are_those_of_double_vectors(spark):
+    rows = [(i, [1.0 + i * 1e-12, 2.0]) for i in range(20)]
+    got = [tuple(r) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0, k=3).orderBy("rank").collect()]
+    assert [r[2] for r in got] == [1, 2, 3] and got[0][3] == pytest.approx(1e-12, rel=1e-3)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+def test_recall_at_the_default(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding is not null").select("vec_id", "embedding").collect()
+    x = np.array([r["embedding"] for r in rows], np.float32).astype(float)
+    ids = np.array([r["vec_id"] for r in rows])
+    got = {}
+    for r in ann.search(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(ids[np.argsort(d, kind="stable")[:10]].tolist()) & got[ids[q]])
+        total += 10
+    assert hits >= 0.9 * total, hits / total
+
+
 def test_few_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.5]), (2, [4.0, 4.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in ann.search(few, F.col("id") == 0).orderBy("rank").collect()]
@@ -65,8 +100,9 @@ def test_urls(spark):
     rng = random.Random(2)
     hosts = ["example.com", "a.example.com", "EXAMPLE.net", "x.y.example.net", "org", "b.org", "com", "notexample.com", "example.com.", "net", ""]
     rows = [f"http{'s' * (i % 2)}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/en/7', '/en/70?x#y', '/de/8', '/es/', '?q=/en/', '#f'])}" for i in range(400)]
-    rows += [None, "", "no scheme", "://", "a://b://c/en/", "http://É.com/en/ü", *["http://example.com/en/71"] * 300]
-    rules = [*RULES, ("example.com", "", "block"), ("x.y.example.net", "/de/", "block"), ("y.example.net", "", "allow")]
+    rows += ["http://example.com/en/7" + "x" * 200_000 + "?q", "http://" + "a." * 20_000 + "example.net/de/8", None, "", "no scheme", "://", "a://b://c/en/", "http://É.com/en/ü", *["http://example.com/en/71"] * 300]
+    rules = [*RULES, ("example.com", "", "block"), ("x.y.example.net", "/de/", "block"), ("y.example.net", "", "allow"), ("EXAMPLE.com", "/en/7", "block"), *[("example.com", f"/en/{i}", "block") for i in range(70, 90)], ("x.y.example.net", "/de/8", "allow")]
+    rules = [(h.lower(), p, a) for h, p, a in rules]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(rows)], "page_id long, url string, host string, rule string")
     got = {r["page_id"]: tuple(r)[1:] for r in urls.filter_urls(pages, urls.rules_frame(spark, rules), sample=64).collect()}
     assert got == {i: judged(u, rules) for i, u in enumerate(rows)}
