@@ -184,23 +184,22 @@ def _track(token: Column) -> Column:
     return F.when(token.rlike(fr), pair(F.regexp_extract(token, fr, 1).try_cast("double"), none)).when(token.rlike(px) & (token != "0"), pair(none, F.regexp_extract(token, px, 1).try_cast("double"))).otherwise(pair(F.lit(1.0), none))
 
 
-REPEAT = r"(?i)^repeat\(\s*(\d+)\s*,\s*([\s\S]+)\)\s*$"
+#: A repeat() that holds no other, with what stands before and behind it.
+REPEAT = r"(?is)^(|.*?[^a-z0-9_-])repeat\(\s*(\d+)\s*,((?:(?!repeat\()[^()]|\((?:(?!repeat\()[^()]|\([^()]*\))*\))+)\)(|[\s)].*)$"
 
 
-def grid_tracks(value: Column, depth: int = 2) -> Column:
-    """Tracks of a template: N fr or N px, everything else counts as 1fr; repeat() may be nested to this depth."""
+def grid_tracks(value: Column) -> Column:
+    """Tracks of a template: N fr or N px, everything else counts as 1fr. repeat() is written out from the inside, however deep."""
     t = F.when(~trimmed(value).isin("", "none"), trimmed(value))
+    part = lambda s, i: F.regexp_extract(s, REPEAT, i)
 
-    def expand(token: Column, left: int) -> Column:
-        if not left:
-            return F.array(_track(token))
-        times = F.regexp_extract(token, REPEAT, 1).try_cast("int")
-        inner = F.regexp_extract(token, REPEAT, 2)
-        own = F.flatten(F.transform(split_top(trimmed(inner), " "), lambda x: expand(x, left - 1)))
-        own = F.when(trimmed(inner).isin("", "none") | (F.size(own) == 0), F.array(F.struct(F.lit(1.0).alias("fr"), F.lit(None).cast("double").alias("px")))).otherwise(own)
-        return F.when(~token.rlike(REPEAT), F.array(_track(token))).when(times > 0, F.flatten(F.array_repeat(own, times))).otherwise(F.array().cast(f"array<{TRACK}>"))
+    def write_out(s: Column, _: Column) -> Column:
+        inner = let(trimmed(part(s, 3)), lambda x: F.when(x.isin("", "none"), "1fr").otherwise(x))
+        times = F.coalesce(part(s, 2).try_cast("int"), F.lit(0))
+        return F.when(s.rlike(REPEAT), F.concat(part(s, 1), F.repeat(F.concat(inner, F.lit(" ")), times), part(s, 4))).otherwise(s)
 
-    tracks = F.flatten(F.transform(split_top(t, " "), lambda x: expand(x, depth)))
+    turns = F.sequence(F.lit(0), F.coalesce(F.regexp_count(t, F.lit(r"(?i)repeat\(")), F.lit(0)))
+    tracks = F.transform(split_top(F.aggregate(turns, t, write_out), " "), _track)
     return F.when(F.size(tracks) > 0, tracks)
 
 

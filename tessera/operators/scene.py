@@ -7,28 +7,17 @@ from pyspark.sql import functions as F
 
 from tessera.functions import css
 
-DOCUMENT = "struct<version:int,name:string,root:struct<type:string,id:string,name:string,opacity:double>,styles:struct<paints:array<struct<id:string,name:string>>,texts:array<struct<id:string,name:string>>,effects:array<struct<id:string,name:string>>>,components:array<struct<id:string,name:string>>,fonts:array<struct<family:string,style:string>>>"
-
-
-def issues(documents: DataFrame, key: str = "page_id", column: str = "json", most: int = 5) -> DataFrame:
-    """page_id, nth, path, message: the first faults of each document's JSON text."""
-    d = F.from_json(column, DOCUMENT)
-    parsed = documents.select(F.col(key).alias("page_id"), F.col(column).alias("raw"), d.alias("d"))
-    broken = F.try_parse_json("raw").isNull()
-    fault = lambda bad, path, message: F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(path).alias("path"), F.lit(message).alias("message")))
-    inside = lambda array, name: F.flatten(F.array(F.transform(F.coalesce(array, F.array().cast("array<struct<id:string,name:string>>")), lambda x, i: F.when(F.coalesce(x["id"], F.lit("")) == "", F.struct(F.concat(F.lit(name + "."), i, F.lit(".id")).alias("path"), F.lit("required").alias("message"))))))
-    checks = F.array(
-        fault(F.col("d.version") != 1, "version", "must be 1"),
-        fault(F.col("d.name").isNull(), "name", "required"),
-        fault(F.col("d.root").isNull(), "root", "required"),
-        fault(~F.col("d.root.type").isin("FRAME", "TEXT", "IMAGE", "VECTOR", "INSTANCE"), "root.type", "unknown type"),
-        fault(F.coalesce(F.col("d.root.id"), F.lit("")) == "", "root.id", "required"),
-        F.when(~F.coalesce(F.col("d.root.opacity"), F.lit(1.0)).between(0, 1), F.struct(F.lit("root.opacity").alias("path"), F.lit("must be from 0 to 1").alias("message"))),
-    )
-    found = F.filter(F.concat(checks, inside(F.col("d.styles.paints"), "styles.paints"), inside(F.col("d.components"), "components")), lambda x: x.isNotNull())
-    listed = F.when(broken, F.array(F.struct(F.lit("(root)").alias("path"), F.lit("invalid JSON").alias("message")))).otherwise(found)
-    rows = parsed.select("page_id", F.posexplode(F.slice(listed, 1, most)).alias("nth", "x"))
-    return rows.select("page_id", (F.col("nth") + 1).alias("nth"), F.col("x.path").alias("path"), F.col("x.message").alias("message"))
+def component_faults(tree: DataFrame) -> DataFrame:
+    """page_id, component_id, message: components whose root isn't a frame can't be built. tree: rows after detection."""
+    roots = tree.where("component_id is not null").groupBy("page_id", "component_id").agg(F.min_by("ir_type", "node_id").alias("kind"))
+    return roots.where("kind <> 'FRAME'").select("page_id", "component_id", F.concat(F.lit("root must be a FRAME, got "), "kind").alias("message"))
+
+
+def dangling_styles(tree: DataFrame, styles: DataFrame) -> DataFrame:
+    """page_id, node_id, role, style_id: references to styles (page_id, style_id) that don't exist; a host passes over them."""
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), F.col(f"{r}_style_id").alias("style_id")) for r in ("fill", "stroke", "text", "effect")))
+    used = tree.select("page_id", "node_id", F.inline(roles)).where("style_id is not null")
+    return used.join(styles.select("page_id", "style_id").distinct(), ["page_id", "style_id"], "left_anti").select("page_id", "node_id", "role", "style_id")
 
 
 def dangling(instances: DataFrame, components: DataFrame) -> DataFrame:
@@ -58,13 +47,25 @@ def host_paint(color: Column, opacity: Column) -> Column:
     return F.struct(color["r"].alias("r"), color["g"].alias("g"), color["b"].alias("b"), (color["a"] * opacity).alias("opacity"))
 
 
+def host_effects(effects: Column) -> Column:
+    """Effects as a host takes them: shadows blend as they are."""
+    return F.transform(effects, lambda e: F.struct(e["type"].alias("type"), e["color"].alias("color"), e["x"].alias("x"), e["y"].alias("y"), e["radius"].alias("radius"), e["spread"].alias("spread"), F.when(e["type"].endswith("SHADOW"), "NORMAL").alias("blend_mode")))
+
+
 def image_paint() -> Column:
     """What stands in for an image fill: a fixed grey."""
     return F.struct(F.lit(0.88).alias("r"), F.lit(0.88).alias("g"), F.lit(0.9).alias("b"), F.lit(1.0).alias("opacity"))
 
 
 def scene(tree: DataFrame) -> DataFrame:
-    """page_id, node_id and what the host sets on each node: sizes of at least 0.01, rotation the other way round, first stroke's weight, text resizing."""
+    """page_id, node_id and what the host sets on each node.
+
+    step: the order of building (a component's nodes before the root's); drawn_as: a frame with markup is imported whole;
+    sizes of at least 0.01, rotation the other way round, first stroke's weight and side, text resizing, runs cut to the
+    text (with more than one, style references are passed over), an image's bytes or the grey that stands in.
+    """
+    clamp = F.filter(F.transform("runs", lambda r: r.withField("end", F.least(r["end"], F.length("characters")))), lambda r: r["start"] < r["end"])
+    several = F.coalesce(F.size("runs") > 1, F.lit(False))
     g = F.col("geometry")
     size = lambda c: F.greatest(F.lit(0.01), c)
     single = css.single_line(g["height"], F.col("text_style.font_size"))
@@ -74,6 +75,11 @@ def scene(tree: DataFrame) -> DataFrame:
         F.coalesce("clips_content", F.col("layout.clips")).alias("clips_content"),
         F.when(F.col("ir_type") == "TEXT", F.when(F.coalesce(single, F.lit(False)), "WIDTH_AND_HEIGHT").otherwise("HEIGHT")).alias("auto_resize"),
         F.when(F.col("ir_type") == "IMAGE", css.data_uri(F.col("image_ref"))).alias("image_bytes"),
+        F.when((F.col("ir_type") == "IMAGE") & css.data_uri(F.col("image_ref")).isNull(), image_paint()).alias("stand_in"),
+        F.when(F.col("component_id").isNotNull(), "component").otherwise("root").alias("step"),
+        F.when((F.col("ir_type") == "FRAME") & (F.coalesce("svg_source", F.lit("")) != ""), "SVG").otherwise(F.col("ir_type")).alias("drawn_as"),
+        clamp.alias("runs"), F.when(~several, F.col("fill_style_id")).alias("fill_style_id"), F.when(~several, F.col("text_style_id")).alias("text_style_id"),
+        host_effects(F.col("effects")).alias("effects"),
     )
 
 

@@ -212,7 +212,7 @@ def sources(nodes: DataFrame, styles: DataFrame) -> DataFrame:
                     if r["kind"] == "text":
                         parts.append(html.escape(r["text"], quote=False))
                     elif r["kind"] == "element":
-                        parts.append(f"<{r['tag']}" + "".join(f' {k}="{html.escape(v)}"' for k, v in r["attrs"]) + ">")
+                        parts.append(f"<{r['tag']}" + "".join(f' {a["key"]}="{html.escape(a["value"])}"' for a in r["attrs"]) + ">")
                         open_.append((r["last_id"], r["tag"]))
                 parts += [f"</{t}>" for _, t in reversed(open_)]
                 text = "".join(parts)

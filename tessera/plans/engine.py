@@ -11,10 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import components, nodes, page, svg, tokens
+from tessera.operators import components, document, nodes, page, svg, tokens
 from tessera.sources import css as css_source
 from tessera.sources import html as html_source
 from tessera.sources.store import ship, written
@@ -88,6 +88,9 @@ class Document:
     def ir(self) -> DataFrame:
         o = self.options
         plain = nodes.ir_nodes(self.nodes, o.viewport_width, o.viewport_height, o.layout)
+        # a body without class or id goes by the document's name
+        title = "Page" if o.name.endswith((".html", ".json")) else o.name
+        plain = plain.withColumn("name", F.when((F.col("tag") == "body") & (F.col("name") == "body"), title).otherwise(F.col("name")))
         drawn = svg.vectors(plain, svg.shapes(self.nodes, self.styles), svg.sources(self.nodes, self.styles))
         shown = drawn if o.snapshots is None else self._pictured(drawn)
         return written(shown if o.font_fallback is None else nodes.substitute_font(shown, o.font_fallback), "nodes")
@@ -134,16 +137,51 @@ class Document:
         listed = self.warnings.groupBy("page_id").agg(F.array_sort(F.collect_list("warning")).alias("messages"))
         return self.pages.select("page_id", F.col("url").alias("source")).join(self.stats, "page_id", "left").join(listed, "page_id", "left").withColumn("generated_at", F.current_timestamp())
 
+    def summary(self) -> DataFrame:
+        """page_id, line, verbose: what a conversion has made, in a line and in a list."""
+        n = lambda c: F.col(c).cast("string")
+        parts = [
+            F.concat(n("nodes"), F.lit(" nodes")),
+            F.when(F.col("components") > 0, F.concat(n("components"), F.lit(" components \u00d7 "), n("instances"), F.lit(" instances"))),
+            F.when(F.col("paint_styles") + F.col("text_styles") + F.col("effect_styles") > 0, F.concat(n("paint_styles"), F.lit(" paint \u00d7 "), n("text_styles"), F.lit(" text \u00d7 "), n("effect_styles"), F.lit(" effect styles"))),
+        ]
+        labels = [("warnings", "warnings"), ("ir nodes", "nodes"), ("components", "components"), ("instances", "instances"), ("paint styles", "paint_styles"), ("text styles", "text_styles"), ("effect styles", "effect_styles")]
+        listed = F.concat_ws("\n", *(F.concat(F.rpad(F.lit(f"{label}:"), 15, " "), n(c)) for label, c in labels))
+        return self.stats.select("page_id", F.concat_ws(", ", *parts).alias("line"), listed.alias("verbose"))
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        """The tree after detection, as it is written: id and overrides of each node, and the component it stands in."""
+        tree, found = self.tokens["tree"], self.detected
+        placed = components.ir_parents(self.ir)
+        ids = nodes.ir_ids(self.ir).select("page_id", "node_id", "ir_id")
+        inside = components.masters(placed, found["components"]).select("page_id", "component_id", "node_id", "master_id")
+        texts = found["overrides"].groupBy("page_id", "instance_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("master_id", F.struct("characters"))))).alias("overrides"))
+        rows = tree.join(ids, ["page_id", "node_id"], "left").join(texts, ["page_id", "instance_id"], "left")
+        rows = rows.join(inside, ["page_id", "component_id", "node_id"], "left")
+        return rows.withColumn("id", F.coalesce("instance_id", "master_id", "ir_id"))
+
     def export(self) -> DataFrame:
-        """page_id, json: a page's document as one text, nodes in order with their parents' ids."""
-        t = self.tokens
-        tree = t["tree"].where("component_id is null").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "ir_type", "name", "geometry", "layout", "fills", "strokes", "effects", "characters", "text_style", "instance_of", "fill_style_id", "text_style_id"))).alias("nodes"))
-        named = lambda df, name: df.groupBy("page_id").agg(F.array_sort(F.collect_set("style_id")).alias(name))
-        comps = self.detected["components"].groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("component_id", "name", "occurrences"))).alias("components"))
-        fonts = self.fonts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("first_at", "family", "style"))).alias("fonts"))
-        out = tree.join(named(t["paints"], "paints"), "page_id", "left").join(named(t["texts"], "texts"), "page_id", "left").join(named(t["effects"], "effects"), "page_id", "left").join(comps, "page_id", "left").join(fonts, "page_id", "left")
-        doc = F.struct(F.lit(1).alias("version"), F.lit(self.options.name).alias("name"), "nodes", F.struct("paints", "texts", "effects").alias("styles"), "components", "fonts")
-        return out.select("page_id", F.to_json(doc).alias("json"))
+        """page_id, json: a page's document as one text, nodes nested, with its styles, components and fonts."""
+        titles = self.detected["components"].select("page_id", "component_id", F.col("name").alias("title"))
+        own = self.numbered.join(titles, ["page_id", "component_id"], "left")
+        columns = ["page_id", "part", "key", "title", "parent", "node_id", "json"]
+        made = own.select("page_id", F.when(F.col("component_id").isNull(), "root").otherwise("component").alias("part"), F.coalesce("component_id", F.lit("")).alias("key"), "title", F.col("parent_ir").alias("parent"), "node_id", document.node_json().alias("json"))
+        entry = lambda df, part, key, value: df.select("page_id", F.lit(part).alias("part"), key.alias("key"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("parent"), F.lit(0).alias("node_id"), F.to_json(value).alias("json"))
+        title = lambda: (F.col("style_id").alias("id"), F.col("style_id").alias("name"))
+        # registries come in the order of a language, not of code units
+        by_name = F.lpad(F.row_number().over(Window.partitionBy("page_id").orderBy(F.collate("style_id", "UNICODE"), "style_id")).cast("string"), 12, "0")
+        t = {k: df.withColumn("place", by_name) for k, df in self.tokens.items() if k != "tree"}
+        style_id = F.col("place")
+        solid = F.struct(F.lit("SOLID").alias("type"), F.col("color"), F.lit(1.0).alias("opacity"), F.lit(True).alias("visible"))
+        for one in (
+            entry(t["paints"], "paints", style_id, F.struct(*title(), F.array(solid).alias("paints"))),
+            entry(t["texts"], "texts", style_id, F.struct(*title(), document._text_style(F.col("text_style")).alias("style"))),
+            entry(t["effects"], "effects", style_id, F.struct(*title(), document._effects(F.col("effects")).alias("effects"))),
+            entry(self.fonts, "fonts", F.lpad((F.col("first_at") + 1).cast("string"), 12, "0"), F.struct("family", "style")),
+        ):
+            made = made.unionByName(one.select(*columns))
+        return document.nested(made, self.options.name)
 
 
 def convert(pages: DataFrame, options: Options | None = None) -> Document:

@@ -5,12 +5,13 @@ The stages of one corpus are computed once for all the queries of a session over
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import cascade, classify, components, nodes, page, scene, tokens
+from tessera.operators import cascade, classify, components, document, nodes, page, scene, tokens
 from tessera.plans.engine import Document, Options, convert
 from tessera.plans.values import table
 from tessera.sources import css as css_source
@@ -98,19 +99,38 @@ def collect_styles(spark, sf_dir):
     return css_source.stylesheets(corpus(spark, sf_dir).dom)
 
 
-@_add("SELECT page_id, 0::INT AS rule_order, 'p' AS selector, 'margin' AS prop, '0' AS value, false AS important FROM pages WHERE html LIKE '%<style>p{margin:0}</style>%'")
+CARD_RULES = [
+    (":root", "--ink", "#333333"), (".grid", "display", "flex"), (".grid", "gap", "10px"), (".card0", "background", "#ff0000"), (".card1", "background", "#00ff00"), (".card1", "padding", "4px"), (".card2", "background", "#808080"), (".card2", "border", "1px solid #112233"),
+    (".grid p", "color", "var(--ink)"), (".grid > .card1 p", "color", "#0000ff"), (".grid > .card1 p", "font-size", "14px"), ("p", "margin", "0"), (".card2 p", "font-weight", "bold"), (".card2 p", "font-size", "24px"),
+]
+ORDER = list(dict.fromkeys(r[0] for r in CARD_RULES))
+RULE_ROWS = ", ".join(f"({ORDER.index(sel)}, '{sel}', '{prop}', '{value}', {str(value == '#0000ff').lower()})" for sel, prop, value in CARD_RULES)
+
+
+@_add(f"SELECT page_id, r.* FROM (SELECT DISTINCT {BRAND} AS page_id FROM part), (VALUES {RULE_ROWS}) r(rule_order, selector, prop, value, important)")
 def css_rules(spark, sf_dir):
-    return corpus(spark, sf_dir).rules.select("page_id", "rule_order", "selector", F.explode("decls").alias("d")).select("page_id", "rule_order", "selector", F.col("d.prop").alias("prop"), F.col("d.value").alias("value"), F.col("d.important").alias("important"))
+    return cards(spark, sf_dir).rules.select("page_id", "rule_order", "selector", F.explode("decls").alias("d")).select("page_id", "rule_order", "selector", F.col("d.prop").alias("prop"), F.col("d.value").alias("value"), F.col("d.important").alias("important"))
+
+
+@_add(f"SELECT page_id, s.* FROM (SELECT DISTINCT {BRAND} AS page_id FROM part), (VALUES (':root', 1, '', true), ('.grid > .card1 p', 3, '>| ', true), ('.grid p', 2, ' ', true), ('p', 1, '', true)) s(selector, n_parts, combs, supported)")
+def selector_parse(spark, sf_dir):
+    return cards(spark, sf_dir).rules.where(F.col("selector").isin(":root", ".grid > .card1 p", ".grid p", "p")).select("page_id", "selector", F.size("parts").alias("n_parts"), F.array_join("combs", "|").alias("combs"), "supported")
+
 
+def spoilt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part: every fifth has no html, every seventh is nested too deep."""
+    html = F.when(F.col("p_size") % 5 == 0, None).when(F.col("p_size") % 7 == 0, F.repeat(F.lit("<div>"), 600)).otherwise(F.concat(F.lit("<p>"), "p_name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
-@_add("SELECT page_id, true AS ok, NULL::VARCHAR AS error FROM pages")
+
+@_add("SELECT p_partkey AS page_id, p_size % 5 <> 0 AS ok, CASE WHEN p_size % 5 = 0 THEN 0 WHEN p_size % 7 = 0 THEN 603 ELSE 5 END::INT AS n_nodes, CASE WHEN p_size % 5 = 0 THEN 'no html' WHEN p_size % 7 = 0 THEN 'nested deeper than 512' END AS error FROM part")
 def harness_outcomes(spark, sf_dir):
-    return html_source.parse_outcomes(table(spark, sf_dir, "pages")).select("page_id", "ok", "error")
+    return html_source.parse_outcomes(spoilt_pages(spark, sf_dir)).select("page_id", "ok", "n_nodes", "error")
 
 
-@_add("SELECT count(*) AS n, count(*) AS n_ok, 0::BIGINT AS n_failed, 0::INT AS exit_code FROM pages")
+@_add("SELECT count(*) AS n, count(*) FILTER (p_size % 5 <> 0) AS n_ok, count(*) FILTER (p_size % 5 = 0) AS n_failed, max((p_size % 5 = 0)::INT)::INT AS exit_code, printf('summary: %d converted, %d failed, %d total', count(*) FILTER (p_size % 5 <> 0), count(*) FILTER (p_size % 5 = 0), count(*)) AS line FROM part")
 def harness_summary(spark, sf_dir):
-    return html_source.parse_outcomes(table(spark, sf_dir, "pages")).agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"), F.when(F.count_if(~F.col("ok")) > 0, 1).otherwise(0).alias("exit_code"))
+    return html_source.outcome_totals(html_source.parse_outcomes(spoilt_pages(spark, sf_dir)))
 
 
 @_add("SELECT page_id, len(regexp_extract_all(html, '<!-- ad'))::BIGINT AS n_comments FROM pages WHERE html LIKE '%<!-- ad%'")
@@ -124,9 +144,10 @@ def inner_text(spark, sf_dir):
     return classify.inner_text(d).join(d.where("tag = 'title'").select("page_id", "node_id"), ["page_id", "node_id"]).join(whole, "page_id", "left_semi").select("page_id", F.col("text").alias("title"))
 
 
-@_add()
+@_add(f"SELECT page_id, unnest(['element', 'text']) AS kind, unnest([2 * sum(n) + 3, sum(n)])::BIGINT AS n FROM {LOOKS} GROUP BY page_id")
 def ignored_tags(spark, sf_dir):
-    return classify.drawn(corpus(spark, sf_dir).dom).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+    """What is drawn: head and style with all that they hold are not."""
+    return classify.drawn(cards(spark, sf_dir).dom).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
 @_add()
@@ -134,15 +155,31 @@ def ir_type_counts(spark, sf_dir):
     return corpus(spark, sf_dir).kinds.groupBy("page_id", "ir_type").agg(F.count("*").alias("n"))
 
 
-@_add("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) GROUP BY page_id")
+@_add(f"SELECT page_id, 1::BIGINT AS firsts, 1::BIGINT AS lasts, sum(n)::BIGINT AS onlies, (sum(n) * (sum(n) + 1) / 2)::BIGINT AS places, sum(n)::INT AS cards FROM {LOOKS} GROUP BY page_id")
 def pseudo_classes(spark, sf_dir):
-    d = corpus(spark, sf_dir).dom.where("tag = 'li' and ty_idx >= 1 and ty_idx <= ty_cnt")
-    return d.groupBy("page_id").agg(F.count("*").alias("n"))
+    """Of a page's cards the first and the last, the texts that are alone, and the cards' places among their kind."""
+    card, alone = F.col("tag") == "div", (F.col("tag") == "p") & (F.col("el_cnt") == 1) & (F.col("ty_cnt") == 1)
+    d = cards(spark, sf_dir).dom.where("depth >= 3")
+    return d.groupBy("page_id").agg(F.count_if(card & (F.col("el_idx") == 1)).alias("firsts"), F.count_if(card & (F.col("el_idx") == F.col("el_cnt"))).alias("lasts"), F.count_if(alone).alias("onlies"), F.sum(F.when(card, F.col("ty_idx"))).alias("places"), F.max(F.when(card, F.col("ty_cnt"))).alias("cards"))
 
 
-@_add()
+@_add("SELECT p_partkey AS page_id, unnest(['p', 'i']) AS tag, unnest(['m1', 'm2']) AS mid FROM part")
 def text_leaves(spark, sf_dir):
-    return scene.text_leaves(corpus(spark, sf_dir).dom).groupBy("page_id").agg(F.count("*").alias("n"))
+    d = rich(spark, sf_dir).dom
+    return scene.text_leaves(d).join(d.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).select("page_id", "tag", "mid")
+
+
+@_add("SELECT p_partkey AS page_id, unnest(['body', 'p', 'b', 'i', 'div']) AS tag, unnest([false, true, true, true, false]) AS text_only, unnest([1, 1, 1, 1, 2])::BIGINT AS n FROM part")
+def text_leaf(spark, sf_dir):
+    d = classify.drawn(rich(spark, sf_dir).dom)
+    both = classify.text_only(d).join(d.select("page_id", "node_id", "tag"), ["page_id", "node_id"])
+    return both.where(F.col("tag").isin("body", "p", "b", "i", "div")).groupBy("page_id", "tag", F.when(F.col("tag") == "div", False).otherwise(F.col("text_only")).alias("text_only")).agg(F.count("*").alias("n"))
+
+
+@_add("SELECT p_partkey AS page_id, unnest(['FRAME', 'IMAGE', 'TEXT', 'VECTOR']) AS ir_type, unnest([3, 2, 3, 2])::BIGINT AS n FROM part")
+def ir_types(spark, sf_dir):
+    """Kinds of design nodes before drawings are taken apart: a body, a box and what it holds; bare text, a paragraph and an i; images; drawings."""
+    return rich(spark, sf_dir).kinds.groupBy("page_id", "ir_type").agg(F.count("*").alias("n"))
 
 
 @_add(
@@ -163,6 +200,12 @@ def css_descendant(spark, sf_dir):
     return hit.groupBy("page_id").agg(F.count_if(F.col("selector") == ".grid p").alias("below"), F.count_if(F.col("selector").contains(">")).alias("child"))
 
 
+@_add(f"SELECT page_id, '.grid > .card1 p' AS selector, n AS matched FROM {LOOKS} WHERE look = 1")
+def css_child(spark, sf_dir):
+    d = cards(spark, sf_dir)
+    return d.matches.join(d.rules.where("array_contains(combs, '>')").select("page_id", "rule_order", "selector"), ["page_id", "rule_order"]).groupBy("page_id", "selector").agg(F.count("*").alias("matched"))
+
+
 @_add("SELECT l_orderkey AS page_id, l_suppkey % 3 AS prop, max_by(l_partkey, {'a': l_returnflag = 'R', 'b': l_linenumber % 2, 'c': l_linenumber * 10000000 + l_partkey}) AS value FROM lineitem GROUP BY ALL")
 def css_winner(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.lit(0).alias("node_id"), (F.col("l_suppkey") % 3).alias("prop"), F.col("l_partkey").alias("value"), (F.col("l_returnflag") == "R").alias("important"), F.struct((F.col("l_linenumber") % 2).alias("inline")).alias("specificity"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("rule_order"), F.lit(0).alias("decl_idx"))
@@ -201,16 +244,51 @@ def instances(spark, sf_dir):
     return cards(spark, sf_dir).detected["instances"].groupBy("page_id").agg(F.count("*").alias("n"), F.count_distinct("component_id").alias("kinds"))
 
 
-@_add(f"SELECT p.page_id, 'card' || p.look || '.text-0' AS master_id, count(*) AS n FROM (SELECT {BRAND} AS page_id, p_size % 3 AS look, p_partkey, p_name FROM part) p JOIN (SELECT l.*, p_name AS first_name FROM {LOOKS} l JOIN part ON p_partkey = first_key) f ON p.page_id = f.page_id AND p.look = f.look WHERE f.n >= 3 AND p_name <> first_name GROUP BY ALL")
+FIRSTS = f"(SELECT l.*, p_name AS first_name, row_number() OVER (PARTITION BY l.page_id ORDER BY n DESC, look) AS place FROM {LOOKS} l JOIN part ON p_partkey = first_key WHERE n >= 3)"
+PLACED = f"(SELECT {BRAND} AS page_id, p_size % 3 AS look, p_partkey, p_name FROM part)"
+#: Instances in document order: cards of the looks that are components.
+SHOWN = f"(SELECT p.*, f.first_name, 'instance-' || row_number() OVER (PARTITION BY p.page_id ORDER BY p_partkey) AS instance_id FROM {PLACED} p JOIN {FIRSTS} f USING (page_id, look))"
+
+
+@_add(f"SELECT page_id, instance_id, 'card' || look AS component_id, 'card' || look || '.text-0' AS master_id, p_name AS characters FROM {SHOWN} WHERE p_name <> first_name")
 def overrides(spark, sf_dir):
-    return cards(spark, sf_dir).detected["overrides"].groupBy("page_id", "master_id").agg(F.count("*").alias("n"))
+    return cards(spark, sf_dir).detected["overrides"].select("page_id", "instance_id", "component_id", "master_id", "characters")
 
 
-@_add(f"SELECT count(*) AS hashes, sum(n)::BIGINT AS frames FROM (SELECT look, sum(n) AS n FROM {LOOKS} GROUP BY look)")
+@_add(f"SELECT page_id, instance_id, 'card' || look AS component_id, 'Card' || look AS name FROM {SHOWN}")
+def instance_ids(spark, sf_dir):
+    return cards(spark, sf_dir).detected["instances"].select("page_id", "instance_id", "component_id", "name")
+
+
+@_add(f"SELECT page_id, place::INT AS rank, 'card' || look AS component_id FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, look) AS place, count(*) OVER (PARTITION BY page_id, n) AS ties FROM {LOOKS} WHERE n >= 3) WHERE ties = 1")
+def component_ids(spark, sf_dir):
+    """Components in the order of how often they occur; those that occur equally often (ordered by their shape's text) are left to the tests."""
+    found = cards(spark, sf_dir).detected["components"]
+    ties = F.count("*").over(Window.partitionBy("page_id", "occurrences"))
+    return found.withColumn("ties", ties).where("ties = 1").select("page_id", "rank", "component_id")
+
+
+@_add("SELECT p_partkey AS page_id, unnest(['Box', 'Component2', 'Box']) AS name, unnest(['box', 'component2', 'box-2']) AS component_id FROM part")
+def component_names(spark, sf_dir):
+    """A class that two components share, and a kind of element that says nothing."""
+    three = lambda text: F.repeat(F.lit(text), 3)
+    html = F.concat(F.lit("<body>"), F.repeat(F.lit('<div class="box"><hr></div>'), 5), F.repeat(F.lit("<section><hr><hr></section>"), 4), three('<div class="box"><hr><hr><hr></div>'), F.lit("</body>"))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    return convert(written(pages, "names"), Options(layout=False)).detected["components"].select("page_id", "name", "component_id")
+
+
+@_add(f"SELECT page_id, 'card' || look AS component_id, unnest(['card' || look, 'card' || look || '.text-0']) AS master_id FROM {LOOKS} WHERE n >= 3")
+def master_ids(spark, sf_dir):
+    d = cards(spark, sf_dir)
+    return components.masters(nodes.ir_parents(d.ir), d.detected["components"]).select("page_id", "component_id", "master_id")
+
+
+@_add(f"SELECT look AS key, count(*) AS hashes, sum(n)::BIGINT AS frames FROM (SELECT look, sum(n) AS n FROM {LOOKS} GROUP BY look) GROUP BY look")
 def subtree_hash(spark, sf_dir):
+    """Cards of one look have one hash on all pages, whatever their texts say."""
     d = cards(spark, sf_dir)
-    cardlike = d.ir.where("name like 'Card%'")
-    return components.subtree_hashes(nodes.ir_parents(cardlike.unionByName(d.ir.where("ir_type = 'TEXT'")))).agg(F.count_distinct("hash").alias("hashes"), F.count("*").alias("frames"))
+    named = components.subtree_hashes(nodes.ir_parents(d.ir)).join(d.ir.select("page_id", "node_id", "name", "tag"), ["page_id", "node_id"])
+    return named.where("name <> 'Grid' and tag <> 'body'").groupBy(F.substring("name", 5, 1).cast("bigint").alias("key")).agg(F.count_distinct("hash").alias("hashes"), F.count("*").alias("frames"))
 
 
 USED = f"(SELECT page_id, look, CASE WHEN n >= 3 THEN 1 ELSE n END AS n FROM {LOOKS})"
@@ -226,7 +304,12 @@ def paint_buckets(spark, sf_dir):
     return cards(spark, sf_dir).tokens["paints"].select("page_id", "hex", "bucket")
 
 
-@_add()
+@_add(
+    f"""WITH used AS (SELECT page_id, hex, sum(n)::BIGINT AS total FROM (SELECT page_id, n, unnest([['ff0000', '333333'], ['00ff00', '0000ff'], ['808080', '333333', '112233']][look + 1]) AS hex FROM {USED}) GROUP BY ALL),
+    kinds AS (SELECT *, CASE hex WHEN '808080' THEN 'surface' WHEN '333333' THEN 'ink' WHEN '112233' THEN 'border' ELSE 'brand' END AS bucket FROM used),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id, bucket ORDER BY total DESC, hex) AS k FROM kinds)
+    SELECT page_id, hex, total, bucket || '/' || CASE bucket WHEN 'border' THEN 'default' WHEN 'brand' THEN ['primary', 'accent', 'secondary'][k] ELSE 'primary' END AS style_id FROM ranked"""
+)
 def paint_names(spark, sf_dir):
     return cards(spark, sf_dir).tokens["paints"].select("page_id", "hex", "total", "style_id")
 
@@ -241,10 +324,22 @@ def text_names(spark, sf_dir):
     return cards(spark, sf_dir).tokens["texts"].select("page_id", "style_id")
 
 
-@_add(f"SELECT page_id, count(*) AS n FROM {LOOKS} GROUP BY page_id")
+@_add(f"SELECT page_id, look::INT AS look, 1::BIGINT AS n, ['body/lg', 'body/md', 'heading/lg'][look + 1] AS text_style_id, ['333333', '0000ff', '333333'][look + 1] AS text_fill, ['ff0000', '00ff00', '808080'][look + 1] AS card_fill, CASE WHEN look = 2 THEN 'border/default' END AS stroke_style_id FROM {LOOKS} WHERE n >= 3")
 def apply_styles(spark, sf_dir):
-    tree = cards(spark, sf_dir).tokens["tree"]
-    return tree.where("ir_type = 'TEXT' and fill_style_id is not null and text_style_id is not null").groupBy("page_id").agg(F.count_distinct("text_style_id").alias("n"))
+    """The style ids stamped on each component's master and on its text; what a fill's id stands for."""
+    d = cards(spark, sf_dir)
+    tree = d.tokens["tree"].where("component_id is not null").join(d.tokens["paints"].select("page_id", F.col("style_id").alias("fill_style_id"), "hex"), ["page_id", "fill_style_id"], "left")
+    on = lambda kind, c: F.max(F.when(F.col("ir_type") == kind, F.col(c)))
+    return tree.groupBy("page_id", F.substring("component_id", 5, 1).cast("int").alias("look")).agg(F.count_if(F.col("ir_type") == "TEXT").alias("n"), on("TEXT", "text_style_id").alias("text_style_id"), on("TEXT", "hex").alias("text_fill"), on("FRAME", "hex").alias("card_fill"), on("FRAME", "stroke_style_id").alias("stroke_style_id"))
+
+
+@_add("SELECT l_orderkey AS page_id, l_linenumber AS node_id, 'fill' AS role, 'p' || l_partkey % 4 AS style_id FROM lineitem WHERE l_partkey % 4 = 0 UNION ALL SELECT l_orderkey, l_linenumber, 'text', 't9' FROM lineitem WHERE l_suppkey % 2 = 0")
+def apply_paint_styles(spark, sf_dir):
+    """References to styles that don't exist, by node and role."""
+    line = table(spark, sf_dir, "lineitem")
+    tree = line.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("node_id"), F.concat(F.lit("p"), F.col("l_partkey") % 4).alias("fill_style_id"), F.lit(None).cast("string").alias("stroke_style_id"), F.when(F.col("l_suppkey") % 2 == 0, "t9").alias("text_style_id"), F.lit(None).cast("string").alias("effect_style_id"))
+    styles = line.select(F.col("l_orderkey").alias("page_id")).distinct().select("page_id", F.explode(F.array(*map(F.lit, ("p1", "p2", "p3")))).alias("style_id"))
+    return scene.dangling_styles(tree, styles)
 
 
 @_add(f"SELECT page_id, 'Inter' AS family, CASE WHEN bool_or(look = 2) THEN 'Bold, Regular' ELSE 'Regular' END AS styles FROM {LOOKS} GROUP BY page_id")
@@ -257,26 +352,43 @@ def doc_stats(spark, sf_dir):
     return cards(spark, sf_dir).stats.select("page_id", "nodes", "components", "instances", "effect_styles")
 
 
-@_add(f"SELECT page_id, concat_ws(', ', (2 * sum(n) + 1) || ' nodes', CASE WHEN count(*) FILTER (n >= 3) > 0 THEN count(*) FILTER (n >= 3) || ' components' END) AS line FROM {LOOKS} GROUP BY page_id")
+STYLED = f"(SELECT page_id, 2 * sum(n) + 1 AS nodes, count(*) FILTER (n >= 3) AS comps, coalesce(sum(n) FILTER (n >= 3), 0) AS insts, len(list_distinct(flatten(list([['ff0000', '333333'], ['00ff00', '0000ff'], ['808080', '333333', '112233']][look + 1])))) AS paints, count(*) AS texts FROM {LOOKS} GROUP BY page_id)"
+
+
+@_add(f"SELECT page_id, concat_ws(', ', nodes || ' nodes', CASE WHEN comps > 0 THEN comps || ' components \u00d7 ' || insts || ' instances' END, paints || ' paint \u00d7 ' || texts || ' text \u00d7 0 effect styles') AS line, 'warnings:      0' || chr(10) || 'ir nodes:      ' || nodes || chr(10) || 'components:    ' || comps || chr(10) || 'instances:     ' || insts || chr(10) || 'paint styles:  ' || paints || chr(10) || 'text styles:   ' || texts || chr(10) || 'effect styles: 0' AS verbose FROM {STYLED}")
 def summary_line(spark, sf_dir):
-    return cards(spark, sf_dir).stats.select("page_id", F.concat_ws(", ", F.concat(F.col("nodes"), F.lit(" nodes")), F.when(F.col("components") > 0, F.concat(F.col("components"), F.lit(" components")))).alias("line"))
+    return cards(spark, sf_dir).summary()
 
 
-@_add(f"SELECT DISTINCT {BRAND} AS page_id, 1::INT AS version FROM part")
+@_add(f"SELECT page_id, 1::INT AS version, 'Page' AS root_name, sum(n)::INT AS cards, count(*) FILTER (n >= 3)::INT AS components, coalesce(sum(n) FILTER (n >= 3), 0)::BIGINT AS instances, (SELECT paints::INT FROM {STYLED} s WHERE s.page_id = l.page_id) AS paints, count(*)::INT AS texts, 0::BIGINT AS faults FROM {LOOKS} l GROUP BY page_id")
 def ir_export(spark, sf_dir):
-    return cards(spark, sf_dir).export().select("page_id", F.get_json_object("json", "$.version").cast("int").alias("version"))
+    """Whole documents: what is nested where, and that a check finds no fault in them."""
+    made = cards(spark, sf_dir).export()
+    at = lambda path: F.get_json_object("json", path)
+    long = lambda path: F.coalesce(F.json_array_length(at(path)), F.lit(0))
+    bad = document.issues(made).groupBy("page_id").agg(F.count("*").alias("faults"))
+    inner = at("$.root.children[0].children")
+    shown = made.select("page_id", at("$.version").cast("int").alias("version"), at("$.root.name").alias("root_name"), F.json_array_length(inner).alias("cards"), long("$.components").alias("components"), F.regexp_count(inner, F.lit('"type":"INSTANCE"')).cast("long").alias("instances"), long("$.styles.paints").alias("paints"), long("$.styles.texts").alias("texts"))
+    return shown.join(bad, "page_id", "left").na.fill(0, ["faults"])
 
 
-@_add()
+@_add(f"SELECT page_id, unnest(list_concat(['root', 'div-' || 2 * count(*) + 1], flatten(list(['text-' || (2 * k - 1), 'div-' || 2 * k])))) AS ir_id FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY p_partkey) AS k FROM {PLACED}) GROUP BY page_id")
 def ir_ids(spark, sf_dir):
     return nodes.ir_ids(cards(spark, sf_dir).ir).select("page_id", "ir_id")
 
 
-@_add("SELECT p_partkey AS page_id, 1 + 2 * (p_size % 2)::INT AS nth, CASE WHEN p_size % 2 = 0 THEN 'version' ELSE '(none)' END AS path FROM part WHERE p_size % 2 = 0")
+FAULTS = "[CASE WHEN p_size % 2 = 0 THEN 'version' END, CASE WHEN p_size % 3 = 0 THEN 'root.id' END, CASE WHEN p_size > 25 THEN 'root.opacity' END, CASE WHEN p_size <= 10 THEN 'root.children.0.textStyle.fontSize' END, CASE WHEN p_size % 5 = 0 THEN 'root.children.1.type' END, 'fonts.0.family', CASE WHEN p_size % 7 = 0 THEN 'images' END]"
+
+
+@_add(f"SELECT page_id, k::INT AS nth, found[k] AS path FROM (SELECT p_partkey AS page_id, list_filter({FAULTS}, lambda x: x IS NOT NULL) AS found FROM part), unnest(range(1, 6)) r(k) WHERE k <= len(found)")
 def validate_ir(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    doc = F.concat(F.lit('{"version":'), F.lit(1) + F.when(F.col("p_size") % 2 == 0, 1).otherwise(0), F.lit(',"name":"x","root":{"type":"FRAME","id":"root","name":""}}'))
-    return scene.issues(part.select(F.col("p_partkey").alias("page_id"), doc.alias("json"))).select("page_id", "nth", "path")
+    """The first five faults of documents that have up to seven, some of them nested."""
+    size = F.col("p_size")
+    text = F.concat(F.lit('{"type":"TEXT","id":"t","characters":"x","textStyle":{"fontFamily":"Inter","fontSize":'), (size - 10).cast("string"), F.lit("}}"))
+    other = F.concat(F.lit('{"type":"'), F.when(size % 5 == 0, "CIRCLE").otherwise("FRAME"), F.lit('","id":"f"}'))
+    root = F.concat(F.lit('{"type":"FRAME","id":"'), F.when(size % 3 == 0, "").otherwise("root"), F.lit('","opacity":'), (size / 25).cast("string"), F.lit(',"children":['), text, F.lit(","), other, F.lit("]}"))
+    doc = F.concat(F.lit('{"images":'), F.when(size % 7 == 0, "{}").otherwise("[]"), F.lit(',"version":'), F.when(size % 2 == 0, "2").otherwise("1"), F.lit(',"name":"x","root":'), root, F.lit(',"fonts":[{"family":""}]}'))
+    return document.issues(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), doc.alias("json"))).select("page_id", "nth", "path")
 
 
 @_add("SELECT l_orderkey AS page_id, l_linenumber AS instance FROM lineitem WHERE l_partkey % 3 = 0")
@@ -299,11 +411,33 @@ def union_rect(spark, sf_dir):
     return scene.union_rects(lines).select("page_id", "x", "width")
 
 
-@_add("SELECT DISTINCT 1::BIGINT AS page_id, p_brand AS family, 'Regular' AS style FROM part WHERE p_size % 2 = 1 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 1)")
+@_add(f"SELECT page_id, 'Inter' AS family, 'Bold' AS style FROM {LOOKS} WHERE look = 2")
 def font_preload(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    fonts = part.where("p_size % 2 = 1").select(F.lit(1).cast("long").alias("page_id"), F.col("p_brand").alias("family"), F.lit("Regular").alias("style")).distinct()
-    return scene.missing_fonts(fonts, part.where("p_size = 1").select(F.col("p_brand").alias("family"), F.lit("Regular").alias("style"))).select("page_id", "family", "style")
+    """Fonts that have to be there before texts are set and aren't: only Inter Regular is installed."""
+    d = cards(spark, sf_dir)
+    wanted = scene.font_preload(d.fonts, d.tokens["tree"], d.tokens["texts"])
+    return scene.missing_fonts(wanted, spark.createDataFrame([("Inter", "Regular")], "family string, style string")).select("page_id", "family", "style")
+
+
+@_add(f"SELECT page_id, ['Inter/Regular', 'Inter/Bold'][k] AS font, [-1, min(3 * nth + 4) FILTER (look = 2)][k]::INT AS first_at FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY p_partkey) AS nth FROM {PLACED}), unnest([1, 2]) u(k) GROUP BY page_id, k HAVING k = 1 OR bool_or(look = 2)")
+def fonts(spark, sf_dir):
+    """Each font once, with the node that asks for it first; html, head, style, its text, body and grid come before the cards."""
+    return cards(spark, sf_dir).fonts.select("page_id", F.concat_ws("/", "family", "style").alias("font"), "first_at")
+
+
+@_add("SELECT p_partkey AS page_id, unnest(['FRAME', 'IMAGE', 'SVG', 'TEXT', 'VECTOR']) AS drawn_as, unnest([3, 2, 1, 3, 3])::BIGINT AS n, unnest([0, 2, 0, 0, 0])::BIGINT AS grey, unnest([0, 0, 0, 3, 0])::BIGINT AS run_spans FROM part")
+def scene_nodes(spark, sf_dir):
+    """What a host builds: a drawing of several shapes is imported whole, images without bytes are grey, runs stay within their text."""
+    built = scene.scene(rich(spark, sf_dir).tokens["tree"])
+    return built.groupBy("page_id", "drawn_as").agg(F.count("*").alias("n"), F.count("stand_in").alias("grey"), F.sum(F.coalesce(F.size("runs"), F.lit(0))).cast("long").alias("run_spans"))
+
+
+@_add("SELECT DISTINCT l_orderkey AS page_id, concat_ws('-', l_linenumber, l_partkey) AS component_id, 'root must be a FRAME, got TEXT' AS message FROM lineitem WHERE l_partkey % 3 = 0")
+def component_roots(spark, sf_dir):
+    """Components whose root isn't a frame."""
+    line = table(spark, sf_dir, "lineitem")
+    tree = line.select(F.col("l_orderkey").alias("page_id"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("component_id"), F.explode(F.array(F.struct(F.lit(1).alias("node_id"), F.when(F.col("l_partkey") % 3 == 0, "TEXT").otherwise("FRAME").alias("ir_type")), F.struct(F.lit(2).alias("node_id"), F.lit("TEXT").alias("ir_type")))).alias("x"))
+    return scene.component_faults(tree.select("page_id", "component_id", "x.*"))
 
 
 @_add("SELECT p_partkey AS page_id, 'row' AS what, 10.0::DOUBLE AS x, p_size::DOUBLE AS width FROM part UNION ALL SELECT p_partkey, 'last', (10 + p_size + 5)::DOUBLE, 30.0 FROM part")
@@ -315,6 +449,36 @@ def layout_boxes(spark, sf_dir):
     return nodes_.where("depth = 3 and box is not null").select("page_id", F.when(F.col("child_idx") == 0, "row").otherwise("last").alias("what"), "box.x", "box.width")
 
 
+@_add(
+    """SELECT p_partkey AS page_id, unnest(['share', 'ratio', 'pinned', 'moved', 'middle', 'right', 'w0', 'w2', 'img', 'capped', 'filled', 'inner']) AS what,
+    floor(unnest([0, 0, 400 - p_size - 5, 7, 200 - p_size / 2.0, 400 - p_size, 0, 0, 0, (400 - 200 - p_size) / 2.0, 10, 10 + p_size]) + 0.5)::DOUBLE AS x,
+    unnest([200, 2 * p_size, p_size, 400, p_size, p_size, 180, 180, p_size, 200 + p_size, p_size, 400 - 20 - p_size])::DOUBLE AS width FROM part"""
+)
+def layout_rules(spark, sf_dir):
+    """Shares, ratios, absolute and relative places, alignment, wrapping, replaced elements, block centring and growth in one page of 400 pixels."""
+    s = F.col("p_size").cast("string")
+    box = lambda name, *style: F.concat(F.lit(f'<div id="{name}" style="height:5px;'), *(x if not isinstance(x, str) else F.lit(x) for x in style), F.lit('"></div>'))
+    html = F.concat(
+        F.lit('<body><div style="width:400px">'), box("share", "width:50%"), F.concat(F.lit('<div id="ratio" style="aspect-ratio:2;height:'), s, F.lit('px"></div>')),
+        F.lit('<div style="position:relative;height:9px">'), box("pinned", "position:absolute;right:5px;width:", s, "px"), F.lit("</div>"), box("moved", "position:relative;left:7px"),
+        F.lit('<div style="display:flex;justify-content:center">'), box("middle", "width:", s, "px"), F.lit('</div><div style="display:flex;justify-content:flex-end">'), box("right", "width:", s, "px"), F.lit("</div>"),
+        F.lit('<div style="display:flex;flex-wrap:wrap">'), box("w0", "width:180px"), box("w1", "width:180px"), box("w2", "width:180px"), F.lit("</div>"),
+        F.lit('<div style="display:flex"><img id="img" src="x" height="5" width="'), s, F.lit('"></div>'), box("capped", "margin:0 auto;max-width:", (F.col("p_size") + 200).cast("string"), "px"),
+        F.lit('<div style="display:flex;padding:0 10px">'), box("filled", "width:", s, "px"), box("inner", "flex-grow:1"), F.lit("</div></div></body>"),
+    )
+    nodes_ = page.page_nodes(ship(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))), 400.0)
+    return nodes_.where("attrs['id'] is not null and attrs['id'] <> 'w1'").select("page_id", F.col("attrs")["id"].alias("what"), F.col("box.x").alias("x"), F.col("box.width").alias("width"))
+
+
+@_add("SELECT p_partkey AS page_id, CASE WHEN p_size % 2 = 0 THEN (p_size + 300) / 2.0 ELSE least(p_size + 300 - 20, 310.0) END - 14 AS width FROM part")
+def content_width(spark, sf_dir):
+    """The width that a box leaves its content: its own or its parent's less margins, at most max-width, less padding and borders."""
+    own = F.when(F.col("p_size") % 2 == 0, "width:50%").otherwise("margin:0 10px;max-width:310px")
+    html = F.concat(F.lit('<body><div style="width:'), (F.col("p_size") + 300).cast("string"), F.lit('px"><div style="padding:0 5px;border:2px solid red;'), own, F.lit('"><div id="in" style="height:1px"></div></div></div></body>'))
+    nodes_ = page.page_nodes(ship(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))), 800.0)
+    return nodes_.where("attrs['id'] = 'in'").select("page_id", F.col("box.width").alias("width"))
+
+
 def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each part: bare text, a text in two weights, images, a drawing, and a shadow."""
     size = F.col("p_size").cast("string")
@@ -356,6 +520,12 @@ def effect_names(spark, sf_dir):
     return rich(spark, sf_dir).tokens["effects"].select("page_id", "style_id", "n")
 
 
+@_add("SELECT p_partkey AS page_id, 'shadow' AS family, (p_size % 3 * 10 + 2)::DOUBLE AS radius, 1::BIGINT AS n FROM part")
+def effect_usage(spark, sf_dir):
+    used = tokens.effect_usage(rich(spark, sf_dir).detected["tree"])
+    return used.select("page_id", F.split(tokens.effect_bucket(F.col("effects")), "/")[0].alias("family"), F.array_max(F.transform("effects", lambda e: e["radius"])).alias("radius"), "n")
+
+
 @_add("SELECT p_partkey AS page_id, 2::BIGINT AS warnings, 'image without a source' AS first_warning FROM part")
 def report(spark, sf_dir):
     return rich(spark, sf_dir).report().select("page_id", "warnings", F.get("messages", 0).alias("first_warning"))
@@ -411,18 +581,52 @@ def snapshots(spark, sf_dir):
     return doc.ir.where("ir_type = 'IMAGE'").select("page_id", "image_ref", F.col("geometry.width").alias("width"))
 
 
-@_add()
+@_add("SELECT row_number() OVER (ORDER BY r_name, n_name) - 1 AS page_id, r_name || '/' || n_name || '.html' AS file, '<p>' || n_name AS html FROM nation JOIN region ON n_regionkey = r_regionkey")
 def scan_dir(spark, sf_dir):
-    """Folders of HTML files, searched in depth: none here, so no pages."""
-    return html_source.read_html(spark, f"{sf_dir}/html").select("url")
+    """A folder for each region with an HTML file for each of its nations, and another file, read in the order of their paths."""
+    from tessera.sources.store import shared_dir
 
+    folder = f"{shared_dir(spark)}/tessera/scan-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name").collect()  # two small fixed tables
+    for r in rows:
+        html_source.write_text(spark, f"{folder}/{r['r_name']}/{r['n_name']}.html", f"<p>{r['n_name']}")
+    html_source.write_text(spark, f"{folder}/notes.txt", "no page")
+    return html_source.read_html(spark, folder).select("page_id", F.regexp_extract("url", "([^/]+/[^/]+)$", 1).alias("file"), "html")
 
-@_add()
+
+@_add("SELECT p_partkey AS page_id, unnest(['a', 'b', 'c', 'd']) AS id, unnest(['1px', '1px', NULL, NULL]) AS width, unnest(['red', 'red', 'red', 'blue']) AS color, unnest([NULL, NULL, 'initial', NULL]) AS height FROM part")
+def css_keywords(spark, sf_dir):
+    """inherit and unset take what the parent has, or nothing if it has none; initial stays as it is; over an element without declarations nothing but inherited properties passes."""
+    html = F.lit('<body><div id="a" style="width:1px;color:red"><div id="b" style="width:inherit;color:unset"><p><i id="c" style="width:inherit;height:initial"></i></p></div></div><div id="d" style="color:blue;height:unset"></div></body>')
+    nodes_ = page.page_nodes(ship(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))), layout=False)
+    return nodes_.where("attrs['id'] is not null").select("page_id", F.col("attrs")["id"].alias("id"), *(F.col("style")[c].alias(c) for c in ("width", "color", "height")))
+
+
+@_add("SELECT p_partkey AS page_id, 1.0::DOUBLE AS weight, '<svg fill=\"red\" stroke=\"#0000ff\" style=\"color:#0000ff\"><circle r=\"' || p_size || '\"></circle><rect width=\"2\" height=\"2\" fill=\"none\"></rect></svg>' AS markup FROM part")
+def svg_markup(spark, sf_dir):
+    """A drawing's markup with its own colour for currentColor; strokes without a width are 1 wide."""
+    d = rich(spark, sf_dir).ir
+    weight = d.where("ir_type = 'VECTOR' and size(strokes) > 0").groupBy("page_id").agg(F.max(F.get("strokes", 0)["weight"]).alias("weight"))
+    return d.where("tag = 'svg' and svg_source is not null").select("page_id", F.col("svg_source").alias("markup")).join(weight, "page_id")
+
+
+@_add("SELECT p_partkey AS page_id, unnest(['Site', 'Row', 'Cell', 'bare', 'Img']) AS name, unnest([false, true, false, NULL, NULL]) AS clips, unnest([NULL, NULL, 'AUTO', NULL, 'ABSOLUTE']) AS positioning FROM part")
+def frame_flags(spark, sf_dir):
+    """The root goes by the document's name; what overflows is clipped; elements in a flex container have a place in it, bare text hasn't."""
+    html = F.lit('<body><div class="row" style="display:flex;overflow:hidden">bare<div class="cell"><hr></div><img class="img" src="a" style="position:absolute"></div></body>')
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    ir = convert(written(pages, "flags"), Options(name="Site", layout=False)).ir.where("name <> 'hr'")
+    return ir.select("page_id", "name", F.col("clips_content").alias("clips"), F.col("child_layout.positioning").alias("positioning"))
+
+
+@_add(f"SELECT n AS occurrences, pages FROM (SELECT look, sum(n)::BIGINT AS n, count(*) AS pages FROM {LOOKS} GROUP BY look) WHERE n >= 3")
 def corpus_components(spark, sf_dir):
-    return components.corpus_components(cards(spark, sf_dir).ir)
+    """Subtrees that repeat over all pages: the three looks."""
+    d = cards(spark, sf_dir)
+    return components.corpus_components(d.ir.where("name <> 'Grid' and coalesce(tag, '') <> 'body'")).select("occurrences", "pages")
 
 
-@_add()
+@_add(f"SELECT page_id, count(*) AS n_elements FROM (SELECT page_id, unnest(regexp_extract_all({BARE}, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) FROM pages) GROUP BY page_id")
 def stream_pages(spark, sf_dir):
     from tessera.streaming.ingest import stream_nodes
 

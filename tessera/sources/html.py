@@ -357,6 +357,23 @@ def parse_outcomes(pages: DataFrame, key: str = "page_id", column: str = "html")
     return pages.select(F.col(key).cast("long").alias("page_id"), F.col(column).alias("html")).mapInArrow(run, "page_id long, ok boolean, n_nodes int, error string")
 
 
+def outcome_totals(outcomes: DataFrame) -> DataFrame:
+    """n, n_ok, n_failed, exit_code, line: one row for all pages."""
+    ok, failed = F.count_if("ok"), F.count_if(~F.col("ok"))
+    line = F.format_string("summary: %d converted, %d failed, %d total", ok, failed, F.count("*"))
+    return outcomes.agg(F.count("*").alias("n"), ok.alias("n_ok"), failed.alias("n_failed"), F.when(failed > 0, 1).otherwise(0).alias("exit_code"), line.alias("line"))
+
+
+def write_text(spark, path: str, text: str) -> None:
+    """A small file in any store that Spark reaches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def read_html(spark, path: str) -> DataFrame:
     """page_id, url, html of an HTML file or a folder of them, searched in depth; an empty or missing folder has no pages.
 

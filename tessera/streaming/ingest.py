@@ -16,14 +16,14 @@ def parsed(stream: DataFrame) -> DataFrame:
 
 
 def stream_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """Runs what is there now through a stream into a table in the shared folder; page_id and number of nodes for each page."""
+    """Runs what is there now through a stream into a table in the shared folder; page_id and number of elements that a page names, for each page."""
     folder, glob = path.rsplit("/", 1)
     schema = ship(spark).read.parquet(path).schema
     target = f"{shared_dir(spark)}/tessera/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", glob if not _is_folder(spark, path) else "*.parquet").parquet(folder if not _is_folder(spark, path) else path)
     query = parsed(source).writeStream.format("parquet").option("checkpointLocation", f"{target}-state").trigger(availableNow=True).start(target)
     query.awaitTermination()
-    return spark.read.parquet(target).groupBy("page_id").agg(F.count("*").alias("n_nodes"))
+    return spark.read.parquet(target).where("kind = 'element' and not implied").groupBy("page_id").agg(F.count("*").alias("n_elements"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
