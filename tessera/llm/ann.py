@@ -64,8 +64,8 @@ def centroids_of(sample: np.ndarray, lists: int, rounds: int, seed: int) -> np.n
 def nearest_lists(x: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
     """Indices of each row's n nearest centers, in no order."""
     norms, out = (centers**2).sum(1), []
-    for i in range(0, len(x), 4096):
-        d = norms - 2 * (x[i : i + 4096] @ centers.T)
+    for i in range(0, len(x), 1024):
+        d = norms - 2 * (x[i : i + 1024] @ centers.T)
         out.append(np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(centers) else np.tile(np.arange(len(centers)), (len(d), 1)))
     return np.concatenate(out) if out else np.zeros((0, n), int)
 
