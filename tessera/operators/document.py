@@ -112,7 +112,7 @@ def nested(rows: DataFrame, name: str) -> DataFrame:
             "version": 1, "name": name, "root": next((n for k, n in tops.items() if k[0] == "root"), None), "styles": {k: lists[k] for k in ("paints", "texts", "effects")},
             "components": [{"id": k[1], "name": titles[k], "root": n} for k, n in tops.items() if k[0] == "component"], "fonts": lists["fonts"], "images": [{"ref": i, "source": i} for i in images], "metadata": {},
         }
-        return pa.Table.from_arrays([pa.array([page["page_id"][0].as_py()], pa.int64()), pa.array([json.dumps(document, ensure_ascii=False)])], ["page_id", "json"])
+        return pa.Table.from_arrays([pa.array([page["page_id"][0].as_py()], pa.int64()), pa.array([json.dumps(document, ensure_ascii=False, separators=(",", ":"))])], ["page_id", "json"])
 
     return rows.groupBy("page_id").applyInArrow(build, "page_id long, json string")
 
