@@ -66,10 +66,11 @@ CARDS_CSS = (
 
 
 def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page for each brand: a card for each of its parts, in one of three looks by the part's size."""
+    """A page for each brand and thousand of part keys, so that pages don't grow with the table: a card for each part, in one of three looks by its size."""
     part = table(spark, sf_dir, "part")
     card = F.concat(F.lit('<div class="card'), (F.col("p_size") % 3), F.lit('"><p>'), F.col("p_name"), F.lit("</p></div>"))
-    cards = part.select(F.regexp_replace("p_brand", r"\D", "").cast("long").alias("page_id"), F.struct("p_partkey", card.alias("c")).alias("x")).groupBy("page_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    page_id = F.regexp_replace("p_brand", r"\D", "").cast("long") * 1_000_000_000 + F.floor(F.col("p_partkey") / 1000)
+    cards = part.select(page_id.alias("page_id"), F.struct("p_partkey", card.alias("c")).alias("x")).groupBy("page_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     body = F.concat(F.lit(f"<!DOCTYPE html><html><head><style>{CARDS_CSS}</style></head><body><div class=\"grid\">"), F.array_join(F.transform("x", lambda x: x["c"]), ""), F.lit("</div></body></html>"))
     return cards.select("page_id", F.concat(F.lit("part/"), "page_id").alias("url"), body.alias("html"))
 
@@ -78,7 +79,7 @@ def cards(spark: SparkSession, sf_dir: str) -> Document:
     return _document(spark, sf_dir, "cards", "part", lambda: convert(written(card_pages(spark, sf_dir), "cards"), Options(layout=False)))
 
 
-BRAND = "regexp_replace(p_brand, '\\D', '', 'g')::BIGINT"
+BRAND = "(regexp_replace(p_brand, '\\D', '', 'g')::BIGINT * 1000000000 + p_partkey // 1000)"
 #: What a page's markup is without comments and scripts, for counting its tags.
 BARE = "regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<script>.*?</script>', '<script>', 'gs')"
 LOOKS = f"(SELECT {BRAND} AS page_id, p_size % 3 AS look, count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY ALL)"

@@ -16,6 +16,8 @@ from tessera.sources.store import ship
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 KEYS = ["l_orderkey", "l_linenumber"]
+#: Of each query over values its text and the SQL of its columns.
+SPECS: dict[str, tuple[str, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,7 @@ def _query(name: str, text: str, columns: Callable[[Column], dict[str, Column]],
 
     QUERIES[name] = run
     ORACLES[name] = f"SELECT {', '.join(keys)}, {sql} FROM {source}"
+    SPECS[name] = (text, sql)
 
 
 Q = "cast(l_quantity AS INT)"

@@ -180,6 +180,22 @@ def href_status(href: Column) -> Column:
     return F.when(href.rlike("(?i)^([a-z][a-z0-9+.-]*:)?//") | href.rlike("(?i)^[a-z][a-z0-9+.-]+:"), "unresolved").when(href.startswith("/") | (lowest < 0), "refused").otherwise("ok")
 
 
+def _normal(parts: Column) -> Column:
+    """Path segments without `.` and with `..` taken back; null if they lead above their start."""
+
+    def step(state: Column, part: Column) -> Column:
+        up = F.when(F.size(state) > 0, F.slice(state, F.lit(1), F.size(state) - 1))
+        return F.when(part.isin("", "."), state).when(part == "..", up).otherwise(F.concat(state, F.array(part)))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
+def resolved_href(url: Column, href: Column) -> Column:
+    """The path that a page's link names: below the page's own folder, without query or fragment; null unless its status is ok."""
+    below = F.array_join(_normal(F.split(F.regexp_replace(href, "[?#].*$", ""), "/")), "/")
+    return F.when(href_status(href) == "ok", F.concat(F.regexp_extract(F.coalesce(url, F.lit("")), "^(?:[^?#]*/)?", 0), below))
+
+
 def stylesheets(nodes: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     """page_id, css: the text of a page's sheets in document order; linked (path, css) has what its links name."""
     styles = nodes.where("kind = 'element' and tag = 'style'").select("page_id", F.col("node_id").alias("at"))

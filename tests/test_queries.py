@@ -6,13 +6,12 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import pages, values
+from tessera.plans import pages, sql_queries, values
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-CHOSEN = sorted(values.ORACLES | pages.ORACLES)
-
-
+ALL_QUERIES, ALL_ORACLES = (values.QUERIES | pages.QUERIES | sql_queries.QUERIES, values.ORACLES | pages.ORACLES | sql_queries.ORACLES)
+CHOSEN = sorted(ALL_ORACLES)
 
 @pytest.fixture(scope="module")
 def con():
@@ -24,9 +23,8 @@ def con():
 
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query(spark, con, name):
-    queries, oracles = values.QUERIES | pages.QUERIES, values.ORACLES | pages.ORACLES
-    got = queries[name](spark, SF)
-    found = con.execute(oracles[name])
+    got = ALL_QUERIES[name](spark, SF)
+    found = con.execute(ALL_ORACLES[name])
     columns = [d[0] for d in found.description]
     assert sorted(got.columns) == sorted(columns)
     key = lambda row: tuple(str(x) for x in row)
@@ -34,4 +32,4 @@ def test_query(spark, con, name):
 
 
 def test_every_oracle_has_a_query():
-    assert not set(values.ORACLES | pages.ORACLES) - set(values.QUERIES | pages.QUERIES)
+    assert not set(ALL_ORACLES) - set(ALL_QUERIES)
