@@ -8,7 +8,8 @@ names' table holds both parents: following them gives a phrase's words, the coun
 phrases a longer one covers. As a longer phrase is no more frequent than any between, looking one word further is enough.
 
 Where the work is: a word or pair, however frequent, is one row of each chunk; these rows meet by one shuffle, in which a
-key's group is no larger than the number of chunks, and only those of frequent keys go back to their chunks.
+key's group is no larger than the number of chunks. There it is counted and, if frequent, named by the first place where
+it is asked for; only the rows of frequent keys go back to their chunks.
 
 Defined cases: a null text is empty and has no words; a null lang is the language `und`; a text is never cut, so a chunk
 holds `chunk_tokens` tokens and one text more at most; rows that repeat count each; phrases with equal score and count are
@@ -27,12 +28,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import give_back, written
 from tessera.llm.lm import pack, unpack
+from tessera.sources.store import discard
 
 #: A byte that UTF-8 never has stands for the end of a piece.
 GAP = b"\xff"
 ENDS = b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + ENDS + b"\t", bytes(range(97, 123)) + GAP * len(ENDS) + b" ")
 SLICE = 100_000
+#: A place is a chunk's number over that of a word or pair in it; a chunk's number is its task's over its own in the task.
+PLACE_BITS, SERIAL_BITS = 31, 11
 WORD_ROWS = "chunk long, size int, seq binary, local int, n long, lang string, word string"
 PAIR_ROWS = "chunk long, size int, seq binary, local int, n long, left long, right long"
 
@@ -52,7 +56,7 @@ def _words(docs: DataFrame, chunk_tokens: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        serial = TaskContext.get().partitionId() << 32
+        serial = TaskContext.get().partitionId() << SERIAL_BITS
         by_lang: dict[str, dict[bytes, int]] = {}
         langs, words, seqs, size = [], [], [], 0
 
@@ -105,13 +109,18 @@ def _pairs(chunks: DataFrame, answers: DataFrame, length: int) -> DataFrame:
     return written(own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, PAIR_ROWS), f"phrases-{length}")
 
 
-def _named(rows: DataFrame, keys: list[str], least: int, length: int) -> tuple[DataFrame, DataFrame]:
-    """(names: id, keys, f of all keys found least times or more; answers: chunk, local, id of the rows that have such a key)."""
+def _named(rows: DataFrame, keys: list[str], least: int, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(names: id, keys, f of all keys found least times or more; answers: chunk, local, id of the rows that have such a key; the table of both).
+
+    A key's name is the first place, a chunk and a number in it, where it is asked for: one shuffle counts and names it.
+    """
     asked = rows.where("seq is null").select("chunk", "local", "n", *keys)
-    frequent = asked.withColumn("f", F.sum("n").over(Window.partitionBy(*keys))).where(F.col("f") >= least)
-    frequent = written(frequent.select("chunk", "local", "f", *keys), f"phrases-{length}-frequent")
-    names = written(frequent.groupBy(*keys).agg(F.max("f").alias("f")).withColumn("id", F.monotonically_increasing_id()), f"phrases-{length}-names")
-    return names, frequent.join(names.drop("f"), keys).select("chunk", "local", "id")
+    place = F.shiftleft("chunk", PLACE_BITS).bitwiseOR(F.col("local").cast("long"))
+    group = Window.partitionBy(*keys)
+    frequent = asked.select("*", F.sum("n").over(group).alias("f"), F.min(place).over(group).alias("id")).where(F.col("f") >= least)
+    first = F.col("id") == place
+    frequent = written(frequent.select("chunk", "local", "id", *(F.when(first, F.col(c)).alias(c) for c in ("f", *keys))), f"phrases-{length}-frequent")
+    return written(frequent.where("f is not null").select("id", *keys, "f"), f"phrases-{length}-names"), frequent.select("chunk", "local", "id"), frequent
 
 
 def phrases(docs: DataFrame, least: int = 30, most_words: int = 4, chunk_tokens: int = 2_000_000) -> tuple[list[DataFrame], DataFrame]:
@@ -121,22 +130,26 @@ def phrases(docs: DataFrame, least: int = 30, most_words: int = 4, chunk_tokens:
     first, and of its last, 1, 2, ... words.
     """
     rows = _words(docs, chunk_tokens)
-    totals = rows.where("seq is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    names, answers = _named(rows, ["lang", "word"], least, 1)
+    totals = written(rows.where("seq is null").groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
+    names, answers, frequent = _named(rows, ["lang", "word"], least, 1)
     nothing = F.array().cast("array<long>")
     none = F.lit(None).cast("long")
     levels = [names.select("id", none.alias("left"), none.alias("right"), "lang", "f", F.col("word").alias("phrase"), nothing.alias("starts"), nothing.alias("ends"), F.col("word").alias("last"))]
     for length in range(2, most_words + 1):
         if names.isEmpty():
             break
-        rows = _pairs(rows, answers, length)
-        names, answers = _named(rows, ["left", "right"], least, length)
+        done, rows = (rows, frequent), _pairs(rows, answers, length)
+        for table in done:  # what they led to is written
+            discard(table)
+        names, answers, frequent = _named(rows, ["left", "right"], least, length)
         before = levels[-1]
         first = before.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("starts", F.array("f")).alias("starts"))
         rest = before.select(F.col("id").alias("right"), F.col("last"), F.concat("ends", F.array("f")).alias("ends"))
         found = names.join(first, "left").join(rest, "right")
         found = found.select("id", "left", "right", "lang", "f", F.concat_ws(" ", "head", "last").alias("phrase"), "starts", "ends", "last")
         levels.append(written(found, f"phrases-{length}-words"))
+    discard(rows)
+    discard(frequent)
     return [x.drop("last") for x in levels], totals
 
 
