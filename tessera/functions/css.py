@@ -188,6 +188,10 @@ def _track(token: Column) -> Column:
 REPEAT = r"(?is)^(|.*?[^a-z0-9_-])repeat\(\s*(\d+)\s*,((?:(?!repeat\()[^()]|\((?:(?!repeat\()[^()]|\([^()]*\))*\))+)\)(|[\s)].*)$"
 
 
+#: As many times a repeat() is written out; a template that asks for more can't be read.
+MOST_REPEATS = 10_000
+
+
 def grid_tracks(value: Column) -> Column:
     """Tracks of a template: N fr or N px, everything else counts as 1fr. repeat() is written out from the inside, however deep."""
     t = F.when(~trimmed(value).isin("", "none"), trimmed(value))
@@ -195,7 +199,7 @@ def grid_tracks(value: Column) -> Column:
 
     def write_out(s: Column, _: Column) -> Column:
         inner = let(trimmed(part(s, 3)), lambda x: F.when(x.isin("", "none"), "1fr").otherwise(x))
-        times = F.coalesce(part(s, 2).try_cast("int"), F.lit(0))
+        times = let(part(s, 2).try_cast("int"), lambda n: F.when(n <= MOST_REPEATS, n))
         return F.when(s.rlike(REPEAT), F.concat(part(s, 1), F.repeat(F.concat(inner, F.lit(" ")), times), part(s, 4))).otherwise(s)
 
     turns = F.sequence(F.lit(0), F.coalesce(F.regexp_count(t, F.lit(r"(?i)repeat\(")), F.lit(0)))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.faults import guarded
 from tessera.operators.nodes import ir_parents
 
 # Names that say nothing of a component.
@@ -30,8 +31,16 @@ def own_print() -> Column:
     return F.when(F.col("ir_type") == "FRAME", frame).when(F.col("ir_type") == "TEXT", text).when(F.col("ir_type") == "IMAGE", image).otherwise(vector)
 
 
+HASHES = pa.schema([("page_id", pa.int64()), ("node_id", pa.int32()), ("hash", pa.string()), ("shape", pa.string())])
+
+
 def subtree_hashes(placed: DataFrame) -> DataFrame:
     """page_id, node_id, hash of every frame's subtree, shape (where a hash that repeats on its page occurs first). placed: design nodes with parent_ir."""
+    return hashed(placed).where("error is null").drop("error")
+
+
+def hashed(placed: DataFrame) -> DataFrame:
+    """The same with the column error: of a page that fails there is one row."""
 
     def fold(page: pa.Table) -> pa.Table:
         page = page.sort_by("node_id")
@@ -64,12 +73,12 @@ def subtree_hashes(placed: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array([page["page_id"][0].as_py()] * n, pa.int64()), pa.array([ids[i] for i in frames], pa.int32()), pa.array([hashes[i].hex() for i in frames], pa.string()), pa.array(shapes, pa.string())], ["page_id", "node_id", "hash", "shape"])
 
     rows = placed.select("page_id", "node_id", "parent_ir", "ir_type", own_print().alias("p"))
-    return rows.groupBy("page_id").applyInArrow(fold, "page_id long, node_id int, hash string, shape string")
+    return rows.groupBy("page_id").applyInArrow(guarded(fold, HASHES), "page_id long, node_id int, hash string, shape string, error string")
 
 
-def plan(placed: DataFrame, threshold: int = 3) -> tuple[DataFrame, DataFrame]:
+def plan(placed: DataFrame, threshold: int = 3, hashes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """components (page_id, hash, rank, component_id, name, master, occurrences) and instances (page_id, node_id, hash, instance_id, ...)."""
-    hashes = subtree_hashes(placed)
+    hashes = subtree_hashes(placed) if hashes is None else hashes
     counts = hashes.groupBy("page_id", "hash").agg(F.count("*").alias("all_occurrences"), F.max("shape").alias("shape")).where(F.col("all_occurrences") >= threshold if threshold > 0 else F.lit(False))
     candidates = hashes.select("page_id", "node_id", "hash").join(counts, ["page_id", "hash"]).join(placed.select("page_id", "node_id", "ir_path", "name"), ["page_id", "node_id"])
     # within another candidate: not an occurrence of its own

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import kept
+from tessera.operators.faults import guarded
 
 
 def _color(c: Column) -> Column:
@@ -80,8 +81,11 @@ def _painted(node: dict) -> dict:
     return node
 
 
+NESTED = pa.schema([("page_id", pa.int64()), ("json", pa.string())])
+
+
 def nested(rows: DataFrame, name: str) -> DataFrame:
-    """page_id, json: rows (page_id, part, key, parent, node_id, json) put together.
+    """page_id, json, error: rows (page_id, part, key, parent, node_id, json) put together; of a page that fails, what went wrong.
 
     part is "root" or "component" (with key and name of the component) for nodes, else a list of the document (paints,
     texts, effects, fonts), whose entries come in the order of key.
@@ -114,7 +118,7 @@ def nested(rows: DataFrame, name: str) -> DataFrame:
         }
         return pa.Table.from_arrays([pa.array([page["page_id"][0].as_py()], pa.int64()), pa.array([json.dumps(document, ensure_ascii=False, separators=(",", ":"))])], ["page_id", "json"])
 
-    return rows.groupBy("page_id").applyInArrow(build, "page_id long, json string")
+    return rows.groupBy("page_id").applyInArrow(guarded(build, NESTED), "page_id long, json string, error string")
 
 
 # What values may be. A check gives its complaint, or nothing.

@@ -224,8 +224,8 @@ def substitute_font(ir: DataFrame, family: str) -> DataFrame:
     return ir.withColumn("text_style", F.when(F.col("text_style").isNotNull(), F.col("text_style").withField("font_family", F.lit(family)))).withColumn("runs", runs)
 
 
-def warnings(nodes: DataFrame) -> DataFrame:
-    """page_id, node_id, warning: images without a source, vectors without shapes, links that aren't read."""
+def warnings(nodes: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """page_id, node_id, warning: images without a source, vectors without shapes, links that aren't read. linked: as linked_sheets has it, if sheets are known."""
     from tessera.sources.css import link_nodes
 
     shapes = ["path", "rect", "circle", "ellipse", "line", "polygon", "polyline"]
@@ -233,7 +233,7 @@ def warnings(nodes: DataFrame) -> DataFrame:
     images = shown.where("tag = 'img'").where(F.coalesce(F.col("attrs")["src"], F.lit("")) == "").select("page_id", "node_id", F.lit("image without a source").alias("warning"))
     inside = shown.where(F.col("tag").isin(shapes)).select("page_id", F.explode("path").alias("node_id")).distinct()
     vectors = shown.where("tag = 'svg'").select("page_id", "node_id").join(inside, ["page_id", "node_id"], "left_anti").select("page_id", "node_id", F.lit("vector without shapes").alias("warning"))
-    links = link_nodes(nodes).where("status <> 'ok'").select("page_id", "node_id", F.concat(F.lit("stylesheet "), F.col("status"), F.lit(": "), F.col("href")).alias("warning"))
+    links = (link_nodes(nodes) if linked is None else linked).where("status <> 'ok'").select("page_id", "node_id", F.concat(F.lit("stylesheet "), F.col("status"), F.lit(": "), F.col("href")).alias("warning"))
     return images.unionByName(vectors).unionByName(links)
 
 

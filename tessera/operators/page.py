@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +23,7 @@ from tessera.functions import css
 from tessera.functions.text import kept
 from tessera.operators import cascade
 from tessera.operators.classify import CONTAINERS, IGNORED, TEXT_TAGS
+from tessera.operators.faults import told
 from tessera.operators.layout import page_layout
 from tessera.sources.css import parse_rules, parse_selector
 from tessera.sources.html import NODE_FIELDS, NODE_SCHEMA, node_columns, parse, rows_of
@@ -31,8 +32,8 @@ SPACES = " \t\n\x0b\f\r"
 BLANKS = re.compile(f"[{SPACES}]+")
 STYLE = pa.map_(pa.string(), pa.string())
 SPECIFICITY = pa.struct([(n, pa.int32()) for n in ("inline", "id", "cls", "type")])
-STYLED = [("matched", pa.list_(pa.struct([("rule_order", pa.int32()), ("specificity", SPECIFICITY)]))), ("won", STYLE), ("raw_style", STYLE)]
-STYLED_SCHEMA = f"{NODE_SCHEMA}, matched array<struct<rule_order:int,specificity:struct<inline:int,id:int,cls:int,type:int>>>, won map<string,string>, raw_style map<string,string>"
+STYLED = [("matched", pa.list_(pa.struct([("rule_order", pa.int32()), ("specificity", SPECIFICITY)]))), ("won", STYLE), ("raw_style", STYLE), ("stage", pa.string()), ("error", pa.string())]
+STYLED_SCHEMA = f"{NODE_SCHEMA}, matched array<struct<rule_order:int,specificity:struct<inline:int,id:int,cls:int,type:int>>>, won map<string,string>, raw_style map<string,string>, stage string, error string"
 SEGMENT = pa.struct([("node_id", pa.int32()), ("t", pa.string()), ("style", STYLE)])
 PLACED = [
     ("ir_type", pa.string()), ("parent_ir", pa.int32()), ("ir_path", pa.list_(pa.int32())), ("ord", pa.int32()), ("ir_steps", pa.list_(pa.string())), ("own_style", STYLE), ("parent_style", STYLE),
@@ -181,8 +182,29 @@ def cascaded(rows: list[list], sheets: dict[str, str]) -> list[tuple]:
     return out
 
 
-def styled(pages: DataFrame, key: str = "page_id", column: str = "html", sheets: str | None = None) -> DataFrame:
-    """A row for each node of each page, with matched, won and raw_style. sheets: a column with what the page's links name, by href."""
+def parsed(page: str) -> list[list]:
+    return rows_of(parse(page))
+
+
+def read(page: str | None, sheets: dict[str, str], steps: tuple[Callable, Callable]) -> tuple[list[list], list[tuple]]:
+    """A page's rows and what STYLED adds to them; of a page that fails, one row that tells where and why."""
+    bad = lambda stage, why: ([[0, None, [0], 0, 0, "failed", None, [], None, 0, 0, 0, 0, True, 0, True]], [(None, None, None, stage, why)])
+    if page is None:
+        return bad("read", "no html")
+    stage = "parse"
+    try:
+        rows = steps[0](page)
+        stage = "cascade"
+        return rows, [(*x, None, None) for x in steps[1](rows, sheets)]
+    except Exception as e:  # a page's fault is its own
+        return bad(stage, told(e))
+
+
+def styled(pages: DataFrame, key: str = "page_id", column: str = "html", sheets: str | None = None, steps: tuple[Callable, Callable] = (parsed, cascaded)) -> DataFrame:
+    """A row for each node of each page, with matched, won and raw_style. sheets: a column with what the page's links name, by href.
+
+    A page that fails in one of the steps has one row, of kind `failed`, with stage and error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,10 +212,10 @@ def styled(pages: DataFrame, key: str = "page_id", column: str = "html", sheets:
             for at in range(0, batch.num_rows, 32):
                 ids, nodes, extra = [], [], []
                 for page, text, own in zip(batch.column(0).slice(at, 32).to_pylist(), batch.column(1).slice(at, 32).to_pylist(), given[at : at + 32], strict=True):
-                    rows = rows_of(parse(text or ""))
+                    rows, more = read(text, dict(own or ()), steps)
                     ids += [page] * len(rows)
                     nodes += rows
-                    extra += cascaded(rows, dict(own or ()))
+                    extra += more
                 cols = list(zip(*extra, strict=True)) if extra else [()] * len(STYLED)
                 yield pa.RecordBatch.from_arrays([*node_columns(ids, nodes), *(pa.array(c, t) for c, (_, t) in zip(cols, STYLED, strict=True))], ["page_id", *(n for n, _ in NODE_FIELDS), *(n for n, _ in STYLED)])
 
@@ -271,23 +293,41 @@ def shaped(rows: list[dict], shot: set[str], geometry: dict[int, tuple] | None)
     return out
 
 
-def placed(rows: DataFrame, viewport: float | None, viewport_height: float | None, layout: bool = True) -> DataFrame:
-    """rows (with style and boxed; shots and measured on a page's first row) with the columns of PLACED."""
+def placed(rows: DataFrame, viewport: float | None, viewport_height: float | None, layout: bool = True, steps: tuple[Callable, Callable] = (page_layout, shaped)) -> DataFrame:
+    """rows (with style and boxed; shots and measured on a page's first row) with the columns of PLACED. Of a page that fails its first row is left, with stage and error."""
+    nothing = (None,) * len(PLACED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(max(20_000, sys.getrecursionlimit()))  # a level of a page takes a few calls
         for table in whole_pages(batches):
-            names = ["node_id", "parent_id", "last_id", "kind", "tag", "text", "attrs", "style", "boxed", "shots", "measured"]
+            names = ["node_id", "parent_id", "last_id", "kind", "tag", "text", "attrs", "style", "boxed", "shots", "measured", "error"]
             nodes = [dict(zip(names, x, strict=True)) for x in zip(*(table[c].to_pylist() for c in names), strict=True)]
             for r in nodes:
                 r["attrs"], r["style"], r["text"] = dict(r["attrs"] or ()), dict(r["style"] or ()), r["text"] or ""
             starts = [i for i, r in enumerate(nodes) if r["node_id"] == 0] + [len(nodes)]
-            out = []
+            out, stay, faults = [], [], {}
             for a, b in zip(starts, starts[1:], strict=False):
                 page = nodes[a:b]
-                seen = {m["mid"]: (m["width"], m["height"]) for m in page[0]["measured"] or ()}
-                geometry = {i: dict(zip(("x", "y", "width", "height"), box, strict=True)) for i, *box in page_layout(page, viewport, viewport_height, seen)} if layout else None
-                out += shaped(page, set(page[0]["shots"] or ()), geometry)
+                if page[0]["error"] is not None:
+                    stay.append(a)
+                    out.append(nothing)
+                    continue
+                stage = "layout"
+                try:
+                    seen = {m["mid"]: (m["width"], m["height"]) for m in page[0]["measured"] or ()}
+                    geometry = {i: dict(zip(("x", "y", "width", "height"), box, strict=True)) for i, *box in steps[0](page, viewport, viewport_height, seen)} if layout else None
+                    stage = "shape"
+                    out += steps[1](page, set(page[0]["shots"] or ()), geometry)
+                    stay += range(a, b)
+                except Exception as e:
+                    faults[len(stay)] = (stage, told(e))
+                    stay.append(a)
+                    out.append(nothing)
+            if faults:
+                table = table.take(stay)
+                for k, name in enumerate(("stage", "error")):
+                    now = [faults[i][k] if i in faults else x for i, x in enumerate(table[name].to_pylist())]
+                    table = table.set_column(table.column_names.index(name), name, pa.array(now, pa.string()))
             cols = list(zip(*out, strict=True)) if out else [()] * len(PLACED)
             yield from pa.Table.from_arrays([*table.drop_columns(["shots", "measured"]).columns, *(pa.array(c, t) for c, (_, t) in zip(cols, PLACED, strict=True))], [c for c in table.column_names if c not in ("shots", "measured")] + [n for n, _ in PLACED]).to_batches()
 

@@ -28,7 +28,7 @@ class Options:
     viewport_height: float = 900.0
     font_fallback: str | None = None
     layout: bool = True
-    #: (path, css): what the pages' stylesheet links name.
+    #: (path, css): what the pages' stylesheet links name; a link's path is that from its page's folder, the url up to its last slash.
     stylesheets: DataFrame | None = None
     #: (page_id, mid, width, height): texts that a browser has measured.
     measurements: DataFrame | None = None
@@ -44,25 +44,58 @@ class Document:
     options: Options = field(default_factory=Options)
 
     @cached_property
+    def linked(self) -> DataFrame | None:
+        """The pages' stylesheet links and the sheets that they name."""
+        sheets = self.options.stylesheets
+        return None if sheets is None else written(css_source.linked_sheets(html_source.dom_nodes(self.pages), self.pages, sheets), "linked")
+
+    @cached_property
+    def _decided(self) -> DataFrame:
+        """All that a page decides alone, in one stage, good pages and bad ones: see operators.page."""
+        o, pages, column = self.options, self.pages, None
+        if self.linked is not None:
+            named = self.linked.where("css is not null").groupBy("page_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("href", "css")))).alias("__linked"))
+            pages, column = pages.join(named, "page_id", "left"), "__linked"
+        return written(page.page_nodes(pages, o.viewport_width, o.viewport_height, o.layout, column, o.snapshots, o.measurements), "page-nodes")
+
+    @property
     def nodes(self) -> DataFrame:
-        """All that a page decides alone, in one stage: see operators.page."""
-        o = self.options
-        pages, linked = self.pages, None
-        if o.stylesheets is not None:  # what each page's links name, by href
-            links = css_source.link_nodes(written(html_source.dom_nodes(pages), "dom")).where("status = 'ok'").join(o.stylesheets.select(F.col("path").alias("href"), "css"), "href")
-            named = links.groupBy("page_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("href", "css")))).alias("__linked"))
-            pages, linked = pages.join(named, "page_id", "left"), "__linked"
-        return written(page.page_nodes(pages, o.viewport_width, o.viewport_height, o.layout, linked, o.snapshots, o.measurements), "page-nodes")
+        return self._decided.where("error is null").drop("stage", "error")
+
+    @cached_property
+    def _hashed(self) -> DataFrame:
+        return written(components.hashed(self.placed), "hashes")
+
+    @cached_property
+    def _nested(self) -> DataFrame:
+        return written(document.nested(self._parts(), self.options.name), "documents")
+
+    @cached_property
+    def failures(self) -> DataFrame:
+        """page_id, stage, message: pages that could not be converted, each with the first stage that failed. No page ends the job."""
+        early = self._decided.where("error is not null").select("page_id", "stage", F.col("error").alias("message"))
+        late = [df.where("error is not null").select("page_id", F.lit(stage).alias("stage"), F.col("error").alias("message")) for df, stage in ((self._hashed, "components"), (self._nested, "export"))]
+        return early.unionByName(late[0]).unionByName(late[1])
+
+    @cached_property
+    def _lost(self) -> DataFrame | None:
+        """Pages that fail behind the page's own stage, if there are any."""
+        lost = self._hashed.where("error is not null").select("page_id").distinct()
+        return None if lost.isEmpty() else lost
+
+    def _whole(self, df: DataFrame) -> DataFrame:
+        """df without pages that failed later than its rows tell."""
+        return df if self._lost is None else df.join(self._lost, "page_id", "left_anti")
 
     @cached_property
     def dom(self) -> DataFrame:
-        if "nodes" in self.__dict__:
+        if "_decided" in self.__dict__:
             return self.nodes.select("page_id", *(n for n, _ in html_source.NODE_FIELDS))
         return written(html_source.dom_nodes(self.pages), "dom")
 
     @cached_property
     def rules(self) -> DataFrame:
-        return written(css_source.css_rules(css_source.stylesheets(self.dom, self.options.stylesheets)), "rules")
+        return written(css_source.css_rules(css_source.stylesheets(self.dom, self.linked)), "rules")
 
     @property
     def matches(self) -> DataFrame:
@@ -103,10 +136,14 @@ class Document:
         both = ir.join(shots, ["page_id", "node_id"], "left")
         return both.withColumn("geometry", F.when(F.col("data_uri").isNotNull(), moved).otherwise(g)).withColumn("image_ref", F.coalesce("data_uri", "image_ref")).select(ir.columns)
 
+    @cached_property
+    def placed(self) -> DataFrame:
+        return written(components.ir_parents(self.ir), "placed")
+
     @cached_property
     def detected(self) -> dict[str, DataFrame]:
-        placed = written(components.ir_parents(self.ir), "placed")
-        found, instances = components.plan(placed, self.options.component_threshold)
+        placed = self._whole(self.placed)
+        found, instances = components.plan(placed, self.options.component_threshold, self._hashed.where("error is null"))
         found, instances = written(found, "components"), written(instances, "instances")
         return {"components": found, "instances": instances, "overrides": components.overrides(placed, found, instances), "tree": written(components.rewritten(placed, found, instances), "tree")}
 
@@ -122,17 +159,24 @@ class Document:
 
     @cached_property
     def warnings(self) -> DataFrame:
-        return nodes.warnings(self.dom)
+        return nodes.warnings(self.dom, self.linked)
 
     @cached_property
     def stats(self) -> DataFrame:
         """A row for each page: how many of everything."""
         count = lambda df, name: df.groupBy("page_id").agg(F.count("*").alias(name))
-        out = count(self.ir.where("tag is null or tag <> 'body'"), "nodes")
+        out = count(self._whole(self.ir).where("tag is null or tag <> 'body'"), "nodes")
         for df, name in ((self.detected["components"], "components"), (self.detected["instances"], "instances"), (self.tokens["paints"], "paint_styles"), (self.tokens["texts"], "text_styles"), (self.tokens["effects"], "effect_styles"), (self.warnings, "warnings")):
             out = out.join(count(df, name), "page_id", "left")
         return out.na.fill(0)
 
+    def outcomes(self) -> DataFrame:
+        """page_id, source, ok, stage, message, and what was made of it: a row for each page, whether it could be converted or not."""
+        told = self.failures.groupBy("page_id").agg(F.min_by(F.struct("stage", "message"), "stage").alias("f"))
+        out = self.pages.select("page_id", F.col("url").alias("source")).join(told, "page_id", "left").join(self.stats, "page_id", "left")
+        counts = [F.when(F.col("f").isNull(), F.coalesce(c, F.lit(0))).alias(c) for c in ("nodes", "components", "instances", "paint_styles", "text_styles", "effect_styles", "warnings")]
+        return out.select("page_id", "source", F.col("f").isNull().alias("ok"), "f.stage", "f.message", *counts)
+
     def report(self) -> DataFrame:
         listed = self.warnings.groupBy("page_id").agg(F.array_sort(F.collect_list("warning")).alias("messages"))
         return self.pages.select("page_id", F.col("url").alias("source")).join(self.stats, "page_id", "left").join(listed, "page_id", "left").withColumn("generated_at", F.current_timestamp())
@@ -153,7 +197,7 @@ class Document:
     def numbered(self) -> DataFrame:
         """The tree after detection, as it is written: id and overrides of each node, and the component it stands in."""
         tree, found = self.tokens["tree"], self.detected
-        placed = components.ir_parents(self.ir)
+        placed = self.placed
         ids = nodes.ir_ids(self.ir).select("page_id", "node_id", "ir_id")
         inside = components.masters(placed, found["components"]).select("page_id", "component_id", "node_id", "master_id")
         texts = found["overrides"].groupBy("page_id", "instance_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("master_id", F.struct("characters"))))).alias("overrides"))
@@ -163,6 +207,9 @@ class Document:
 
     def export(self) -> DataFrame:
         """page_id, json: a page's document as one text, nodes nested, with its styles, components and fonts."""
+        return self._nested.where("error is null").drop("error")
+
+    def _parts(self) -> DataFrame:
         titles = self.detected["components"].select("page_id", "component_id", F.col("name").alias("title"))
         own = self.numbered.join(titles, ["page_id", "component_id"], "left")
         columns = ["page_id", "part", "key", "title", "parent", "node_id", "json"]
@@ -181,7 +228,7 @@ class Document:
             entry(self.fonts, "fonts", F.lpad((F.col("first_at") + 1).cast("string"), 12, "0"), F.struct("family", "style")),
         ):
             made = made.unionByName(one.select(*columns))
-        return document.nested(made, self.options.name)
+        return self._whole(made)
 
 
 def convert(pages: DataFrame, options: Options | None = None) -> Document:

@@ -125,13 +125,65 @@ def spoilt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_add("SELECT p_partkey AS page_id, p_size % 5 <> 0 AS ok, CASE WHEN p_size % 5 = 0 THEN 0 WHEN p_size % 7 = 0 THEN 603 ELSE 5 END::INT AS n_nodes, CASE WHEN p_size % 5 = 0 THEN 'no html' WHEN p_size % 7 = 0 THEN 'nested deeper than 512' END AS error FROM part")
-def harness_outcomes(spark, sf_dir):
+def parse_outcomes(spark, sf_dir):
     return html_source.parse_outcomes(spoilt_pages(spark, sf_dir)).select("page_id", "ok", "n_nodes", "error")
 
 
-@_add("SELECT count(*) AS n, count(*) FILTER (p_size % 5 <> 0) AS n_ok, count(*) FILTER (p_size % 5 = 0) AS n_failed, max((p_size % 5 = 0)::INT)::INT AS exit_code, printf('summary: %d converted, %d failed, %d total', count(*) FILTER (p_size % 5 <> 0), count(*) FILTER (p_size % 5 = 0), count(*)) AS line FROM part")
+def faulty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part: every fifth has no html, of the others every third asks for more tracks than there may be."""
+    html = F.when(F.col("p_size") % 5 == 0, None).when(F.col("p_size") % 3 == 0, '<div style="display:grid;grid-template-columns:repeat(99999999999999999999, 1fr)"><i>x</i></div>').otherwise(F.concat(F.lit("<p>"), "p_name"))
+    url = F.concat(F.lit("pages/"), F.col("p_partkey"), F.lit("/"), F.col("p_name"), F.when(F.col("p_size") % 2 == 0, "-with-a-name-that-is-cut.html").otherwise(".html"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the conversion of these pages ended."""
+    return _document(spark, sf_dir, "faulty", "part", lambda: written(convert(written(faulty_pages(spark, sf_dir), "faulty")).outcomes(), "outcomes"))
+
+
+STAGE = "CASE WHEN p_size % 5 = 0 THEN 'read' WHEN p_size % 3 = 0 THEN 'layout' END"
+FAULT = "CASE WHEN p_size % 5 = 0 THEN 'no html' WHEN p_size % 3 = 0 THEN 'ValueError: more than 10000 tracks' END"
+FAULTY = "(p_size % 5 = 0 OR p_size % 3 = 0)"
+
+
+@_add(f"SELECT p_partkey AS page_id, NOT {FAULTY} AS ok, {STAGE} AS stage, {FAULT} AS message, CASE WHEN NOT {FAULTY} THEN 1 END::BIGINT AS nodes FROM part")
+def harness_outcomes(spark, sf_dir):
+    """Every page is converted or told of, with the stage at which it failed; none keeps the others."""
+    return faulty(spark, sf_dir).select("page_id", "ok", "stage", "message", "nodes")
+
+
+@_add(
+    f"""WITH named AS (SELECT *, p_partkey || '/' || p_name || CASE WHEN p_size % 2 = 0 THEN '-with-a-name-that-is-cut.html' ELSE '.html' END AS file FROM part)
+    SELECT p_partkey AS page_id, CASE WHEN {FAULTY} THEN '  \u2717 ' ELSE '  \u2713 ' END || CASE WHEN length(file) > 40 THEN '\u2026' || right(file, 39) ELSE rpad(file, 40, ' ') END
+    || CASE WHEN {FAULTY} THEN '  ERROR: ' || {FAULT} ELSE '  1 nodes       0c \u00d7 0i         1p \u00d7 1t \u00d7 0e      ' END AS line FROM named"""
+)
+def harness_table(spark, sf_dir):
+    """A line for each page: its name, cut from the left, and what was made of it, or why nothing was."""
+    return html_source.outcome_lines(faulty(spark, sf_dir), "pages/")
+
+
+@_add(f"SELECT count(*) AS n, count(*) FILTER (NOT {FAULTY}) AS n_ok, count(*) FILTER ({FAULTY}) AS n_failed, max({FAULTY}::INT)::INT AS exit_code, printf('summary: %d converted, %d failed, %d total', count(*) FILTER (NOT {FAULTY}), count(*) FILTER ({FAULTY}), count(*)) AS line FROM part")
 def harness_summary(spark, sf_dir):
-    return html_source.outcome_totals(html_source.parse_outcomes(spoilt_pages(spark, sf_dir)))
+    return html_source.outcome_totals(faulty(spark, sf_dir))
+
+
+LINKS = [("../css/a.css", "refused"), ("./css/a.css", None), ("css/x/../a.css?v=3#top", None), ("/css/a.css", "refused"), ("https://x/css/a.css", "unresolved"), ("css/none.css", "unresolved")]
+
+
+@_add(
+    f"""SELECT p_partkey AS page_id, CASE WHEN p_size % 6 IN (1, 2) THEN CASE WHEN p_partkey % 2 = 0 THEN '#000001' ELSE '#000002' END END AS color,
+    CASE p_size % 6 {' '.join(f"WHEN {i} THEN 'stylesheet {status}: {href}'" for i, (href, status) in enumerate(LINKS) if status)} END AS warning FROM part"""
+)
+def linked_styles(spark, sf_dir):
+    """Two sites with sheets of one name each: a link is read from its page's own folder, or refused, or not found."""
+    href = F.element_at(F.array(*(F.lit(h) for h, _ in LINKS)), (F.col("p_size") % 6 + 1).cast("int"))
+    html = F.concat(F.lit('<head><link rel="preload stylesheet" href="'), href, F.lit('"></head><p>x</p>'))
+    url = F.concat(F.lit("site"), (F.col("p_partkey") % 2).cast("string"), F.lit("/pages/"), F.col("p_partkey"), F.lit(".html"))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html"))
+    sheets = spark.createDataFrame([(f"site{k}/pages/css/a.css", f"p{{color:#00000{k + 1}}}") for k in (0, 1)] + [("css/a.css", "p{color:red}"), ("site0/css/a.css", "p{color:red}")], "path string, css string")
+    doc = convert(written(pages, "sites"), Options(layout=False, stylesheets=sheets))
+    styles = doc.dom.where("tag = 'p'").select("page_id", "node_id").join(doc.styles, ["page_id", "node_id"])
+    return styles.join(doc.warnings.select("page_id", "warning"), "page_id", "left").select("page_id", F.col("style")["color"].alias("color"), "warning")
 
 
 @_add("SELECT page_id, len(regexp_extract_all(html, '<!-- ad'))::BIGINT AS n_comments FROM pages WHERE html LIKE '%<!-- ad%'")

@@ -196,18 +196,38 @@ def resolved_href(url: Column, href: Column) -> Column:
     return F.when(href_status(href) == "ok", F.concat(F.regexp_extract(F.coalesce(url, F.lit("")), "^(?:[^?#]*/)?", 0), below))
 
 
+def linked_sheets(nodes: DataFrame, pages: DataFrame, sheets: DataFrame) -> DataFrame:
+    """page_id, node_id, href, status, css: each stylesheet link with the sheet (path, css) that it names from its page's folder.
+
+    pages: page_id, url. A link to a sheet that isn't there is unresolved, like one to another host.
+    """
+    links = link_nodes(nodes).join(pages.select("page_id", "url"), "page_id")
+    links = links.withColumn("path", resolved_href(F.col("url"), F.col("href")))
+    found = links.join(sheets.select("path", F.coalesce("css", F.lit("")).alias("css")).dropDuplicates(["path"]), "path", "left")
+    status = F.when((F.col("status") == "ok") & F.col("css").isNull(), "unresolved").otherwise(F.col("status"))
+    return found.select("page_id", "node_id", "href", status.alias("status"), "css")
+
+
 def stylesheets(nodes: DataFrame, linked: DataFrame | None = None) -> DataFrame:
-    """page_id, css: the text of a page's sheets in document order; linked (path, css) has what its links name."""
+    """page_id, css: the text of a page's sheets in document order; linked: what its links name, as linked_sheets gives it."""
     styles = nodes.where("kind = 'element' and tag = 'style'").select("page_id", F.col("node_id").alias("at"))
     text = nodes.where("kind = 'text'").select("page_id", F.col("parent_id").alias("at"), "node_id", "text")
     inline = text.join(styles, ["page_id", "at"]).groupBy("page_id", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda t: t["text"]), "").alias("css"))
     sheets = inline.where(F.trim("css") != "")
     if linked is not None:
-        links = link_nodes(nodes).where("status = 'ok'").join(linked.select(F.col("path").alias("href"), "css"), "href")
-        sheets = sheets.unionByName(links.select("page_id", F.col("node_id").alias("at"), "css"))
+        sheets = sheets.unionByName(linked.where("css is not null").select("page_id", F.col("node_id").alias("at"), "css"))
     return sheets.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "css"))), lambda s: s["css"]), "\n").alias("css"))
 
 
+def read_css(spark, path: str) -> DataFrame:
+    """path, css of the *.css files below a folder, searched in depth; none if it isn't there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "path string, css string")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][sS]").load(path)
+    return raw.select("path", F.decode("content", "UTF-8").alias("css"))
+
+
 def link_nodes(nodes: DataFrame) -> DataFrame:
     """Stylesheet links with their status."""
     rel = F.array_contains(F.split(F.lower(F.coalesce(F.col("attrs")["rel"], F.lit(""))), r"\s+"), "stylesheet")

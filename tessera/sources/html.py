@@ -16,7 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Element names by their role in parsing.
@@ -326,7 +326,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 64):
             ids, rows = [], []
             for key, page in zip(batch.column(0).slice(at, 64).to_pylist(), batch.column(1).slice(at, 64).to_pylist(), strict=True):
-                own = rows_of(parse(page or ""))
+                try:
+                    own = rows_of(parse(page or ""))
+                except Exception:  # such a page has no rows; parse_outcomes says why
+                    own = []
                 ids += [key] * len(own)
                 rows += own
             yield pa.RecordBatch.from_arrays(node_columns(ids, rows), ["page_id", *(n for n, _ in NODE_FIELDS)])
@@ -346,8 +349,11 @@ def parse_outcomes(pages: DataFrame, key: str = "page_id", column: str = "html")
     def outcome(page: str | None) -> tuple[bool, int, str | None]:
         if page is None:
             return False, 0, "no html"
-        root = parse(page)
-        return True, len(rows_of(root)), f"nested deeper than {MOST_DEPTH}" if root.flattened else None
+        try:
+            root = parse(page)
+            return True, len(rows_of(root)), f"nested deeper than {MOST_DEPTH}" if root.flattened else None
+        except Exception as e:
+            return False, 0, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,6 +363,24 @@ def parse_outcomes(pages: DataFrame, key: str = "page_id", column: str = "html")
     return pages.select(F.col(key).cast("long").alias("page_id"), F.col(column).alias("html")).mapInArrow(run, "page_id long, ok boolean, n_nodes int, error string")
 
 
+def shortened(name: Column, width: int) -> Column:
+    """name filled up to a width, or cut from the left so that it fits."""
+    return F.when(F.length(name) > width, F.concat(F.lit("\u2026"), F.right(name, F.lit(width - 1)))).otherwise(F.rpad(name, width, " "))
+
+
+def outcome_lines(outcomes: DataFrame, base: str = "") -> DataFrame:
+    """page_id, line: how each page's conversion went. outcomes: source (without base, if it starts so), ok, message and counts."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    source = F.coalesce("source", F.lit(""))
+    name = shortened(F.when(source.startswith(base), F.substring(source, len(base) + 1, 1 << 30)).otherwise(source), 40)
+    made = F.rpad(F.concat(n("nodes"), F.lit(" nodes")), 12, " ")
+    parts = F.rpad(F.concat(n("components"), F.lit("c \u00d7 "), n("instances"), F.lit("i")), 14, " ")
+    styles = F.rpad(F.concat(n("paint_styles"), F.lit("p \u00d7 "), n("text_styles"), F.lit("t \u00d7 "), n("effect_styles"), F.lit("e")), 16, " ")
+    warned = F.when(F.coalesce(F.col("warnings"), F.lit(0)) == 0, "").otherwise(F.concat(n("warnings"), F.when(F.col("warnings") == 1, " warning").otherwise(" warnings")))
+    good = F.concat(F.lit("  \u2713 "), F.concat_ws("  ", name, made, parts, styles, warned))
+    return outcomes.select("page_id", F.when(F.col("ok"), good).otherwise(F.concat(F.lit("  \u2717 "), name, F.lit("  ERROR: "), F.col("message"))).alias("line"))
+
+
 def outcome_totals(outcomes: DataFrame) -> DataFrame:
     """n, n_ok, n_failed, exit_code, line: one row for all pages."""
     ok, failed = F.count_if("ok"), F.count_if(~F.col("ok"))

@@ -69,7 +69,7 @@ def test_deep_pages_are_kept(spark):
     assert root.flattened and len(rows) == 20_000 + 600 + 4 and max(r[3] for r in rows) <= MOST_DEPTH and any(r[8] == "deep" for r in rows)
     pages = ship(spark) and spark.createDataFrame([(1, "<div>" * 3000 + "deep"), (2, None), (3, "<p>x")], "page_id long, html string")
     nodes = page.page_nodes(pages)
-    assert {r["page_id"]: r["n"] for r in nodes.groupBy("page_id").agg(F.count("*").alias("n")).collect()} == {1: 3004, 2: 3, 3: 5}
+    assert {r["page_id"]: r["n"] for r in nodes.groupBy("page_id").agg(F.count("*").alias("n")).collect()} == {1: 3004, 2: 1, 3: 5}
     assert nodes.where("page_id = 1 and text = 'deep' and ir_type = 'TEXT'").count() == 1
     assert {r["page_id"]: (r["ok"], r["error"]) for r in parse_outcomes(pages).collect()} == {1: (True, f"nested deeper than {MOST_DEPTH}"), 2: (False, "no html"), 3: (True, None)}
 
