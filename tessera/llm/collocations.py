@@ -123,7 +123,7 @@ def _named(rows: DataFrame, keys: list[str], least: int, length: int) -> tuple[D
     return written(frequent.where("f is not null").select("id", *keys, "f"), f"phrases-{length}-names"), frequent.select("chunk", "local", "id"), frequent
 
 
-def phrases(docs: DataFrame, least: int = 30, most_words: int = 4, chunk_tokens: int = 2_000_000) -> tuple[list[DataFrame], DataFrame]:
+def phrases(docs: DataFrame, least: int = 30, most_words: int = 4, chunk_tokens: int = 6_000_000) -> tuple[list[DataFrame], DataFrame]:
     """(for each length from 1: id, left, right, lang, f, phrase, starts, ends; lang, n: words of each language).
 
     left, right: ids of the phrase's first and last words but one, of the length before. starts, ends: counts of its
@@ -159,7 +159,7 @@ CUT = """array_min(transform(sequence(1, size(starts)), k -> struct(
     k, starts[k - 1] as l, ends[size(ends) - k] as r)))"""
 
 
-def mine(docs: DataFrame, least: int = 30, most_words: int = 4, cover: int = 80, top: int = 2000, chunk_tokens: int = 2_000_000, salts: int = 64) -> DataFrame:
+def mine(docs: DataFrame, least: int = 30, most_words: int = 4, cover: int = 80, top: int = 2000, chunk_tokens: int = 6_000_000, salts: int = 64) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases by score, without those that a longer one covers to `cover` hundredths."""
     levels, totals = phrases(docs, least, most_words, chunk_tokens)
     found = None
