@@ -23,7 +23,7 @@ max_items items is searched in shards, one after the other, of which the driver
 
 Defined cases: a null or empty text has no passage; a very long text has many, all searched; items of any length are
 looked for, but for null ones and those without a word (least_words sets another bound); items of one text or one id are
-reported each, under its id (null: -1); repeated documents are judged each; equal scores need no order, as all that
+reported each, under its id (null: -1), however the index is cut, and equal rows of one id once; repeated documents are judged each; equal scores need no order, as all that
 reach their threshold count; an empty benchmark finds nothing; extra columns, whatever their names, pass through
 drop_leaks and are ignored by find_leaks.
 """
@@ -82,8 +82,8 @@ class Statistics:
 class Item:
     """A test item, what is wanted of it, and the score that its leaks reach."""
 
-    def __init__(self, key: int, text: str, stats: Statistics, share: float, shingle: int, overlap: float, k1: float, b: float):
-        self.key, self.words = key, words_in(text)
+    def __init__(self, key: int, text: str, stats: Statistics, share: float, shingle: int, overlap: float, k1: float, b: float, place: int = 0):
+        self.key, self.place, self.words = key, place, words_in(text)
         asked = len(words_in(text[: text.rfind("?") + 1])) if "?" in text else 0
         at = asked if 0 < asked < len(self.words) else max(1, len(self.words) * 2 // 3)
         question, answer = self.words[:at], self.words[at:]
@@ -211,7 +211,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], stats: Statistics | None = None, share: float = 0.7, shingle: int = 5, overlap: float = 0.8, k1: float = 1.2, b: float = 0.75, block: int = 16):
         stats = stats or Statistics.of([words_in(t) for _, t in items])
-        made = [Item(key, text, stats, share, shingle, overlap, k1, b) for key, text in items]
+        made = [Item(key, text, stats, share, shingle, overlap, k1, b, place) for place, (key, text) in enumerate(items)]
         self.overlap = overlap
         self.term = {w: i for i, w in enumerate(sorted({w for i in made for w in i.gain}))}
         by_width: dict[int, list[Item]] = {}
@@ -233,11 +233,12 @@ class Index:
     def leaks(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
         """For each text (item, score, question overlap, answer overlap) of the items that leak into it, from the best passage of each."""
         words = [words_in(t) for t in texts]
-        found: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
+        found: list[dict[tuple[int, int], tuple[float, float, float]]] = [{} for _ in texts]  # by item, not by id: texts may share one
         for text, a, b, item, score in self.retrieve(words):
             if (parts := item.leak(words[text][a:b], self.overlap)) is not None:
-                found[text][item.key] = max(found[text].get(item.key, (0.0, 0.0, 0.0)), (score, *parts))
-        return [[(key, *f[key]) for key in sorted(f)] for f in found]
+                own = (item.key, item.place)
+                found[text][own] = max(found[text].get(own, (0.0, 0.0, 0.0)), (score, *parts))
+        return [[(own[0], *f[own]) for own in sorted(f)] for f in found]
 
     def leaks_in(self, column: pa.Array, at_once: int = 1 << 20) -> Iterator[list]:
         """The same for a column, about at_once bytes of text together."""

@@ -113,7 +113,7 @@ def fit_langid(docs: DataFrame, trains: Column, max_rows: int = 6_000, bits: int
         for batch in batches:
             found = [grams(t, bits) for t in batch.column("text").to_pylist()]
             at = [np.flatnonzero(x) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array([a.astype("<u2" if bits <= 16 else "<u4").tobytes() for a in at], pa.binary()), pa.array([np.minimum(x[a], 65535).astype("<u2").tobytes() for x, a in zip(found, at, strict=True)], pa.binary())], ["h", "lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array([a.astype("<u2" if bits <= 16 else "<u4").tobytes() for a in at], pa.binary()), pa.array([x[a].astype("<u4").tobytes() for x, a in zip(found, at, strict=True)], pa.binary())], ["h", "lang", "at", "n"])
 
     counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
@@ -136,7 +136,7 @@ def fit_langid(docs: DataFrame, trains: Column, max_rows: int = 6_000, bits: int
     idf = np.log((1 + rows) / (1 + df)) + 1
     x = []
     for a, n in zip(sample["at"].to_pylist(), sample["n"].to_pylist(), strict=True):
-        at, k = np.frombuffer(a, "<u2" if bits <= 16 else "<u4").astype(np.int64), np.frombuffer(n, "<u2")
+        at, k = np.frombuffer(a, "<u2" if bits <= 16 else "<u4").astype(np.int64), np.frombuffer(n, "<u4")
         v = (1 + np.log(k)) * idf[at]
         x.append((at, (v / max(1e-12, np.sqrt((v * v).sum()))).astype(np.float32)))
     y = np.array([langs.index(v) for v in sample["lang"].to_pylist()], int)

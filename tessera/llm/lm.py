@@ -11,8 +11,9 @@ A task for each range adds up what the chunks hold and answers each with the tot
 is everywhere is one entry of each chunk, a chunk's answers come back to it alone, and what is shuffled grows with the
 different n-grams of the input. Every training token is counted; no table is capped.
 
-Defined cases: a null text is empty: one end token; a very long text is read whole, in a chunk of its own; with no training text the counts are zero and so is every base
-score; repeated rows are counted and scored each; a null doc_id counts as empty text for folds; extra columns,
+Defined cases: a null text is empty: one end token; a very long text is read whole, into the
+chunk at hand, which it ends; with no training text the counts are zero and so is every base score; a bucket that tuning
+texts never met, and all of them if there are none, weighs bigram, unigram and uniform estimate 0.6, 0.3 and 0.1; repeated rows are counted and scored each; a null doc_id counts as empty text for folds; extra columns,
 whatever their names, are ignored; an empty table gives an empty one; scores that tie need no order. Contexts before the first word are a token of their own that is not counted.
 """
 

@@ -13,8 +13,9 @@ and two numbers for each document. Scoring reads every whole text once, in batch
 Defined cases: a null or blank text has no text features, only the view's bias; a very long text is read whole; null
 metadata has a bucket of its own; labels that contradict each other for one doc_id, or are null, are left out; of rows
 that share a doc_id one is fitted on, the one with the least features, and each is scored; rows without a doc_id are
-scored, not fitted on; ties in confidence go to the smaller hash of doc_id; with no labels of both kinds nothing can be
-learned, so every document gets score 1 and is kept; extra columns, whatever their names, pass through keep_quality and
+scored, not fitted on; ties in confidence go to the smaller hash of doc_id; each kind of label is
+dealt over fitting, calibration and joining by itself, and one with fewer than three rows takes part in all; with no labels
+of both kinds, or none of both whose documents are there, nothing can be learned: every document gets score 1 and is kept; extra columns, whatever their names, pass through keep_quality and
 are ignored by score_quality; an empty table gives an empty one.
 """
 
@@ -238,6 +239,17 @@ def _surest(features: DataFrame, known: DataFrame, views: list[View], sure: floa
     return out
 
 
+def roles(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows to fit on, to calibrate by and to join by: of five of each label three, one and one. Of a label with fewer than three rows each has all parts."""
+    parts: list[list[int]] = [[], [], []]
+    for label in np.unique(y):
+        own = np.flatnonzero(y == label)
+        for k, i in enumerate(own):
+            for part in range(3) if len(own) < 3 else ((0, 1, 2, 0, 0)[k % 5],):
+                parts[part].append(i)
+    return tuple(np.array(sorted(p), np.int64) for p in parts)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, rounds: int = 2, per_round: int = 500, sure: float = 0.95, ridge: float = 1.0) -> Model | None:
     """Fits on at most max_labelled labelled documents and the surest of all others; None if the labels don't hold both kinds."""
 
@@ -251,7 +263,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, r
 
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z"))
     agreed = known.where("y = z and y in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"))
-    chosen = thinned(agreed, F.xxhash64("doc_id"), max_labelled, labels.count()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    chosen = thinned(agreed, F.xxhash64("doc_id"), max_labelled, agreed.count()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     answer = {r["doc_id"]: r["y"] for r in chosen.collect()}
     if len(set(answer.values())) < 2:
         return None
@@ -259,11 +271,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, r
     key_frame = lambda ids: docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
     ids, *labelled = _rows_of(features, key_frame(answer))
     y = np.array([answer[i] for i in ids])
-    # of five labelled rows three are fitted on, one calibrates and one joins
-    role = np.arange(len(y)) % 5
-    fits, calibrates, joins = np.flatnonzero(role < 3), np.flatnonzero(role == 3), np.flatnonzero(role == 4)
-    if any(len(set(y[part].tolist())) < 2 for part in (fits, calibrates, joins)):
+    if len(set(y.tolist())) < 2:  # labels of documents that aren't there
         return None
+    fits, calibrates, joins = roles(y)
     given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that a view has received from the other
     views: list[View] = []
     weights: list = [None, None]

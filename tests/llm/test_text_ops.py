@@ -214,7 +214,7 @@ def test_leaks_against_all_pairs(spark, empty):
     found = decontaminate.find_leaks(frame.withColumn("item_id", F.lit("clash")), bench.withColumn("doc_id", F.lit(1))).collect()
     got = [(r["doc_id"], r["item_id"]) for r in found]
     assert set(got) == want and got.count((502, 0)) == 2 and (504, 90) in want and (506, 7) in want and (None, -1) in want and (505, 90) not in want
-    # an index in shards finds the same, with the same scores
+    # an index in shards finds the same, with the same scores; two texts of one id in one document are two rows of it
     key = lambda rows: sorted(map(str, map(tuple, rows)))
     assert key(decontaminate.find_leaks(frame, bench, max_items=7).collect()) == key(found)
     kept = decontaminate.drop_leaks(frame, bench)
