@@ -51,6 +51,21 @@ def chain_fits(parts: Column, combs: Column, chain: Column) -> Column:
     return F.aggregate(steps, F.struct(F.lit(True).alias("ok"), (F.size(chain) - 1).cast("int").alias("cursor")), step)["ok"]
 
 
+def chain_fits_strictly(parts: Column, combs: Column, chain: Column) -> Column:
+    """The same as CSS has it: along the ancestors go the compounds that end at the last one (here) and at any so far (above), so that no second try is needed."""
+    before = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    nothing = F.transform(before, lambda _: F.lit(False))
+
+    def step(state: Column, element: Column) -> Column:
+        ready = lambda j: (j == 0) | F.coalesce(F.when(F.get(combs, j - 1) == ">", F.get(state["here"], j - 1)).otherwise(F.get(state["above"], j - 1)), F.lit(False))
+        now = F.transform(before, lambda part, j: ready(j) & fits(part, element))
+        return F.struct(now.alias("here"), F.zip_with(state["above"], now, lambda a, b: a | b).alias("above"))
+
+    last = F.size(before) - 1
+    end = F.aggregate(chain, F.struct(nothing.alias("here"), nothing.alias("above")), step, lambda s: F.when(F.get(combs, last) == ">", F.get(s["here"], last)).otherwise(F.get(s["above"], last)))
+    return F.when(last >= 0, F.coalesce(end, F.lit(False))).otherwise(True)
+
+
 def ancestors(elements: DataFrame) -> DataFrame:
     """page_id, node_id, chain: the facts of an element's ancestors, root first."""
     up = elements.select("page_id", "node_id", F.explode("path").alias("up"))
@@ -59,8 +74,9 @@ def ancestors(elements: DataFrame) -> DataFrame:
     return chains.select("page_id", "node_id", F.transform("c", lambda x: x["f"]).alias("chain"))
 
 
-def matches(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """page_id, node_id, rule_order, specificity (the best of the rule's selectors that match), decls."""
+def matches(nodes: DataFrame, rules: DataFrame, strict: bool = False) -> DataFrame:
+    """page_id, node_id, rule_order, specificity (the best of the rule's selectors that match), decls. strict: no nearest ancestor hides another."""
+    chained = chain_fits_strictly if strict else chain_fits
     elements = nodes.where("kind = 'element'")
     last = F.element_at("parts", -1)
     asked = F.when(F.coalesce(last["id"], F.lit("")) != "", F.concat(F.lit("#"), last["id"])).when(F.size(last["classes"]) > 0, F.concat(F.lit("."), F.get(last["classes"], 0))).when(last["tag"].isNotNull() & (last["tag"] != "*"), last["tag"]).otherwise("*")
@@ -69,7 +85,7 @@ def matches(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     keys = F.array_distinct(F.concat(F.array(F.lit("*"), F.col("f.tag")), F.when(F.col("f.id").isNotNull(), F.array(F.concat(F.lit("#"), F.col("f.id")))).otherwise(F.array().cast("array<string>")), F.transform("f.classes", lambda c: F.concat(F.lit("."), c))))
     met = own.select("page_id", "node_id", "f", F.explode(keys).alias("key")).join(wanted, ["page_id", "key"]).where(fits(last, F.col("f")))
     single = met.where(F.size("parts") == 1)
-    deep = met.where(F.size("parts") > 1).join(ancestors(elements), ["page_id", "node_id"], "left").where(chain_fits(F.col("parts"), F.col("combs"), F.coalesce("chain", F.array().cast(f"array<{FACTS}>"))))
+    deep = met.where(F.size("parts") > 1).join(ancestors(elements), ["page_id", "node_id"], "left").where(chained(F.col("parts"), F.col("combs"), F.coalesce("chain", F.array().cast(f"array<{FACTS}>"))))
     both = single.select("page_id", "node_id", "rule_order", "specificity", "decls").unionByName(deep.select("page_id", "node_id", "rule_order", "specificity", "decls"))
     return both.groupBy("page_id", "node_id", "rule_order").agg(F.max("specificity").alias("specificity"), F.first("decls").alias("decls"))
 

@@ -94,6 +94,17 @@ def above_fits(parts: list[tuple], combs: list[str], up: list[tuple]) -> bool:
     return True
 
 
+def above_fits_strictly(parts: list[tuple], combs: list[str], up: list[tuple]) -> bool:
+    """The same as CSS has it, over the sets of compounds that end at, and anywhere above, each ancestor: no try is missed."""
+    above: set[int] = set()
+    here: set[int] = set()
+    for element in up:
+        now = {j for j, part in enumerate(parts[:-1]) if (j == 0 or j - 1 in (here if combs[j - 1] == ">" else above)) and fits(part, element)}
+        above |= now
+        here = now
+    return len(parts) - 2 in (here if combs[-1] == ">" else above)
+
+
 def inline_declarations(style: str) -> list[tuple[str, str, bool]]:
     """(property, value, important): of a property set twice the later value counts."""
     found: dict[str, str] = {}
@@ -131,8 +142,12 @@ def linked_css(attrs: dict[str, str], sheets: dict[str, str]) -> str | None:
     return sheets.get(attrs["href"]) if "href" in attrs and "stylesheet" in attrs.get("rel", "").lower().split() else None
 
 
-def cascaded(rows: list[list], sheets: dict[str, str]) -> list[tuple]:
-    """(matched, won, style) of each node; nothing for what isn't an element."""
+def strictly_cascaded(rows: list[list], sheets: dict[str, str]) -> list[tuple]:
+    return cascaded(rows, sheets, above_fits_strictly)
+
+
+def cascaded(rows: list[list], sheets: dict[str, str], above: Callable = above_fits) -> list[tuple]:
+    """(matched, won, style) of each node; nothing for what isn't an element. above: how compounds meet ancestors."""
     attrs = [dict(r[7]) for r in rows]
     texts: dict[int, str] = {}
     for r in rows:
@@ -162,7 +177,7 @@ def cascaded(rows: list[list], sheets: dict[str, str]) -> list[tuple]:
                 if specificity > best.get(order, (-1,)) and fits(parts[-1], me):
                     if len(parts) > 1:
                         up = [facts[a] for a in r[2][:-1]] if up is None else up
-                        if not above_fits(parts, combs, up):
+                        if not above(parts, combs, up):
                             continue
                     best[order] = specificity
         ranked: dict[str, tuple] = {}
@@ -345,10 +360,10 @@ def _boxed() -> Column:
     return css.box_styling(F.col("style"))
 
 
-def page_nodes(pages: DataFrame, viewport: float | None = 1440.0, viewport_height: float | None = 900.0, layout: bool = True, sheets: str | None = None, shots: DataFrame | None = None, measured: DataFrame | None = None) -> DataFrame:
-    """A row for each node with all that its page decides. shots (page_id, sid) and measured (page_id, mid, width, height) are side tables."""
+def page_nodes(pages: DataFrame, viewport: float | None = 1440.0, viewport_height: float | None = 900.0, layout: bool = True, sheets: str | None = None, shots: DataFrame | None = None, measured: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """A row for each node with all that its page decides. strict: selectors meet ancestors as CSS has it, not the nearest alone. shots (page_id, sid) and measured (page_id, mid, width, height) are side tables."""
     extra = {"shots": "array<string>", "measured": "array<struct<mid:string,width:double,height:double>>"}
-    rows = styled(pages, sheets=sheets)
+    rows = styled(pages, sheets=sheets, steps=(parsed, strictly_cascaded if strict else cascaded))
     rows = rows.select(*(c for c in rows.columns if c != "raw_style"), _style())
     rows = rows.withColumn("boxed", _boxed())
     sides = {}

@@ -77,7 +77,7 @@ def text_names(usage: DataFrame) -> DataFrame:
     named = usage.withColumn("bucket", text_bucket(s["font_size"], s["font_style"]))
     base = F.concat_ws("-", "bucket", F.regexp_replace(F.lower(s["font_style"]), r"\s+", "-"))
     alone = F.count("*").over(Window.partitionBy("page_id", "bucket")) == 1
-    nth = F.row_number().over(Window.partitionBy("page_id", "bucket", s["font_style"]).orderBy(F.desc("n"), F.desc(s["font_size"]), "text_key"))
+    nth = F.row_number().over(Window.partitionBy("page_id", "bucket", s["font_style"]).orderBy(F.desc("n"), F.desc(s["font_size"]), F.collate("text_key", "UNICODE"), "text_key"))
     return named.withColumn("nth", nth).withColumn("alone", alone).withColumn("style_id", F.when(F.col("alone"), F.col("bucket")).when(F.col("nth") == 1, base).otherwise(F.concat_ws("-", base, "nth"))).drop("nth", "alone")
 
 

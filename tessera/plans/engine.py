@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import components, document, nodes, page, svg, tokens
+from tessera.operators import components, document, nodes, page, scene, svg, tokens
 from tessera.sources import css as css_source
 from tessera.sources import html as html_source
 from tessera.sources.store import ship, written
@@ -28,6 +28,8 @@ class Options:
     viewport_height: float = 900.0
     font_fallback: str | None = None
     layout: bool = True
+    #: selectors meet ancestors as CSS has it; else a compound takes the nearest ancestor that fits, without second tries.
+    strict: bool = False
     #: (path, css): what the pages' stylesheet links name; a link's path is that from its page's folder, the url up to its last slash.
     stylesheets: DataFrame | None = None
     #: (page_id, mid, width, height): texts that a browser has measured.
@@ -56,7 +58,7 @@ class Document:
         if self.linked is not None:
             named = self.linked.where("css is not null").groupBy("page_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("href", "css")))).alias("__linked"))
             pages, column = pages.join(named, "page_id", "left"), "__linked"
-        return written(page.page_nodes(pages, o.viewport_width, o.viewport_height, o.layout, column, o.snapshots, o.measurements), "page-nodes")
+        return written(page.page_nodes(pages, o.viewport_width, o.viewport_height, o.layout, column, o.snapshots, o.measurements, o.strict), "page-nodes")
 
     @property
     def nodes(self) -> DataFrame:
@@ -205,6 +207,10 @@ class Document:
         rows = rows.join(inside, ["page_id", "component_id", "node_id"], "left")
         return rows.withColumn("id", F.coalesce("instance_id", "master_id", "ir_id"))
 
+    def build_order(self) -> DataFrame:
+        """page_id, step, kind, key, node_id: see scene.build_order."""
+        return scene.build_order(self.fonts, self.detected["components"], self.tokens)
+
     def export(self) -> DataFrame:
         """page_id, json: a page's document as one text, nodes nested, with its styles, components and fonts."""
         return self._nested.where("error is null").drop("error")

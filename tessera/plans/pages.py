@@ -203,8 +203,9 @@ def ignored_tags(spark, sf_dir):
     return classify.drawn(cards(spark, sf_dir).dom).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
-@_add()
+@_add(f"SELECT page_id, unnest(['FRAME', 'TEXT']) AS ir_type, unnest([6, 2 + len(regexp_extract_all({BARE}, '<(li|h1|p)>'))])::BIGINT AS n FROM pages")
 def ir_type_counts(spark, sf_dir):
+    """Boxes: body, nav, ul, div, article, footer; texts: what stands in the last two of these alone, and each li, h1 and p."""
     return corpus(spark, sf_dir).kinds.groupBy("page_id", "ir_type").agg(F.count("*").alias("n"))
 
 
@@ -458,10 +459,49 @@ def apply_overrides(spark, sf_dir):
     return scene.applied_overrides(lines, keys).select("page_id", F.col("ir_id").cast("int").alias("ir_id"), "characters")
 
 
-@_add("SELECT l_orderkey AS page_id, floor(min(l_quantity))::BIGINT AS x, (ceil(max(l_quantity + l_tax * 100)) - floor(min(l_quantity)))::BIGINT AS width FROM lineitem WHERE l_tax > 0 GROUP BY l_orderkey")
+@_add(
+    """SELECT p_partkey AS page_id, 's0' AS sid, floor(least(10.5, -p_size))::DOUBLE AS x, 10.0::DOUBLE AS y, ceil(greatest(110.5, CASE WHEN p_size % 2 = 1 THEN 60 + p_size ELSE 0 END) - least(10.5, -p_size))::DOUBLE AS width,
+    ceil(CASE WHEN p_size % 2 = 1 THEN 80.5 ELSE 60.5 END - 10.25)::DOUBLE AS height, (floor(least(10.5, -p_size)) - 10.5)::DOUBLE AS offset_x, (10.0 - 20.5)::DOUBLE AS offset_y FROM part
+    UNION ALL SELECT p_partkey, 's1', 50.0, 50.0, ceil(10.0 + p_size), ceil(80.5 - 50.25), -0.5, -0.25 FROM part WHERE p_size % 2 = 1"""
+)
 def union_rect(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.lit("s").alias("sid"), F.col("l_quantity").alias("x"), F.lit(0.0).alias("y"), (F.col("l_tax") * 100).alias("width"), F.lit(1.0).alias("height"))
-    return scene.union_rects(lines).select("page_id", "x", "width")
+    """What the pictures of two marked elements, one in the other, have to show: all below them that has an area, wherever it lies."""
+    part = table(spark, sf_dir, "part")
+    html = F.lit('<body><div data-c2f="snapshot"><p></p><div data-c2f="snapshot"><i></i></div></div><b></b></body>')
+    dom = html_source.dom_nodes(part.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+    size, odd = F.col("p_size").cast("double"), F.col("p_size") % 2
+    rect = lambda tag, nth, x, y, w, h: F.struct(F.lit(tag).alias("tag"), F.lit(nth).alias("nth"), *(c.cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (w, "width"), (h, "height"))))
+    n = F.lit
+    seen = F.array(rect("div", 1, n(10.5), n(20.5), n(100), n(40)), rect("p", 1, -size, n(10.25), n(20), n(5)), rect("div", 2, n(50.5), n(50.25), n(0), n(0)), rect("i", 1, n(60), n(70.5), size, odd * 10), rect("b", 1, n(-999), n(-999), n(5000), n(5000)))
+    seen = part.select(F.col("p_partkey").alias("page_id"), F.inline(seen))
+    nth = F.row_number().over(Window.partitionBy("page_id", "tag").orderBy("node_id"))
+    rects = dom.where("kind = 'element'").select("page_id", "node_id", "tag", nth.alias("nth")).join(seen, ["page_id", "tag", "nth"]).drop("tag", "nth")
+    return scene.subtree_rects(dom, rects).drop("node_id")
+
+
+@_add("SELECT p_partkey AS page_id, unnest([false, true]) AS strict, unnest([p_size % 3 = 0, true]) AS matched FROM part")
+def css_strict(spark, sf_dir):
+    """a > b q below two b's, of which only the outer one may stand in an a: taking the nearest misses it, CSS does not."""
+    inner = F.when(F.col("p_size") % 3 == 0, "<b><q>x</q></b>").otherwise("<b><u><b><q>x</q></b></u></b>")
+    html = F.concat(F.lit("<style>a > b q{color:#000007}</style><body><a>"), inner, F.lit("</a></body>"))
+    pages = written(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html")), "strict")
+    out = None
+    for strict in (False, True):
+        doc = convert(pages, Options(layout=False, strict=strict))
+        one = doc.dom.where("tag = 'q'").select("page_id", "node_id").join(doc.styles, ["page_id", "node_id"]).select("page_id", F.lit(strict).alias("strict"), F.coalesce(F.col("style")["color"] == "#000007", F.lit(False)).alias("matched"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_add(
+    f"""WITH looks AS (SELECT page_id, list(look) AS ls, count(*) AS n_looks, sum(n) AS n_cards, coalesce(sum(n) FILTER (n >= 3), 0) AS n_instances, count(*) FILTER (n >= 3) AS n_components, bool_or(look = 2) AS bold FROM {LOOKS} GROUP BY page_id),
+    sizes AS (SELECT page_id, [CASE WHEN bold THEN 2 ELSE 1 END, len(list_distinct(flatten(list_transform(ls, lambda x: [[1, 4], [2, 5], [3, 4, 6]][x + 1])))), n_looks, 2 * n_components, 2 + n_instances + 2 * (n_cards - n_instances)] AS s FROM looks),
+    steps AS (SELECT page_id, unnest(range(1, 6)) AS k, s FROM sizes)
+    SELECT page_id, ['font', 'paint', 'text', 'component', 'root'][k] AS kind, (coalesce(list_sum(s[1:k - 1]), 0) + 1)::INT AS first, list_sum(s[1:k])::INT AS last FROM steps WHERE s[k] > 0"""
+)
+def build_order(spark, sf_dir):
+    """The steps in which a host builds each page: fonts, styles, components, and the page's own nodes last."""
+    return cards(spark, sf_dir).build_order().groupBy("page_id", "kind").agg(F.min("step").alias("first"), F.max("step").alias("last"))
 
 
 @_add(f"SELECT page_id, 'Inter' AS family, 'Bold' AS style FROM {LOOKS} WHERE look = 2")

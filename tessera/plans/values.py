@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import css
 from tessera.functions.text import number_text, slug, split_top, title_case
-from tessera.operators import nodes, scene, svg, tokens
+from tessera.operators import nodes, page, scene, svg, tokens
 from tessera.sources.css import href_status
 from tessera.sources.store import ship
 
@@ -123,6 +123,11 @@ _query("auto_layout", f"concat('display:', CASE {N} WHEN 1 THEN 'flex' WHEN 2 TH
 _query("child_layout", f"CASE {N} WHEN 1 THEN 'position:absolute' WHEN 2 THEN concat('flex-grow:', {Q}) WHEN 3 THEN 'height:1px' ELSE 'align-self:center' END", lambda v: {"positioning": (c := nodes.child_layout(css.declarations(F.lit("display:flex")), v))["positioning"], "grow": c["grow"], "align": c["align"]},
        f"CASE WHEN {N} = 1 THEN 'ABSOLUTE' ELSE 'AUTO' END AS positioning, CASE WHEN {N} = 2 THEN {Q} ELSE 0 END::DOUBLE AS grow, CASE WHEN {N} <= 2 THEN 'STRETCH' ELSE 'INHERIT' END AS align", read=css.declarations)
 _query("host_paint", COLOR, lambda v: {"r": r6(scene.host_paint(css.color(v), F.lit(0.5))["r"]), "opacity": r6(scene.host_paint(css.color(v), F.lit(0.5))["opacity"])}, f"round(({_channel(0, 192.0, 0.0)})::DOUBLE, 6) AS r, round((CASE WHEN {N} = 3 THEN 0.25 WHEN {N} = 5 THEN 0.0 WHEN {N} <= 6 THEN 0.5 END)::DOUBLE, 6) AS opacity")
+HOSTED = lambda v: scene.host_fill(F.struct(v["type"].alias("type"), F.lit(None).cast(css.COLOR).alias("color"), v["matrix"].alias("matrix"), v["stops"].alias("stops")), F.lit(0.5))
+_query("host_fill", GRADIENT, lambda v: {"type": v["type"], "opacity": v["opacity"], "n": F.coalesce(F.size(v["stops"]), F.lit(0)), "second_at": r6(F.get(v["stops"], 1)["position"]), "second_alpha": r6(F.get(v["stops"], 1)["color"]["a"]), "m00": F.round(v["transform"][0][0], 4) + F.lit(0.0)},
+       f"CASE WHEN {N} <= 2 THEN 'GRADIENT_LINEAR' WHEN {N} = 3 THEN 'GRADIENT_RADIAL' END AS type, CASE WHEN {N} <= 3 THEN 0.5 END::DOUBLE AS opacity, CASE {N} WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 0 END::INT AS n, CASE {N} WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 WHEN 3 THEN 1.0 END::DOUBLE AS second_at, CASE WHEN {N} <= 3 THEN 1.0 END::DOUBLE AS second_alpha, round(CASE WHEN {N} = 3 THEN 0.5 ELSE sin(radians({ANGLE})) END, 4) + 0.0 AS m00", read=[css.gradient, HOSTED])
+DRAWING = f"CASE {N} WHEN 1 THEN concat('<svg><circle r=\"', {Q}, '\"/></svg>') WHEN 2 THEN concat('<svg><circle r=\"', {Q}, '\"></svg>') WHEN 3 THEN concat('<b>', {Q}, '</b>') WHEN 4 THEN concat('<svg r=', {Q}, '></svg>') ELSE concat(' <svg>', {Q}, '</svg>') END"
+_query("drawing_faults", DRAWING, lambda v: {"fault": scene.drawing_fault(v)}, f"CASE {N} WHEN 2 THEN 'not well-formed' WHEN 3 THEN 'no svg element' WHEN 4 THEN 'not well-formed' END AS fault")
 _query("layer_names", "p_name", lambda v: {"title": title_case(v), "slug": slug(v)}, "array_to_string(list_transform(list_filter(regexp_split_to_array(p_name, '[-_\\s]+'), lambda w: w <> ''), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS title, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug", "part", ["p_partkey"])
 _query("paint_roles", "p_brand", lambda v: {"bucket": tokens.paint_bucket(css.color(F.lit("#888888")), {"background": F.length(v) % 3, "text": F.length(v) % 2, "stroke": F.lit(1), "icon": F.lit(0)})}, "CASE WHEN length(p_brand) % 3 >= greatest(length(p_brand) % 2, 1) THEN 'surface' WHEN length(p_brand) % 2 >= 1 THEN 'ink' ELSE 'border' END AS bucket", "part", ["p_partkey"])
 
@@ -137,20 +142,28 @@ ORACLES["shape_path"] = "SELECT p_partkey, concat('M 0 0 L ', p_size, ' 0 L ', p
 
 
 def path_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("M1 2H"), number_text(F.col("p_size").cast("double")), F.lit("v3 h-1 Z")).alias("d"))
-    return svg.normalized(rows, "d", "path").select("p_partkey", "path")
+    """Lines along an axis become lines and arcs cubics (here half a circle, so two of them); curves stay as they are."""
+    size = number_text(F.col("p_size").cast("double"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("M1 2H"), size, F.lit("v3 h-1 Z")).alias("d"), F.concat(F.lit("M0 0a"), size, F.lit(" "), size, F.lit(" 0 0 1 "), number_text(F.col("p_size") * 2.0), F.lit(" 0q1 2 3 4c1 2,3 4,5 6 T1 1s1 2 3 4 1 1 2 2z")).alias("a"))
+    rows = svg.normalized(svg.normalized(rows, "d", "path"), "a", "arc")
+    numbers = F.transform(F.regexp_extract_all(F.regexp_replace("arc", " q .*$", ""), F.lit(r"-?[\d.]+(?:e-?\d+)?"), F.lit(0)), lambda x: F.round(x.cast("double"), 4) + F.lit(0.0))
+    at = {"mid_x": 6, "mid_y": 7, "arm_y": 3, "end_x": 12, "end_y": 13}
+    return rows.select("p_partkey", "path", F.regexp_extract("arc", " (q .*)$", 1).alias("rest"), F.size(numbers).alias("n"), *(F.get(numbers, i).alias(c) for c, i in at.items()))
 
 
 QUERIES["path_norm"] = path_norm
-ORACLES["path_norm"] = "SELECT p_partkey, concat('M 1 2 L ', p_size, ' 2 l 0 3 l -1 0 Z') AS path FROM part"
+ORACLES["path_norm"] = """SELECT p_partkey, concat('M 1 2 L ', p_size, ' 2 l 0 3 l -1 0 Z') AS path, 'q 1 2 3 4 c 1 2 3 4 5 6 T 1 1 s 1 2 3 4 s 1 1 2 2 z' AS rest, 14::INT AS n,
+    p_size::DOUBLE AS mid_x, -p_size::DOUBLE AS mid_y, round(-p_size * 4.0 / 3 * tan(pi() / 8), 4) AS arm_y, 2.0 * p_size::DOUBLE AS end_x, 0.0::DOUBLE AS end_y FROM part"""
 
 
 def text_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.split(F.regexp_replace("p_name", " ", "\n"), "\n")
-    widest = F.array_max(F.transform(lines, F.length))
-    wrapped = F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.greatest(F.lit(1).cast("long"), F.ceil(F.length(x) * 8.8 / 40)))
-    return table(spark, sf_dir, "part").select("p_partkey", F.ceil(widest * 8.8).cast("long").alias("width"), F.size(lines).alias("n_lines"), F.ceil(wrapped * 19.2).cast("long").alias("height_at_40"))
+    """How large the layout makes a text: on one line, and where it has 40 pixels and wraps."""
+    row = '<div style="display:flex;align-items:flex-start"><p'
+    html = F.concat(F.lit(f"<body>{row}>"), "p_name", F.lit(f'</p></div>{row} style="width:40px">'), "p_name", F.lit("</p></div></body>"))
+    nodes_ = page.page_nodes(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+    texts = nodes_.where("tag = 'p'").groupBy("page_id").agg(F.min_by("box", "node_id").alias("wide"), F.max_by("box", "node_id").alias("narrow"))
+    return texts.select(F.col("page_id").alias("p_partkey"), "wide.width", "wide.height", F.col("narrow.width").alias("width_at_40"), F.col("narrow.height").alias("height_at_40"))
 
 
 QUERIES["text_measure"] = text_measure
-ORACLES["text_measure"] = "SELECT p_partkey, ceil(list_max(list_transform(string_split(p_name, ' '), lambda x: length(x))) * 8.8::DOUBLE)::BIGINT AS width, len(string_split(p_name, ' '))::INT AS n_lines, ceil(list_sum(list_transform(string_split(p_name, ' '), lambda x: greatest(1, ceil(length(x) * 8.8::DOUBLE / 40)))) * 19.2::DOUBLE)::BIGINT AS height_at_40 FROM part"
+ORACLES["text_measure"] = """SELECT p_partkey, ceil(length(p_name) * 8.8::DOUBLE) AS width, 20.0::DOUBLE AS height, 40.0::DOUBLE AS width_at_40, ceil(ceil(length(p_name) * 8.8::DOUBLE / 40) * 19.2::DOUBLE) AS height_at_40 FROM part"""
