@@ -21,8 +21,9 @@ def tokenizer_path() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder. The session hands Python a thousand rows at a time: documents are long, and a batch is held on both sides."""
+    """A table of a folder. The session hands Python a thousand rows or 8 MB at a time: documents are long, and a batch is held on both sides."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -174,6 +174,7 @@ def _bucket_edges(rows: DataFrame, keys: list[str], radius: int, together: int =
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         x, y = close()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+        give_back()
 
     width = shuffle_width(rows.sparkSession)
     return rows.repartition(width, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
@@ -288,6 +289,7 @@ def _similar_pairs(filed: DataFrame, radius: int, tile: int, nearest: int = 2) -
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         x, y = close()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+        give_back()
 
     parts = filed.where("n > 2").select("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)).alias("part"), "node", "fp")
     near = parts.repartition(shuffle_width(filed.sparkSession), "key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(run, "a long, b long")
@@ -367,6 +369,7 @@ def _rest_of_buckets(filed: DataFrame, sets: DataFrame, found: DataFrame, simila
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         x, y = close()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+        give_back()
 
     return rows.repartition(shuffle_width(filed.sparkSession), *group).sortWithinPartitions(*group, "node").mapInArrow(run, "a long, b long")
 
@@ -395,6 +398,7 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
                     node.append(own)
                     sets.append(np.unique(shingle_hashes(words, shingle_words)).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "s"])
+        give_back()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,6 +408,7 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        give_back()
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(base.mapInArrow(sign, "doc_id long, node long, fp long, bands array<long>"), "similar-docs")
