@@ -16,9 +16,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.store import numbered
+
 # Element names by their role in parsing.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -398,6 +400,10 @@ def write_text(spark, path: str, text: str) -> None:
         stream.close()
 
 
+#: Files whose numbers are sent to every task; of more, numbers and contents are joined by a shuffle.
+MOST_NUMBERS = 200_000
+
+
 def read_html(spark, path: str) -> DataFrame:
     """page_id, url, html of an HTML file or a folder of them, searched in depth; an empty or missing folder has no pages.
 
@@ -407,7 +413,8 @@ def read_html(spark, path: str) -> DataFrame:
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], "page_id long, url string, html string")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[hH][tT][mM][lL]").load(path)
-    # numbers by the order of the paths alone, without the pages: a folder's files are listed by one machine in any case
-    numbers = raw.select("path").withColumn("page_id", F.row_number().over(Window.orderBy("path")).cast("long") - 1)
-    pages = raw.join(numbers, "path").select("page_id", F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"))
-    return pages.orderBy("page_id")
+    # numbers by the order of the paths alone; contents stay where they are read, unless there are very many files
+    numbers = numbered(raw.select("path"), "path", "page_id")
+    if numbers.count() <= MOST_NUMBERS:
+        numbers = F.broadcast(numbers)
+    return raw.join(numbers, "path").select("page_id", F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"))

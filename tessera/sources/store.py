@@ -7,7 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +44,20 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a column of this name: each row's place, from 0, in the order of a column.
+
+    Ranges of rows are numbered where they lie; how many rows come before a range is summed up over the ranges alone.
+    """
+    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(width, column).sortWithinPartitions(column)
+    dealt = written(dealt.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__row")), "numbered")
+    parts = dealt.groupBy("__part").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")  # a row for each range
+    parts = parts.select("__part", (before - F.col("__first")).alias("__shift"))
+    return dealt.join(F.broadcast(parts), "__part").select(*df.columns, (F.col("__row") + F.col("__shift")).alias(name))
+
+
 _shipped: set[str] = set()
 
 
