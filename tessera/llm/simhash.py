@@ -375,7 +375,7 @@ def _rest_of_buckets(filed: DataFrame, sets: DataFrame, found: DataFrame, simila
 
 
 def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 20, tile: int = 256) -> DataFrame:
-    """doc_id, component_id: classes of documents linked by a Jaccard similarity of their sets of word shingles of at least this."""
+    """doc_id, copy (a hash of the text, which tells texts of one doc_id apart), component_id: classes of documents linked by a Jaccard similarity of their sets of word shingles of at least this."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,7 +385,7 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
                 hashes = shingle_hashes(words, shingle_words)
                 out.append((xxhash.xxh64_intdigest(b" ".join(words), 1), fingerprint(hashes), band_keys(hashes).view(np.int64)))
             node, fp, bands = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)), pa.array(list(bands), pa.list_(pa.int64()))], ["doc_id", "node", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)), pa.array(list(bands), pa.list_(pa.int64()))], ["doc_id", "copy", "node", "fp", "bands"])
         give_back()
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +411,7 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
         give_back()
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(base.mapInArrow(sign, "doc_id long, node long, fp long, bands array<long>"), "similar-docs")
+    signed = written(base.withColumn("copy", F.xxhash64("text")).mapInArrow(sign, "doc_id long, copy long, node long, fp long, bands array<long>"), "similar-docs")
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-nodes")
     filed = _similar_buckets(nodes)
     pairs = written(_similar_pairs(filed, radius, tile), "similar-pairs")
@@ -429,11 +429,14 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
     named = linked.join(names, "component").select("node", "name")
     classes = written(nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("name", "least").alias("component_id")), "similar-classes")
-    return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
+    return signed.select("doc_id", "copy", "node").join(classes, "node").select("doc_id", "copy", "component_id")
 
 
 def keep_representatives(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names its class, equal rows once. Rows with a null doc_id, which can't name one, all stay."""
-    chosen = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows of docs whose doc_id names their text's class, equal rows once: of a doc_id with several texts those stay whose own class it names.
+
+    Rows with a null doc_id, which can't name one, all stay.
+    """
+    chosen = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__of"), F.col("copy").alias("__copy")).distinct()
+    named = docs.join(chosen, (F.col("doc_id") == F.col("__of")) & (F.xxhash64("text") == F.col("__copy")), "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

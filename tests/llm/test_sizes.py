@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, quality
+from tessera.llm import decontaminate, quality, simhash
 
 
 def test_two_items_of_one_id_in_one_document(spark):
@@ -51,3 +51,10 @@ def test_the_bound_counts_labels_that_agree(spark):
     finally:
         quality._rows_of = own
     assert asked[0] == 100
+
+
+def test_two_texts_of_one_id(spark):
+    one, two = " ".join(f"word{i}" for i in range(60)), " ".join(f"other{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, one), (5, one), (5, two), (5, two), (None, one), (7, two + " more")], "doc_id long, text string")
+    kept = simhash.keep_representatives(docs, simhash.similar_groups(docs))
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(1, one), (5, two), (None, one)]))
