@@ -9,7 +9,8 @@ phrases a longer one covers. As a longer phrase is no more frequent than any bet
 
 Where the work is: a word or pair, however frequent, is one row of each chunk; these rows meet by one shuffle, in which a
 key's group is no larger than the number of chunks. There it is counted and, if frequent, named by the first place where
-it is asked for; only the rows of frequent keys go back to their chunks.
+it is asked for; only the rows of frequent keys go back to their chunks. Pairs travel in lists, one for each left name of a
+chunk; a name that is frequent over all has its right neighbours in buckets, the more the more frequent it is.
 
 Defined cases: a null text is empty and has no words; a null lang is the language `und`; a text is never cut, so a chunk
 holds `chunk_tokens` tokens and one text more at most; rows that repeat count each; phrases with equal score and count are
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import give_back, written
+from tessera.llm.common import give_back, shuffle_width, written
 from tessera.llm.lm import pack, unpack
 from tessera.sources.store import discard
 
@@ -38,18 +39,28 @@ SLICE = 100_000
 #: A place is a chunk's number over that of a word or pair in it; a chunk's number is its task's over its own in the task.
 PLACE_BITS, SERIAL_BITS = 31, 11
 WORD_ROWS = "chunk long, size int, seq binary, local int, n long, lang string, word string"
-PAIR_ROWS = "chunk long, size int, seq binary, local int, n long, left long, right long"
+PAIR_ROWS = "chunk long, size int, seq binary, first int, left long, bucket int, rights array<long>, ns array<int>"
+#: A name found over 2^SPLIT_BITS times has its right neighbours in buckets, so that no row or group of a frequent name is large.
+SPLIT_BITS, MOST_BITS = 14, 20
 
 
-def _rows(chunk: int, seq: np.ndarray, n: np.ndarray, names: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
-    """A chunk's own row, with the local number at each place (-1: none), and then a row for each number."""
-    labels = ["chunk", "size", "seq", "local", "n", *names]
-    nothing = [pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), *(pa.nulls(1, x.type) for x in names.values())]
-    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(n)], pa.int32()), pa.array([pack(seq)], pa.binary()), *nothing], labels)
-    for a in range(0, len(n), SLICE):
-        m = min(SLICE, len(n) - a)
-        fixed = [pa.array(np.full(m, chunk)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(np.arange(a, a + m, dtype=np.int32)), pa.array(n[a : a + m])]
-        yield pa.RecordBatch.from_arrays([*fixed, *(x.slice(a, m) for x in names.values())], labels)
+def _packed(seq: np.ndarray) -> bytes:
+    """Local numbers by planes of bytes, which are alike."""
+    return pack(np.ascontiguousarray(seq.astype("<i4").view(np.uint8).reshape(-1, 4).T).ravel())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(raw).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _rows(chunk: int, seq: np.ndarray, size: int, asked: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    """A chunk's own row, with the local number at each place (-1: none), and then the rows of what it asks for."""
+    labels, kinds = ["chunk", "size", "seq", *asked], [x.type for x in asked.values()]
+    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([size], pa.int32()), pa.array([_packed(seq)], pa.binary()), *(pa.nulls(1, k) for k in kinds)], labels)
+    n = len(next(iter(asked.values())))
+    for a in range(0, n, SLICE):
+        m = min(SLICE, n - a)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *(x.slice(a, m) for x in asked.values())], labels)
 
 
 def _words(docs: DataFrame, chunk_tokens: int) -> DataFrame:
@@ -64,7 +75,8 @@ def _words(docs: DataFrame, chunk_tokens: int) -> DataFrame:
             nonlocal serial, by_lang, langs, words, seqs, size
             seq = np.concatenate(seqs)
             n = np.bincount(seq[seq >= 0], minlength=len(words)).astype(np.int64)
-            yield from _rows(serial, seq, n, {"lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.binary()).cast(pa.string())})
+            asked = {"local": pa.array(np.arange(len(n), dtype=np.int32)), "n": pa.array(n), "lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.binary()).cast(pa.string())}
+            yield from _rows(serial, seq, len(n), asked)
             serial += 1
             by_lang, langs, words, seqs, size = {}, [], [], [], 0
 
@@ -90,37 +102,58 @@ def _words(docs: DataFrame, chunk_tokens: int) -> DataFrame:
 
 
 def _pairs(chunks: DataFrame, answers: DataFrame, length: int) -> DataFrame:
-    """The next length's rows: chunks whose numbers stand for pairs of adjacent names, and these pairs. answers: chunk, local, id."""
+    """The next length's rows: chunks whose numbers stand for pairs of adjacent names, and these pairs, a row for each left one and bucket of right ones.
+
+    answers: chunk, local, id, bits (of the number of buckets). Pairs of a row have local numbers one after the other.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.slice(0, 1).to_pylist()[0]
-        seq, ids = unpack(row["seq"]), np.full(row["size"] + 1, -1, np.int64)  # the last is that of places without a number
+        seq, ids, bits = _unpacked(row["seq"]), np.full(row["size"] + 1, -1, np.int64), np.zeros(row["size"] + 1, np.int64)  # the last is that of places without a number
         ids[right["local"].to_numpy()] = right["id"].to_numpy()
+        bits[right["local"].to_numpy()] = right["bits"].to_numpy()
         named = ids[seq] >= 0
         both = np.flatnonzero(named[:-1] & named[1:])
-        pair = seq[both].astype(np.int64) << 32 | seq[both + 1]
-        unique, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
+        unique, inverse, n = np.unique(seq[both].astype(np.int64) << 32 | seq[both + 1], return_inverse=True, return_counts=True)
+        a, b = ids[unique >> 32], ids[unique & 0xFFFFFFFF]
+        mixed = (b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        bucket = mixed.astype(np.int64) & ((np.int64(1) << bits[unique >> 32]) - 1)
+        order = np.argsort((unique >> 32) << MOST_BITS | bucket, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         following = np.full(len(seq), -1, np.int32)
-        following[both] = inverse
-        parents = {"left": pa.array(ids[unique >> 32]), "right": pa.array(ids[unique & 0xFFFFFFFF])}
-        return pa.Table.from_batches(list(_rows(row["chunk"], following, n.astype(np.int64), parents)))
+        following[both] = place[inverse]
+        a, b, bucket, n = a[order], b[order], bucket[order], n[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (bucket[1:] != bucket[:-1]))) if len(a) else np.zeros(0, np.int64)
+        ends = pa.array(np.append(first, len(a)).astype(np.int32))
+        asked = {
+            "first": pa.array(first.astype(np.int32)), "left": pa.array(a[first]), "bucket": pa.array(bucket[first].astype(np.int32)),
+            "rights": pa.ListArray.from_arrays(ends, pa.array(b)), "ns": pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32))),
+        }
+        return pa.Table.from_batches(list(_rows(row["chunk"], following, len(a), asked)))
 
     own = chunks.where("seq is not null").select("chunk", "size", "seq")
     return written(own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, PAIR_ROWS), f"phrases-{length}")
 
 
-def _named(rows: DataFrame, keys: list[str], least: int, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(names: id, keys, f of all keys found least times or more; answers: chunk, local, id of the rows that have such a key; the table of both).
+def _asked_pairs(rows: DataFrame) -> DataFrame:
+    """chunk, local, n, left, bucket, right: rows travel by left name and bucket, and are spread out behind the shuffle."""
+    packed = rows.where("seq is null").select("chunk", "first", "left", "bucket", "rights", "ns").repartition(shuffle_width(rows.sparkSession), "left", "bucket")
+    pair = F.transform("rights", lambda r, i: F.struct(r.alias("right"), F.get("ns", i).cast("long").alias("n"), (F.col("first") + i).alias("local")))
+    return packed.select("chunk", "left", "bucket", F.inline(pair))
+
+
+def _named(asked: DataFrame, keys: list[str], least: int, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(names: id, keys, f of all keys found least times or more; answers: chunk, local, id, bits of the rows that have such a key; the table of both).
 
     A key's name is the first place, a chunk and a number in it, where it is asked for: one shuffle counts and names it.
     """
-    asked = rows.where("seq is null").select("chunk", "local", "n", *keys)
     place = F.shiftleft("chunk", PLACE_BITS).bitwiseOR(F.col("local").cast("long"))
     group = Window.partitionBy(*keys)
     frequent = asked.select("*", F.sum("n").over(group).alias("f"), F.min(place).over(group).alias("id")).where(F.col("f") >= least)
-    first = F.col("id") == place
-    frequent = written(frequent.select("chunk", "local", "id", *(F.when(first, F.col(c)).alias(c) for c in ("f", *keys))), f"phrases-{length}-frequent")
-    return written(frequent.where("f is not null").select("id", *keys, "f"), f"phrases-{length}-names"), frequent.select("chunk", "local", "id"), frequent
+    first, bits = F.col("id") == place, F.least(F.lit(MOST_BITS), F.greatest(F.lit(0), F.floor(F.log2("f")) - SPLIT_BITS)).cast("int")
+    frequent = written(frequent.select("chunk", "local", "id", bits.alias("bits"), *(F.when(first, F.col(c)).alias(c) for c in ("f", *keys))), f"phrases-{length}-frequent")
+    return written(frequent.where("f is not null").select("id", *keys, "f"), f"phrases-{length}-names"), frequent.select("chunk", "local", "id", "bits"), frequent
 
 
 def phrases(docs: DataFrame, least: int = 30, most_words: int = 4, chunk_tokens: int = 6_000_000) -> tuple[list[DataFrame], DataFrame]:
@@ -131,7 +164,7 @@ def phrases(docs: DataFrame, least: int = 30, most_words: int = 4, chunk_tokens:
     """
     rows = _words(docs, chunk_tokens)
     totals = written(rows.where("seq is null").groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
-    names, answers, frequent = _named(rows, ["lang", "word"], least, 1)
+    names, answers, frequent = _named(rows.where("seq is null").select("chunk", "local", "n", "lang", "word"), ["lang", "word"], least, 1)
     nothing = F.array().cast("array<long>")
     none = F.lit(None).cast("long")
     levels = [names.select("id", none.alias("left"), none.alias("right"), "lang", "f", F.col("word").alias("phrase"), nothing.alias("starts"), nothing.alias("ends"), F.col("word").alias("last"))]
@@ -141,11 +174,11 @@ def phrases(docs: DataFrame, least: int = 30, most_words: int = 4, chunk_tokens:
         done, rows = (rows, frequent), _pairs(rows, answers, length)
         for table in done:  # what they led to is written
             discard(table)
-        names, answers, frequent = _named(rows, ["left", "right"], least, length)
+        names, answers, frequent = _named(_asked_pairs(rows), ["left", "bucket", "right"], least, length)
         before = levels[-1]
         first = before.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("starts", F.array("f")).alias("starts"))
         rest = before.select(F.col("id").alias("right"), F.col("last"), F.concat("ends", F.array("f")).alias("ends"))
-        found = names.join(first, "left").join(rest, "right")
+        found = names.drop("bucket").join(first, "left").join(rest, "right")
         found = found.select("id", "left", "right", "lang", "f", F.concat_ws(" ", "head", "last").alias("phrase"), "starts", "ends", "last")
         levels.append(written(found, f"phrases-{length}-words"))
     discard(rows)

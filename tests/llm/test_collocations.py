@@ -62,6 +62,16 @@ def test_phrases(spark, chunk_tokens):
     assert found(spark.createDataFrame(docs, SCHEMA), least=10, most_words=3, cover=60, top=7, salts=2) == brute(docs, 10, 3, 60, 7)
 
 
+def test_frequent_names_are_split(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "SPLIT_BITS", 3)
+    draw = random.Random(8)
+    docs = [(i, " ".join(draw.choice(["the", "the", "of"] + [f"w{k}" for k in range(30)]) for _ in range(200)), "en") for i in range(60)]
+    rows = collocations._words(spark.createDataFrame(docs, SCHEMA).repartition(2), 4000).where("seq is null")
+    _, answers, _ = collocations._named(rows.select("chunk", "local", "n", "lang", "word"), ["lang", "word"], 30, 1)
+    assert answers.where("bits > 5").count() > 0 and answers.where("bits < 6").count() > 0
+    assert found(spark.createDataFrame(docs, SCHEMA).repartition(3), chunk_tokens=3000) == brute(docs)
+
+
 def test_ties_and_counts_beyond_64_bits(spark):
     docs = [(i, "b a. c a. a b a. " + "z " * 40, "en") for i in range(40)]
     assert found(spark.createDataFrame(docs, SCHEMA)) == brute(docs)
