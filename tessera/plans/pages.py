@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import cascade, classify, components, document, nodes, page, scene, tokens
+from tessera.functions import css
+from tessera.operators import cascade, classify, components, document, nodes, page, scene, schemas, tokens
 from tessera.plans.engine import Document, Options, convert
 from tessera.plans.values import table
 from tessera.sources import css as css_source
@@ -504,6 +505,15 @@ def build_order(spark, sf_dir):
     return cards(spark, sf_dir).build_order().groupBy("page_id", "kind").agg(F.min("step").alias("first"), F.max("step").alias("last"))
 
 
+@_add(f"SELECT page_id, 1::INT AS version, 'FRAME' AS root, sum(n)::INT AS cards, count(*) FILTER (n >= 3)::INT AS components, coalesce(sum(n) FILTER (n >= 3), 0)::INT AS instances, 1 + max((look = 2)::INT)::INT AS fonts, min(look) = 0 AS red FROM {LOOKS} GROUP BY page_id")
+def typed_documents(spark, sf_dir):
+    """Documents read back as Spark structs."""
+    d = schemas.typed_documents(cards(spark, sf_dir).export(), 3).select("page_id", "document.*")
+    grid = F.get("root.children", 0)["children"]
+    paints = F.flatten(F.transform("styles.paints", lambda p: F.transform(p["paints"], lambda x: css.color_hex(x["color"]))))
+    return d.select("page_id", "version", F.col("root.type").alias("root"), F.size(grid).alias("cards"), F.size("components").alias("components"), F.size(F.filter(grid, lambda x: x["type"] == "INSTANCE")).alias("instances"), F.size("fonts").alias("fonts"), F.array_contains(paints, "ff0000").alias("red"))
+
+
 @_add(f"SELECT page_id, 'Inter' AS family, 'Bold' AS style FROM {LOOKS} WHERE look = 2")
 def font_preload(spark, sf_dir):
     """Fonts that have to be there before texts are set and aren't: only Inter Regular is installed."""

@@ -91,3 +91,32 @@ def test_names_are_cut_by_utf16_units(spark):
     texts = ["a" * 40, "\U0001f600" * 20, "a" * 31 + "\U0001f600b", "é" * 33, "short"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(short_name(F.col("t"))).collect()]
     assert got == ["a" * 32, "\U0001f600" * 16, "a" * 31, "é" * 32, "short"]
+
+
+def test_documents_as_structs(spark):
+    from tessera.operators import schemas
+    from tessera.plans.engine import Options, convert
+
+    html = '<div class="card" style="background:linear-gradient(red,blue);box-shadow:0 1px 2px red"><p style="font-weight:bold">a <i>b</i></p></div>' * 3 + '<img src="x.png"><svg><rect width="2" height="3"/></svg><div><div><div><hr></div></div></div>'
+    doc = convert(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), Options(layout=False))
+    text = doc.export().first()["json"]
+    want = json.loads(text)
+
+    def known(value, kind="document"):
+        """Without what a struct leaves out: null fields and empty objects."""
+        if isinstance(value, dict):
+            return {k: known(v) for k, v in value.items() if v is not None and known(v) != {}}
+        return [known(v) for v in value] if isinstance(value, list) else value
+
+    for depth in (8, 2):
+        got = json.loads(doc.export().select(F.to_json(schemas.typed(F.col("json"), depth)).alias("x")).first()["x"])
+
+        def opened(node, level=1, depth=depth):
+            if isinstance(node, str):
+                return json.loads(node)
+            return node | {"children": [opened(c, level + 1) for c in node["children"]]} if "children" in node else node
+
+        for tree in (got, *got["components"]):
+            tree["root"] = opened(tree["root"])
+        assert known(got) == known(want)
+    assert spark.createDataFrame([("{",), (None,)], "j string").select(schemas.typed(F.col("j"))["version"].alias("v")).collect() == [(None,), (None,)]
