@@ -415,7 +415,8 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-nodes")
     filed = _similar_buckets(nodes)
     pairs = written(_similar_pairs(filed, radius, tile), "similar-pairs")
-    active = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least"), "node").select("node", F.col("least").alias("doc_id"))
+    # those too that meet in a later band alone
+    active = filed.select("node").distinct().join(nodes.select("node", "least"), "node").select("node", F.col("least").alias("doc_id"))
     named = base.join(active, "doc_id").select("node", "text").mapInArrow(shingle, "node long, s binary")
     # texts that have no doc_id at all are found by their node
     nameless = base.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(shingle, "node long, s binary")
