@@ -99,3 +99,20 @@ def test_folder_is_sorted(spark, tmp_path):
     assert [(r["page_id"], r["url"].rsplit(str(tmp_path))[-1]) for r in got] == [(0, "/a.HTML"), (1, "/b/a.html"), (2, "/b/z.html")]
     with pytest.raises(Exception):  # noqa: B017  a scheme that isn't known is no empty folder
         read_html(spark, "nowhere://x/y").count()
+
+
+def test_pages_of_one_small_file_are_read_by_all_tasks(spark, tmp_path):
+    spark.range(64).selectExpr("id as page_id", "'<p>x' as html").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    tasks = page.page_nodes(pages, layout=False).select("page_id", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.page_id for r in tasks}) == len(tasks) == 64 and len({r.task for r in tasks}) == 4
+
+
+def test_tables_by_page_are_not_broadcast(spark):
+    from tessera.plans.engine import Options, convert
+
+    doc = convert(spark.createDataFrame([(i, "u", '<div class="a"><p>x</p></div>' * 4) for i in range(3)], "page_id long, url string, html string"), Options(layout=False))
+    for table in (doc.dom, doc.placed, doc.detected["components"], doc.detected["tree"], doc.tokens["paints"]):
+        df = doc.pages.select("page_id").join(table.where("page_id > 0").select("page_id"), "page_id")
+        df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().simpleString()
