@@ -36,6 +36,8 @@ GAP = b"\xff"
 ENDS = b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + ENDS + b"\t", bytes(range(97, 123)) + GAP * len(ENDS) + b" ")
 SLICE = 100_000
+#: Places of a chunk whose pairs are sorted at once: what that takes doesn't grow with the chunk.
+PART = 500_000
 #: A place is a chunk's number over that of a word or pair in it; a chunk's number is its task's over its own in the task.
 PLACE_BITS, SERIAL_BITS = 31, 11
 WORD_ROWS = "chunk long, size int, seq binary, local int, n long, lang string, word string"
@@ -53,14 +55,24 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(unpack(raw).reshape(4, -1).T).view("<i4").ravel()
 
 
-def _rows(chunk: int, seq: np.ndarray, size: int, asked: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
-    """A chunk's own row, with the local number at each place (-1: none), and then the rows of what it asks for."""
-    labels, kinds = ["chunk", "size", "seq", *asked], [x.type for x in asked.values()]
-    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([size], pa.int32()), pa.array([_packed(seq)], pa.binary()), *(pa.nulls(1, k) for k in kinds)], labels)
+def _own_row(chunk: int, seq: np.ndarray, size: int, asked: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A chunk's own row, with the local number at each place (-1: none)."""
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([size], pa.int32()), pa.array([_packed(seq)], pa.binary()), *(pa.nulls(1, x.type) for x in asked.values())], ["chunk", "size", "seq", *asked])
+
+
+def _asked_rows(chunk: int, asked: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    """The rows of what a chunk asks for."""
     n = len(next(iter(asked.values())))
     for a in range(0, n, SLICE):
         m = min(SLICE, n - a)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *(x.slice(a, m) for x in asked.values())], labels)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *(x.slice(a, m) for x in asked.values())], ["chunk", "size", "seq", *asked])
+
+
+def _ranges(lefts: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of local numbers, one at least, with about PART of the places (or one number's) in each: pairs of a range are told apart by themselves."""
+    before = np.cumsum(np.bincount(lefts, minlength=size))
+    cuts = np.unique([0, *np.searchsorted(before, np.arange(PART, len(lefts), PART), "left") + 1, max(1, size)])
+    yield from zip(cuts.tolist(), cuts[1:].tolist(), strict=False)
 
 
 def _words(docs: DataFrame, chunk_tokens: int) -> DataFrame:
@@ -76,7 +88,8 @@ def _words(docs: DataFrame, chunk_tokens: int) -> DataFrame:
             seq = np.concatenate(seqs)
             n = np.bincount(seq[seq >= 0], minlength=len(words)).astype(np.int64)
             asked = {"local": pa.array(np.arange(len(n), dtype=np.int32)), "n": pa.array(n), "lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.binary()).cast(pa.string())}
-            yield from _rows(serial, seq, len(n), asked)
+            yield _own_row(serial, seq, len(n), asked)
+            yield from _asked_rows(serial, asked)
             serial += 1
             by_lang, langs, words, seqs, size = {}, [], [], [], 0
 
@@ -101,39 +114,47 @@ def _words(docs: DataFrame, chunk_tokens: int) -> DataFrame:
     return written(rows.mapInArrow(run, WORD_ROWS), "phrases-1")
 
 
-def _pairs(chunks: DataFrame, answers: DataFrame, length: int) -> DataFrame:
-    """The next length's rows: chunks whose numbers stand for pairs of adjacent names, and these pairs, a row for each left one and bucket of right ones.
-
-    answers: chunk, local, id, bits (of the number of buckets). Pairs of a row have local numbers one after the other.
-    """
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.slice(0, 1).to_pylist()[0]
-        seq, ids, bits = _unpacked(row["seq"]), np.full(row["size"] + 1, -1, np.int64), np.zeros(row["size"] + 1, np.int64)  # the last is that of places without a number
-        ids[right["local"].to_numpy()] = right["id"].to_numpy()
-        bits[right["local"].to_numpy()] = right["bits"].to_numpy()
-        named = ids[seq] >= 0
-        both = np.flatnonzero(named[:-1] & named[1:])
-        unique, inverse, n = np.unique(seq[both].astype(np.int64) << 32 | seq[both + 1], return_inverse=True, return_counts=True)
+def _paired(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A chunk's row and answers (see _pairs) to its rows of the next length. Pairs are sorted in parts, so that little is held beside the places themselves."""
+    row = left.slice(0, 1).to_pylist()[0]
+    seq, ids, bits = _unpacked(row["seq"]), np.full(row["size"] + 1, -1, np.int64), np.zeros(row["size"] + 1, np.int8)  # the last is that of places without a number
+    ids[right["local"].to_numpy()] = right["id"].to_numpy()
+    bits[right["local"].to_numpy()] = right["bits"].to_numpy()
+    named = (ids >= 0)[seq]
+    both = np.flatnonzero(named[:-1] & named[1:]).astype(np.int32)
+    lefts, following, done, parts = seq[both], np.full(len(seq), -1, np.int32), 0, []
+    for low, high in _ranges(lefts, row["size"]):
+        at = both[(lefts >= low) & (lefts < high)]
+        unique, inverse, n = np.unique(seq[at].astype(np.int64) << 32 | seq[at + 1], return_inverse=True, return_counts=True)
         a, b = ids[unique >> 32], ids[unique & 0xFFFFFFFF]
         mixed = (b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-        bucket = mixed.astype(np.int64) & ((np.int64(1) << bits[unique >> 32]) - 1)
+        bucket = mixed.astype(np.int64) & ((np.int64(1) << bits[unique >> 32].astype(np.int64)) - 1)
         order = np.argsort((unique >> 32) << MOST_BITS | bucket, kind="stable")
         place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        following = np.full(len(seq), -1, np.int32)
-        following[both] = place[inverse]
+        place[order] = np.arange(done, done + len(order), dtype=np.int32)
+        following[at] = place[inverse]
         a, b, bucket, n = a[order], b[order], bucket[order], n[order]
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (bucket[1:] != bucket[:-1]))) if len(a) else np.zeros(0, np.int64)
         ends = pa.array(np.append(first, len(a)).astype(np.int32))
-        asked = {
-            "first": pa.array(first.astype(np.int32)), "left": pa.array(a[first]), "bucket": pa.array(bucket[first].astype(np.int32)),
+        parts.append({
+            "first": pa.array((first + done).astype(np.int32)), "left": pa.array(a[first]), "bucket": pa.array(bucket[first].astype(np.int32)),
             "rights": pa.ListArray.from_arrays(ends, pa.array(b)), "ns": pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32))),
-        }
-        return pa.Table.from_batches(list(_rows(row["chunk"], following, len(a), asked)))
+        })
+        done += len(a)
+    rows = [_own_row(row["chunk"], following, done, parts[0])]
+    for asked in parts:
+        rows += _asked_rows(row["chunk"], asked)
+    give_back()
+    return pa.Table.from_batches(rows)
+
+
+def _pairs(chunks: DataFrame, answers: DataFrame, length: int) -> DataFrame:
+    """The next length's rows: chunks whose numbers stand for pairs of adjacent names, and these pairs, a row for each left one and bucket of right ones.
 
+    answers: chunk, local, id, bits (of the number of buckets). Pairs of a row have local numbers one after the other.
+    """
     own = chunks.where("seq is not null").select("chunk", "size", "seq")
-    return written(own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, PAIR_ROWS), f"phrases-{length}")
+    return written(own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_paired, PAIR_ROWS), f"phrases-{length}")
 
 
 def _asked_pairs(rows: DataFrame) -> DataFrame:

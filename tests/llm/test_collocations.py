@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,34 @@ def test_defined_cases(spark):
     assert found(df) == brute(docs)
     assert found(df.limit(0)) == []
     assert found(df.where("doc_id = 4")) == []
+
+
+def test_pairs_of_a_large_chunk_take_little_memory():
+    """What is held beside a chunk's places, and the pairs' number, doesn't grow with the chunk: executors have little for Python."""
+    import tracemalloc
+
+    n, size = 3_000_000, 2_000
+    draw = np.random.default_rng(1)
+    seq = (draw.zipf(1.3, n) % size).astype(np.int32)
+    seq[::50] = -1
+    named = np.flatnonzero(np.arange(size) % 7 != 3)
+    left = pa.table({"chunk": pa.array([5]), "size": pa.array([size], pa.int32()), "seq": pa.array([collocations._packed(seq)], pa.binary())})
+    right = pa.table({"chunk": pa.array(np.full(len(named), 5)), "local": pa.array(named.astype(np.int32)), "id": pa.array(named + 10**9), "bits": pa.array((named < 3).astype(np.int32) * 2)})
+    tracemalloc.start()
+    rows = collocations._paired(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * n
+    own, asked = rows.slice(0, 1).to_pylist()[0], rows.slice(1)
+    after = collocations._unpacked(own["seq"])
+    known = np.isin(seq, named)
+    assert ((after >= 0) == np.append(known[:-1] & known[1:], False)).all()
+    pairs = {}
+    for r in asked.to_pylist():
+        for i, (right_id, k) in enumerate(zip(r["rights"], r["ns"])):
+            pairs[r["first"] + i] = (r["left"], right_id, k)
+    assert sorted(pairs) == list(range(own["size"]))
+    at = np.flatnonzero(after >= 0)
+    counts = np.bincount(after[at], minlength=own["size"])
+    assert all(pairs[j][2] == counts[j] for j in pairs) and len({p[:2] for p in pairs.values()}) == len(pairs)
+    assert all(pairs[after[i]][:2] == (seq[i] + 10**9, seq[i + 1] + 10**9) for i in at[:: max(1, len(at) // 5000)])
