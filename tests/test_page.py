@@ -116,3 +116,24 @@ def test_tables_by_page_are_not_broadcast(spark):
         df = doc.pages.select("page_id").join(table.where("page_id > 0").select("page_id"), "page_id")
         df.collect()
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().simpleString()
+
+
+def test_deep_pages_take_time_in_proportion(spark):
+    """The open elements are not searched for what was never opened, and a count of nodes makes no paths."""
+    import time
+
+    from tessera.sources.html import count_of
+
+    def seconds(n: int) -> float:
+        html = "<div>" * n
+        start = time.process_time()
+        for _ in range(30 * 500 // n):
+            root = parse(html)
+            assert count_of(root) == n + 3
+        return time.process_time() - start
+
+    seconds(50)
+    assert seconds(500) < 3 * seconds(50)
+    for html in ("<p>a<div>b</p><svg><g><rect></svg>c", "<div><p>x<table><tr><td><p>y</table>", "<i>a<b>c</i>d"):
+        root = parse(html)
+        assert count_of(root) == len(rows_of(root))
