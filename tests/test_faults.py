@@ -122,3 +122,27 @@ def test_sheets_of_a_folder(spark, tmp_path):
     assert {r.page_id: r.c for r in colors.select("page_id", F.col("style")["color"].alias("c")).collect()} == {0: "#010101", 1: "#020202", 2: None}
     assert sorted((r.page_id, r.warning) for r in doc.warnings.collect()) == [(2, "stylesheet refused: ../a/x.css"), (2, "stylesheet unresolved: z.css")]
     assert {r.page_id: r.prop for r in doc.rules.select("page_id", F.explode("decls").alias("d")).select("page_id", F.col("d.value").alias("prop")).collect()} == {0: "#010101", 1: "#020202"}
+
+
+def test_pages_of_a_stage_come_together(spark):
+    """Many pages go through one call, whole, however batches are cut; one that fails is told of alone."""
+    def build(page):
+        assert len(set(page["page_id"])) == 1 and page["node_id"] == sorted(page["node_id"])
+        if page["page_id"][0] == 3:
+            raise ValueError("x" * 9000)
+        return page["node_id"][-1:], [len(page["node_id"])]
+
+    schema = pa.schema([("page_id", pa.int64()), ("last", pa.int32()), ("n", pa.int32())])
+    rows = ship(spark) and spark.createDataFrame([(i, k) for i in range(200) for k in range(i % 9, -1, -1)], "page_id long, node_id int")
+    made = faults.by_pages(rows, build, schema, "page_id long, last int, n int")
+    found = {r.page_id: (r.last, r.n, r.error) for r in made.collect()}
+    assert found[3] == (None, None, ("ValueError: " + "x" * 9000)[: faults.MOST])
+    assert {k: v for k, v in found.items() if k != 3} == {i: (i % 9, i % 9 + 1, None) for i in range(200) if i != 3}
+    batches = [pa.RecordBatch.from_pydict({"page_id": pa.array(ids, pa.int64())}) for ids in ([1, 1], [], [1], [1, 2, 3], [3], [4])]
+    assert [(c["page_id"], at) for c, at in faults.whole_groups(iter(batches))] == [([1, 1, 1, 1, 2], [0, 4, 5]), ([3, 3], [0, 2]), ([4], [0, 1])]
+    for plan in (made, components.hashed(spark.createDataFrame([], components_schema()))):
+        assert "FlatMapGroups" not in plan._jdf.queryExecution().toString()
+
+
+def components_schema() -> str:
+    return "page_id long, node_id int, parent_ir int, ir_type string, name string, layout string, fills string, strokes string, effects string, corner_radius double, svg_source string, text_style string, image_ref string, vector_path string"
