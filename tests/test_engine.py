@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.operators import cascade
+from tessera.operators import cascade, components
 from tessera.operators.layout import page_layout
 from tessera.plans.engine import Options, convert
 from tessera.sources.html import Node, parse, rows_of
@@ -169,3 +169,15 @@ def test_winner(spark, rows):
     df = spark.createDataFrame([(1, 1, "p", str(i), imp, spec, order, 0) for i, (imp, spec, order) in enumerate(rows)], "page_id long, node_id int, prop string, value string, important boolean, s int, rule_order int, decl_idx int")
     got = cascade.winners(df.withColumn("specificity", F.struct("s"))).first()["value"]
     assert rows[int(got)] == max(rows)
+
+
+def test_no_join_by_page_is_broadcast(spark):
+    """Tables that are joined by page grow with the corpus: none is sent to the driver, however small it looks."""
+    frame = lambda kinds: spark.createDataFrame([], kinds)
+    placed = frame("page_id long, node_id int, ir_type string, name string, characters string, ir_path array<int>, ir_steps array<string>, fills array<int>, strokes array<int>, effects array<int>")
+    found = frame("page_id long, component_id string, name string, master int")
+    instances = frame("page_id long, node_id int, hash string, component_id string, name string, instance_id string")
+    hashes = frame("page_id long, node_id int, hash string, shape string")
+    for df in (*components.plan(placed, 3, hashes), components.overrides(placed, found, instances), components.rewritten(placed, found, instances)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
