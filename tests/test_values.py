@@ -84,3 +84,13 @@ def test_plain_paths():
     assert half.count("C") == 2
     assert [float(x) for x in half[-2:]] == pytest.approx([2, 0])
     assert [float(x) for x in half[8:10]] == pytest.approx([1, -1])
+
+
+def test_values_of_a_small_file_are_dealt_out(spark):
+    """A file holds more rows than one task can read in time."""
+    import os
+
+    from tessera.plans import values
+
+    if os.path.isdir("/root/testdata/sf0.001"):
+        assert values.QUERIES["stroke"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
