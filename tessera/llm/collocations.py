@@ -41,7 +41,10 @@ PART = 500_000
 #: A place is a chunk's number over that of a word or pair in it; a chunk's number is its task's over its own in the task.
 PLACE_BITS, SERIAL_BITS = 31, 11
 WORD_ROWS = "chunk long, size int, seq binary, local int, n long, lang string, word string"
-PAIR_ROWS = "chunk long, size int, seq binary, first int, left long, bucket int, rights array<long>, ns array<int>"
+SENT = ["chunk", "size", "seq", "first", "way", "lefts", "rights", "ns"]
+#: Rows of pairs that go to Spark at once.
+SENT_ROWS = 1000
+PAIR_ROWS = "chunk long, size int, seq binary, first int, way int, lefts array<long>, rights array<long>, ns array<int>"
 #: A name found over 2^SPLIT_BITS times has its right neighbours in buckets, so that no row or group of a frequent name is large.
 SPLIT_BITS, MOST_BITS = 14, 20
 
@@ -114,8 +117,16 @@ def _words(docs: DataFrame, chunk_tokens: int) -> DataFrame:
     return written(rows.mapInArrow(run, WORD_ROWS), "phrases-1")
 
 
-def _paired(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk's row and answers (see _pairs) to its rows of the next length. Pairs are sorted in parts, so that little is held beside the places themselves."""
+def _way(left: np.ndarray, bucket: np.ndarray, ways: int) -> np.ndarray:
+    mixed = (left.astype(np.uint64) + (bucket.astype(np.uint64) << np.uint64(43))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(ways)).astype(np.int32)
+
+
+def _paired(left: pa.Table, right: pa.Table, ways: int = 1) -> pa.Table:
+    """A chunk's row and answers (see _pairs) to its pairs of the next length: a row for each left name and bucket, way by way in each part.
+
+    Pairs are sorted in parts, so that little is held beside the places themselves.
+    """
     row = left.slice(0, 1).to_pylist()[0]
     seq, ids, bits = _unpacked(row["seq"]), np.full(row["size"] + 1, -1, np.int64), np.zeros(row["size"] + 1, np.int8)  # the last is that of places without a number
     ids[right["local"].to_numpy()] = right["id"].to_numpy()
@@ -129,7 +140,7 @@ def _paired(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = ids[unique >> 32], ids[unique & 0xFFFFFFFF]
         mixed = (b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
         bucket = mixed.astype(np.int64) & ((np.int64(1) << bits[unique >> 32].astype(np.int64)) - 1)
-        order = np.argsort((unique >> 32) << MOST_BITS | bucket, kind="stable")
+        order = np.lexsort((bucket, unique >> 32, _way(a, bucket, ways)))
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(done, done + len(order), dtype=np.int32)
         following[at] = place[inverse]
@@ -148,20 +159,40 @@ def _paired(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_batches(rows)
 
 
-def _pairs(chunks: DataFrame, answers: DataFrame, length: int) -> DataFrame:
-    """The next length's rows: chunks whose numbers stand for pairs of adjacent names, and these pairs, a row for each left one and bucket of right ones.
+def _sent(rows: pa.Table, ways: int) -> pa.Table:
+    """What _paired makes, with a row for each way of a part: neighbours in a list, the left names beside the right ones."""
+    out = []
+    for batch in rows.to_batches():
+        c = {n: batch.column(n) for n in batch.schema.names}
+        if c["seq"].null_count < batch.num_rows:  # the chunk's own
+            out.append(pa.RecordBatch.from_arrays([c["chunk"], c["size"], c["seq"], *(pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())))], SENT))
+            continue
+        left = c["left"].to_numpy()
+        sizes = np.diff(c["rights"].offsets.to_numpy())
+        way = _way(left, c["bucket"].to_numpy(), ways)
+        first = np.flatnonzero(np.append(True, way[1:] != way[:-1])) if len(way) else np.zeros(0, np.int64)
+        ends = pa.array(np.append(0, np.cumsum(sizes))[np.append(first, len(way))].astype(np.int32))
+        values = (pa.array(np.repeat(left, sizes)), c["rights"].flatten(), c["ns"].flatten())
+        asked = {"first": c["first"].take(pa.array(first)), "way": pa.array(way[first]), **{n: pa.ListArray.from_arrays(ends, x) for n, x in zip(SENT[5:], values, strict=True)}}
+        for a in range(0, len(first), SENT_ROWS):
+            out += _asked_rows(int(c["chunk"][0].as_py()), {n: x.slice(a, SENT_ROWS) for n, x in asked.items()})
+    return pa.Table.from_batches(out)
+
+
+def _pairs(chunks: DataFrame, answers: DataFrame, length: int, ways: int) -> DataFrame:
+    """The next length's rows: chunks whose numbers stand for pairs of adjacent names, and these pairs, in a row for each way of a part.
 
     answers: chunk, local, id, bits (of the number of buckets). Pairs of a row have local numbers one after the other.
     """
     own = chunks.where("seq is not null").select("chunk", "size", "seq")
-    return written(own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_paired, PAIR_ROWS), f"phrases-{length}")
+    return written(own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda left, right: _sent(_paired(left, right, ways), ways), PAIR_ROWS), f"phrases-{length}")
 
 
-def _asked_pairs(rows: DataFrame) -> DataFrame:
-    """chunk, local, n, left, bucket, right: rows travel by left name and bucket, and are spread out behind the shuffle."""
-    packed = rows.where("seq is null").select("chunk", "first", "left", "bucket", "rights", "ns").repartition(shuffle_width(rows.sparkSession), "left", "bucket")
-    pair = F.transform("rights", lambda r, i: F.struct(r.alias("right"), F.get("ns", i).cast("long").alias("n"), (F.col("first") + i).alias("local")))
-    return packed.select("chunk", "left", "bucket", F.inline(pair))
+def _asked_pairs(rows: DataFrame, ways: int) -> DataFrame:
+    """chunk, local, n, way, left, right: rows travel by way, and are spread out behind the shuffle."""
+    packed = rows.where("seq is null").select("chunk", "first", "way", "lefts", "rights", "ns").repartitionById(ways, F.col("way"))
+    pair = F.transform("rights", lambda r, i: F.struct(F.get("lefts", i).alias("left"), r.alias("right"), F.get("ns", i).cast("long").alias("n"), (F.col("first") + i).alias("local")))
+    return packed.select("chunk", "way", F.inline(pair))
 
 
 def _named(asked: DataFrame, keys: list[str], least: int, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -183,7 +214,7 @@ def phrases(docs: DataFrame, least: int = 30, most_words: int = 4, chunk_tokens:
     left, right: ids of the phrase's first and last words but one, of the length before. starts, ends: counts of its
     first, and of its last, 1, 2, ... words.
     """
-    rows = _words(docs, chunk_tokens)
+    rows, ways = _words(docs, chunk_tokens), shuffle_width(docs.sparkSession)
     totals = written(rows.where("seq is null").groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
     names, answers, frequent = _named(rows.where("seq is null").select("chunk", "local", "n", "lang", "word"), ["lang", "word"], least, 1)
     nothing = F.array().cast("array<long>")
@@ -192,14 +223,14 @@ def phrases(docs: DataFrame, least: int = 30, most_words: int = 4, chunk_tokens:
     for length in range(2, most_words + 1):
         if names.isEmpty():
             break
-        done, rows = (rows, frequent), _pairs(rows, answers, length)
+        done, rows = (rows, frequent), _pairs(rows, answers, length, ways)
         for table in done:  # what they led to is written
             discard(table)
-        names, answers, frequent = _named(_asked_pairs(rows), ["left", "bucket", "right"], least, length)
+        names, answers, frequent = _named(_asked_pairs(rows, ways), ["way", "left", "right"], least, length)
         before = levels[-1]
         first = before.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("starts", F.array("f")).alias("starts"))
         rest = before.select(F.col("id").alias("right"), F.col("last"), F.concat("ends", F.array("f")).alias("ends"))
-        found = names.drop("bucket").join(first, "left").join(rest, "right")
+        found = names.drop("way").join(first, "left").join(rest, "right")
         found = found.select("id", "left", "right", "lang", "f", F.concat_ws(" ", "head", "last").alias("phrase"), "starts", "ends", "last")
         levels.append(written(found, f"phrases-{length}-words"))
     discard(rows)

@@ -118,3 +118,27 @@ def test_pairs_of_a_large_chunk_take_little_memory():
     counts = np.bincount(after[at], minlength=own["size"])
     assert all(pairs[j][2] == counts[j] for j in pairs) and len({p[:2] for p in pairs.values()}) == len(pairs)
     assert all(pairs[after[i]][:2] == (seq[i] + 10**9, seq[i + 1] + 10**9) for i in at[:: max(1, len(at) // 5000)])
+
+
+def test_rows_of_pairs_grow_no_faster_than_chunks():
+    """A frequent left name has its right neighbours in more buckets in a larger corpus; a chunk sends no more rows for that, and no pair is lost."""
+    n, size, ways = 400_000, 3_000, 50
+    draw = np.random.default_rng(2)
+    seq = (draw.zipf(1.2, n) % size).astype(np.int32)
+    left = pa.table({"chunk": pa.array([7]), "size": pa.array([size], pa.int32()), "seq": pa.array([collocations._packed(seq)], pa.binary())})
+    found = []
+    for bits in (0, 8):
+        right = pa.table({"chunk": pa.array(np.full(size, 7)), "local": pa.array(np.arange(size, dtype=np.int32)), "id": pa.array(np.arange(size) + (3 << 31)), "bits": pa.array(np.full(size, bits, np.int32))})
+        rows = collocations._sent(collocations._paired(left, right, ways), ways)
+        assert rows.schema.names == collocations.SENT
+        own, asked = rows.slice(0, 1).to_pylist()[0], rows.slice(1).to_pylist()
+        assert len(asked) <= ways + 1
+        pairs = {r["first"] + i: (a, b, k, r["way"]) for r in asked for i, (a, b, k) in enumerate(zip(r["lefts"], r["rights"], r["ns"], strict=True))}
+        assert sorted(pairs) == list(range(own["size"]))
+        after = collocations._unpacked(own["seq"])[:-1]
+        counts = np.bincount(after, minlength=own["size"])
+        assert all(pairs[j][2] == counts[j] for j in pairs)
+        assert all(pairs[after[i]][:2] == (int(seq[i]) + (3 << 31), int(seq[i + 1]) + (3 << 31)) for i in range(0, n - 1, 97))
+        assert max(np.bincount([p[3] for p in pairs.values()])) < len(pairs) / 5
+        found.append({p[:3] for p in pairs.values()})
+    assert found[0] == found[1] and len(found[0]) == own["size"]
