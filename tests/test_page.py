@@ -137,3 +137,35 @@ def test_deep_pages_take_time_in_proportion(spark):
     for html in ("<p>a<div>b</p><svg><g><rect></svg>c", "<div><p>x<table><tr><td><p>y</table>", "<i>a<b>c</i>d"):
         root = parse(html)
         assert count_of(root) == len(rows_of(root))
+
+
+def test_equal_pages_are_worked_out_once(spark, tmp_path, monkeypatch):
+    """Of equal pages a task reads one, unless what a browser has measured of them differs; pages that fail stay each on its own."""
+
+    def noted(name, step):
+        def run(*given):
+            import uuid
+
+            (tmp_path / f"{name}-{uuid.uuid4().hex}").touch()
+            if name == "layout" and any(r["text"] == "bad" for r in given[0]):
+                raise KeyError("bad")
+            return step(*given)
+
+        return run
+
+    texts = ["<p data-c2f-mid=m>a</p>", "<style>p{color:red}</style><p>b<i>c</i></p>", "bad", None]
+    pages = spark.createDataFrame([(i, texts[i % 4]) for i in range(80)], "page_id long, html string").coalesce(1)
+    monkeypatch.setattr(page, "dealt", lambda df: df.coalesce(1))
+    rows = page.styled(pages, steps=(noted("parse", page.parsed), noted("cascade", page.cascaded)))
+    rows = rows.select(*(c for c in rows.columns if c != "raw_style"), F.col("raw_style").alias("style")).withColumn("boxed", F.lit(False)).withColumn("shots", F.lit(None).cast("array<string>"))
+    size = F.when((F.col("node_id") == 0) & (F.col("page_id") % 8 == 0), F.array(F.struct(F.lit("m").alias("mid"), F.lit(50.0).alias("width"), F.lit(9.0).alias("height"))))
+    rows = rows.withColumn("measured", size)
+    found = page.placed(rows, 800.0, 600.0, steps=(noted("layout", page.page_layout), page.shaped)).collect()
+    made = {}
+    for r in found:
+        made.setdefault(r.page_id, []).append(tuple(r)[1:])
+    assert {k: len(v) for k, v in made.items()} == {i: [5, 9, 1, 1][i % 4] for i in range(80)}
+    assert all(made[i] == made[i % 8] for i in range(80)) and made[0] != made[4]
+    assert [(made[i][0][found[0].__fields__.index("error") - 1]) for i in (2, 3)] == ["KeyError: 'bad'", "no html"]
+    taken = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert taken.count("parse") == 3 and taken.count("cascade") == 3 and taken.count("layout") <= 20
