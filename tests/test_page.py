@@ -169,3 +169,16 @@ def test_equal_pages_are_worked_out_once(spark, tmp_path, monkeypatch):
     assert [(made[i][0][found[0].__fields__.index("error") - 1]) for i in (2, 3)] == ["KeyError: 'bad'", "no html"]
     taken = [p.name.split("-")[0] for p in tmp_path.iterdir()]
     assert taken.count("parse") == 3 and taken.count("cascade") == 3 and taken.count("layout") <= 20
+
+
+def test_inheritance_takes_one_shuffle_by_page(spark):
+    """Declarations and elements meet once; ancestors that are no rows themselves still hand on what they declare."""
+    nodes = spark.createDataFrame([(k, n, path, "element") for k in range(3) for n, path in ((0, [0]), (2, [0, 2]), (4, [0, 3, 4]), (5, [0, 3, 4, 5]))], "page_id long, node_id int, path array<int>, kind string")
+    won = spark.createDataFrame([(k, n, p, v) for k in range(3) for n, p, v in ((0, "color", "red"), (0, "width", "1px"), (2, "width", "inherit"), (3, "color", "var(--c, blue)"), (3, "--c", f"#{k}"), (5, "width", "inherit"))], "page_id long, node_id int, prop string, value string")
+    found = cascade.computed(nodes, won)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    want = {0: {"color": "red", "width": "1px"}, 2: {"color": "red", "width": "1px"}}
+    for r in found.collect():
+        assert r["style"] == want.get(r["node_id"], {"color": f"#{r['page_id']}", "--c": f"#{r['page_id']}"})
+    assert found.count() == 12
