@@ -181,3 +181,20 @@ def test_no_join_by_page_is_broadcast(spark):
     for df in (*components.plan(placed, 3, hashes), components.overrides(placed, found, instances), components.rewritten(placed, found, instances)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_texts_are_made_without_drawings(spark, monkeypatch):
+    """Texts are the same alone as among all design nodes, and no drawing is read for them."""
+    from tessera.operators import svg
+
+    html = '<body class="card">bare <p>one <b>two</b></p><svg><circle r="2"/><text>in</text></svg><div><svg><rect/><rect/></svg><i>x</i></div><img></body>'
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", "<p>y</p>"), (3, "u", None)], "page_id long, url string, html string")
+    every = convert(pages, Options(font_fallback="Arial")).ir.where("ir_type = 'TEXT'")
+    want = sorted(map(repr, every.collect()))
+
+    def not_asked(*_):
+        raise AssertionError("drawings were read")
+
+    monkeypatch.setattr(svg, "vectors", not_asked)
+    found = convert(pages, Options(font_fallback="Arial")).texts
+    assert found.columns == every.columns and sorted(map(repr, found.collect())) == want and len(want) == 4
