@@ -182,3 +182,31 @@ def test_inheritance_takes_one_shuffle_by_page(spark):
     for r in found.collect():
         assert r["style"] == want.get(r["node_id"], {"color": f"#{r['page_id']}", "--c": f"#{r['page_id']}"})
     assert found.count() == 12
+
+
+def test_nodes_that_are_alike_are_worked_out_once(spark):
+    """Styles, design nodes and prints of nodes that are alike are made once a page, and come to what each would on its own."""
+    from tessera.operators import components, nodes
+    from tessera.plans.engine import Options, convert
+
+    css = ".a{background:red;border-radius:50%;width:20px;height:10px} .a p{color:blue} .b{border:1px solid} i:first-child{font-weight:bold} b{color:green}"
+    card = lambda k: f'<div class="{"ab"[k % 2]}"><p>t{k}<i>x</i></p><p title="{k}">same<br>{"<b>y</b>" if k % 3 == 0 else ""}</p>bare{k}<img src="{k}.png" alt="{k}"></div>'
+    drawing = '<svg><rect width="3" height="3"></rect></svg><svg><path d="M0 0L1 1"></path><path d="M0 0L2 2"></path></svg>'
+    pages = [f"<style>{css}</style><div style='display:flex'>{''.join(map(card, range(30)))}</div>{drawing * 2}<div class='a' style='width:{k}px'>z</div>" for k in range(3)]
+    rng = random.Random(3)
+    pages += [random_page(rng) for _ in range(20)]
+    rows = rows_of(parse(pages[0]))
+    assert 5 * len({id(x) for x in page.cascaded(rows, {})}) < len(rows)
+    given = ship(spark) and spark.createDataFrame([(i, "u", html) for i, html in enumerate(pages)], "page_id long, url string, html string")
+    assert "measured" not in page.page_nodes(given)._jdf.queryExecution().analyzed().toString()  # what isn't there isn't sent
+    for layout in (True, False):
+        doc = convert(given, Options(layout=layout))
+        plain = doc._titled(nodes.ir_nodes(doc.nodes, geometry=layout)).where("ir_type <> 'VECTOR'")
+        own = doc.ir.join(plain.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi").select(plain.columns)
+        assert sorted(map(str, own.collect())) == sorted(map(str, plain.collect()))
+        some = "page_id < 3 and ir_type in ('FRAME', 'TEXT')"
+        assert 3 * doc.looks.where(some).count() < doc.ir.where(some).count()
+        # the same hashes as of all design nodes
+        want = components.hashed(doc.placed).select("page_id", "node_id", "hash", "shape")
+        assert sorted(map(str, doc._hashed.select(want.columns).collect())) == sorted(map(str, want.collect()))
+        assert doc.frames.count() == doc.ir.where("ir_type = 'FRAME'").count()
