@@ -33,3 +33,13 @@ def test_query(spark, con, name):
 
 def test_every_oracle_has_a_query():
     assert not set(ALL_ORACLES) - set(ALL_QUERIES)
+
+
+def test_rectangles_are_joined_without_a_broadcast(spark, monkeypatch):
+    """Marked elements and their boxes grow with the pages: neither the tables on the way nor the result sends one to the driver."""
+    plans, keep = [], pages.by_page
+    told = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(pages, "by_page", lambda df, name: told(df) or keep(df, name))
+    told(pages.union_rect(spark, SF))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert not any("MapInArrow" in p for p in plans[1:])  # pages are parsed once
