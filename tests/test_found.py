@@ -36,3 +36,18 @@ def test_components_take_no_room_for_what_isnt_asked(spark, pages):
     doc = convert(pages, Options(layout=False))
     assert doc.detected["components"].where(F.col("occurrences") < 3).count() == 0
     assert "ir" not in doc.__dict__ and "tree" not in doc.detected._made and "shape" not in doc._hashes.columns
+
+
+DRAWINGS = '<body><svg style="color:#0000ff" fill="currentColor"><circle r="2"/><rect width="2" height="3"/></svg><svg></svg><noscript><img><svg></svg></noscript><div><img><svg><g><path d="M0 0"/></g></svg></div></body>'
+
+
+def test_drawings_are_made_once(spark, monkeypatch):
+    """Shapes and markup are used by several joins: the design nodes read them again and don't make them again."""
+    from tessera.plans import engine
+
+    plans, keep = {}, engine.by_page
+    monkeypatch.setattr(engine, "by_page", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and keep(df, name))
+    looks = convert(spark.createDataFrame([(1, "u", DRAWINGS)], "page_id long, url string, html string"), Options(layout=False)).looks
+    assert "MapInArrow" not in plans["looks"] and plans["shapes"].count("MapInArrow") == 1 == plans["markup"].count("MapInArrow")
+    found = [r.svg_source for r in looks.where("svg_source is not null").orderBy("node_id").collect()]
+    assert found[0] == '<svg style="color:#0000ff" fill="#0000ff"><circle r="2"></circle><rect width="2" height="3"></rect></svg>' and len(found) == 2
