@@ -51,3 +51,16 @@ def test_drawings_are_made_once(spark, monkeypatch):
     assert "MapInArrow" not in plans["looks"] and plans["shapes"].count("MapInArrow") == 1 == plans["markup"].count("MapInArrow")
     found = [r.svg_source for r in looks.where("svg_source is not null").orderBy("node_id").collect()]
     assert found[0] == '<svg style="color:#0000ff" fill="#0000ff"><circle r="2"></circle><rect width="2" height="3"></rect></svg>' and len(found) == 2
+
+
+def test_warnings_look_only_at_pictures(spark):
+    """Of a page's nodes those that can be warned of are asked whether they are drawn, not all."""
+    from tessera.operators import nodes
+    from tessera.sources.html import dom_nodes
+
+    page = DRAWINGS + "<p>x</p>" * 50
+    told = nodes.warnings(dom_nodes(spark.createDataFrame([(1, page)], "page_id long, html string")))
+    assert sorted(r.warning for r in told.collect()) == ["image without a source", "vector without shapes"]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    asked = [line for line in plan.splitlines() if "Filter" in line and "svg" in line and "img" in line]
+    assert asked
