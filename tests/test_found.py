@@ -64,3 +64,25 @@ def test_warnings_look_only_at_pictures(spark):
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     asked = [line for line in plan.splitlines() if "Filter" in line and "svg" in line and "img" in line]
     assert asked
+
+
+def test_large_pages_are_let_go():
+    """What a page was put together of isn't held while the page is worked on, and its rows go on in pieces."""
+    import weakref
+
+    import pyarrow as pa
+
+    from tessera.operators import page
+
+    refs = []
+
+    def given():
+        for _ in range(3):
+            batch = pa.record_batch({"node_id": pa.array([0, 1, 2])})
+            refs.append(weakref.ref(batch))
+            yield batch
+
+    found = page.whole_pages(given())
+    assert next(found).num_rows == 3 and refs[0]() is None and [t.num_rows for t in found] == [3, 3]
+    rows = pa.table({"node_id": pa.array(range(2 * page.IN_PIECE + 1))})
+    assert [b.num_rows for b in page.in_pieces(rows)] == [page.IN_PIECE, page.IN_PIECE, 1]
